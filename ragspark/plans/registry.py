@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import books, evaluation, retrieval, texts  # noqa: F401  each registers its queries
+from .tables import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
