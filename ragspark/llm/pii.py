@@ -90,14 +90,17 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame, support: int, generalise
     """Terms (term, ratio, removed) whose disclosure of any entity reaches ``generalise``.
 
     ``spans``: kind, value, near (the words about an entity), _text (hash of the text).  Texts count, not rows, and texts
-    with the same surrounding of an entity count once, so that copies prove nothing.  ``support``: texts that a pair
-    needs.  ``most``: candidate terms up to which they are broadcast; more are joined by shuffle.
+    with the same surrounding of an entity count once, so that copies prove nothing; nor do near copies, as a term must
+    stand beside different words in half of the texts.  ``support``: texts, and words beside it, that a pair needs.  ``most``: candidate terms up to which they are broadcast; more are joined by shuffle.
     """
     seen = cut(spans.groupBy("kind", "value", "near").agg(F.min("_text").alias("_text")))
     entities = seen.groupBy("kind", "value").agg(F.count_distinct("_text").alias("n_e")).where(F.col("n_e") >= support)
-    near = seen.join(entities, ["kind", "value"], "left_semi").select("kind", "value", "_text", F.explode(F.array_distinct(_words(F.col("near")))).alias("term"))
-    pairs = near.groupBy("kind", "value", "term").agg(F.count_distinct("_text").alias("n_te"))
-    pairs = cut(pairs.where(F.col("n_te") >= support).join(entities, ["kind", "value"]))
+    around = F.transform("w", lambda x, i: F.struct(x.alias("term"), F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")))
+    near = seen.join(entities, ["kind", "value"], "left_semi").select("kind", "value", "_text", _words(F.col("near")).alias("w")).select("kind", "value", "_text", F.explode(around).alias("x"))
+    pairs = near.groupBy("kind", "value", "x.term").agg(F.count_distinct("_text").alias("n_te"), F.count_distinct("x.before").alias("_b"), F.count_distinct("x.after").alias("_a"))
+    # near copies repeat a term beside the same words; independent texts do not
+    own = F.greatest("_a", "_b")
+    pairs = cut(pairs.where((F.col("n_te") >= support) & (own >= support) & (2 * own >= F.col("n_te"))).drop("_a", "_b").join(entities, ["kind", "value"]))
     terms = pairs.select("term").distinct()
     if terms.count() <= most:
         terms = F.broadcast(terms)
