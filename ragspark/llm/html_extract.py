@@ -157,13 +157,13 @@ def shared(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-_PARSED = "_id long, page_id long, url string, host string, path string, texts array<string>, kinds array<int>, prints array<long>"
+_PARSED = "_key long, url string, host string, path string, kinds array<int>, prints array<long>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each page stands, and of its blocks only their kind and a hash."""
     import xxhash
 
-    strings, ints, longs = pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())
     for batch in batches:
         for lo in range(0, len(batch), 64):
             part = batch.slice(lo, 64)
@@ -175,11 +175,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 paths.append(m[2] or "/")
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("_id"), part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()),
-                    pa.array([[t for t, _ in x] for x in found], strings), pa.array([[k for _, k in x] for x in found], ints),
-                    pa.array([[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in x] for x in found], longs),
+                    part.column("_key"), part.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array([[k for _, k in x] for x in found], pa.list_(pa.int32())),
+                    pa.array([[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in x] for x in found], pa.list_(pa.int64())),
                 ],
-                ["_id", "page_id", "url", "host", "path", "texts", "kinds", "prints"],
+                ["_key", "url", "host", "path", "kinds", "prints"],
             )
 
 
@@ -194,45 +193,66 @@ def _common(a: str, b: str | None) -> int:
 
 
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks that a page shares with its partner and loses, for the pages that lose any."""
     for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
+        keys, gone = [], []
+        for r in batch.to_pylist():
+            if ARTICLE in r["kinds"]:
+                continue  # all that is kept of it stands in the article
+            first = _common(r["path"], r["before_path"]) >= _common(r["path"], r["after_path"])
+            other = r["before"] if first else r["after"]
+            lost = [i for i in sorted(shared(r["prints"], other)) if r["kinds"][i] == PLAIN] if other else []
+            if lost:
+                keys.append(r["_key"])
+                gone.append(lost)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["_key", "gone"])
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, len(batch), 64):
+            part = batch.slice(lo, 64)
             texts = []
-            for r in part.select(["path", "texts", "kinds", "prints", "before_path", "before", "after_path", "after"]).to_pylist():
-                first = _common(r["path"], r["before_path"]) >= _common(r["path"], r["after_path"])
-                other = r["before"] if first else r["after"]
-                common = shared(r["prints"], other) if other else set()
-                marked = ARTICLE in r["kinds"]
-                kept = [t for i, (t, k) in enumerate(zip(r["texts"], r["kinds"], strict=True)) if k == ARTICLE or (k == PLAIN and not marked and i not in common)]
-                texts.append("\n".join(kept))
+            for html, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist(), strict=True):
+                found = blocks(html or "")
+                marked, lost = any(k == ARTICLE for _, k in found), set(gone or ())
+                texts.append("\n".join(t for i, (t, k) in enumerate(found) if k == ARTICLE or (k == PLAIN and not marked and i not in lost)))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, most: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars: main text of each of ``pages`` (page_id, url, html), empty if there is none.
 
     Null html is empty.  Pages without a URL form a host of their own, with an empty path.  Where paths are equal the
-    order goes by URL, then page_id.  A page alone in its host has no partner and loses only marked boilerplate.
-    Repeated rows are pages of their own.  Other columns are ignored; an empty table gives an empty result.
+    order goes by URL, then content.  Rows that repeat URL and html are one page in the pairing.  A page alone in its host
+    has no partner and loses only marked boilerplate.  Other columns are ignored; an empty table gives an empty result.
+
+    Texts are not moved: pairing and alignment work on hashes of the blocks, and the pages are parsed again to be
+    written.  ``most``: pages that lose shared blocks up to which these are broadcast; more are joined by shuffle.
     """
     spark = pages.sparkSession
-    pages = pages.select(F.monotonically_increasing_id().alias("_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    parsed = cut(pages.mapInArrow(_parse, _PARSED))
+    pages = pages.select(F.xxhash64("url", "html").alias("_key"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    parsed = cut(pages.select("_key", "url", "html").mapInArrow(_parse, _PARSED).dropDuplicates(["_key"]))
     # global order by range: a host with many pages is spread over tasks
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["host", "path", "url", "page_id", "_id"]
-    ordered = parsed.select(*keys, "prints").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    keys = ["host", "path", "url", "_key"]
+    ordered = parsed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     ordered = cut(ordered.withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     a, b = counts.alias("a"), counts.alias("b")  # a row for each range
     starts = a.join(F.broadcast(b), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_start"))
     ranked = ordered.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    ranked = cut(ranked.select("_id", "host", "path", "prints", (F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias("_rank")))
-    me, left, right = ranked.alias("m"), ranked.alias("l"), ranked.alias("r")
+    ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranked = cut(ranked.select("_key", "host", "path", "kinds", "prints", "_rank"))
+    other = ranked.select("_rank", "host", "path", "prints")
+    me, left, right = ranked.alias("m"), other.alias("l"), other.alias("r")
     near = me.join(left, (F.col("l._rank") == F.col("m._rank") - 1) & (F.col("l.host") == F.col("m.host")), "left").join(right, (F.col("r._rank") == F.col("m._rank") + 1) & (F.col("r.host") == F.col("m.host")), "left")
-    near = near.select("m._id", F.col("l.path").alias("before_path"), F.col("l.prints").alias("before"), F.col("r.path").alias("after_path"), F.col("r.prints").alias("after"))
-    out = parsed.join(near, "_id").mapInArrow(_differenced, "page_id long, url string, text string")
+    near = near.select("m._key", "m.path", "m.kinds", "m.prints", F.col("l.path").alias("before_path"), F.col("l.prints").alias("before"), F.col("r.path").alias("after_path"), F.col("r.prints").alias("after"))
+    gone = cut(near.mapInArrow(_differenced, "_key long, gone array<int>"))
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    out = pages.join(gone, "_key", "left").select("page_id", "url", "html", "gone").mapInArrow(_written, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
