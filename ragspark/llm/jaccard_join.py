@@ -1,15 +1,17 @@
 """Jaccard join of word shingles with prefixes of token combinations (operator 9).
 
-Shingles are ordered by class, rare before frequent, then by hash; the classes come from the share of documents that hold
-a shingle, counted over all documents in a fixed number of cells.  Two sets whose Jaccard similarity is at least 4/5
-differ from their common part in at most a fifth of each, so a prefix whose signatures cannot all be destroyed by that
-many removals has a signature in common: tokens of class k give their k-token combinations, and p of them survive up to
-p - k removals.  The prefix is extended until that holds.  Rare shingles are signatures by themselves.
+Shingles are ordered by class, rare before frequent, then by how frequent, then by hash.  The frequent ones are those
+that come up again and again within some stretch of documents; all documents are counted, and at most a million shingles
+are listed.  Two sets whose Jaccard similarity is at least 4/5 differ from their common part in at most a fifth of each,
+so a prefix whose signatures cannot all be destroyed by that many removals has a signature in common: tokens of class k
+give their k-token combinations, and p of them survive up to p - k removals.  The prefix is extended until that holds.
+Rare shingles are signatures by themselves.
 
 Rows with equal sets are one class from the start.  The rest goes from signatures to verified links in rounds: in each
 group of a signature all sets are compared with its first one only; sets that are then known to be connected need no
 further comparison; pairs of the others follow.  No link between different components is missed, and a large group of
-near copies costs a few comparisons for each member, not one for each pair.
+near copies costs a few comparisons for each member, not one for each pair.  Before texts are compared, parity bitmaps
+of the sets rule out pairs: bits that differ are a lower bound of the shingles that differ.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql.window import Window
 from .common import SPACED, cut, grams, mix, signed, table, text_slices, words
 
 SHINGLE = 5
-CELL_BITS = 18
-_BLOCK_BITS = 12
-#: (share of documents from which a shingle is in the class, tokens in a combination)
-CLASSES = ((0.006, 2), (0.05, 3))
+#: tokens of a combination: 2 for frequent shingles, 3 for those in a twentieth of all documents
+CLASSES = (2, 3)
+COMMON = 0.05
+#: most frequent shingles that are told apart from the rare ones (a broadcast of at most 16 MB)
+MOST_FREQUENT = 1_000_000
+_STRETCH = 1 << 22
 #: sets of at most 12, or more than 60, shingles sign single tokens of all classes; see _modes
 SHORT, LONG = 12, 60
 
@@ -70,55 +74,74 @@ def _set_ids(g: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- pass 1: sets and classes
 
-_SETS = "doc_id long, text_hash long, n long, sid long, block int, cells binary"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("block", pa.int32()), ("cells", pa.binary())])
+_SETS = "doc_id long, text_hash long, n long, sid long, bits binary, token long, times long"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary()), ("token", pa.int64()), ("times", pa.int64())])
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 64, 128, ... places, as many as shingles at least."""
+    m = 64
+    while m < len(own):
+        m *= 2
+    return np.packbits(np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """A lower bound of the shingles that only one of two sets has; the longer bitmap is folded to the other's length."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _again(held: list[np.ndarray]) -> pa.RecordBatch:
+    """Shingles that come up at least three times among the sets held."""
+    token, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    token, times = token[times >= 3], times[times >= 3]
+    k = len(token)
+    none = pa.nulls(k, pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.binary()), signed(token), pa.array(times)], schema=_SETS_ARROW)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (its set's size and id), and at the end rows with the counts of cells, in blocks."""
-    cells = np.zeros(1 << CELL_BITS, np.int64)
+    """A row for each document (its set's size, id and bitmap), and rows of shingles that repeat within a stretch of documents."""
+    held: list[np.ndarray] = []
+    size, seen = 0, set()
     for batch in batches:
         for lo, hi, data, offsets in text_slices(batch.column("text")):
             g, ends = shingle_sets(data, offsets)
-            n = np.diff(np.append(0, ends))
-            cells += np.bincount((g >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+            starts = np.append(0, ends[:-1])
+            ids = _set_ids(g, ends)
             k = hi - lo
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(n), pa.array(_set_ids(g, ends)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_SETS_ARROW)
-    blocks, data = [], []
-    for b in range(1 << (CELL_BITS - _BLOCK_BITS)):
-        part = cells[b << _BLOCK_BITS : (b + 1) << _BLOCK_BITS]
-        if (at := np.flatnonzero(part)).size:
-            blocks.append(b)
-            data.append(np.stack([at, part[at]]).astype("<i4").tobytes())
-    k = len(blocks)
-    yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], schema=_SETS_ARROW)
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up the cells of the rows of a partition, block by block."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for b, raw in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-            at, n = np.frombuffer(raw, "<i4").reshape(2, -1)
-            total.setdefault(b, np.zeros(1 << _BLOCK_BITS, np.int64))[at] += n
-    data = [np.stack([at := np.flatnonzero(x), x[at]]).astype("<i4").tobytes() for x in total.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(data, pa.binary())], ["block", "cells"])
-
-
-def _class_of_cells(counted: DataFrame, documents: int, tasks: int) -> np.ndarray:
-    """For each of the fixed number of cells the number of tokens in a combination, 1 for rare ones."""
-    schema = "block int, cells binary"
-    halves = counted.repartition(tasks).mapInArrow(_summed, schema)
-    whole = halves.repartition(1 << (CELL_BITS - _BLOCK_BITS), "block").mapInArrow(_summed, schema)
-    out = np.ones(1 << CELL_BITS, np.int8)
-    full = np.zeros(1 << CELL_BITS, np.int64)
-    for r in whole.collect():  # one row for each block, of a fixed size
-        at, n = np.frombuffer(bytes(r.cells), "<i4").reshape(2, -1)
-        full[(r.block << _BLOCK_BITS) + at] = n
-    noise = float(np.median(full))  # what rare shingles that share a cell add up to
-    for share, k in CLASSES:
-        out[full > noise * 1.5 + share * documents + 1] = k
-    return out
+            none = pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(ends - starts), pa.array(ids),
+                    pa.array([bitmap(g[a:b]) if b > a else None for a, b in zip(starts, ends, strict=True)], pa.binary()), none, none,
+                ],
+                schema=_SETS_ARROW,
+            )
+            for a, b, i in zip(starts, ends, ids.tolist(), strict=True):
+                if i not in seen:  # copies count once
+                    seen.add(i)
+                    held.append(g[a:b])
+                    size += b - a
+            if size >= _STRETCH:
+                yield _again(held)
+                held, size, seen = [], 0, set()
+    yield _again(held)
+
+
+def _frequent(told: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens in order, their class, how frequent as a power of 2) of the most frequent shingles."""
+    top = told.groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.col("times").desc(), "token").limit(MOST_FREQUENT).toArrow()
+    token = top.column("token").to_numpy().view(np.uint64)
+    times = top.column("times").to_numpy()
+    order = np.argsort(token)
+    return token[order], np.where(times >= max(3, COMMON * documents), CLASSES[1], CLASSES[0]).astype(np.int8)[order], np.log2(np.maximum(times, 1)).astype(np.int8)[order]
 
 
 # ---------------------------------------------------------------- pass 2: signatures
@@ -133,20 +156,29 @@ def _modes(n: int) -> list[bool]:
     return [False] * (n <= SHORT or n >= LONG * 4 // 5) + [True] * (10 <= n <= LONG)
 
 
-def signatures(own: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, places) of one set of sorted hashes; a place is that of a single token in the order, 0 for combinations."""
+#: places of a number of shingles, and of a place in the order, in one long
+_N, _PLACE = 38, 19
+_MASK = (1 << _PLACE) - 1
+
+
+def signatures(own: np.ndarray, klass: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, places, first places) of one set of sorted hashes.
+
+    Both places are that of a single token in the order; a combination has place 0 and its first token's.
+    """
     n = len(own)
     need = n // 5 + 1
-    order = np.lexsort((own, klass))
+    order = np.lexsort((own, level, klass))
     own, klass = own[order], klass[order]
-    out, places = [], []
+    out, places, first = [], [], []
     for combined in _modes(n):
         if not combined:
             out.append(own[:need])
             places.append(np.arange(need))
+            first.append(places[-1])
             continue
         have = at = 0
-        for k in (1, *(k for _, k in CLASSES)):
+        for k in (1, *CLASSES):
             mine = own[klass == k]
             take = mine[: max(0, need - have) + k - 1] if have < need else mine[:0]
             if len(take) >= k:
@@ -154,6 +186,7 @@ def signatures(own: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 if k == 1:
                     out.append(take)
                     places.append(np.arange(len(take)) + at)
+                    first.append(places[-1])
                 else:
                     pick = np.stack(_chosen(len(take), k))
                     g = np.full(pick.shape[1], k, np.uint64)
@@ -161,8 +194,9 @@ def signatures(own: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarr
                         g = mix(g * np.uint64(0x5851F42D4C957F2D) + take[row])
                     out.append(g)
                     places.append(np.zeros(len(g), np.int64))
+                    first.append(pick[0] + at)
             at += len(mine)
-    return np.concatenate(out), np.concatenate(places)
+    return np.concatenate(out), np.concatenate(places), np.concatenate(first)
 
 
 def _chosen(n: int, k: int) -> list[np.ndarray]:
@@ -173,25 +207,29 @@ def _chosen(n: int, k: int) -> list[np.ndarray]:
     return [a[ok], b[ok], c[ok]]
 
 
-def _sign(klass_of: object):  # noqa: ANN202
+def _sign(frequent: object):  # noqa: ANN202
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = klass_of.value
+        tokens, classes, levels = frequent.value
         seen: set[int] = set()  # copies within the task sign once
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
                 g, ends = shingle_sets(data, offsets)
-                ids = _set_ids(g, ends)
-                kinds = cells[(g >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                klass, level = np.ones(len(g), np.int8), np.zeros(len(g), np.int8)
+                if len(tokens) and len(g):
+                    at = np.searchsorted(tokens, g)
+                    at[at == len(tokens)] = 0
+                    hit = tokens[at] == g
+                    klass[hit], level[hit] = classes[at[hit]], levels[at[hit]]
                 sig, sid, np_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for a, b, i in zip(np.append(0, ends[:-1]), ends, ids, strict=True):
-                    if b == a or int(i) in seen:
+                for a, b, i in zip(np.append(0, ends[:-1]), ends, _set_ids(g, ends).tolist(), strict=True):
+                    if b == a or i in seen:
                         continue
                     if len(seen) < 1 << 20:
-                        seen.add(int(i))
-                    s, p = signatures(g[a:b], kinds[a:b])
+                        seen.add(i)
+                    s, p, f = signatures(g[a:b], klass[a:b], level[a:b])
                     sig.append(s)
                     sid.append(np.full(len(s), i, np.int64))
-                    np_.append((int(b - a) << 31) | p)
+                    np_.append((int(b - a) << _N) | (np.minimum(f, _MASK) << _PLACE) | np.minimum(p, _MASK))
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(sig)), pa.array(np.concatenate(sid)), pa.array(np.concatenate(np_))], ["sig", "sid", "np"])
 
     return sign
@@ -203,8 +241,8 @@ def _may_link(a: str, b: str):  # noqa: ANN202
     If the token is the first in common, no more than those from its place on are; if it is not, the pair is met at the
     first one too.
     """
-    na, nb = F.shiftright(a, 31), F.shiftright(b, 31)
-    left = F.least(na - F.col(a).bitwiseAND(F.lit((1 << 31) - 1)), nb - F.col(b).bitwiseAND(F.lit((1 << 31) - 1)))
+    na, nb = F.shiftright(a, _N), F.shiftright(b, _N)
+    left = F.least(na - F.col(a).bitwiseAND(F.lit(_MASK)), nb - F.col(b).bitwiseAND(F.lit(_MASK)))
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * left >= 4 * (na + nb))
 
 
@@ -231,8 +269,25 @@ def _set_of(text: str) -> np.ndarray:
     return shingle_sets(raw, np.array([0, len(raw)], np.int64))[0]
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts (sid, text) are similar enough."""
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [9 * differing_bits(x, y) <= n + m for x, y, n, m in zip(*[batch.column(c).to_pylist() for c in ("ba", "bb", "na", "nb")], strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the bitmaps of ``members`` (sid, n, bits) don't rule out."""
+    one = pairs.join(members.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    both = one.join(members.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    return cut(both.mapInArrow(_possible, "a long, b long"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are similar enough.  Only the texts that pairs need are moved."""
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    needed = cut(members.select("sid", "text_hash").join(ids, "sid"))
+    hint = F.broadcast if needed.count() <= most else (lambda x: x)
+    texts = cut(docs.join(hint(needed), F.xxhash64("text") == F.col("text_hash")).dropDuplicates(["sid"]).select("sid", "text"))
     with_b = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"))
@@ -262,27 +317,25 @@ def link(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
     linked with nothing; their component is their own id.  component_id is the smallest id that links reach.  A row
     without id is linked through by others and gets the component's smallest id, null if there is none.  ``n_links``:
     rows with the very same set besides this one.  Repeated rows are rows with equal sets.  Other columns are ignored;
-    an empty table gives an empty result.  ``most``: ids up to which those that need verification are broadcast.
+    an empty table gives an empty result.  ``most``: ids up to which those that need verification are broadcast.  Sets are named by 64-bit hashes.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_describe, _SETS))
-    sets = described.where("n is not null").select("doc_id", "text_hash", "n", "sid")
-    classes = _class_of_cells(described.where("block is not null").select("block", "cells"), sets.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = spark.sparkContext.broadcast(classes)
+    sets = described.where("n is not null").select("doc_id", "text_hash", "n", "sid", "bits")
+    members = sets.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"))
+    members = cut(members)
+    total = sets.count()
+    shared = spark.sparkContext.broadcast(_frequent(described.where("token is not null").select("token", "times"), total))
     signed_ = docs.mapInArrow(_sign(shared), "sig long, sid long, np long")
-    # in each signature's group every set but the first, with the first
-    order = Window.partitionBy("sig").orderBy("sid")
+    # in each signature's group every set but the first, with the first: the one with the fewest rarer shingles, which of
+    # near copies is the one that the others were made of
+    order = Window.partitionBy("sig").orderBy(F.shiftright("np", _PLACE).bitwiseAND(F.lit(_MASK)), "sid")
     groups = signed_.withColumn("first", F.first("sid").over(order)).withColumn("first_np", F.first("np").over(order)).where("sid <> first")
     groups = cut(groups)
     near = groups.where(_may_link("np", "first_np")).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
     near = cut(near)
-    needed = groups.select("sid").union(groups.select("first")).distinct()
-    one = sets.where("n > 0 and doc_id is not null").join(needed, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    one = cut(one)
-    hint = F.broadcast if one.count() <= most else (lambda x: x)
-    texts = cut(docs.join(hint(one), "doc_id").dropDuplicates(["sid"]).select("sid", "text"))
-    links = verified(near, texts)
+    links = verified(possible(near, members), docs, members, most)
     # second round: sets of one group that are not connected yet
     labels = components(links)
     told = groups.join(labels, "sid", "left").select("sig", "sid", "np", F.coalesce("label", "sid").alias("label"))
@@ -291,16 +344,18 @@ def link(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
     x, y = told.alias("x"), told.alias("y")
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.sid") < F.col("y.sid")))
     pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.np").alias("na"), F.col("y.np").alias("nb")).where(_may_link("na", "nb")).select("a", "b").distinct()
-    more = verified(cut(pairs.join(near, ["a", "b"], "left_anti")), texts)
-    labels = components(links.unionByName(more)) if not more.isEmpty() else labels
-    members = sets.groupBy("sid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    tagged = cut(members.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    more = possible(pairs.join(near, ["a", "b"], "left_anti"), members)
+    if not more.isEmpty():
+        labels = components(links.unionByName(verified(more, docs, members, most)))
+    tagged = cut(members.select("sid", "least", "copies").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     roots = tagged.groupBy("label").agg(F.min("least").alias("component_id"))
     named = tagged.join(roots, "label").select("sid", "component_id", "copies")
-    # copies: only sets with several rows or a component of others need the join, which a hot set would skew
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")
-    wide = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    out = sets.withColumn("_salt", salt).join(wide, ["sid", "_salt"], "left")
+    # sets with a thousandth of all rows, at most a thousand, are spread over salts
+    hot = F.broadcast(members.where(F.col("copies") * 1000 >= total).select("sid", F.lit(True).alias("_hot")))
+    none = F.lit(0)
+    wide = named.join(hot, "sid", "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(none, F.lit(31))).otherwise(F.array(none)))).drop("_hot")
+    salt = F.when(F.col("_hot") | (F.col("n") == 0), F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int")).otherwise(none)
+    out = sets.join(hot, "sid", "left").withColumn("_salt", salt).join(wide, ["sid", "_salt"], "left")
     alone = F.col("n") == 0
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -310,3 +365,14 @@ def link(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents")).drop("n_links", "text_hash")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS g FROM w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(i) WHERE len(w) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, root FROM reach JOIN l ON l.a = reach.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+"""
