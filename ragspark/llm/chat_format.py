@@ -57,7 +57,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, ro
     levels = cut(ids.join(links, "call_id", "left_anti").withColumn("level", F.lit(0)))
     frontier, left = levels, links
     for level in range(1, rounds + 1):
-        left = cut(left.join(frontier.select(F.col("call_id").alias("on")), "on", "left_anti").withColumn("_left", F.lit(True))).drop("_left")
+        left = cut(left.join(frontier.select(F.col("call_id").alias("on")), "on", "left_anti"))
         waiting = left.select("call_id").distinct()
         frontier = cut(links.join(frontier.select(F.col("call_id").alias("on")), "on", "left_semi").select("call_id").distinct().join(waiting, "call_id", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
@@ -121,3 +121,20 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_calls(*calls_of_turns(table(spark, sf_dir, "conversations")))
+
+
+SQL = """
+WITH RECURSIVE u AS (
+  SELECT conv_id, turn, concat(conv_id, ':', turn) AS id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, turn // 2 AS k,
+    concat(conv_id, ':', 2 * ((turn // 2) & (turn // 2 - 1)) + turn % 2) AS dep FROM conversations WHERE role = 'user'),
+ c AS (SELECT *, CASE k % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'translate' ELSE 'count' END AS tool, CASE WHEN n % 7 = 0 THEN concat('"', n % 50, '"') ELSE (n % 50)::VARCHAR END AS lim, to_json(t)::VARCHAR AS j,
+    CASE WHEN k > 0 AND dep IN (SELECT id FROM u) THEN dep END AS on_ FROM u),
+ lv AS (SELECT id, 0 AS level FROM c WHERE on_ IS NULL UNION ALL SELECT c.id, level + 1 FROM c JOIN lv ON c.on_ = lv.id),
+ r AS (SELECT concat(conv_id, ':', turn - 1) AS id, min(coalesce(text, '')) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1),
+ x AS (SELECT c.*, level, r.id IS NOT NULL AS linked, content,
+    CASE WHEN tool <> 'translate' AND n % 7 = 0 THEN 'limit: not BIGINT' WHEN tool = 'translate' AND n % 5 = 0 THEN 'to: missing' ELSE '' END AS problems,
+    CASE tool WHEN 'search' THEN concat('{"limit":', lim, ',"query":', j, '}') WHEN 'count' THEN concat('{"limit":', lim, ',"text":', j, '}') ELSE concat('{"text":', j, CASE WHEN n % 5 = 0 THEN '' ELSE ',"to":"en"' END, '}') END AS args
+  FROM c JOIN lv USING (id) LEFT JOIN r ON r.id = c.id)
+SELECT conv_id, turn, id AS call_id, tool, level::INTEGER AS level, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn) - 1 AS place, linked, problems = '' AS valid, problems,
+  concat('{"arguments":', args, ',"id":"', id, '","result":', coalesce(to_json(content)::VARCHAR, 'null'), ',"tool":"', tool, '"}') AS call_json FROM x
+"""

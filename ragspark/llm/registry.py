@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_chat_format": chat_format.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
 }
