@@ -30,7 +30,8 @@ def search_tokens(text: Column) -> Column:
         rest = F.flatten(F.transform(F.sequence(F.lit(2), F.length(run)), lambda i: F.array(F.substring(run, i, F.lit(1)), F.substring(run, i - 1, F.lit(2)))))
         return F.when(run.rlike("^[0-9a-z_]"), F.array(run)).when(F.length(run) == 1, one).otherwise(F.concat(one, rest))
 
-    return F.flatten(F.transform(runs, expand))
+    # only texts with such characters pay for the expansion
+    return F.when(text.rlike("[㐀-鿿]"), F.flatten(F.transform(runs, expand))).otherwise(runs)
 
 
 def query_terms(text: Column) -> Column:
