@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         where = spark.conf.get("ragspark.own.checkpoint.dir", None)
         if not where:
             where = tempfile.mkdtemp(prefix="ragspark-shared-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
             spark.conf.set("ragspark.own.checkpoint.dir", where)
     return where.rstrip("/")
 
