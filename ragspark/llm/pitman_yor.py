@@ -1,19 +1,21 @@
 """Language-model scoring with a hierarchical Pitman-Yor model (operator 10).
 
-A restaurant for each context word, and one without context that is their common parent; below it the uniform
-distribution over the vocabulary and one unknown word.  A token after a context word is a customer of that word's
-restaurant; each of its tables is a customer of the parent.  Tokens after other words are customers of the parent
-itself.  Context words are those that make up at least 1/256 of the training tokens, so there are at most 256.
-
-All customers of one dish are in one row, with its tables in all restaurants, so a Gibbs sweep needs no shuffle: what
-a dish needs to know of the others are the restaurants' numbers of customers and tables, which are held at their last
-values during a pass, and updated between passes.  The number of tables of a dish in a restaurant is drawn from its
-conditional distribution (generalised Stirling numbers) up to 64 customers; larger parties are seated one after another
-by the Chinese-restaurant rule, in leaps of a sixteenth of those already seated.  What predictive probabilities are made
-of, customers and tables, is averaged over the sweeps after the first ones.
-
-To score a text, each token needs its dish's row.  Dishes and pairs that make up at least a millionth of the training
-tokens (a million at most, whatever the corpus) are broadcast; tokens of all others meet their rows in a join by word.
+A restaurant for each word that another follows, and one without context that is their common parent; below it the
+uniform distribution over the vocabulary and one unknown word.  A token after a word is a customer of that word's
+restaurant; each of its tables is a customer of the parent.  The first tokens of texts are customers of the parent itself.
+
+What the model gathers are rows, and their number grows with the corpus: a row for each word, for each context and for
+each pair of a context and a word.  A pair with one customer has one table; only the others are seated.  They are seated
+by dish: in each pass a pair is joined with its dish's and its context's figures of the pass before, and pairs of a dish
+are brought together, those of a frequent dish in slices; what stands in other slices is held during a pass, and so are
+the contexts' tables.  The number of tables of a pair is drawn from its conditional distribution (generalised Stirling
+numbers) up to 64 customers; larger parties are seated one after another by the Chinese-restaurant rule, in leaps of a
+sixteenth of those already seated.  What predictive probabilities are made of, customers and tables, is averaged over the
+sweeps after the first ones.
+
+Words, contexts and pairs that make up at least a millionth of the training tokens (a million at most, whatever the
+corpus) are broadcast; all others meet by shuffle.  To score a text, each token meets its pair; a pair that the corpus
+doesn't have backs off to the parent by its context's and its word's rows.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import types as T
 from .common import SPACED, cut, fold_of, mix, signed, table, text_slices, words
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
-CONTEXTS = 256
 FREQUENT = 1e-6
+SLICES = 16
 _EXACT = 64
 
 
@@ -105,32 +107,40 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows([k, n], ["h", "c"])
 
 
-def _count_pairs(contexts: object):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = contexts.value
-        c = [_Counts(1 << 16) for _ in known]
+def _pair(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return mix(h * np.uint64(0x5851F42D4C957F2D) + g + np.uint64(1))
 
-        def out(u: int) -> Iterator[pa.RecordBatch]:
-            k, n = c[u].merged()
-            c[u].clear()
-            return _rows([k, np.full(len(k), u, np.int32), n], ["h", "u", "c"])
 
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
-                h, before, _ = tokens(data, offsets)
-                u = _place(known, before)
-                on = np.flatnonzero(u >= 0)
-                order = on[np.argsort(u[on], kind="stable")]
-                edges = np.searchsorted(u[order], np.arange(len(known) + 1))
-                for k in range(len(known)):
-                    if edges[k] < edges[k + 1]:
-                        c[k].add(h[order[edges[k] : edges[k + 1]]])
-                        if c[k].full():
-                            yield from out(k)
-        for k in range(len(known)):
-            yield from out(k)
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first places in the order, times) of equal rows that stand together once sorted by the first column."""
+    order = np.argsort(columns[0])
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
 
-    return run
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens by the token before them, for about a million tokens at a time."""
+    held, size = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        h, g = (np.concatenate(x) for x in zip(*held, strict=True))
+        order, first, n = _distinct(_pair(h, g), h, g)
+        return _rows([g[order[first]], h[order[first]], n], ["g", "h", "c"])
+
+    for batch in batches:
+        for _, _, data, offsets in text_slices(batch.column("text")):
+            h, before, _ = tokens(data, offsets)
+            held.append((h[before != 0], before[before != 0]))
+            size += len(held[-1][0])
+            if size > 1 << 20:
+                yield from out()
+                held, size = [], 0
+    if size:
+        yield from out()
 
 
 # ---------------------------------------------------------------- the sampler
@@ -169,156 +179,198 @@ def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, t
 
 
 def _seat(state: object):  # noqa: ANN202
-    """For each dish its customers and tables in the parent, and its tables in the contexts, averaged over the kept sweeps."""
+    """The tables of each pair, averaged over the kept sweeps.  Rows of a dish that come in one batch know of each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = state.value
         d0, d1, theta = z["d0"], z["d1"], z["theta"]
         s0, s1 = _log_stirling(d0), _log_stirling(d1)
+        unseen = (theta + d0 * z["tables0"]) * z["uniform"]
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            c_all = batch.column("c").to_numpy()
-            if not len(h):
+            if not len(batch):
                 continue
-            rng = np.random.default_rng(np.abs(h[:4]).tolist())
-            us, cs = batch.column("us"), batch.column("cs")
-            size = np.diff(us.offsets.to_numpy())
-            u, c = us.flatten().to_numpy(), cs.flatten().to_numpy()
-            w = np.repeat(np.arange(len(h)), size)
-            direct = c_all - np.bincount(w, c, len(h)).astype(np.int64)
-            t, t0 = np.minimum(c, 1), np.ones(len(h), np.int64)
-            tables_u = z["tables"][u]
-            unseen = (theta + d0 * z["tables0"]) * z["uniform"]
-            here_sum, t0_sum, t_sum, kept = np.zeros(len(h)), np.zeros(len(h)), np.zeros(len(c)), 0
+            g, h, c, last, here, t0, tables = (batch.column(x).to_numpy() for x in ("g", "h", "c", "t", "here", "t0", "tables"))
+            rng = np.random.default_rng(np.abs(np.append(g[:2], h[:2])).tolist())
+            _, first, w = np.unique(h, return_index=True, return_inverse=True)
+            outside = here[first] - np.bincount(w, last)
+            others = np.maximum(tables - last, 0)
+            t, t0, t0_others = np.clip(np.rint(last), 1, c).astype(np.int64), t0[first], np.maximum(z["tables0"] - t0[first], 0)
+            t_sum, kept = np.zeros(len(c)), 0
             for sweep in range(z["sweeps"]):
-                here = direct + np.bincount(w, t, len(h)).astype(np.int64)
-                base = (np.maximum((here[w] - t) - d0 * t0[w], 0) + unseen) / (theta + z["customers0"])
-                t = draw_tables(c, base, np.maximum(tables_u - t, 0), d1, theta, s1, rng)
-                here = direct + np.bincount(w, t, len(h)).astype(np.int64)
-                t0 = draw_tables(here, np.full(len(h), z["uniform"]), np.maximum(z["tables0"] - t0, 0), d0, theta, s0, rng)
+                now = outside + np.bincount(w, t)
+                base = (np.maximum((now[w] - t) - d0 * t0[w], 0) + unseen) / (theta + z["customers0"])
+                t = draw_tables(c, base, others, d1, theta, s1, rng)
+                now = np.maximum(outside + np.bincount(w, t), 1)
+                t0 = draw_tables(now.astype(np.int64), np.full(len(now), z["uniform"]), t0_others, d0, theta, s0, rng)
                 if sweep >= z["burn"]:
-                    here_sum += here
-                    t0_sum += t0
                     t_sum += t
                     kept += 1
-            ts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(t_sum / kept))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), us, cs, ts, pa.array(here_sum / kept), pa.array(t0_sum / kept)], ["h", "c", "us", "cs", "ts", "here", "t0"])
+            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("h"), batch.column("c"), pa.array(t_sum / kept)], ["g", "h", "c", "t"])
 
     return run
 
 
-_SEATED = "h long, c long, us array<int>, cs array<long>, ts array<double>, here double, t0 double"
+def _seat_parent(state: object):  # noqa: ANN202
+    """The tables of each dish in the parent, averaged over the kept sweeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = state.value
+        s0 = _log_stirling(z["d0"])
+        for batch in batches:
+            if not len(batch):
+                continue
+            h, here, t0 = (batch.column(x).to_numpy() for x in ("h", "here", "t0"))
+            rng = np.random.default_rng(np.abs(h[:4]).tolist())
+            # no more tables than whole customers of the average
+            n, others = np.maximum(here, 1).astype(np.int64), np.maximum(z["tables0"] - t0, 0)
+            kept = z["sweeps"] - z["burn"]
+            t0 = sum(draw_tables(n, np.full(len(n), z["uniform"]), others, z["d0"], z["theta"], s0, rng) for _ in range(kept)) / kept
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("fixed"), batch.column("here"), pa.array(t0)], ["h", "c", "fixed", "here", "t0"])
+
+    return run
+
+
+def _met(rows: DataFrame, keyed: DataFrame, key: str, size: str, least: float, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has a row for each ``key``: keys of at least ``least`` tokens (``size``) by broadcast, so that no task gets the rows of a frequent one, all others by shuffle."""
+    hot = keyed.where(F.col(size) >= least)
+    some = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(size) < least), key, how)
+    return some.unionByName(rest)
 
 
 class Model:
-    """Restaurants of a corpus: ``dishes`` (a row for each word), and the figures common to all."""
+    """Restaurants of a corpus: ``words`` (h, c, p0), ``restaurants`` (g, customers, rest) and ``pairs`` (g, h, c, t, p), a row for each."""
 
     def __init__(self, docs: DataFrame, passes: int = 2, sweeps: int = 4, burn: int = 1, theta: float = 1.0):
         """Learn from ``docs`` (text)."""
         spark = docs.sparkSession
         docs = docs.select("text")
+        n_rows = F.count(F.lit(1))
         counts = cut(docs.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-        one = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+        few = [n_rows.alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")]
+        one = counts.agg(F.sum("c").alias("n"), *few).first()
         self.n, self.v = one.n or 0, one.v
-        rows = counts.where(F.col("c") * CONTEXTS >= self.n).select("h").collect() if self.n else []  # at most 256
-        self.contexts = np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
-        shared = spark.sparkContext.broadcast(self.contexts)
-        pairs = docs.mapInArrow(_count_pairs(shared), "h long, u int, c long").groupBy("h", "u").agg(F.sum("c").alias("c"))
-        # at most 256 pairs for each word
-        lanes = pairs.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("u", "c"))).alias("x")).select("h", F.col("x.u").alias("us"), F.col("x.c").alias("cs"))
-        dishes = counts.join(lanes, "h", "left").select("h", "c", F.coalesce("us", F.expr("cast(array() as array<int>)")).alias("us"), F.coalesce("cs", F.expr("cast(array() as array<bigint>)")).alias("cs"))
-        dishes = cut(dishes)
-        totals = dishes.select(F.explode(F.arrays_zip("us", "cs")).alias("x")).groupBy(F.col("x.us").alias("u"))
-        totals = totals.agg(F.sum("x.cs").alias("c"), F.count(F.lit(1)).alias("t"), F.count_if(F.col("x.cs") == 1).alias("n1"), F.count_if(F.col("x.cs") == 2).alias("n2")).collect()
-        k = len(self.contexts)
-        customers, tables = np.zeros(k, np.int64), np.zeros(k, np.int64)
-        for r in totals:
-            customers[r.u], tables[r.u] = r.c, r.t
-        n1, n2 = sum(r.n1 for r in totals), sum(r.n2 for r in totals)
+        self.least = least = max(1.0, FREQUENT * self.n)
+        pairs = cut(docs.mapInArrow(_count_pairs, "g long, h long, c long").groupBy("g", "h").agg(F.sum("c").alias("c")))
+        two = pairs.agg(*few).first()
         discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-        z = {"d0": discount(one.n1, one.n2), "d1": discount(n1, n2), "theta": theta, "uniform": 1.0 / (self.v + 1), "customers": customers, "tables": tables, "tables0": self.v, "sweeps": sweeps, "burn": burn}
-        seated = dishes
-        z["customers0"] = self.n - int(customers.sum()) + int(tables.sum())
+        z = {"d0": discount(one.n1, one.n2), "d1": discount(two.n1, two.n2), "theta": theta, "uniform": 1.0 / (self.v + 1), "tables0": float(self.v), "sweeps": sweeps, "burn": burn}
+        z["customers0"] = float(self.n - (pairs.agg(F.sum("c")).first()[0] or 0) + two.v)
+        # a pair of one customer has one table, always: ``fixed`` and ``single`` count them once
+        single = F.count_if(F.col("c") == 1)
+        by_word = pairs.groupBy("h").agg(F.sum("c").alias("after"), n_rows.alias("pairs"), single.alias("single"))
+        direct = F.col("c") - F.coalesce("after", F.lit(0))
+        dishes = counts.join(by_word, "h", "left").select("h", "c", (direct + F.coalesce("single", F.lit(0))).cast("double").alias("fixed"), (direct + F.coalesce("pairs", F.lit(0))).cast("double").alias("here"), F.lit(1.0).alias("t0"))
+        dishes = cut(dishes)
+        contexts = cut(pairs.groupBy("g").agg(F.sum("c").alias("customers"), single.cast("double").alias("single"), n_rows.cast("double").alias("tables")))
+        parties = pairs.where("c > 1").withColumn("t", F.lit(1.0))
+        slice_ = F.when(F.col("_n") >= least, F.pmod(F.xxhash64("g"), F.lit(SLICES))).otherwise(0)
         for _ in range(passes):
-            seated = cut(dishes.mapInArrow(_seat(spark.sparkContext.broadcast(dict(z))), _SEATED))
-            sums = seated.agg(F.sum("here").alias("c"), F.sum("t0").alias("t")).first()
+            told = _met(parties, contexts.select("g", "customers", "tables"), "g", "customers", least).drop("customers")
+            told = _met(told, dishes.select("h", F.col("c").alias("_n"), "here", "t0"), "h", "_n", least)
+            told = told.withColumn("_slice", slice_).repartition("h", "_slice").sortWithinPartitions("h")
+            parties = cut(told.mapInArrow(_seat(spark.sparkContext.broadcast(dict(z))), "g long, h long, c long, t double"))
+            more = parties.groupBy("h").agg(F.sum("t").alias("_t"))
+            dishes = dishes.join(more, "h", "left").select("h", "c", "fixed", (F.col("fixed") + F.coalesce("_t", F.lit(0.0))).alias("here"), "t0")
+            dishes = cut(dishes.mapInArrow(_seat_parent(spark.sparkContext.broadcast(dict(z))), "h long, c long, fixed double, here double, t0 double"))
+            more = parties.groupBy("g").agg(F.sum("t").alias("_t"))
+            contexts = cut(contexts.join(more, "g", "left").select("g", "customers", "single", (F.col("single") + F.coalesce("_t", F.lit(0.0))).alias("tables")))
+            sums = dishes.agg(F.sum("here").alias("c"), F.sum("t0").alias("t")).first()
             z["customers0"], z["tables0"] = sums.c or 0.0, sums.t or 0.0
-            new = np.zeros(k)
-            for r in seated.select(F.explode(F.arrays_zip("us", "ts")).alias("x")).groupBy(F.col("x.us").alias("u")).agg(F.sum("x.ts").alias("t")).collect():
-                new[r.u] = r.t
-            z["tables"] = new
         # with the averages' own totals, probabilities add up to 1
         unseen = (theta + z["d0"] * z["tables0"]) * z["uniform"]
-        #: what a context leaves to its parent, and the parent to each unknown word
-        self.rest = (theta + z["d1"] * z["tables"]) / (theta + customers)
+        #: what the parent leaves to each unknown word
         self.unknown = unseen / (theta + z["customers0"]) if self.n else 1.0
-        sizes = F.array(*[F.lit(float(theta + c)) for c in customers], F.lit(1.0))
-        share = F.transform(F.arrays_zip("us", "cs", "ts"), lambda x: (x["cs"] - F.lit(z["d1"]) * x["ts"]) / F.get(sizes, x["us"]))
         p0 = (F.col("here") - F.lit(z["d0"]) * F.col("t0") + F.lit(unseen)) / F.lit(theta + z["customers0"])
-        self.dishes = seated.select("h", "c", p0.alias("p0"), "us", "cs", share.alias("es"))
+        self.words = dishes.select("h", "c", p0.alias("p0"))
+        #: what a context leaves to its parent
+        rest = (F.lit(theta) + F.lit(z["d1"]) * F.col("tables")) / (F.lit(theta) + F.col("customers"))
+        self.restaurants = contexts.select("g", "customers", rest.alias("rest"))
+        both = pairs.where("c = 1").withColumn("t", F.lit(1.0)).unionByName(parties)
+        both = _met(both, self.restaurants, "g", "customers", least)
+        own = (F.col("c") - F.lit(z["d1"]) * F.col("t")) / (F.lit(theta) + F.col("customers"))
+        both = both.select("g", "h", F.col("c").alias("n"), own.alias("own"), "rest")
+        both = _met(both, self.words, "h", "c", least)
+        self.pairs = cut(both.select("g", "h", "n", "own", (F.col("own") + F.col("rest") * F.col("p0")).alias("p"), "c"))
+
+    @property
+    def contexts(self) -> np.ndarray:
+        """Hashes of the context words, sorted.  This and the next two gather a model, for a look at a small one."""
+        return np.sort(np.array([r.g for r in self.restaurants.select("g").collect()], np.int64).view(np.uint64))
+
+    @property
+    def rest(self) -> np.ndarray:
+        rows = self.restaurants.select("g", "rest").toPandas()
+        return rows["rest"].to_numpy()[np.argsort(rows["g"].to_numpy().view(np.uint64))]
+
+    @property
+    def dishes(self) -> DataFrame:
+        """A row for each word with the numbers (us) of its contexts in ``contexts`` and its own shares (es) there."""
+        numbers = self.pairs.sparkSession.createDataFrame([(int(g), u) for u, g in enumerate(self.contexts.view(np.int64))], "g long, u int")
+        lanes = self.pairs.join(numbers, "g").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("u", "own"))).alias("x"))
+        none = "cast(array() as array<{}>)"
+        return self.words.join(lanes, "h", "left").select("h", "c", "p0", F.coalesce("x.u", F.expr(none.format("int"))).alias("us"), F.coalesce("x.own", F.expr(none.format("double"))).alias("es"))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """n_tokens, n_known, base_score and score for each row of ``docs``, after its columns but ``text``, none of which may be named like an output or internal column."""
         spark = docs.sparkSession
-        least = max(1.0, FREQUENT * self.n)
-        words_ = self.dishes.where(F.col("c") >= least).select("h", "c", "p0").toArrow()  # at most 1 / FREQUENT rows
-        pair = F.explode(F.arrays_zip("us", "cs", "es")).alias("x")
-        pairs_ = self.dishes.where(F.col("c") >= least).select("h", pair).where(F.col("x.cs") >= least).select("h", "x.us", "x.es").toArrow()  # at most 1 / FREQUENT rows
+        words_ = self.words.where(F.col("c") >= self.least).select("h", "c", "p0").toArrow()  # at most 1 / FREQUENT rows
+        pairs_ = self.pairs.where(F.col("n") >= self.least).select("g", "h", "p", "c").toArrow()  # at most 1 / FREQUENT rows
         wh = words_.column("h").to_numpy().view(np.uint64)
         order = np.argsort(wh)
         wh, wc, wp = wh[order], words_.column("c").to_numpy()[order].astype(np.float64), words_.column("p0").to_numpy()[order]
-        ph = _pair(pairs_.column("h").to_numpy().view(np.uint64), pairs_.column("us").to_numpy().astype(np.int64))
+        ph = _pair(pairs_.column("h").to_numpy().view(np.uint64), pairs_.column("g").to_numpy().view(np.uint64))
         order = np.argsort(ph)
-        shared = spark.sparkContext.broadcast((self.contexts, self.rest, wh, wc, wp, ph[order], pairs_.column("es").to_numpy()[order]))
+        shared = spark.sparkContext.broadcast((wh, wc, wp, ph[order], pairs_.column("p").to_numpy()[order], pairs_.column("c").to_numpy()[order].astype(np.float64)))
         whole = self.n + 0.5 * (self.v + 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            contexts, rest, wh, wc, wp, ph, pe = shared.value
+            wh, wc, wp, ph, pp, pc = shared.value
             for batch in batches:
                 keys = batch.column("_key").to_numpy()
                 for lo, hi, data, offsets in text_slices(batch.column("text")):
                     h, before, row = tokens(data, offsets)
-                    u = _place(contexts, before)
-                    i = _place(wh, h)
-                    j = np.full(len(h), -1, np.int64)
-                    both = np.flatnonzero((i >= 0) & (u >= 0))
-                    j[both] = _place(ph, _pair(h[both], u[both]))
-                    done = (i >= 0) & ((u < 0) | (j >= 0))
-                    p = wp[i[done]] * np.where(u[done] < 0, 1.0, rest[u[done]] if len(rest) else 1.0) + np.where(j[done] >= 0, pe[j[done]] if len(pe) else 0.0, 0.0)
-                    n = hi - lo
-                    score = np.bincount(row[done], np.log10(p), n)
-                    base = np.bincount(row[done], np.log10((wc[i[done]] + 0.5) / whole), n)
-                    total, known = np.bincount(row, minlength=n), np.bincount(row[done], minlength=n)
+                    n, alone = hi - lo, before == 0
+                    total, known = np.bincount(row, minlength=n), np.zeros(n, np.int64)
+                    base, score = np.zeros(n), np.zeros(n)
+                    i = np.where(alone, _place(wh, h), -1)
+                    j = np.where(alone, -1, _place(ph, _pair(h, before)))
+                    for at, p, c in ((i, wp, wc), (j, pp, pc)):
+                        on = np.flatnonzero(at >= 0)
+                        known += np.bincount(row[on], minlength=n)
+                        base += np.bincount(row[on], np.log10((c[at[on]] + 0.5) / whole), n)
+                        score += np.bincount(row[on], np.log10(p[at[on]]), n)
                     empty = pa.nulls(n, pa.int64())
                     own = [batch.column(c).slice(lo, n) for c in kept]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi]), empty, pa.nulls(n, pa.int32()), pa.array(total), pa.array(known), pa.array(base), pa.array(score), *own], names)
-                    left = np.flatnonzero(~done)
-                    left = left[np.lexsort((u[left], h[left], row[left]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi]), empty, empty, pa.array(total), pa.array(known), pa.array(base), pa.array(score), *own], names)
+                    left = np.flatnonzero((i < 0) & (j < 0))
                     if len(left):
-                        new = np.ones(len(left), bool)
-                        a, b = left[1:], left[:-1]
-                        new[1:] = (h[a] != h[b]) | (row[a] != row[b]) | (u[a] != u[b])
-                        first = np.flatnonzero(new)
-                        times = np.diff(np.append(first, len(left)))
-                        at = left[first]
-                        none = pa.nulls(len(at), pa.float64())
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row[at]]), signed(h[at]), pa.array(u[at].astype(np.int32)), pa.array(times), pa.nulls(len(at), pa.int64()), none, none, *[pa.nulls(len(at), batch.column(c).type) for c in kept]], names)
+                        a, b, r = h[left], before[left], row[left]
+                        order, first, times = _distinct(_pair(_pair(a, b), r.astype(np.uint64)), a, b, r)
+                        at = left[order[first]]
+                        for k in range(0, len(at), 1 << 16):
+                            x = at[k : k + (1 << 16)]
+                            none = pa.nulls(len(x), pa.float64())
+                            yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row[x]]), signed(before[x]), signed(h[x]), pa.array(times[k : k + len(x)]), pa.nulls(len(x), pa.int64()), none, none, *[pa.nulls(len(x), batch.column(c).type) for c in kept]], names)
 
         kept = [c for c in docs.columns if c != "text"]
-        names = ["_key", "h", "u", "n", "known", "base", "own", *kept]
-        schema = T._parse_datatype_string("_key long, h long, u int, n long, known long, base double, own double")
+        names = ["_key", "g", "h", "n", "known", "base", "own", *kept]
+        schema = T._parse_datatype_string("_key long, g long, h long, n long, known long, base double, own double")
         for c in kept:
             schema = schema.add(c, docs.schema[c].dataType)
-        # one pass makes a row for each text, and one for each rare word of it
+        # one pass makes a row for each text, and one for each pair of it that isn't frequent; g is 0 without a word before
         both = cut(docs.withColumn("_key", F.monotonically_increasing_id()).select("_key", "text", *kept).mapInArrow(run, schema))
-        rare = both.where("h is not null").select("_key", "h", "u", "n")
-        model = self.dishes.select("h", "c", "p0", "us", "es")
-        rest_ = F.when(F.col("u") < 0, F.lit(1.0)).otherwise(F.get(F.array(*[F.lit(float(x)) for x in self.rest]) if len(self.rest) else F.array(F.lit(1.0)), F.greatest("u", F.lit(0))))
-        own = F.coalesce(F.get("es", (F.array_position("us", F.col("u")) - 1).cast("int")), F.lit(0.0))
-        p = rest_ * F.coalesce("p0", F.lit(float(self.unknown))) + F.when(F.col("u") < 0, F.lit(0.0)).otherwise(own)
-        joined = rare.join(model, "h", "left").select(
-            "_key", F.when(F.col("c").isNull(), 0).otherwise(F.col("n")).cast("long").alias("known"),
-            (F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))).alias("base"), (F.col("n") * F.log10(p)).alias("score"),
+        rare = both.where("h is not null").select("_key", "g", "h", F.col("n").alias("_times"))
+        rare = cut(rare.join(self.pairs.where(F.col("n") < self.least).select("g", "h", "p", "c"), ["g", "h"], "left"))
+        seen = rare.where("p is not null").select("_key", "_times", "p", "c")
+        # pairs that the corpus doesn't have
+        new = rare.where("p is null").drop("p", "c")
+        behind = _met(new.where("g <> 0"), self.restaurants, "g", "customers", self.least, "left")
+        new = _met(behind.select("_key", "h", "_times", "rest").unionByName(new.where("g = 0").select("_key", "h", "_times", F.lit(1.0).alias("rest"))), self.words, "h", "c", self.least, "left")
+        new = new.select("_key", "_times", (F.coalesce("rest", F.lit(1.0)) * F.coalesce("p0", F.lit(float(self.unknown)))).alias("p"), "c")
+        joined = seen.unionByName(new).select(
+            "_key", F.when(F.col("c").isNull(), 0).otherwise(F.col("_times")).cast("long").alias("known"),
+            (F.col("_times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))).alias("base"), (F.col("_times") * F.log10("p")).alias("score"),
         )
         sums = joined.groupBy("_key").agg(F.sum("known").alias("_k"), F.sum("base").alias("_b"), F.sum("score").alias("_s"))
         out = both.where("h is null").join(sums, "_key", "left")
@@ -328,10 +380,6 @@ class Model:
         )
 
 
-def _pair(h: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return mix(h * np.uint64(0x5851F42D4C957F2D) + u.astype(np.uint64) + np.uint64(1))
-
-
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text).
 

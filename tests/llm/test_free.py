@@ -291,6 +291,28 @@ def test_probabilities_sum_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
+def test_rare_contexts(spark):
+    """A word that is a small part of the corpus still predicts the word after it."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(40)) + (" rare partner" if i % 8 == 0 else " partner" if i % 8 == 1 else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = pitman_yor.Model(df)
+    toks = lambda t: [*t.split(), "\0end"]
+    assert len(m.contexts) == len({a for _, t in rows for a, _ in zip(toks(t), toks(t)[1:], strict=False)})
+    assert m.pairs.count() == len({x for _, t in rows for x in zip(toks(t), toks(t)[1:], strict=False)})
+    new = spark.createDataFrame([(1, "rare partner"), (2, "unheard partner")], "doc_id long, text string")
+    got = {r.doc_id: r for r in m.score(new).collect()}
+    # the first tokens' own probabilities are set aside
+    first = {1: m.words.join(spark.createDataFrame([(_hash("rare"),)], "h long"), "h").first().p0, 2: m.unknown}
+    gain = (got[1].score - math.log10(first[1])) - (got[2].score - math.log10(first[2]))
+    assert gain > 0.5
+
+
+def _hash(w):
+    data = np.frombuffer(w.encode(), np.uint8)
+    return int(pitman_yor.tokens(data, np.array([0, len(data)]))[0].view(np.int64)[0])
+
+
 def test_tables():
     rng = np.random.default_rng(0)
     s = pitman_yor._log_stirling(0.5)
