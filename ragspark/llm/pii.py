@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation (operator 1).
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers.  Their values are the protected entities.
-Words that stand near an entity are counted over the whole corpus; with U windows in the corpus, n(e) distinct windows
-that hold entity e, n(t) occurrences of term t and n(t,e) windows of distinct texts that hold both, a term discloses the entity
+Words that stand near an entity are counted over the whole corpus; with U distinct texts in the corpus, n(e) of them
+that hold entity e, n(t) that hold term t and n(t,e) that hold t near e, a term discloses the entity
 to the degree  PMI(t;e) / IC(e) = log2(n(t,e) U / (n(t) n(e))) / log2(U / n(e)),  1 when seeing t gives e away.  Terms over
 the lower threshold are generalised to a label, terms over the higher one removed, wherever they occur.
 
@@ -86,7 +86,7 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^\p{L}{3,}$"))
 
 
-def disclosing_terms(spans: DataFrame, docs: DataFrame, support: int, generalise: float, remove: float, window: int, most: int) -> DataFrame:
+def disclosing_terms(spans: DataFrame, docs: DataFrame, support: int, generalise: float, remove: float, most: int) -> DataFrame:
     """Terms (term, ratio, removed) whose disclosure of any entity reaches ``generalise``.
 
     ``spans``: kind, value, near (the words about an entity), _text (hash of the text).  Texts count, not rows, and texts
@@ -104,9 +104,11 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame, support: int, generalise
     terms = pairs.select("term").distinct()
     if terms.count() <= most:
         terms = F.broadcast(terms)
-    occurring = docs.select(F.explode(_words(F.col("text"))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    # windows of the corpus, about six characters a word
-    total = docs.agg(F.coalesce(F.sum(F.length("text")) / F.lit(2.0 * window), F.lit(1.0)).alias("u"))
+    # all counts are of distinct texts
+    hashed = docs.select(F.xxhash64("text").alias("_text"), "text")
+    holding = hashed.select("_text", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term", "left_semi").distinct()
+    occurring = holding.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    total = hashed.select("_text").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("u"))
     all_ = pairs.join(occurring, "term").crossJoin(F.broadcast(total))  # one row
     n = F.greatest(F.col("n_t"), F.col("n_te"))
     ratio = F.log2(F.col("n_te") * F.col("u") / (n * F.col("n_e"))) / F.log2(F.greatest(F.col("u") / F.col("n_e"), F.lit(2.0)))
@@ -131,7 +133,7 @@ def find_private(docs: DataFrame, support: int = 3, generalise: float = 0.75, re
         )
     )
     spans = base.select("_text", F.explode(F.arrays_zip("base", "near")).alias("x")).select("x.base.kind", "x.base.value", "x.near", "_text")
-    terms = cut(disclosing_terms(spans, docs, support, generalise, remove, window, most))
+    terms = cut(disclosing_terms(spans, docs, support, generalise, remove, most))
     if terms.count() <= most:
         terms = F.broadcast(terms)
     hits = docs.select(*key, F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term").groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set("term")).alias("terms"))

@@ -59,6 +59,19 @@ def test_disclosing_terms(spark):
     assert row.select(clean).first()[0] == "we met [TERM] again"
 
 
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
+def test_copies_are_no_evidence_against_a_term(spark):
+    rnd = random.Random(2)
+    rows = [(i, prose(rnd, 60)) for i in range(400)]
+    rows += [(1000 + i, f"{prose(rnd, 12)} Zorbanax x{i} boss@corp.example {prose(rnd, 12)}") for i in range(4)]
+    rows += [(2000 + i, rows[-1][1]) for i in range(1000)]
+    found = {r.doc_id: r for r in pii.find_private(docs(spark, rows)).collect()}
+    assert found[1000].n_term == 1 and found[2000].n_term == 1
+
+
 def brute_capacity(sizes, shards):
     def fits(c):
         n, room = 1, c
