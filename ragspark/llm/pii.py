@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation (operator 1).
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers.  Their values are the protected entities.
-Words that stand near an entity are counted over the whole corpus; with U distinct texts in the corpus, n(e) of them
-that hold entity e, n(t) that hold term t and n(t,e) that hold t near e, a term discloses the entity
+Words that stand near an entity are counted over the whole corpus; with U distinct texts in the corpus (near copies are
+one), n(e) of them that hold entity e, n(t) that hold term t and n(t,e) that hold t near e, a term discloses the entity
 to the degree  PMI(t;e) / IC(e) = log2(n(t,e) U / (n(t) n(e))) / log2(U / n(e)),  1 when seeing t gives e away.  Terms over
 the lower threshold are generalised to a label, terms over the higher one removed, wherever they occur.
 
@@ -86,26 +86,72 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^\p{L}{3,}$"))
 
 
+#: A text's sketch: for each mask, the hash of its word pairs that is least under it.  Three equal ones of a band make two
+#: texts candidates, ``_EQUAL`` equal ones of all make them near copies (a Jaccard index of about a half).
+_MASKS = [((i * 0x9E3779B97F4A7C15 ^ i * i * 0x5851F42D4C957F2D) & ((1 << 64) - 1)) - (1 << 63) for i in range(1, 33)]
+_BANDS = [(i % 32, (i * 3 + 7) % 32, (i * 5 + 18) % 32) for i in range(20)]
+_EQUAL = 16
+
+
+def near_copies(docs: DataFrame, most: int) -> DataFrame:
+    """(_text, _group) for the hashes of texts of ``docs`` that are near copies of one with a smaller hash, which is their group's.
+
+    Texts of a bucket are compared with its smallest only, not with each other; groups that a text joins become one.
+    """
+    w = F.split(F.lower("text"), r"\s+")
+    two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i)))
+    pairs = docs.select(F.xxhash64("text").alias("_text"), w.alias("w")).where(F.size("w") > 1).select("_text", two.alias("h"))
+
+    def least(mask: int) -> Column:
+        return F.array_min(F.transform("h", lambda x: x.bitwiseXOR(F.lit(mask))))
+
+    sketch = F.array(*[least(m) for m in _MASKS])
+    sketches = cut(pairs.select("_text", sketch.alias("s")).dropDuplicates(["_text"]))
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("s", F.lit(i)) for i in x]) for b, x in enumerate(_BANDS)])
+    bands = cut(sketches.select("_text", F.explode(bands).alias("band")))
+    first = bands.groupBy("band").agg(F.min("_text").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    edges = cut(bands.join(first, "band").where("_text <> a").select("a", F.col("_text").alias("b")).distinct())
+    # a text that many are compared with is no single task's: its sketch is broadcast
+    ends = edges.select("a").distinct().join(sketches, F.col("a") == F.col("_text")).select("a", F.col("s").alias("sa"))
+    if edges.select("a").distinct().count() <= most:
+        ends = F.broadcast(ends)
+    equal = F.size(F.filter(F.zip_with("sa", "s", lambda x, y: x == y), lambda x: x))
+    edges = cut(edges.join(sketches, F.col("b") == F.col("_text")).join(ends, "a").where(equal >= _EQUAL).select("a", "b"))
+    label = cut(edges.select(F.col("b").alias("_text")).union(edges.select("a")).distinct().withColumn("_group", F.col("_text")))
+    small = label.count() <= most
+    told = F.broadcast if small else (lambda x: x)
+    while True:
+        ends = edges.join(told(label.select(F.col("_text").alias("a"), F.col("_group").alias("ga"))), "a").join(told(label.select(F.col("_text").alias("b"), F.col("_group").alias("gb"))), "b")
+        # a group takes the smallest name among the groups that it is tied to
+        names = cut(ends.where("ga <> gb").groupBy(F.greatest("ga", "gb").alias("_group")).agg(F.min(F.least("ga", "gb")).alias("_new")))
+        if names.isEmpty():
+            return label.where("_text <> _group")
+        label = cut(label.join(told(names), "_group", "left").select("_text", F.coalesce("_new", "_group").alias("_group")))
+
+
 def disclosing_terms(spans: DataFrame, docs: DataFrame, support: int, generalise: float, remove: float, most: int) -> DataFrame:
     """Terms (term, ratio, removed) whose disclosure of any entity reaches ``generalise``.
 
-    ``spans``: kind, value, near (the words about an entity), _text (hash of the text).  Texts count, not rows, and texts
-    with the same surrounding of an entity count once, so that copies prove nothing; nor do near copies, as a term must
-    stand beside different words in half of the texts.  ``support``: texts, and words beside it, that a pair needs.  ``most``: candidate terms up to which they are broadcast; more are joined by shuffle.
+    ``spans``: kind, value, near (the words about an entity), _text (hash of the text).  Copies and near copies count as
+    one text (``near_copies``).  ``support``: texts that a pair needs.  ``most``: candidate terms, and near copies, up to which
+    they are broadcast; more are joined by shuffle.
     """
-    seen = cut(spans.groupBy("kind", "value", "near").agg(F.min("_text").alias("_text")))
+    groups = cut(near_copies(docs, most))
+    if groups.count() <= most:
+        groups = F.broadcast(groups)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(groups, "_text", "left").withColumn("_text", F.coalesce("_group", "_text")).drop("_group")
+
+    seen = cut(grouped(spans.distinct()))
     entities = seen.groupBy("kind", "value").agg(F.count_distinct("_text").alias("n_e")).where(F.col("n_e") >= support)
-    around = F.transform("w", lambda x, i: F.struct(x.alias("term"), F.get("w", i - 1).alias("before"), F.get("w", i + 1).alias("after")))
-    near = seen.join(entities, ["kind", "value"], "left_semi").select("kind", "value", "_text", _words(F.col("near")).alias("w")).select("kind", "value", "_text", F.explode(around).alias("x"))
-    pairs = near.groupBy("kind", "value", "x.term").agg(F.count_distinct("_text").alias("n_te"), F.count_distinct("x.before").alias("_b"), F.count_distinct("x.after").alias("_a"))
-    # near copies repeat a term beside the same words; independent texts do not
-    own = F.greatest("_a", "_b")
-    pairs = cut(pairs.where((F.col("n_te") >= support) & (own >= support) & (2 * own >= F.col("n_te"))).drop("_a", "_b").join(entities, ["kind", "value"]))
+    near = seen.join(entities, ["kind", "value"], "left_semi").select("kind", "value", "_text", F.explode(_words(F.col("near"))).alias("term"))
+    pairs = near.groupBy("kind", "value", "term").agg(F.count_distinct("_text").alias("n_te"))
+    pairs = cut(pairs.where(F.col("n_te") >= support).join(entities, ["kind", "value"]))
     terms = pairs.select("term").distinct()
     if terms.count() <= most:
         terms = F.broadcast(terms)
-    # all counts are of distinct texts
-    hashed = docs.select(F.xxhash64("text").alias("_text"), "text")
+    hashed = grouped(docs.select(F.xxhash64("text").alias("_text"), "text"))
     holding = hashed.select("_text", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term", "left_semi").distinct()
     occurring = holding.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = hashed.select("_text").distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("u"))

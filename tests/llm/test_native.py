@@ -72,6 +72,21 @@ def test_copies_are_no_evidence_against_a_term(spark):
     assert found[1000].n_term == 1 and found[2000].n_term == 1
 
 
+def test_fixed_phrases_disclose_and_near_copies_do_not(spark):
+    rnd = random.Random(3)
+    rows = [(i, prose(rnd, 60)) for i in range(400)]
+    rows += [(1000 + i, f"{prose(rnd, 40)} Sales desk, Anna Zorbanax, Berlin office: x@corp.example {prose(rnd, 40)}") for i in range(20)]
+    whole = prose(rnd, 100).split()
+    for i in range(20):
+        w = list(whole)
+        for _ in range(4):
+            w[rnd.randrange(100)] = prose(rnd, 1)
+        rows.append((2000 + i, " ".join([*w[:50], "spy@corp.example", *w[50:]])))
+    found = {r.doc_id: r for r in pii.find_private(docs(spark, rows)).collect()}
+    assert all(found[1000 + i].n_term >= 6 for i in range(20))
+    assert sum(found[i].n_term for i in found if i >= 2000 or i < 400) == 0
+
+
 def brute_capacity(sizes, shards):
     def fits(c):
         n, room = 1, c
