@@ -30,12 +30,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return without(docs, exact_dedup.mark_duplicates(docs).where("not kept"))
+    kept = without(docs, exact_dedup.mark_duplicates(docs).where("not kept"))
+    # rows that repeat their id, or have none, are kept all: one of them stays
+    plain = F.translate(F.coalesce(F.col("text"), F.lit("")), exact_dedup._BLANKS, "")
+    return kept.withColumn("_plain", F.sha2(plain, 256)).dropDuplicates(["_plain"]).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    return without(docs, jaccard_join.link(docs).where("component_id is not null and not doc_id <=> component_id"))
+    """The document with the smallest id of each component of near copies, null after all others; of equal ids, that with the smallest hash of the text."""
+    id_, hash_ = F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")
+    # a key for each row, in this order
+    keys = cut(docs.select(id_, hash_).distinct().orderBy(F.col("_id").asc_nulls_last(), "_hash").withColumn("_key", F.monotonically_increasing_id()))
+    told = F.broadcast(keys) if keys.count() <= MOST else keys
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    keyed = docs.join(told, same).select(F.col("_key").alias("doc_id"), "text")
+    dropped = jaccard_join.link(keyed).where("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
+    return without(docs, keys.join(dropped, "_key").select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,15 @@ def test_stages(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+def test_repeated_and_missing_ids(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    near = text + " more"
+    rows = [(1, "one"), (1, "one"), (None, "two"), (None, "two"), (None, "t wo"), (7, text), (7, near), (None, near.replace("w", "v")), (None, text.replace("w", "v"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["exact_dedup"](spark, docs, DATA).cache()
+    assert sorted(r.text.replace(" ", "") for r in once.collect()) == sorted({t.replace(" ", "") for _, t in rows})
+    left = [r.text for r in stages["near_dedup"](spark, once, DATA).collect()]
+    assert len(left) == 4 and len({t.split()[0] for t in left}) == 4
