@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-KINDS = ["email", "ip", "card", "phone", "term"]
+#: the last are terms over the higher threshold
+KINDS = ["email", "ip", "card", "phone", "term", "term"]
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -166,7 +167,8 @@ def find_private(docs: DataFrame, support: int = 3, generalise: float = 0.75, re
     """Personal data of ``docs`` (doc_id, text), one row for each input row.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, and ``found``: every span as
-    struct(start, kind, end, value), ``kind`` an index of KINDS, base spans and those of disclosing terms, by start.
+    struct(start, kind, end, value), ``kind`` an index of KINDS, base spans and those of disclosing terms, by start; kind 4 is a term
+    to generalise, 5 one to remove.  ``rewritten`` makes the sanitised text of a text and its ``found``.
     Null text is empty and has no span.  Null or repeated ids and repeated rows are kept as they come.  Other columns
     are ignored.  Empty table: empty result.  ``window``: characters on each side of an entity that are near it.
     """
@@ -182,14 +184,18 @@ def find_private(docs: DataFrame, support: int = 3, generalise: float = 0.75, re
     terms = cut(disclosing_terms(spans, docs, support, generalise, remove, most))
     if terms.count() <= most:
         terms = F.broadcast(terms)
-    hits = docs.select(*key, F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term").groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    hits = docs.select(*key, F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term").groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("removed"))
     hits = cut(hits.where(F.size("terms") > 0))
     if hits.count() <= most:
         hits = F.broadcast(hits)
     # letters and digits only, so the terms need no escape
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+    def decided(x: Column) -> Column:
+        return x.withField("kind", F.when(F.array_contains("removed", F.lower(x["value"])), 5).otherwise(4))
+
     same = F.col("h.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("h._text") == F.col("d._text"))
-    extra = docs.select(*key, "text").alias("d").join(hits.alias("h"), same).select("d.doc_id", "d._text", located(F.col("text"), pattern, 4).alias("extra")).dropDuplicates(["doc_id", "_text"])
+    extra = docs.select(*key, "text").alias("d").join(hits.alias("h"), same).select("d.doc_id", "d._text", F.transform(located(F.col("text"), pattern, 4), decided).alias("extra")).dropDuplicates(["doc_id", "_text"])
     extra = cut(extra)
     if extra.count() <= most:
         extra = F.broadcast(extra)
@@ -205,13 +211,13 @@ def find_private(docs: DataFrame, support: int = 3, generalise: float = 0.75, re
 
     return both.select(
         "doc_id", *[n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])], F.sha2(joined("base"), 256).alias("base_sha256"),
-        joined("found").alias("spans"), n(4, "found").alias("n_term"), "found",
+        joined("found").alias("spans"), (n(4, "found") + n(5, "found")).alias("n_term"), "found",
     )
 
 
-def rewritten(text: Column, found: Column, terms_removed: bool = False) -> Column:
-    """The text with base spans replaced by their labels and disclosing terms by [TERM], or by nothing.  Of overlapping spans the first counts."""
-    labels = F.array(*[F.lit(LABELS[k]) for k in KINDS[:4]], F.lit("" if terms_removed else "[TERM]"))
+def rewritten(text: Column, found: Column) -> Column:
+    """The text with base spans replaced by their labels, terms to generalise by [TERM] and terms to remove by nothing.  Of overlapping spans the first counts."""
+    labels = F.array(*[F.lit(LABELS[k]) for k in KINDS[:4]], F.lit("[TERM]"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:

@@ -87,6 +87,17 @@ def test_fixed_phrases_disclose_and_near_copies_do_not(spark):
     assert sum(found[i].n_term for i in found if i >= 2000 or i < 400) == 0
 
 
+def test_terms_are_generalised_or_removed(spark):
+    rnd = random.Random(4)
+    rows = [(i, prose(rnd, 60)) for i in range(200)]
+    rows += [(1000 + i, f"{prose(rnd, 12)} Zorbanax x{i} boss@corp.example {'Quibble' if i < 4 else 'x'} {prose(rnd, 12)}") for i in range(5)]
+    rows += [(2000 + i, f"{prose(rnd, 9)} Quibble {i}") for i in range(1)]
+    both = docs(spark, rows)
+    found = pii.find_private(both, generalise=0.75, remove=0.95).where("doc_id = 1000").select("doc_id", "found")
+    text = found.join(both.select("doc_id", "text"), "doc_id").select(pii.rewritten(F.col("text"), F.col("found"))).first()[0]
+    assert "Zorbanax" not in text and "  x0 [EMAIL] [TERM] " in text
+
+
 def brute_capacity(sizes, shards):
     def fits(c):
         n, room = 1, c
