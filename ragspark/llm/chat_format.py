@@ -36,14 +36,14 @@ def _problems(schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
     return F.array_join(F.array_sort(F.array_compact(F.array(*found))), ", ")
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, rounds: int = 64, block: int = 256) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, block: int = 256) -> DataFrame:
     """One row for each call, linked, ordered, checked and serialised.
 
     calls: conv_id long, turn long, call_id string, tool string, arguments string (JSON), after array<string> (calls it
     depends on).  results: call_id string, content string.  Returns conv_id, turn, call_id, tool, level, place, linked,
     valid, problems, call_json.  ``level`` is 0 for a call without known dependencies, else one more than the highest of
-    them; dependencies on calls that do not exist are void; calls on a cycle, or behind more than ``rounds`` levels, get
-    null as level and come last.  ``place`` numbers a conversation's calls from 0 in an order that puts each after those
+    them; dependencies on calls that do not exist are void; calls on a cycle, or behind one, get null as level
+    and come last.  ``place`` numbers a conversation's calls from 0 in an order that puts each after those
     it depends on.  Of several results of one call the smallest content counts; of repeated call ids each row is a call.
     Null ids link with nothing.  Bad JSON and null arguments are 'not an object'.  Canonical JSON: keys sorted, no
     spaces.  Empty tables give an empty result; other columns are ignored.  No group is gathered: places are counted by
@@ -56,12 +56,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS, ro
     # levels from the bottom up: a call is placed in the round after its last dependency
     levels = cut(ids.join(links, "call_id", "left_anti").withColumn("level", F.lit(0)))
     frontier, left = levels, links
-    for level in range(1, rounds + 1):
+    level = 0
+    while not frontier.isEmpty():  # calls on a cycle are never reached
+        level += 1
         left = cut(left.join(frontier.select(F.col("call_id").alias("on")), "on", "left_anti"))
         waiting = left.select("call_id").distinct()
         frontier = cut(links.join(frontier.select(F.col("call_id").alias("on")), "on", "left_semi").select("call_id").distinct().join(waiting, "call_id", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            break
         levels = levels.unionByName(frontier)
     answer = results.where("call_id is not null").groupBy("call_id").agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
     rows = calls.join(levels, "call_id", "left").join(answer, "call_id", "left")

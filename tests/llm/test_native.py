@@ -98,6 +98,14 @@ def test_terms_are_generalised_or_removed(spark):
     assert "Zorbanax" not in text and "  x0 [EMAIL] [TERM] " in text
 
 
+def test_long_chain_of_calls(spark):
+    n = 67
+    rows = [(1, n - i, f"c{i}", "search", "{}", [f"c{i - 1}"] if i else []) for i in range(n)] + [(1, 100, "x", "search", "{}", ["x"])]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, tool string, arguments string, after array<string>").coalesce(1)
+    got = chat_format.link_calls(calls, spark.createDataFrame([], "call_id string, content string")).collect()
+    assert {r.call_id: (r.level, r.place) for r in got} == {"x": (None, n)} | {f"c{i}": (i, i) for i in range(n)}
+
+
 def brute_capacity(sizes, shards):
     def fits(c):
         n, room = 1, c
