@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,22 +15,60 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.  Where it is unset a local session gets one of its own; a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("ragspark.own.checkpoint.dir", None)
         if not where:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="ragspark-shared-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
             spark.conf.set("ragspark.own.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: the lineage ends at files that all executors see."""
-    path = f"{shared_dir(df.sparkSession)}/ragspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: a write that is complete needs the shuffle files behind it no more
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: what is written and not yet freed: path -> session
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def cut(df: DataFrame, free: Sequence[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again: the lineage ends at files that all executors see.
+
+    ``free``: cuts that nothing needs after this one; their files go.  What a result still reads stays until the program ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ragspark/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    for x in free:
+        drop(x.cut_path)
+    return out
+
+
+def drop(path: str) -> None:
+    """Delete the files of a cut."""
+    spark = _WRITTEN.pop(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path in list(_WRITTEN):
+        try:
+            drop(path)
+        except Exception:  # the session has ended before  # noqa: BLE001
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,21 @@
 """Jaccard join of word shingles with prefixes of token combinations (operator 9).
 
-Shingles are ordered by class, rare before frequent, then by how frequent, then by hash.  The frequent ones are those
-that come up again and again within some stretch of documents; all documents are counted, and at most a million shingles
-are listed.  Two sets whose Jaccard similarity is at least 4/5 differ from their common part in at most a fifth of each,
-so a prefix whose signatures cannot all be destroyed by that many removals has a signature in common: tokens of class k
-give their k-token combinations, and p of them survive up to p - k removals.  The prefix is extended until that holds.
-Rare shingles are signatures by themselves.
+Shingles are ordered by how frequent they are, rare ones first, and dealt to classes: the rare ones are one class of
+single tokens, the frequent ones fall by hash into groups whose 2-token (the most frequent: 3-token) combinations are
+signatures.  Two sets whose Jaccard similarity is at least 4/5 differ from their common part in at most a fifth of each.
+A class of p tokens and combinations of k loses all of them only with p - k + 1 of its tokens; a set's prefix is extended
+until its classes together withstand the loss of a fifth of the set.  Of two similar sets, all tokens of the shorter
+prefix that both have are in the longer one, and a class is left in which they share a combination.  The number of
+groups goes by the size band (powers of 2) of the set, so that a group holds a few tokens of a prefix at any size and the
+combinations stay in proportion to the set; a set whose larger partners may be in the next band signs there too.
 
 Rows with equal sets are one class from the start.  The rest goes from signatures to verified links in rounds: in each
 group of a signature all sets are compared with its first one only; sets that are then known to be connected need no
-further comparison; pairs of the others follow.  No link between different components is missed, and a large group of
-near copies costs a few comparisons for each member, not one for each pair.  Before texts are compared, parity bitmaps
-of the sets rule out pairs: bits that differ are a lower bound of the shingles that differ.
+further comparison.  Of groups that still hold sets of different components, small ones (``SMALL``) are compared in pairs;
+the sets of larger ones go through the same steps again by themselves, where what they share is more frequent than in the
+whole corpus and stands last; should that no longer shrink them, they are compared with one more of their sets in each
+round.  No link between different components is missed, and no group is paired with itself as a whole.  Before texts are
+compared, parity bitmaps of the sets rule out pairs: bits that differ are a lower bound of the shingles that differ.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SPACED, cut, grams, mix, signed, table, text_slices, words
 
@@ -31,11 +34,11 @@ SHINGLE = 5
 #: tokens of a combination: 2 for frequent shingles, 3 for those in a twentieth of all documents
 CLASSES = (2, 3)
 COMMON = 0.05
-#: most frequent shingles that are told apart from the rare ones (a broadcast of at most 16 MB)
+#: most frequent shingles that are told apart from the rare ones (a broadcast of at most 16 MB); which ones are changes no result
 MOST_FREQUENT = 1_000_000
 _STRETCH = 1 << 22
-#: sets of at most 12, or more than 60, shingles sign single tokens of all classes; see _modes
-SHORT, LONG = 12, 60
+#: sets of different components in a signature's group up to which they are compared in pairs
+SMALL = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +70,22 @@ def _sequence(h: np.ndarray) -> np.uint64:
     return x[0]
 
 
-def _set_ids(g: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _set_ids(g: np.ndarray, ends: np.ndarray, renamed: dict[tuple[int, int], int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a 128-bit digest of each set.  The first is its name, but for those in ``renamed``."""
     starts = np.append(0, ends[:-1])
-    return np.array([int.from_bytes(hashlib.blake2b(g[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) if b > a else 0 for a, b in zip(starts, ends, strict=True)], np.int64)
+    both = np.zeros((len(ends), 2), np.int64)
+    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        if b > a:
+            both[i] = np.frombuffer(hashlib.blake2b(g[a:b].tobytes(), digest_size=16).digest(), "<i8")
+            if renamed and (name := renamed.get(tuple(both[i].tolist()))) is not None:
+                both[i, 0] = name
+    return both[:, 0], both[:, 1]
 
 
 # ---------------------------------------------------------------- pass 1: sets and classes
 
-_SETS = "doc_id long, text_hash long, n long, sid long, bits binary, token long, times long"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("bits", pa.binary()), ("token", pa.int64()), ("times", pa.int64())])
+_SETS = "doc_id long, text_hash long, n long, sid long, check long, bits binary, token long, times long"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("token", pa.int64()), ("times", pa.int64())])
 
 
 def bitmap(own: np.ndarray) -> bytes:
@@ -103,7 +113,7 @@ def _again(held: list[np.ndarray]) -> pa.RecordBatch:
     token, times = token[times >= 3], times[times >= 3]
     k = len(token)
     none = pa.nulls(k, pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.binary()), signed(token), pa.array(times)], schema=_SETS_ARROW)
+    return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(k, pa.binary()), signed(token), pa.array(times)], schema=_SETS_ARROW)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +124,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, offsets in text_slices(batch.column("text")):
             g, ends = shingle_sets(data, offsets)
             starts = np.append(0, ends[:-1])
-            ids = _set_ids(g, ends)
+            ids, checks = _set_ids(g, ends)
             k = hi - lo
             none = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(ends - starts), pa.array(ids),
+                    batch.column("doc_id")[lo:hi], batch.column("text_hash")[lo:hi], pa.array(ends - starts), pa.array(ids), pa.array(checks),
                     pa.array([bitmap(g[a:b]) if b > a else None for a, b in zip(starts, ends, strict=True)], pa.binary()), none, none,
                 ],
                 schema=_SETS_ARROW,
@@ -147,13 +157,15 @@ def _frequent(told: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray,
 # ---------------------------------------------------------------- pass 2: signatures
 
 
-def _modes(n: int) -> list[bool]:
-    """Ways of signing a set of ``n`` shingles; True: with combinations.
+def bands(n: int) -> list[int]:
+    """Least sizes of the bands in which a set of ``n`` shingles signs: its own, and the next if a set there may be linked with it."""
+    low = 1 << (n.bit_length() - 1)
+    return [low, 2 * low] if 5 * n >= 8 * low else [low]
 
-    Sets that may be linked have sizes within a factor of 4/5.  Sizes up to 12 and from 100 sign single tokens, sizes from
-    10 to 60 combinations: whatever two such sizes are, both sign in one common way.
-    """
-    return [False] * (n <= SHORT or n >= LONG * 4 // 5) + [True] * (10 <= n <= LONG)
+
+def groups_of(low: int) -> tuple[int, int, int]:
+    """Numbers of groups of the classes of single tokens, 2-token and 3-token combinations in a band."""
+    return 1, max(1, low // 10), max(1, low // 16)
 
 
 #: places of a number of shingles, and of a place in the order, in one long
@@ -164,52 +176,64 @@ _MASK = (1 << _PLACE) - 1
 def signatures(own: np.ndarray, klass: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signatures, places, first places) of one set of sorted hashes.
 
-    Both places are that of a single token in the order; a combination has place 0 and its first token's.
+    Both places are that of a single token in the order; a combination has place 0 and its first token's.  Sets of up to
+    three shingles are linked with equal sets only and don't sign.
     """
     n = len(own)
+    if n < 4:
+        return own[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
     need = n // 5 + 1
     order = np.lexsort((own, level, klass))
     own, klass = own[order], klass[order]
-    out, places, first = [], [], []
-    for combined in _modes(n):
-        if not combined:
-            out.append(own[:need])
-            places.append(np.arange(need))
-            first.append(places[-1])
-            continue
-        have = at = 0
-        for k in (1, *CLASSES):
-            mine = own[klass == k]
-            take = mine[: max(0, need - have) + k - 1] if have < need else mine[:0]
-            if len(take) >= k:
-                have += len(take) - k + 1
-                if k == 1:
-                    out.append(take)
-                    places.append(np.arange(len(take)) + at)
-                    first.append(places[-1])
-                else:
-                    pick = np.stack(_chosen(len(take), k))
-                    g = np.full(pick.shape[1], k, np.uint64)
-                    for row in pick:
-                        g = mix(g * np.uint64(0x5851F42D4C957F2D) + take[row])
-                    out.append(g)
-                    places.append(np.zeros(len(g), np.int64))
-                    first.append(pick[0] + at)
-            at += len(mine)
+    single = int(np.searchsorted(klass, 1, side="right"))
+    at = np.arange(min(need, single))
+    out, places, first = [own[at]], [at], [at]
+    for low in bands(n) if single < need else ():
+        rest, kinds = own[single:], klass[single:].astype(np.int64)
+        counts = np.array(groups_of(low), np.uint64)
+        group = kinds * (1 << 40) + (mix(rest) % counts[kinds - 1]).astype(np.int64)
+        # the place of each token in its group; those from the k-th on add to what the prefix withstands
+        inside = _places(group)
+        adds = np.cumsum(inside >= kinds - 1)
+        end = int(np.searchsorted(adds, need - single)) + 1
+        for k in CLASSES:
+            mine = np.flatnonzero(kinds[:end] == k)
+            pick = _chosen(group[mine], k)
+            if pick.shape[1]:
+                g = np.full(pick.shape[1], k * 1000003 + low, np.uint64)
+                for row in pick:
+                    g = mix(g * np.uint64(0x5851F42D4C957F2D) + rest[mine[row]])
+                out.append(g)
+                places.append(np.zeros(len(g), np.int64))
+                first.append(mine[pick[0]] + single)
     return np.concatenate(out), np.concatenate(places), np.concatenate(first)
 
 
-def _chosen(n: int, k: int) -> list[np.ndarray]:
-    if k == 2:
-        return list(np.triu_indices(n, 1))
-    a, b, c = np.meshgrid(*[np.arange(n)] * 3, indexing="ij")
-    ok = (a < b) & (b < c)
-    return [a[ok], b[ok], c[ok]]
+def _places(group: np.ndarray) -> np.ndarray:
+    """How many before each one are of its group."""
+    order = np.argsort(group, kind="stable")
+    new = np.flatnonzero(np.diff(group[order], prepend=-1))
+    out = np.empty(len(group), np.int64)
+    out[order] = np.arange(len(group)) - np.repeat(new, np.diff(np.append(new, len(group))))
+    return out
+
+
+def _chosen(group: np.ndarray, k: int) -> np.ndarray:
+    """Places of all combinations of ``k`` of one group, in order, as columns."""
+    order = np.argsort(group, kind="stable")
+    end = np.searchsorted(group[order], group[order], side="right")  # of each one's group
+    pick = np.arange(len(group))[None]
+    for _ in range(k - 1):
+        after = end[pick[-1]] - 1 - pick[-1]
+        new = np.arange(after.sum()) - np.repeat(np.cumsum(after) - after, after)
+        pick = np.repeat(pick, after, axis=1)
+        pick = np.vstack([pick, pick[-1] + 1 + new])
+    return order[pick]
 
 
-def _sign(frequent: object):  # noqa: ANN202
+def _sign(shared: object):  # noqa: ANN202
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, classes, levels = frequent.value
+        tokens, classes, levels, renamed = shared.value
         seen: set[int] = set()  # copies within the task sign once
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
@@ -221,7 +245,7 @@ def _sign(frequent: object):  # noqa: ANN202
                     hit = tokens[at] == g
                     klass[hit], level[hit] = classes[at[hit]], levels[at[hit]]
                 sig, sid, np_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for a, b, i in zip(np.append(0, ends[:-1]), ends, _set_ids(g, ends).tolist(), strict=True):
+                for a, b, i in zip(np.append(0, ends[:-1]), ends, _set_ids(g, ends, renamed)[0].tolist(), strict=True):
                     if b == a or i in seen:
                         continue
                     if len(seen) < 1 << 20:
@@ -282,15 +306,19 @@ def possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return cut(both.mapInArrow(_possible, "a long, b long"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, most: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar enough.  Only the texts that pairs need are moved."""
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+def texts_of(docs: DataFrame, members: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(sid, text): one text for each of ``ids`` (sid)."""
     needed = cut(members.select("sid", "text_hash").join(ids, "sid"))
     hint = F.broadcast if needed.count() <= most else (lambda x: x)
-    texts = cut(docs.join(hint(needed), F.xxhash64("text") == F.col("text_hash")).dropDuplicates(["sid"]).select("sid", "text"))
+    return cut(docs.join(hint(needed), F.xxhash64("text") == F.col("text_hash")).dropDuplicates(["sid"]).select("sid", "text"), [needed])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are similar enough.  Only the texts that pairs need are moved."""
+    texts = texts_of(docs, members, pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), most)
     with_b = pairs.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     both = with_b.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"))
+    return cut(both.select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"), [texts])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,44 +338,111 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.drop("old")
 
 
-def link(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
+def _named(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``rows`` (sid) with the label of their component so far, which is their own name at first."""
+    if labels is None:
+        return rows.withColumn("label", F.col("sid"))
+    return rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Those of ``rows`` (sig, sid, np, label) whose signature has more than one component, with the number of such rows."""
+    many = rows.groupBy("sig").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("size")).where("_lo <> _hi").select("sig", "size")
+    return cut(rows.join(many, "sig"))
+
+
+class _Links:
+    """The links found so far among the sets of ``docs``, and the components that they make."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, most: int):
+        self.docs, self.members, self.most = docs, members, most
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def test(self, pairs: DataFrame) -> None:
+        """Add those of ``pairs`` (a, b) that are similar."""
+        near = possible(pairs, self.members)
+        if near.isEmpty():
+            return
+        new = verified(near, self.docs, self.members, self.most)
+        self.links = new if self.links is None else cut(self.links.unionByName(new))
+        self.labels = components(self.links)
+
+    def with_first(self, groups: DataFrame) -> DataFrame:
+        """Compare the sets of each group (sig, sid, np) with its first one, the one with the fewest rarer shingles, which of
+        near copies is the one that the others were made of.  Returns what is left of groups with several components."""
+        place = F.shiftright("np", _PLACE).bitwiseAND(F.lit(_MASK))
+        first = groups.groupBy("sig").agg(F.min_by("sid", place).alias("first"), F.min_by("np", place).alias("first_np"))
+        told = groups.join(first, "sig").where("sid <> first")
+        near = told.where(_may_link("np", "first_np")).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
+        self.test(near)
+        return _mixed(_named(self.labels, told.select("sig", "sid", "np")))
+
+    def in_pairs(self, groups: DataFrame) -> None:
+        """Compare all pairs of different components in groups (sig, sid, np, label) of a bounded size."""
+        x, y = groups.alias("x"), groups.alias("y")
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.sid") < F.col("y.sid")))
+        pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.np").alias("na"), F.col("y.np").alias("nb"))
+        self.test(pairs.where(_may_link("na", "nb")).select("a", "b").distinct())
+
+
+def _signed_groups(docs: DataFrame, shared: object) -> DataFrame:
+    """(sig, sid, np) of signatures that several sets have."""
+    rows = cut(docs.mapInArrow(_sign(shared), "sig long, sid long, np long").where("sig is not null"))
+    # most signatures come once; the others are counted before any set moves
+    again = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("sig")
+    return cut(rows.join(cut(again), "sig").distinct(), [rows])
+
+
+def find_links(docs: DataFrame, described: DataFrame, members: DataFrame, renamed: dict, most: int, small: int) -> _Links:
+    """All links that connect different sets of ``docs`` (text) into components."""
+    spark = docs.sparkSession
+    found, texts, before = _Links(docs, members, most), docs, None
+    while True:
+        counted = described.where("token is not null").select("token", "times")
+        size = described.where("n is not null").count()
+        groups = _signed_groups(texts, spark.sparkContext.broadcast((*_frequent(counted, size), renamed)))
+        left = found.with_first(groups)
+        found.in_pairs(left.where(F.col("size") <= small))
+        large = left.where(F.col("size") > small)
+        large = _mixed(_named(found.labels, large.select("sig", "sid", "np")))
+        ids = cut(large.select("sid").distinct())
+        n = ids.count()
+        if not n:
+            return found
+        if before is not None and 2 * n > before:
+            while not large.isEmpty():  # each round takes the first set out of each group
+                large = found.with_first(large.select("sig", "sid", "np"))
+            return found
+        before, texts = n, texts_of(docs, members, ids, most)
+        described = cut(texts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), "text").mapInArrow(_describe, _SETS))
+
+
+def link(docs: DataFrame, most: int = 1_000_000, small: int = SMALL) -> DataFrame:
     """Components of near copies among ``docs`` (doc_id, text); one row for each input row.
 
-    Returns doc_id, n_shingles, component_id, n_links, text_hash (xxhash64 of the text).  Texts without words, null or empty, have no shingle and are
+    Returns doc_id, n_shingles, component_id, n_copies, text_hash (xxhash64 of the text).  Texts without words, null or empty, have no shingle and are
     linked with nothing; their component is their own id.  component_id is the smallest id that links reach.  A row
-    without id is linked through by others and gets the component's smallest id, null if there is none.  ``n_links``:
+    without id is linked through by others and gets the component's smallest id, null if there is none.  ``n_copies``:
     rows with the very same set besides this one.  Repeated rows are rows with equal sets.  Other columns are ignored;
-    an empty table gives an empty result.  ``most``: ids up to which those that need verification are broadcast.  Sets are named by 64-bit hashes.
+    an empty table gives an empty result.  ``most``: ids up to which those that need verification are broadcast;
+    ``small``: see ``SMALL``.  Sets are told apart by 128-bit digests of 64-bit hashes of their shingles.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_describe, _SETS))
-    sets = described.where("n is not null").select("doc_id", "text_hash", "n", "sid", "bits")
-    members = sets.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"))
-    members = cut(members)
+    sets = described.where("n is not null").select("doc_id", "text_hash", "n", "sid", "check", "bits")
     total = sets.count()
-    shared = spark.sparkContext.broadcast(_frequent(described.where("token is not null").select("token", "times"), total))
-    signed_ = docs.mapInArrow(_sign(shared), "sig long, sid long, np long")
-    # in each signature's group every set but the first, with the first: the one with the fewest rarer shingles, which of
-    # near copies is the one that the others were made of
-    order = Window.partitionBy("sig").orderBy(F.shiftright("np", _PLACE).bitwiseAND(F.lit(_MASK)), "sid")
-    groups = signed_.withColumn("first", F.first("sid").over(order)).withColumn("first_np", F.first("np").over(order)).where("sid <> first")
-    groups = cut(groups)
-    near = groups.where(_may_link("np", "first_np")).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-    near = cut(near)
-    links = verified(possible(near, members), docs, members, most)
-    # second round: sets of one group that are not connected yet
-    labels = components(links)
-    told = groups.join(labels, "sid", "left").select("sig", "sid", "np", F.coalesce("label", "sid").alias("label"))
-    whole = Window.partitionBy("sig")
-    told = cut(told.withColumn("lo", F.min("label").over(whole)).withColumn("hi", F.max("label").over(whole)).where("lo <> hi").drop("lo", "hi").distinct())
-    x, y = told.alias("x"), told.alias("y")
-    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.sid") < F.col("y.sid")))
-    pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.np").alias("na"), F.col("y.np").alias("nb")).where(_may_link("na", "nb")).select("a", "b").distinct()
-    more = possible(pairs.join(near, ["a", "b"], "left_anti"), members)
-    if not more.isEmpty():
-        labels = components(links.unionByName(verified(more, docs, members, most)))
-    tagged = cut(members.select("sid", "least", "copies").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    members = sets.where("n > 0").groupBy("sid", "check").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.count(F.lit(1)).alias("copies"))
+    members = cut(members)
+    # different sets of one name, as good as never: all but the first get another
+    twice = members.groupBy("sid").agg(F.count(F.lit(1)).alias("_n"), F.min("check").alias("_first")).where("_n > 1").select("sid", "_first")
+    renamed = {(r.sid, r.check): int(mix(np.array([r.check], np.int64).view(np.uint64)).view(np.int64)[0]) for r in members.join(twice, "sid").where("check <> _first").collect()}
+    if renamed:
+        names = docs.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "sid long, check long, _name long")
+        new = lambda df: df.join(F.broadcast(names), ["sid", "check"], "left").withColumn("sid", F.coalesce("_name", "sid")).drop("_name")
+        members, sets = cut(new(members)), new(sets)
+    labels = find_links(docs, described, members, renamed, most, small).labels
+    tagged = cut(_named(labels, members.select("sid", "least", "copies")))
     roots = tagged.groupBy("label").agg(F.min("least").alias("component_id"))
     named = tagged.join(roots, "label").select("sid", "component_id", "copies")
     # sets with a thousandth of all rows, at most a thousand, are spread over salts
@@ -359,12 +454,12 @@ def link(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
     alone = F.col("n") == 0
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1).cast("long").alias("n_links"), "text_hash",
+        F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1).cast("long").alias("n_copies"), "text_hash",
     )
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents")).drop("n_links", "text_hash")
+    return link(table(spark, sf_dir, "documents")).drop("n_copies", "text_hash")
 
 
 SQL = r"""

@@ -1,5 +1,6 @@
 """Packing, decontamination, classifier, extraction, similarity join and language model against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -226,26 +227,47 @@ def test_jaccard_join(spark, monkeypatch):
     # all shingles frequent: combinations only
     monkeypatch.setattr(jaccard_join, "COMMON", 0.02)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(docs(spark, rows)).collect()) == want
+    # no group is small enough for pairs
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(docs(spark, rows), small=1).collect()) == want
     assert jaccard_join.link(docs(spark, [])).collect() == []
 
 
 def test_signatures_meet():
+    """Similar sets of all sizes share a signature, whatever class each token has; combinations stay in proportion."""
     rnd = random.Random(8)
-    for _ in range(1500):
-        n = rnd.choice([1, 2, 4, 5, 6, 9, 10, 11, 12, 13, 15, 20, 47, 48, 59, 60, 61, 74, 75])
-        x = sorted(rnd.sample(range(10**6), n))
-        y = set(x)
-        for _ in range(n // 8 + 1):
-            y.discard(rnd.choice(x))
-            if rnd.random() < 0.5:
-                y.add(rnd.randrange(10**6))
-        y = sorted(y)
-        both = len(set(x) & set(y))
-        if not y or 100 * both < 80 * (len(x) + len(y) - both):
-            continue
-        kinds = {t: (rnd.choice([1, 2, 2, 3, 3]), rnd.randint(0, 3)) for t in {*x, *y}}
-        sig = [set(jaccard_join.signatures(np.array(s, np.uint64), np.array([kinds[t][0] for t in s], np.int8), np.array([kinds[t][1] for t in s], np.int8))[0].tolist()) for s in (x, y)]
-        assert sig[0] & sig[1], (x, y)
+    for n in [*range(4, 401), 797, 1600, 5000]:
+        for _ in range(3):
+            x = sorted(rnd.sample(range(10**6), n))
+            y = set(x)
+            for _ in range(n // 8 + 1):
+                y.discard(rnd.choice(x))
+                if rnd.random() < 0.5:
+                    y.add(rnd.randrange(10**6))
+            y = sorted(y)
+            both = len(set(x) & set(y))
+            if len(y) < 4 or 100 * both < 80 * (len(x) + len(y) - both):
+                continue
+            choice = rnd.choice([[1], [2], [3], [2, 3], [1, 2, 2, 3, 3]])
+            kinds = {t: (rnd.choice(choice), rnd.randint(0, 3)) for t in {*x, *y}}
+            sig = [jaccard_join.signatures(np.array(s, np.uint64), np.array([kinds[t][0] for t in s], np.int8), np.array([kinds[t][1] for t in s], np.int8))[0].tolist() for s in (x, y)]
+            assert set(sig[0]) & set(sig[1]), (x, y)
+            assert len(sig[0]) <= 40 * n
+
+
+def test_combinations_are_all():
+    group = np.array([5, 7, 5, 5, 7, 9, 5])
+    for k in (2, 3):
+        got = {tuple(c) for c in jaccard_join._chosen(group, k).T.tolist()}
+        assert got == {c for c in itertools.combinations(range(7), k) if len({group[i] for i in c}) == 1}
+    assert jaccard_join._places(group).tolist() == [0, 0, 1, 2, 1, 0, 3]
+
+
+def test_sets_of_one_name():
+    """A set whose name another one has is renamed by its digest's other half."""
+    g, ends = np.arange(9, dtype=np.uint64), np.array([4, 4, 9])
+    names, checks = jaccard_join._set_ids(g, ends)
+    again, same = jaccard_join._set_ids(g, ends, {(int(names[2]), int(checks[2])): 77, (int(names[0]), 5): 8})
+    assert names[1] == 0 and again.tolist() == [names[0], 0, 77] and (same == checks).all()
 
 
 def test_bitmaps_never_rule_out_too_much():
