@@ -4,18 +4,23 @@ A restaurant for each word that another follows, and one without context that is
 uniform distribution over the vocabulary and one unknown word.  A token after a word is a customer of that word's
 restaurant; each of its tables is a customer of the parent.  The first tokens of texts are customers of the parent itself.
 
-What the model gathers are rows, and their number grows with the corpus: a row for each word, for each context and for
-each pair of a context and a word.  A pair with one customer has one table; only the others are seated.  They are seated
-by dish: in each pass a pair is joined with its dish's and its context's figures of the pass before, and pairs of a dish
-are brought together, those of a frequent dish in slices; what stands in other slices is held during a pass, and so are
-the contexts' tables.  The number of tables of a pair is drawn from its conditional distribution (generalised Stirling
-numbers) up to 64 customers; larger parties are seated one after another by the Chinese-restaurant rule, in leaps of a
-sixteenth of those already seated.  What predictive probabilities are made of, customers and tables, is averaged over the
-sweeps after the first ones.
-
-Words, contexts and pairs that make up at least a millionth of the training tokens (a million at most, whatever the
-corpus) are broadcast; all others meet by shuffle.  To score a text, each token meets its pair; a pair that the corpus
-doesn't have backs off to the parent by its context's and its word's rows.
+What the model gathers grows with the corpus.  Tokens are dealt to buckets by the word before them (a word that would
+fill much of a bucket is split into parts by the word after it), as one row of arrays for each bucket and about a million
+tokens, so that a restaurant is whole in one group.  A pair of one customer has one table; the others, the parties, are
+seated by Gibbs sampling: in a sweep each party of a restaurant draws its number of tables from its conditional
+distribution given the others (generalised Stirling numbers) up to 64 customers; larger parties are seated one after
+another by the Chinese-restaurant rule, in leaps of a sixteenth of those already seated.  All restaurants are seated at
+once, given the parent; then the parent is, given the tables sent up.  The parties of a restaurant are dealt to 16 rounds,
+and those of one round don't see each other's draws.  Words under a millionth of all tokens have their mean as base
+probability while restaurants are seated, their own when texts are scored.  Random numbers are hashes of context, word
+and sweep, so results don't depend on how rows are dealt.
+
+Predictive probabilities of the kept passes are averaged.  Discounts are estimated from the numbers of pairs (words) that
+come once and twice; they and the strength are not sampled.
+
+To score, each token is dealt to its restaurant's bucket with its text's key; pairs that the corpus has once are found
+there by counting again, so they need no table.  Pairs with a millionth of all tokens are scored where they are read.
+Rare words meet their parent probability in a join.
 """
 
 from __future__ import annotations
@@ -24,16 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SPACED, cut, fold_of, mix, signed, table, text_slices, words
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
+#: words and pairs with this share of all training tokens, a million at most, are known to every task
 FREQUENT = 1e-6
-SLICES = 16
-_EXACT = 64
+#: training tokens of a bucket, about
+BUCKET = 1 << 21
+#: tokens, and texts, that a task deals to buckets at a time
+_HELD, _TEXTS = 1 << 20, 1 << 14
+_EXACT, _ROUNDS = 64, 16
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,53 +104,161 @@ def _rows(columns: list[np.ndarray], names: list[str], most: int = 1 << 16) -> I
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    c = _Counts()
+    """Counts of words, and of words that begin a text."""
+    every, first = _Counts(), _Counts()
+
+    def out(c: _Counts, at: int) -> Iterator[pa.RecordBatch]:
+        k, n = c.merged()
+        c.clear()
+        zero = np.zeros(len(n), np.int64)
+        yield from _rows([k, *((n, zero), (zero, n))[at]], ["h", "c", "first"])
+
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column("text")):
-            c.add(tokens(data, offsets)[0])
-            if c.full():
-                k, n = c.merged()
-                c.clear()
-                yield from _rows([k, n], ["h", "c"])
-    k, n = c.merged()
-    c.clear()
-    yield from _rows([k, n], ["h", "c"])
+            h, before, _ = tokens(data, offsets)
+            every.add(h)
+            first.add(h[before == 0])
+            for at, c in enumerate((every, first)):
+                if c.full():
+                    yield from out(c, at)
+    for at, c in enumerate((every, first)):
+        yield from out(c, at)
 
 
 def _pair(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return mix(h * np.uint64(0x5851F42D4C957F2D) + g + np.uint64(1))
 
 
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first places in the order, times) of equal rows that stand together once sorted by the first column."""
-    order = np.argsort(columns[0])
-    new = np.ones(len(order), bool)
-    new[1:] = False
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
-    first = np.flatnonzero(new)
-    return order, first, np.diff(np.append(first, len(order)))
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``sizes``, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+class Deal:
+    """Which part of a restaurant a token belongs to, and its bucket.  ``words`` are the frequent ones, sorted, with ``counts``."""
+
+    def __init__(self, words_: np.ndarray, counts: np.ndarray, total: int, buckets: int):
+        self.words, self.counts, self.buckets = words_, counts, buckets
+        # a part has about a quarter of a bucket's tokens
+        self.parts = np.maximum(1, -(-4 * buckets * counts // max(1, total)))
+        hot = np.flatnonzero(self.parts > 1)
+        owner = np.repeat(hot, self.parts[hot])
+        part = self._named(words_[owner], _ranges(self.parts[hot]).astype(np.uint64))
+        order = np.argsort(part)
+        #: parts of split restaurants, sorted, and the restaurant of each
+        self.hot, self.owner = part[order], owner[order]
+
+    @staticmethod
+    def _named(g: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mix(g + salt * np.uint64(0xD6E8FEB86659FD93))
+
+    def part_of(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        i = _place(self.words, g)
+        parts = np.where(i >= 0, self.parts[i] if len(self.parts) else 1, 1).astype(np.uint64)
+        return self._named(g, mix(h) % parts)
+
+    def bucket_of(self, part: np.ndarray) -> np.ndarray:
+        """By the part's order, so that what is sorted by part is sorted by bucket."""
+        return ((part >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def rows(self, part: np.ndarray, h: np.ndarray, other: np.ndarray, key: int = 0) -> pa.RecordBatch:
+        """A row for each bucket of tokens that are sorted by part: parts, the numbers of frequent and of rare words in each, these words (as
+        places in ``words``, or hashes), and ``other`` of each word."""
+        code = _place(self.words, h)
+        new = np.ones(len(part), bool)
+        new[1:] = part[1:] != part[:-1]
+        first = np.flatnonzero(new)
+        at = np.cumsum(new) - 1
+        often = code >= 0
+        numbers = [np.bincount(at[m], minlength=len(first)).astype(np.int32) for m in (often, ~often)]
+        bucket = self.bucket_of(part[first])
+        ids, starts = np.unique(bucket, return_index=True)
+        lists = [(part[first].view(np.int64), starts), *[(n, starts) for n in numbers]]
+        for m, x in ((often, code.astype(np.int32)), (~often, h.view(np.int64)), (often, other), (~often, other)):
+            inside = np.bincount(np.searchsorted(ids, bucket[at[m]]), minlength=len(ids))
+            lists.append((x[m], np.cumsum(inside) - inside))
+        arrays = [pa.ListArray.from_arrays(pa.array(np.append(s, len(x)).astype(np.int32)), pa.array(x)) for x, s in lists]
+        return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), key, np.int64)), *arrays], _DEALT)
+
+    def read(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(part, word, other, number of row) of all tokens of ``rows``."""
+        out = []
+        for i in range(len(t)):
+            part, often, rare, f, r, of, or_ = (_list(t.column(c)[i]) for c in _DEALT[2:])
+            for n, w, o in ((often, self.words[f] if len(f) else np.zeros(0, np.uint64), of), (rare, r.view(np.uint64), or_)):
+                out.append((np.repeat(part.view(np.uint64), n), w, o.astype(np.int64), np.full(len(w), i)))
+        none = np.zeros(0, np.uint64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none.astype(np.int64), none.astype(np.int64))
+
+
+def _list(x: pa.ListScalar) -> np.ndarray:
+    return x.values.to_numpy(zero_copy_only=False)
+
+
+_DEALT = ["bucket", "key", "part", "often", "rare", "f", "r", "of", "or"]
+_DEALT_SQL = "bucket int, key long, part array<long>, often array<int>, rare array<int>, f array<int>, r array<long>, of array<{0}>, `or` array<{0}>"
+
+
+def _deal_pairs(shared: object):  # noqa: ANN202
+    """Tokens by the token before them, counted within about a million tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal: Deal = shared.value
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, g = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = deal.part_of(g, h)
+            order = np.lexsort((h, part))
+            h, part = h[order], part[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+            first = np.flatnonzero(new)
+            return deal.rows(part[first], h[first], np.diff(np.append(first, len(h))).astype(np.int32))
+
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                h, before, _ = tokens(data, offsets)
+                held.append((h[before != 0], before[before != 0]))
+                size += len(held[-1][0])
+                if size > _HELD:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
 
+    return run
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens by the token before them, for about a million tokens at a time."""
-    held, size = [], 0
 
-    def out() -> Iterator[pa.RecordBatch]:
-        h, g = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, first, n = _distinct(_pair(h, g), h, g)
-        return _rows([g[order[first]], h[order[first]], n], ["g", "h", "c"])
+#: a row for each bucket: parts with customers, pairs of one customer and parties; the parties' words, customers, tables now and in all
+#: kept passes; and each part's tables in each kept pass
+_REST = ["bucket", "part", "customers", "single", "n", "h", "c", "t", "sum"]
+_REST_SQL = "bucket int, part array<long>, customers array<long>, single array<int>, n array<int>, h array<long>, c array<long>, t array<int>, sum array<long>, kept array<array<long>>"
+
+
+def _restaurants(shared: object):  # noqa: ANN202
+    def run(t: pa.Table) -> pa.Table:
+        part, h, c, _ = shared.value.read(t)
+        order = np.lexsort((h, part))
+        part, h, c = part[order], h[order], c[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+        c = np.add.reduceat(c, np.flatnonzero(new))
+        part, h = part[new], h[new]
+        of, at = np.unique(part, return_inverse=True)
+        party = c > 1
+        count = lambda m: np.bincount(at[m], minlength=len(of)).astype(np.int32)
+        customers = np.bincount(at, c, len(of)).astype(np.int64)
+        h, c = h[party], c[party]
+        columns = [t.column("bucket")[0].as_py(), of.view(np.int64), customers, count(~party), count(party), h.view(np.int64), c, np.ones(len(c), np.int32), np.zeros(len(c), np.int64), []]
+        return pa.Table.from_pylist([dict(zip([*_REST, "kept"], columns, strict=True))], schema=_REST_ARROW)
 
-    for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column("text")):
-            h, before, _ = tokens(data, offsets)
-            held.append((h[before != 0], before[before != 0]))
-            size += len(held[-1][0])
-            if size > 1 << 20:
-                yield from out()
-                held, size = [], 0
-    if size:
-        yield from out()
+    return run
+
+
+_long, _int = pa.list_(pa.int64()), pa.list_(pa.int32())
+_REST_ARROW = pa.schema(list(zip([*_REST, "kept"], [pa.int32(), _long, _long, _int, _int, _long, _long, _int, _long, pa.list_(_long)], strict=True)))
 
 
 # ---------------------------------------------------------------- the sampler
@@ -156,228 +274,394 @@ def _log_stirling(d: float, n: int = _EXACT) -> np.ndarray:
     return s
 
 
-def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables of dishes with ``c`` customers, whose base probabilities are ``base``, beside ``others`` other tables."""
+def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, s: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Numbers of tables of dishes with ``c`` customers, whose base probabilities are ``base``, beside ``others`` other tables; ``u``: a random number for each."""
     t = np.minimum(c, 1)
-    for n in np.unique(c[(c > 1) & (c <= _EXACT)]):
-        i = np.flatnonzero(c == n)
+    small = np.flatnonzero((c > 1) & (c <= _EXACT))
+    order = small[np.argsort(c[small], kind="stable")]
+    sizes, first = np.unique(c[order], return_index=True)
+    for n, lo in zip(sizes, first, strict=True):
+        i = order[lo : np.searchsorted(c[order], n, side="right")]
         k = np.arange(n)
         weight = s[n, 1 : n + 1] + np.cumsum(np.log(theta + d * (others[i][:, None] + k)) + np.log(base[i])[:, None], axis=1)
-        t[i] = 1 + np.argmax(weight + rng.gumbel(size=weight.shape), axis=1)
+        share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+        t[i] = 1 + (share < u[i][:, None] * share[:, -1:]).sum(axis=1)
     i = np.flatnonzero(c > _EXACT)
     if len(i):
-        seated, tables, goal = np.ones(len(i), np.int64), np.ones(len(i), np.int64), c[i]
+        seated, tables, goal, turn = np.ones(len(i), np.int64), np.ones(len(i), np.int64), c[i], u[i]
         while (live := seated < goal).any():
-            step = np.minimum(np.maximum(1, seated // 16), goal - seated)
+            step = np.where(live, np.minimum(np.maximum(1, seated // 16), goal - seated), 0)
             new = (theta + d * (others[i] + tables)) * base[i]
             p = new / (new + np.maximum(seated - d * tables, 1e-9))
-            more = rng.binomial(np.where(live, step, 0), np.clip(p, 0, 1))
-            tables += more
-            seated += np.where(live, step, 0)
-        t[i] = tables
+            turn = (turn + 0.6180339887498949) % 1
+            tables += np.floor(step * p + turn).astype(np.int64)  # the expected number, rounded at random
+            seated += step
+        t[i] = np.minimum(tables, goal)
+    return t
+
+
+def _random(key: np.ndarray, turn: int) -> np.ndarray:
+    return ((mix(key + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def seat(part: np.ndarray, outside: np.ndarray, single: np.ndarray, n: np.ndarray, h: np.ndarray, c: np.ndarray, t: np.ndarray, base: np.ndarray, z: dict, turn: int) -> np.ndarray:
+    """New tables of the parties of all restaurants of a bucket, after ``z['sweeps']`` sweeps; ``outside``: tables of the same restaurant elsewhere."""
+    owner, place = np.repeat(np.arange(len(n)), n), _ranges(n) % _ROUNDS
+    tables = outside + single + np.bincount(owner, t, len(n))
+    key, s = _pair(h, part[owner]), _log_stirling(z["d1"])
+    rounds = [i for r in range(_ROUNDS) if len(i := np.flatnonzero(place == r))]
+    t = t.astype(np.int64)
+    for sweep in range(z["sweeps"]):
+        u = _random(key, turn * z["sweeps"] + sweep)
+        for i in rounds:
+            new = draw_tables(c[i], base[i], tables[owner[i]] - t[i], z["d1"], z["theta"], s, u[i])
+            tables += np.bincount(owner[i], new - t[i], len(n))
+            t[i] = new
     return t
 
 
-def _seat(state: object):  # noqa: ANN202
-    """The tables of each pair, averaged over the kept sweeps.  Rows of a dish that come in one batch know of each other."""
+def _seat(shared: object):  # noqa: ANN202
+    """A pass over the restaurants, given the parent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = state.value
-        d0, d1, theta = z["d0"], z["d1"], z["theta"]
-        s0, s1 = _log_stirling(d0), _log_stirling(d1)
-        unseen = (theta + d0 * z["tables0"]) * z["uniform"]
+        deal, z = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            g, h, c, last, here, t0, tables = (batch.column(x).to_numpy() for x in ("g", "h", "c", "t", "here", "t0", "tables"))
-            rng = np.random.default_rng(np.abs(np.append(g[:2], h[:2])).tolist())
-            _, first, w = np.unique(h, return_index=True, return_inverse=True)
-            outside = here[first] - np.bincount(w, last)
-            others = np.maximum(tables - last, 0)
-            t, t0, t0_others = np.clip(np.rint(last), 1, c).astype(np.int64), t0[first], np.maximum(z["tables0"] - t0[first], 0)
-            t_sum, kept = np.zeros(len(c)), 0
-            for sweep in range(z["sweeps"]):
-                now = outside + np.bincount(w, t)
-                base = (np.maximum((now[w] - t) - d0 * t0[w], 0) + unseen) / (theta + z["customers0"])
-                t = draw_tables(c, base, others, d1, theta, s1, rng)
-                now = np.maximum(outside + np.bincount(w, t), 1)
-                t0 = draw_tables(now.astype(np.int64), np.full(len(now), z["uniform"]), t0_others, d0, theta, s0, rng)
-                if sweep >= z["burn"]:
-                    t_sum += t
-                    kept += 1
-            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("h"), batch.column("c"), pa.array(t_sum / kept)], ["g", "h", "c", "t"])
+            for i in range(len(batch)):
+                part, customers, single, n, h, c, t, total = (_list(batch.column(x)[i]) for x in _REST[1:])
+                part, h = part.view(np.uint64), h.view(np.uint64)
+                own = single + np.bincount(np.repeat(np.arange(len(n)), n), t, len(n))
+                hot = _place(deal.hot, part)
+                outside = np.where(hot >= 0, z["tables"][deal.owner[hot]] - own if len(deal.hot) else 0, 0)
+                word = _place(deal.words, h)
+                base = np.where(word >= 0, z["p0"][word] if len(deal.words) else 0, z["rare"])
+                t = seat(part, outside, single, n, h, c, t, base, z, z["turn"])
+                kept = batch.column("kept")[i].as_py()
+                if z["keep"]:
+                    total = total + t
+                    kept = [*kept, single + np.bincount(np.repeat(np.arange(len(n)), n), t, len(n)).astype(np.int64)]
+                columns = [batch.column("bucket")[i].as_py(), part.view(np.int64), customers, single, n, h.view(np.int64), c, t.astype(np.int32), total, kept]
+                yield pa.RecordBatch.from_pylist([dict(zip([*_REST, "kept"], columns, strict=True))], schema=_REST_ARROW)
 
     return run
 
 
-def _seat_parent(state: object):  # noqa: ANN202
-    """The tables of each dish in the parent, averaged over the kept sweeps."""
+def _sent_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Customers and tables of each word in the parties of a bucket."""
+    for batch in batches:
+        for i in range(len(batch)):
+            h, at = np.unique(_list(batch.column("h")[i]), return_inverse=True)
+            c, t = (np.bincount(at, _list(batch.column(x)[i]), len(h)).astype(float) for x in ("c", "t"))
+            yield from _rows([h, c, t], ["h", "pc", "t"])
+
+
+def _split_tables(shared: object):  # noqa: ANN202
+    """Customers and tables of the parts of split restaurants, now and in the kept passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = state.value
-        s0 = _log_stirling(z["d0"])
+        deal: Deal = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            h, here, t0 = (batch.column(x).to_numpy() for x in ("h", "here", "t0"))
-            rng = np.random.default_rng(np.abs(h[:4]).tolist())
-            # no more tables than whole customers of the average
-            n, others = np.maximum(here, 1).astype(np.int64), np.maximum(z["tables0"] - t0, 0)
-            kept = z["sweeps"] - z["burn"]
-            t0 = sum(draw_tables(n, np.full(len(n), z["uniform"]), others, z["d0"], z["theta"], s0, rng) for _ in range(kept)) / kept
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("fixed"), batch.column("here"), pa.array(t0)], ["h", "c", "fixed", "here", "t0"])
+            for i in range(len(batch)):
+                part, customers, single, n, t = (_list(batch.column(x)[i]) for x in ("part", "customers", "single", "n", "t"))
+                hot = _place(deal.hot, part.view(np.uint64))
+                on = np.flatnonzero(hot >= 0)
+                now = single + np.bincount(np.repeat(np.arange(len(n)), n), t, len(n)).astype(np.int64)
+                kept = [np.array(k, np.int64)[on] for k in batch.column("kept")[i].as_py()]
+                lists = pa.array(np.stack(kept, 1).tolist() if kept else [[]] * len(on), _long)
+                yield pa.RecordBatch.from_arrays([pa.array(deal.owner[hot[on]]), pa.array(customers[on]), pa.array(now[on]), lists], ["owner", "c", "t", "kept"])
 
     return run
 
 
-def _met(rows: DataFrame, keyed: DataFrame, key: str, size: str, least: float, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``keyed``, which has a row for each ``key``: keys of at least ``least`` tokens (``size``) by broadcast, so that no task gets the rows of a frequent one, all others by shuffle."""
-    hot = keyed.where(F.col(size) >= least)
-    some = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(size) < least), key, how)
-    return some.unionByName(rest)
+def _seat_parent(shared: object):  # noqa: ANN202
+    """The tables of each word in the parent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = shared.value
+        s0 = _log_stirling(z["d0"])
+        for batch in batches:
+            h, here, t0 = (batch.column(x).to_numpy() for x in ("h", "here", "t0"))
+            base = np.full(len(h), z["uniform"])
+            for sweep in range(z["sweeps"]):
+                t0 = draw_tables(here, base, np.maximum(z["tables0"] - t0, 0), z["d0"], z["theta"], s0, _random(h.view(np.uint64), z["turn"] * z["sweeps"] + sweep))
+            yield batch.set_column(batch.schema.get_field_index("t0"), "t0", pa.array(t0))
+
+    return run
 
 
 class Model:
-    """Restaurants of a corpus: ``words`` (h, c, p0), ``restaurants`` (g, customers, rest) and ``pairs`` (g, h, c, t, p), a row for each."""
+    """Restaurants of a corpus.  ``words``: h, c and, for each kept pass, p0_0, p0_1, ...; ``rest``: see ``_REST``."""
 
-    def __init__(self, docs: DataFrame, passes: int = 2, sweeps: int = 4, burn: int = 1, theta: float = 1.0):
-        """Learn from ``docs`` (text)."""
+    def __init__(self, docs: DataFrame, passes: int = 3, burn: int = 1, sweeps: int = 3, theta: float = 1.0, bucket: int = BUCKET):
+        """Learn from ``docs`` (text); the first ``burn`` of ``passes`` are not kept, each has ``sweeps`` sweeps."""
         spark = docs.sparkSession
-        docs = docs.select("text")
+        share = spark.sparkContext.broadcast
+        self.docs, self.passes, self.burn = docs, passes, burn
         n_rows = F.count(F.lit(1))
-        counts = cut(docs.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-        few = [n_rows.alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")]
-        one = counts.agg(F.sum("c").alias("n"), *few).first()
+        counts = cut(self.docs.select("text").mapInArrow(_count_words, "h long, c long, first long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("first").alias("first")))
+        one = counts.agg(F.sum("c").alias("n"), n_rows.alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
         self.n, self.v = one.n or 0, one.v
-        self.least = least = max(1.0, FREQUENT * self.n)
-        pairs = cut(docs.mapInArrow(_count_pairs, "g long, h long, c long").groupBy("g", "h").agg(F.sum("c").alias("c")))
-        two = pairs.agg(*few).first()
+        self.least = max(1.0, FREQUENT * self.n)
+        often = counts.where(F.col("c") >= self.least).select("h", "c").toArrow()  # at most 1 / FREQUENT rows
+        h = often.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.n // bucket))
+        self.deal = Deal(h[order], often.column("c").to_numpy()[order], self.n, self.buckets)
+        deal = share(self.deal)
+        dealt = self.docs.select("text").mapInArrow(_deal_pairs(deal), _DEALT_SQL.format("int"))
+        rest = cut(dealt.groupBy("bucket").applyInArrow(_restaurants(deal), _REST_SQL))
+        two = rest.agg(F.sum(F.aggregate("single", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n1"), F.sum(F.size(F.filter("c", lambda x: x == 2))).alias("n2")).first()
         discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-        z = {"d0": discount(one.n1, one.n2), "d1": discount(two.n1, two.n2), "theta": theta, "uniform": 1.0 / (self.v + 1), "tables0": float(self.v), "sweeps": sweeps, "burn": burn}
-        z["customers0"] = float(self.n - (pairs.agg(F.sum("c")).first()[0] or 0) + two.v)
-        # a pair of one customer has one table, always: ``fixed`` and ``single`` count them once
-        single = F.count_if(F.col("c") == 1)
-        by_word = pairs.groupBy("h").agg(F.sum("c").alias("after"), n_rows.alias("pairs"), single.alias("single"))
-        direct = F.col("c") - F.coalesce("after", F.lit(0))
-        dishes = counts.join(by_word, "h", "left").select("h", "c", (direct + F.coalesce("single", F.lit(0))).cast("double").alias("fixed"), (direct + F.coalesce("pairs", F.lit(0))).cast("double").alias("here"), F.lit(1.0).alias("t0"))
-        dishes = cut(dishes)
-        contexts = cut(pairs.groupBy("g").agg(F.sum("c").alias("customers"), single.cast("double").alias("single"), n_rows.cast("double").alias("tables")))
-        parties = pairs.where("c > 1").withColumn("t", F.lit(1.0))
-        slice_ = F.when(F.col("_n") >= least, F.pmod(F.xxhash64("g"), F.lit(SLICES))).otherwise(0)
-        for _ in range(passes):
-            told = _met(parties, contexts.select("g", "customers", "tables"), "g", "customers", least).drop("customers")
-            told = _met(told, dishes.select("h", F.col("c").alias("_n"), "here", "t0"), "h", "_n", least)
-            told = told.withColumn("_slice", slice_).repartition("h", "_slice").sortWithinPartitions("h")
-            parties = cut(told.mapInArrow(_seat(spark.sparkContext.broadcast(dict(z))), "g long, h long, c long, t double"))
-            more = parties.groupBy("h").agg(F.sum("t").alias("_t"))
-            dishes = dishes.join(more, "h", "left").select("h", "c", "fixed", (F.col("fixed") + F.coalesce("_t", F.lit(0.0))).alias("here"), "t0")
-            dishes = cut(dishes.mapInArrow(_seat_parent(spark.sparkContext.broadcast(dict(z))), "h long, c long, fixed double, here double, t0 double"))
-            more = parties.groupBy("g").agg(F.sum("t").alias("_t"))
-            contexts = cut(contexts.join(more, "g", "left").select("g", "customers", "single", (F.col("single") + F.coalesce("_t", F.lit(0.0))).alias("tables")))
-            sums = dishes.agg(F.sum("here").alias("c"), F.sum("t0").alias("t")).first()
-            z["customers0"], z["tables0"] = sums.c or 0.0, sums.t or 0.0
-        # with the averages' own totals, probabilities add up to 1
-        unseen = (theta + z["d0"] * z["tables0"]) * z["uniform"]
-        #: what the parent leaves to each unknown word
-        self.unknown = unseen / (theta + z["customers0"]) if self.n else 1.0
-        p0 = (F.col("here") - F.lit(z["d0"]) * F.col("t0") + F.lit(unseen)) / F.lit(theta + z["customers0"])
-        self.words = dishes.select("h", "c", p0.alias("p0"))
-        #: what a context leaves to its parent
-        rest = (F.lit(theta) + F.lit(z["d1"]) * F.col("tables")) / (F.lit(theta) + F.col("customers"))
-        self.restaurants = contexts.select("g", "customers", rest.alias("rest"))
-        both = pairs.where("c = 1").withColumn("t", F.lit(1.0)).unionByName(parties)
-        both = _met(both, self.restaurants, "g", "customers", least)
-        own = (F.col("c") - F.lit(z["d1"]) * F.col("t")) / (F.lit(theta) + F.col("customers"))
-        both = both.select("g", "h", F.col("c").alias("n"), own.alias("own"), "rest")
-        both = _met(both, self.words, "h", "c", least)
-        self.pairs = cut(both.select("g", "h", "n", "own", (F.col("own") + F.col("rest") * F.col("p0")).alias("p"), "c"))
-
-    @property
-    def contexts(self) -> np.ndarray:
-        """Hashes of the context words, sorted.  This and the next two gather a model, for a look at a small one."""
-        return np.sort(np.array([r.g for r in self.restaurants.select("g").collect()], np.int64).view(np.uint64))
-
-    @property
-    def rest(self) -> np.ndarray:
-        rows = self.restaurants.select("g", "rest").toPandas()
-        return rows["rest"].to_numpy()[np.argsort(rows["g"].to_numpy().view(np.uint64))]
-
-    @property
-    def dishes(self) -> DataFrame:
-        """A row for each word with the numbers (us) of its contexts in ``contexts`` and its own shares (es) there."""
-        numbers = self.pairs.sparkSession.createDataFrame([(int(g), u) for u, g in enumerate(self.contexts.view(np.int64))], "g long, u int")
-        lanes = self.pairs.join(numbers, "g").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("u", "own"))).alias("x"))
-        none = "cast(array() as array<{}>)"
-        return self.words.join(lanes, "h", "left").select("h", "c", "p0", F.coalesce("x.u", F.expr(none.format("int"))).alias("us"), F.coalesce("x.own", F.expr(none.format("double"))).alias("es"))
-
-    def score(self, docs: DataFrame) -> DataFrame:
-        """n_tokens, n_known, base_score and score for each row of ``docs``, after its columns but ``text``, none of which may be named like an output or internal column."""
-        spark = docs.sparkSession
-        words_ = self.words.where(F.col("c") >= self.least).select("h", "c", "p0").toArrow()  # at most 1 / FREQUENT rows
-        pairs_ = self.pairs.where(F.col("n") >= self.least).select("g", "h", "p", "c").toArrow()  # at most 1 / FREQUENT rows
-        wh = words_.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(wh)
-        wh, wc, wp = wh[order], words_.column("c").to_numpy()[order].astype(np.float64), words_.column("p0").to_numpy()[order]
-        ph = _pair(pairs_.column("h").to_numpy().view(np.uint64), pairs_.column("g").to_numpy().view(np.uint64))
-        order = np.argsort(ph)
-        shared = spark.sparkContext.broadcast((wh, wc, wp, ph[order], pairs_.column("p").to_numpy()[order], pairs_.column("c").to_numpy()[order].astype(np.float64)))
-        whole = self.n + 0.5 * (self.v + 1)
+        z = {"d0": discount(one.n1, one.n2), "d1": discount(two.n1, two.n2), "theta": theta, "uniform": 1.0 / (self.v + 1), "tables0": float(self.v), "sweeps": sweeps}
+        self.z = z
+        self.words = counts.select("h", "c", "first", F.lit(1).cast("long").alias("t0"))
+        self.unknown: list[float] = []
+        self._parent(rest, 0, keep=False)
+        for turn in range(passes):
+            z["turn"], z["keep"] = turn + 1, turn >= burn
+            z["tables"] = self._split(rest)[1]
+            rest = cut(rest.mapInArrow(_seat(share((self.deal, dict(z)))), _REST_SQL), [rest])
+            self._parent(rest, turn + 1, z["keep"])
+        self.rest = rest
+        #: customers of each frequent word's restaurant where that is split, and its tables in each kept pass
+        self.split = self._split(rest)[::2]
+        columns = [f"p0_{k}" for k in range(passes - burn)]
+        got = self.words.where(F.col("c") >= self.least).select("h", *columns).toArrow()
+        order = np.argsort(got.column("h").to_numpy().view(np.uint64))
+        #: parent probability of each frequent word in each kept pass
+        self.p0 = np.stack([got.column(c).to_numpy()[order] for c in columns], 1) if len(order) else np.zeros((0, len(columns)))
+
+    def _split(self, rest: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Customers, tables now, and tables in each kept pass by frequent word, of split restaurants."""
+        n, k = len(self.deal.words), self.passes - self.burn
+        customers, tables, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, k), np.int64)
+        if len(self.deal.hot):
+            rows = rest.mapInArrow(_split_tables(rest.sparkSession.sparkContext.broadcast(self.deal)), "owner long, c long, t long, kept array<long>")
+            sums = [F.sum(F.get("kept", F.lit(j))).alias(f"k{j}") for j in range(k)]
+            for r in rows.groupBy("owner").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), *sums).collect():  # at most 4 for each bucket
+                customers[r.owner], tables[r.owner] = r.c, r.t
+                kept[r.owner] = [r[f"k{j}"] or 0 for j in range(k)]
+        return customers, tables, kept
+
+    def _parent(self, rest: DataFrame, turn: int, keep: bool) -> None:
+        """Seat the parent, given the tables of all restaurants."""
+        z, spark = self.z, rest.sparkSession
+        z["turn"] = turn
+        up = rest.mapInArrow(_sent_up, "h long, pc double, t double").groupBy("h").agg(F.sum("pc").alias("pc"), F.sum("t").alias("t"))
+        # pairs of one customer have one table: the word's tokens less the first ones' and the parties'; with the first tokens themselves
+        here = (F.col("c") - F.coalesce("pc", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).cast("long")
+        old = self.words
+        rows = old.join(up, "h", "left").select(*old.columns, here.alias("here"))
+        rows = cut(rows.mapInArrow(_seat_parent(spark.sparkContext.broadcast(dict(z))), rows.schema), [old] if hasattr(old, "cut_path") else [])
+        rare = F.col("c") < self.least
+        sums = rows.agg(F.sum("here").alias("c"), F.sum("t0").alias("t"), F.sum(F.when(rare, F.col("here"))).alias("rc"), F.sum(F.when(rare, F.col("t0"))).alias("rt"), F.count_if(rare).alias("n")).first()
+        z["tables0"] = float(sums.t or 0)
+        unseen, whole = (z["theta"] + z["d0"] * z["tables0"]) * z["uniform"], z["theta"] + (sums.c or 0)
+        p0 = (F.col("here") - F.lit(z["d0"]) * F.col("t0") + F.lit(unseen)) / F.lit(whole)
+        z["rare"] = ((sums.rc or 0) - z["d0"] * (sums.rt or 0) + unseen * sums.n) / whole / max(1, sums.n) or unseen / whole
+        got = rows.where(~rare).select("h", p0.alias("p")).toArrow()
+        z["p0"] = got.column("p").to_numpy()[np.argsort(got.column("h").to_numpy().view(np.uint64))]
+        path = rows.cut_path
+        self.words = rows.withColumn(f"p0_{turn - 1 - self.burn}", p0).drop("here") if keep else rows.drop("here")
+        self.words.cut_path = path
+        if keep:
+            self.unknown.append(unseen / whole if self.n else 1.0)
+
+    def _frequent_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, probabilities) of the pairs with at least ``least`` tokens, sorted."""
+        spark, least = self.rest.sparkSession, self.least
+        shared = spark.sparkContext.broadcast(self._known())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wh, wc, wp, ph, pp, pc = shared.value
+            known = shared.value
             for batch in batches:
-                keys = batch.column("_key").to_numpy()
-                for lo, hi, data, offsets in text_slices(batch.column("text")):
-                    h, before, row = tokens(data, offsets)
-                    n, alone = hi - lo, before == 0
-                    total, known = np.bincount(row, minlength=n), np.zeros(n, np.int64)
-                    base, score = np.zeros(n), np.zeros(n)
-                    i = np.where(alone, _place(wh, h), -1)
-                    j = np.where(alone, -1, _place(ph, _pair(h, before)))
-                    for at, p, c in ((i, wp, wc), (j, pp, pc)):
-                        on = np.flatnonzero(at >= 0)
-                        known += np.bincount(row[on], minlength=n)
-                        base += np.bincount(row[on], np.log10((c[at[on]] + 0.5) / whole), n)
-                        score += np.bincount(row[on], np.log10(p[at[on]]), n)
-                    empty = pa.nulls(n, pa.int64())
-                    own = [batch.column(c).slice(lo, n) for c in kept]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo:hi]), empty, empty, pa.array(total), pa.array(known), pa.array(base), pa.array(score), *own], names)
-                    left = np.flatnonzero((i < 0) & (j < 0))
-                    if len(left):
-                        a, b, r = h[left], before[left], row[left]
-                        order, first, times = _distinct(_pair(_pair(a, b), r.astype(np.uint64)), a, b, r)
-                        at = left[order[first]]
-                        for k in range(0, len(at), 1 << 16):
-                            x = at[k : k + (1 << 16)]
-                            none = pa.nulls(len(x), pa.float64())
-                            yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row[x]]), signed(before[x]), signed(h[x]), pa.array(times[k : k + len(x)]), pa.nulls(len(x), pa.int64()), none, none, *[pa.nulls(len(x), batch.column(c).type) for c in kept]], names)
+                for i in range(len(batch)):
+                    x = known.bucket(batch.slice(i, 1))
+                    on = np.flatnonzero(x["c"] >= least)
+                    p = x["own"][on] + (x["rest"][x["owner"][on]] * known.p0[_place(known.deal.words, x["h"][on])]).mean(axis=1)
+                    yield from _rows([_pair(x["h"][on], x["part"][x["owner"][on]]), p], ["k", "p"])
+
+        got = self.rest.mapInArrow(run, "k long, p double").toArrow()  # at most 1 / FREQUENT rows
+        k = got.column("k").to_numpy().view(np.uint64)
+        order = np.argsort(k)
+        return k[order], got.column("p").to_numpy()[order]
+
+    def _known(self) -> Known:
+        return Known(self.deal, self.p0, *self.split, self.z["d1"], self.z["theta"], self.passes - self.burn)
 
+    def score(self, docs: DataFrame, train: Column | None = None) -> DataFrame:
+        """n_tokens, n_known, base_score and score for each row of ``docs``, after its columns but ``text``, none of which may be named like an output or internal column.
+
+        ``train``: which rows the model has learned from, if these are among ``docs``; else the corpus is read once more beside them.
+        """
+        spark = docs.sparkSession
         kept = [c for c in docs.columns if c != "text"]
-        names = ["_key", "g", "h", "n", "known", "base", "own", *kept]
-        schema = T._parse_datatype_string("_key long, g long, h long, n long, known long, base double, own double")
-        for c in kept:
-            schema = schema.add(c, docs.schema[c].dataType)
-        # one pass makes a row for each text, and one for each pair of it that isn't frequent; g is 0 without a word before
-        both = cut(docs.withColumn("_key", F.monotonically_increasing_id()).select("_key", "text", *kept).mapInArrow(run, schema))
-        rare = both.where("h is not null").select("_key", "g", "h", F.col("n").alias("_times"))
-        rare = cut(rare.join(self.pairs.where(F.col("n") < self.least).select("g", "h", "p", "c"), ["g", "h"], "left"))
-        seen = rare.where("p is not null").select("_key", "_times", "p", "c")
-        # pairs that the corpus doesn't have
-        new = rare.where("p is null").drop("p", "c")
-        behind = _met(new.where("g <> 0"), self.restaurants, "g", "customers", self.least, "left")
-        new = _met(behind.select("_key", "h", "_times", "rest").unionByName(new.where("g = 0").select("_key", "h", "_times", F.lit(1.0).alias("rest"))), self.words, "h", "c", self.least, "left")
-        new = new.select("_key", "_times", (F.coalesce("rest", F.lit(1.0)) * F.coalesce("p0", F.lit(float(self.unknown)))).alias("p"), "c")
-        joined = seen.unionByName(new).select(
-            "_key", F.when(F.col("c").isNull(), 0).otherwise(F.col("_times")).cast("long").alias("known"),
-            (F.col("_times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(whole))).alias("base"), (F.col("_times") * F.log10("p")).alias("score"),
-        )
-        sums = joined.groupBy("_key").agg(F.sum("known").alias("_k"), F.sum("base").alias("_b"), F.sum("score").alias("_s"))
-        out = both.where("h is null").join(sums, "_key", "left")
-        return out.select(
-            *kept, F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
-            (F.col("base") + F.coalesce("_b", F.lit(0.0))).alias("base_score"), (F.col("own") + F.coalesce("_s", F.lit(0.0))).alias("score"),
-        )
+        if train is None:
+            rows = docs.select("text", *kept, F.lit(False).alias("_train"), F.lit(True).alias("_scored"))
+            rows = rows.unionByName(self.docs.select("text", F.lit(True).alias("_train"), F.lit(False).alias("_scored")), allowMissingColumns=True)
+        else:
+            rows = docs.select("text", *kept, train.alias("_train"), F.lit(True).alias("_scored"))
+        known = self._known()
+        shared = spark.sparkContext.broadcast((known, self.deal.counts.astype(np.float64), self._frequent_pairs(), self.n + 0.5 * (self.v + 1)))
+        k = known.kept
+        shares = [f"r{j}" for j in range(k)]
+        out_sql = "key long, h long, n long, known long, base double, score double, own double" + "".join(f", {r} double" for r in shares)
+        own = T.StructType([docs.schema[c] for c in kept])
+        mapped = spark.createDataFrame([], _DEALT_SQL.format("short") + ", " + out_sql.replace("key long, ", "")).schema
+        mapped = T.StructType([*mapped.fields, *own.fields])
+        result = T.StructType([*spark.createDataFrame([], out_sql).schema.fields, *own.fields])
+        rows = rows.withColumn("_key", F.monotonically_increasing_id())
+        dealt = rows.mapInArrow(_read_texts(shared, mapped.names, kept), mapped)
+        found = dealt.groupBy("bucket").cogroup(self.rest.groupBy("bucket")).applyInArrow(_score_bucket(shared, result.names), result)
+        found = cut(found)
+        # rare words meet their parent probability
+        alone = found.where("h is not null").select("key", "h", "own", *shares)
+        met = alone.join(self.words.where(F.col("c") < self.least).select("h", "c", *[f"p0_{j}" for j in range(k)]), "h", "left")
+        p = sum((F.col(f"r{j}") * F.coalesce(F.col(f"p0_{j}"), F.lit(float(self.unknown[j]))) for j in range(k)), F.lit(0.0)) / k + F.col("own")
+        base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(self.n + 0.5 * (self.v + 1)))
+        met = met.select("key", F.col("c").isNotNull().cast("long").alias("known"), base.alias("base"), F.log10(p).alias("score"))
+        names = ["key", "n", "known", "base", "score", *kept]
+        every = found.where("h is null").select(*names).unionByName(met, allowMissingColumns=True)
+        sums = every.groupBy("key").agg(*[F.max(c).alias(c) for c in (*kept, "n")], *[F.sum(c).alias(c) for c in ("known", "base", "score")]).where("n is not null")
+        return sums.select(*kept, F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.col("base").alias("base_score"), "score")
+
+
+class Known:
+    """What every task knows of a model: frequent words, their parent probabilities, and the totals of split restaurants."""
+
+    def __init__(self, deal: Deal, p0: np.ndarray, customers: np.ndarray, tables: np.ndarray, d: float, theta: float, kept: int):
+        self.deal, self.p0, self.customers, self.tables, self.d, self.theta, self.kept = deal, p0, customers, tables, d, theta, kept
+
+    def bucket(self, t: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
+        """The restaurants of a bucket: what each leaves to its parent in each kept pass, and what each party has of its own."""
+        if not len(t):
+            none = np.zeros(0, np.int64)
+            return {"part": none.view(np.uint64), "customers": none, "rest": np.zeros((0, self.kept)), "owner": none, "h": none.view(np.uint64), "c": none, "own": none.astype(float)}
+        part, customers, _, n, h, c, _, total = (_list(t.column(x)[0]) for x in _REST[1:])
+        part = part.view(np.uint64)
+        tables = np.array(t.column("kept")[0].as_py(), np.int64).reshape(self.kept, len(part)).T
+        hot = _place(self.deal.hot, part)
+        on = np.flatnonzero(hot >= 0)
+        if len(on):
+            customers, tables = customers.copy(), tables.copy()
+            customers[on], tables[on] = self.customers[self.deal.owner[hot[on]]], self.tables[self.deal.owner[hot[on]]]
+        owner = np.repeat(np.arange(len(n)), n)
+        whole = self.theta + customers
+        return {"part": part, "customers": customers, "rest": (self.theta + self.d * tables) / whole[:, None], "owner": owner, "h": h.view(np.uint64), "c": c, "own": (c - self.d * total / self.kept) / whole[owner]}
+
+
+def _table(names: list[str], schema: pa.Schema | None = None, **columns: np.ndarray) -> pa.RecordBatch:
+    """A batch with ``columns``, all others null."""
+    n = len(next(iter(columns.values())))
+    made = [columns.get(c) for c in names]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, schema.field(c).type if schema else pa.null()) if x is None else x if isinstance(x, (pa.Array, pa.ChunkedArray)) else signed(x) if x.dtype == np.uint64 else pa.array(x) for c, x in zip(names, made, strict=True)], names)
+
+
+def _arrow(names: list[str], kept: dict[str, pa.DataType]) -> pa.Schema:
+    short = pa.list_(pa.int16())
+    kinds = {"bucket": pa.int32(), "part": _long, "often": _int, "rare": _int, "f": _int, "r": _long, "of": short, "or": short, "key": pa.int64(), "h": pa.int64(), "n": pa.int64(), "known": pa.int64()} | kept
+    return pa.schema([(c, kinds.get(c, pa.float64())) for c in names])
+
+
+def _read_texts(shared: object, names: list[str], kept: list[str]):  # noqa: ANN202
+    """A row for each text with what frequent words and pairs tell; all other tokens dealt to buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, (pair, pair_p), whole = shared.value
+        deal, p0 = known.deal, known.p0.mean(axis=1)
+        held, size, texts = [], 0, 0
+        schema = None
+
+        def out() -> pa.RecordBatch:
+            h, g, key, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = deal.part_of(g, h)
+            order = np.argsort(part, kind="stable")
+            low = int(key.min())
+            rows = deal.rows(part[order], h[order], ((key[order] - low) * 2 + train[order]).astype(np.int16), low)
+            return _table(names, schema, **{c: rows.column(c) for c in _DEALT})
+
+        for batch in batches:
+            if schema is None:
+                schema = _arrow(names, {c: batch.schema.field(c).type for c in kept})
+            keys, trains, scored = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_key", "_train", "_scored"))
+            for lo, hi, data, offsets in text_slices(batch.column("text")):
+                h, before, row = tokens(data, offsets)
+                n, alone, mine = hi - lo, before == 0, scored[lo:hi]
+                word = _place(deal.words, h)
+                on = np.flatnonzero(word >= 0)
+                n_known = np.bincount(row[on], minlength=n)
+                base = np.bincount(row[on], np.log10((counts[word[on]] + 0.5) / whole), n).astype(float)
+                at = np.where(alone, -1, _place(pair, _pair(h, deal.part_of(before, h))))
+                on = np.flatnonzero(at >= 0)
+                score = np.bincount(row[on], np.log10(pair_p[at[on]]), n).astype(float)
+                on = np.flatnonzero(alone & (word >= 0))
+                score += np.bincount(row[on], np.log10(p0[word[on]]), n)
+                yield _table(
+                    names, schema, bucket=(keys[lo:hi] % deal.buckets).astype(np.int32), key=keys[lo:hi], n=np.bincount(row, minlength=n), known=n_known, base=base, score=score,
+                    **{c: batch.column(c).slice(lo, n) for c in kept},
+                ).filter(pa.array(mine))
+                first = np.flatnonzero(alone & (word < 0) & mine[row])
+                if len(first):
+                    one = {f"r{j}": np.ones(len(first)) for j in range(known.kept)}
+                    yield _table(names, schema, bucket=(keys[lo + row[first]] % deal.buckets).astype(np.int32), key=keys[lo + row[first]], h=h[first], own=np.zeros(len(first)), **one)
+                left = np.flatnonzero(~alone & (at < 0))
+                # keys follow on one another within a task but for where rows come from another table
+                if texts and (size + len(left) > 2 * _HELD or keys[hi - 1] - held[0][2].min() >= _TEXTS):
+                    yield out()
+                    held, size, texts = [], 0, 0
+                for a in range(lo, hi, _TEXTS):
+                    part = left[(row[left] >= a - lo) & (row[left] < a - lo + _TEXTS)]
+                    if len(part):
+                        held.append((h[part], before[part], keys[lo + row[part]], trains[lo + row[part]]))
+                        size, texts = size + len(part), texts + 1
+                    if hi - lo > _TEXTS and texts:
+                        yield out()
+                        held, size, texts = [], 0, 0
+                if size > _HELD:
+                    yield out()
+                    held, size, texts = [], 0, 0
+        if texts:
+            yield out()
+
+    return run
+
+
+def _score_bucket(shared: object, names: list[str]):  # noqa: ANN202
+    def run(dealt: pa.Table, rest: pa.Table) -> pa.Table:
+        known: Known = shared.value[0]
+        deal = known.deal
+        kept = {c: dealt.schema.field(c).type for c in names if c in dealt.column_names}
+        schema = _arrow(names, {c: t for c, t in kept.items() if not pa.types.is_list(t)})
+        told = dealt.filter(pc.is_null(dealt.column("part")))
+        out = [told.select([c for c in names])]
+        dealt = dealt.filter(pc.is_valid(dealt.column("part")))
+        part, h, code, row = deal.read(dealt)
+        if len(h):
+            key, train = dealt.column("key").to_numpy()[row] + (code >> 1), code & 1
+            x = known.bucket(rest)
+            at = _place(x["part"], part)
+            found = at >= 0
+            customers = np.where(found, x["customers"][at] if len(x["part"]) else 0, 0)
+            share = np.where(found[:, None], x["rest"][at] if len(x["part"]) else 1.0, 1.0)
+            pair, party = _pair(h, part), _pair(x["h"], x["part"][x["owner"]])
+            order = np.argsort(party)
+            i = _place(party[order], pair)
+            own = np.where(i >= 0, x["own"][order][i] if len(party) else 0.0, 0.0)
+            # pairs that are no party: those that the corpus has once have one table
+            no = np.flatnonzero(i < 0)
+            _, which = np.unique(pair[no], return_inverse=True)
+            once = np.bincount(which, train[no])[which] == 1 if len(no) else no.astype(bool)
+            own[no[once]] = (1 - known.d) / (known.theta + customers[no[once]])
+            word = _place(deal.words, h)
+            on = np.flatnonzero(word >= 0)
+            p = own[on] + (share[on] * known.p0[word[on]]).mean(axis=1)
+            keys, which = np.unique(key[on], return_inverse=True)
+            zero = np.zeros(len(keys))
+            out.append(pa.Table.from_batches([_table(names, schema, key=keys, known=zero.astype(np.int64), base=zero, score=np.bincount(which, np.log10(p), len(keys)).astype(float))]))
+            on = np.flatnonzero(word < 0)
+            out.append(pa.Table.from_batches([_table(names, schema, key=key[on], h=h[on], own=own[on], **{f"r{j}": share[on, j] for j in range(known.kept)})]))
+        return pa.concat_tables([t.cast(schema) for t in out])
+
+    return run
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -390,7 +674,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold_of(F.col("doc_id"), 5) == 1).alias("held_out"))
     model = Model(docs.where("not held_out"))
-    out = model.score(docs)
+    out = model.score(docs, ~F.col("held_out"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -300,17 +300,128 @@ def test_language_model(spark):
     assert pitman_yor.score_texts(df.limit(0)).collect() == []
 
 
+END = "\0end"
+
+
+def probabilities(spark, m, vocabulary):
+    """p(word | word before), and p(word) at the start, for all words and an unknown one, out of scores of one and two words."""
+    p0 = {_word(r.h, vocabulary): [r[f"p0_{k}"] for k in range(2)] for r in m.words.collect()}
+    start = {w: sum(p) / 2 for w, p in p0.items()} | {"?": sum(m.unknown) / 2}
+    known = [w for w in p0 if w != END] + ["?"]
+    texts = [" ".join(x) for n in (1, 2) for x in itertools.product(known, repeat=n)]
+    got = {r.text_: 10**r.score for r in m.score(spark.createDataFrame([(t, t) for t in texts], "text string, text_ string")).collect()}
+    p = {(g, END): got[g] / start[g] for g in known}
+    return start, p | {(g, h): got[f"{g} {h}"] / start[g] / p[h, END] for g in known for h in known}
+
+
+def _hash(w):
+    data = np.frombuffer(w.encode(), np.uint8)
+    return int(pitman_yor.tokens(data, np.array([0, len(data)]))[0].view(np.int64)[0])
+
+
+def _word(h, vocabulary):
+    return next((w for w in vocabulary if _hash(w) == h), END)
+
+
 def test_probabilities_sum_to_one(spark):
-    """Over all known words and the unknown one, in the parent and in each context."""
+    """Over all known words and the unknown one, at the start and after each word; also where restaurants are split into parts."""
     rnd = random.Random(10)
-    rows = [(i, " ".join(rnd.choice(["a", "b", "c", word(rnd, 3)]) for _ in range(60))) for i in range(40)]
+    rows = [(i, " ".join(rnd.choice(["a", "b", "c", word(rnd, 2)]) for _ in range(60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocabulary = {w for _, t in rows for w in t.split()}
+    tables = []
+    for bucket in (pitman_yor.BUCKET, 300):
+        m = pitman_yor.Model(df, bucket=bucket)
+        assert (len(m.deal.hot) > 0) == (bucket == 300) or bucket != 300
+        start, p = probabilities(spark, m, vocabulary)
+        assert abs(sum(start.values()) - 1) < 1e-9
+        for g in {g for g, _ in p}:
+            assert abs(sum(x for (a, _), x in p.items() if a == g) - 1) < 1e-9
+        tables.append(p)
+    assert all(abs(math.log10(tables[0][k] / tables[1][k])) < 0.2 for k in tables[0])
+
+
+def sequential(texts, d0, d1, theta, uniform, sweeps, burn, rnd):
+    """A plain sampler that seats one customer at a time, in restaurants of tables; averaged p(h | g) as a function."""
+    rest, parent = {}, Counter()  # (g, h) -> sizes of tables; the parent's: h -> sizes of tables
+    tables0 = {}
+    customers, n_tables = Counter(), Counter()
+
+    def p_parent(h):
+        c, t = sum(tables0.get(h, [])), len(tables0.get(h, []))
+        n, k = parent["c"], parent["t"]
+        return (c - d0 * t + (theta + d0 * k) * uniform) / (theta + n)
+
+    def sit(sizes, new):
+        weights = [*(s - (d0 if sizes is not None and new[1] else d1) for s in sizes), new[0]]
+        i = rnd.choices(range(len(weights)), weights)[0]
+        if i == len(sizes):
+            sizes.append(1)
+            return True
+        sizes[i] += 1
+        return False
+
+    def leave(sizes):
+        i = rnd.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            sizes.pop(i)
+            return True
+        return False
+
+    def add0(h):
+        new = sit(tables0.setdefault(h, []), ((theta + d0 * parent["t"]) * uniform, True))
+        parent["c"] += 1
+        parent["t"] += new
+
+    def drop0(h):
+        parent["t"] -= leave(tables0[h])
+        parent["c"] -= 1
+
+    def add(g, h):
+        if g is None:
+            return add0(h)
+        new = sit(rest.setdefault((g, h), []), ((theta + d1 * n_tables[g]) * p_parent(h), False))
+        customers[g] += 1
+        if new:
+            n_tables[g] += 1
+            add0(h)
+
+    def remove(g, h):
+        if g is None:
+            return drop0(h)
+        customers[g] -= 1
+        if leave(rest[g, h]):
+            n_tables[g] -= 1
+            drop0(h)
+
+    pairs = [(g, h) for t in texts for g, h in zip([None, *t], t, strict=False)]
+    for g, h in pairs:
+        add(g, h)
+    total = Counter()
+    for sweep in range(sweeps):
+        for g, h in pairs:
+            remove(g, h)
+            add(g, h)
+        if sweep >= burn:
+            for g in customers:
+                for h in tables0:
+                    c = rest.get((g, h), [])
+                    total[g, h] += (sum(c) - d1 * len(c) + (theta + d1 * n_tables[g]) * p_parent(h)) / (theta + customers[g]) / (sweeps - burn)
+    return total
+
+
+def test_against_a_sequential_sampler(spark):
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choice("aaabbbccdefghij") + rnd.choice(["", "", "x"]) for _ in range(25))) for i in range(60)]
     m = pitman_yor.Model(spark.createDataFrame(rows, "doc_id long, text string"))
-    dishes = m.dishes.collect()
-    parent = sum(r.p0 for r in dishes) + m.unknown
-    assert abs(parent - 1) < 1e-9
-    for u in range(len(m.contexts)):
-        total = m.rest[u] * (sum(r.p0 for r in dishes) + m.unknown) + sum(e for r in dishes for x, e in zip(r.us, r.es, strict=True) if x == u)
-        assert abs(total - 1) < 1e-9
+    vocabulary = {w for _, t in rows for w in t.split()}
+    _, p = probabilities(spark, m, vocabulary)
+    want = sequential([[*t.split(), END] for _, t in rows], m.z["d0"], m.z["d1"], m.z["theta"], m.z["uniform"], 60, 20, rnd)
+    off = [abs(math.log10(p[k] / want[k])) for k in want]
+    assert max(off) < 0.25 and sum(off) / len(off) < 0.03
+    seen = Counter(x for _, t in rows for x in zip(t.split(), [*t.split()[1:], END], strict=True))
+    assert abs(sum(n * math.log10(p[k] / want[k]) for k, n in seen.items())) / sum(seen.values()) < 0.01
 
 
 def test_rare_contexts(spark):
@@ -319,27 +430,26 @@ def test_rare_contexts(spark):
     rows = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(40)) + (" rare partner" if i % 8 == 0 else " partner" if i % 8 == 1 else "")) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     m = pitman_yor.Model(df)
-    toks = lambda t: [*t.split(), "\0end"]
-    assert len(m.contexts) == len({a for _, t in rows for a, _ in zip(toks(t), toks(t)[1:], strict=False)})
-    assert m.pairs.count() == len({x for _, t in rows for x in zip(toks(t), toks(t)[1:], strict=False)})
-    new = spark.createDataFrame([(1, "rare partner"), (2, "unheard partner")], "doc_id long, text string")
-    got = {r.doc_id: r for r in m.score(new).collect()}
-    # the first tokens' own probabilities are set aside
-    first = {1: m.words.join(spark.createDataFrame([(_hash("rare"),)], "h long"), "h").first().p0, 2: m.unknown}
-    gain = (got[1].score - math.log10(first[1])) - (got[2].score - math.log10(first[2]))
-    assert gain > 0.5
-
-
-def _hash(w):
-    data = np.frombuffer(w.encode(), np.uint8)
-    return int(pitman_yor.tokens(data, np.array([0, len(data)]))[0].view(np.int64)[0])
+    toks = lambda t: [*t.split(), END]
+    pairs = Counter(x for _, t in rows for x in zip(toks(t), toks(t)[1:], strict=False))
+    told = m.rest.select(F.explode(F.arrays_zip("part", "customers", "n", "single")).alias("x")).select("x.*").collect()
+    assert sum(r.customers for r in told) == sum(pairs.values()) and sum(r.n + r.single for r in told) == len(pairs)
+    assert len({r.part for r in told}) >= len({g for g, _ in pairs})
+    new = spark.createDataFrame([(1, "rare partner"), (2, "unheard partner"), (3, "rare"), (4, "unheard")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in m.score(new).collect()}
+    assert (got[1] - got[3]) - (got[2] - got[4]) > 0.5
+    # the same scores, however the rows are dealt
+    again = {r.doc_id: r.score for r in pitman_yor.Model(df.repartition(7)).score(new.coalesce(1)).collect()}
+    assert all(abs(again[k] - got[k]) < 1e-9 for k in got)
 
 
 def test_tables():
-    rng = np.random.default_rng(0)
     s = pitman_yor._log_stirling(0.5)
     c = np.array([1, 2, 5, 64, 65, 5000])
-    t = pitman_yor.draw_tables(c, np.full(6, 0.01), np.full(6, 10), 0.5, 1.0, s, rng)
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1
+    u = np.random.default_rng(0).random((2000, 6))
+    t = np.array([pitman_yor.draw_tables(c, np.full(6, 0.01), np.full(6, 10), 0.5, 1.0, s, x) for x in u])
+    assert (t >= 1).all() and (t <= c).all() and (t[:, 0] == 1).all()
     # three ways to seat three customers at two tables, each worth 1 - d
     assert abs(math.exp(s[3, 2]) - 1.5) < 1e-9
+    # leaps go on from the exact draws
+    assert 0.8 < t[:, 4].mean() / t[:, 3].mean() < 1.25
