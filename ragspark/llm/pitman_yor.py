@@ -10,7 +10,7 @@ tokens, so that a restaurant is whole in one group.  A pair of one customer has
 seated by Gibbs sampling: in a sweep each party of a restaurant draws its number of tables from its conditional
 distribution given the others (generalised Stirling numbers) up to 64 customers; larger parties are seated one after
 another by the Chinese-restaurant rule, in leaps of a sixteenth of those already seated.  All restaurants are seated at
-once, given the parent; then the parent is, given the tables sent up.  The parties of a restaurant are dealt to 16 rounds,
+once, given the parent; then the parent is, given the tables sent up.  The parties of a restaurant are dealt to 8 rounds,
 and those of one round don't see each other's draws.  Words under a millionth of all tokens have their mean as base
 probability while restaurants are seated, their own when texts are scored.  Random numbers are hashes of context, word
 and sweep, so results don't depend on how rows are dealt.
@@ -40,10 +40,10 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: words and pairs with this share of all training tokens, a million at most, are known to every task
 FREQUENT = 1e-6
 #: training tokens of a bucket, about
-BUCKET = 1 << 21
+BUCKET = 1 << 20
 #: tokens, and texts, that a task deals to buckets at a time
-_HELD, _TEXTS = 1 << 20, 1 << 14
-_EXACT, _ROUNDS = 64, 16
+_HELD, _TEXTS = 3 << 18, 1 << 14
+_EXACT, _ROUNDS = 64, 8
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,25 +104,17 @@ def _rows(columns: list[np.ndarray], names: list[str], most: int = 1 << 16) -> I
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and of words that begin a text."""
-    every, first = _Counts(), _Counts()
-
-    def out(c: _Counts, at: int) -> Iterator[pa.RecordBatch]:
-        k, n = c.merged()
-        c.clear()
-        zero = np.zeros(len(n), np.int64)
-        yield from _rows([k, *((n, zero), (zero, n))[at]], ["h", "c", "first"])
-
+    c = _Counts()
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column("text")):
-            h, before, _ = tokens(data, offsets)
-            every.add(h)
-            first.add(h[before == 0])
-            for at, c in enumerate((every, first)):
-                if c.full():
-                    yield from out(c, at)
-    for at, c in enumerate((every, first)):
-        yield from out(c, at)
+            c.add(tokens(data, offsets)[0])
+            if c.full():
+                k, n = c.merged()
+                c.clear()
+                yield from _rows([k, n], ["h", "c"])
+    k, n = c.merged()
+    c.clear()
+    yield from _rows([k, n], ["h", "c"])
 
 
 def _pair(h: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -397,7 +389,7 @@ class Model:
         share = spark.sparkContext.broadcast
         self.docs, self.passes, self.burn = docs, passes, burn
         n_rows = F.count(F.lit(1))
-        counts = cut(self.docs.select("text").mapInArrow(_count_words, "h long, c long, first long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("first").alias("first")))
+        counts = cut(self.docs.select("text").mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
         one = counts.agg(F.sum("c").alias("n"), n_rows.alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
         self.n, self.v = one.n or 0, one.v
         self.least = max(1.0, FREQUENT * self.n)
@@ -413,7 +405,11 @@ class Model:
         discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
         z = {"d0": discount(one.n1, one.n2), "d1": discount(two.n1, two.n2), "theta": theta, "uniform": 1.0 / (self.v + 1), "tables0": float(self.v), "sweeps": sweeps}
         self.z = z
-        self.words = counts.select("h", "c", "first", F.lit(1).cast("long").alias("t0"))
+        # a word of one token is one customer at one table, always
+        self.once, self.n_once = counts.where("c = 1").select("h", "c"), one.n1
+        self.words = counts.where("c > 1").select("h", "c", F.lit(1).cast("long").alias("t0"))
+        #: parent probability of a word of one token, and of an unknown one, in each kept pass
+        self.p0_once: list[float] = []
         self.unknown: list[float] = []
         self._parent(rest, 0, keep=False)
         for turn in range(passes):
@@ -426,9 +422,10 @@ class Model:
         self.split = self._split(rest)[::2]
         columns = [f"p0_{k}" for k in range(passes - burn)]
         got = self.words.where(F.col("c") >= self.least).select("h", *columns).toArrow()
-        order = np.argsort(got.column("h").to_numpy().view(np.uint64))
         #: parent probability of each frequent word in each kept pass
-        self.p0 = np.stack([got.column(c).to_numpy()[order] for c in columns], 1) if len(order) else np.zeros((0, len(columns)))
+        self.p0 = np.stack([self._of_frequent(got.column("h"), got.column(c).to_numpy(), one) for c, one in zip(columns, self.p0_once, strict=True)], 1)
+        one = [F.lit(x).alias(c) for c, x in zip(columns, self.p0_once, strict=True)]
+        self.words = self.words.select("h", "c", *columns).unionByName(self.once.select("h", "c", *one))
 
     def _split(self, rest: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Customers, tables now, and tables in each kept pass by frequent word, of split restaurants."""
@@ -454,17 +451,27 @@ class Model:
         rows = cut(rows.mapInArrow(_seat_parent(spark.sparkContext.broadcast(dict(z))), rows.schema), [old] if hasattr(old, "cut_path") else [])
         rare = F.col("c") < self.least
         sums = rows.agg(F.sum("here").alias("c"), F.sum("t0").alias("t"), F.sum(F.when(rare, F.col("here"))).alias("rc"), F.sum(F.when(rare, F.col("t0"))).alias("rt"), F.count_if(rare).alias("n")).first()
-        z["tables0"] = float(sums.t or 0)
-        unseen, whole = (z["theta"] + z["d0"] * z["tables0"]) * z["uniform"], z["theta"] + (sums.c or 0)
+        z["tables0"] = float((sums.t or 0) + self.n_once)
+        unseen, whole = (z["theta"] + z["d0"] * z["tables0"]) * z["uniform"], z["theta"] + (sums.c or 0) + self.n_once
         p0 = (F.col("here") - F.lit(z["d0"]) * F.col("t0") + F.lit(unseen)) / F.lit(whole)
-        z["rare"] = ((sums.rc or 0) - z["d0"] * (sums.rt or 0) + unseen * sums.n) / whole / max(1, sums.n) or unseen / whole
+        once = self.n_once if self.least > 1 else 0
+        n = max(1, sums.n + once)
+        z["rare"] = ((sums.rc or 0) - z["d0"] * (sums.rt or 0) + once * (1 - z["d0"]) + unseen * n) / whole / n
         got = rows.where(~rare).select("h", p0.alias("p")).toArrow()
-        z["p0"] = got.column("p").to_numpy()[np.argsort(got.column("h").to_numpy().view(np.uint64))]
+        one = (1 - z["d0"] + unseen) / whole
+        z["p0"] = self._of_frequent(got.column("h"), got.column("p").to_numpy(), one)
         path = rows.cut_path
         self.words = rows.withColumn(f"p0_{turn - 1 - self.burn}", p0).drop("here") if keep else rows.drop("here")
         self.words.cut_path = path
         if keep:
             self.unknown.append(unseen / whole if self.n else 1.0)
+            self.p0_once.append(one)
+
+    def _of_frequent(self, h: pa.ChunkedArray, p: np.ndarray, once: float) -> np.ndarray:
+        """``p`` by frequent word; ``once`` for those of one token, which are frequent in a small corpus only."""
+        out = np.full(len(self.deal.words), once)
+        out[_place(self.deal.words, h.to_numpy().view(np.uint64))] = p
+        return out
 
     def _frequent_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, probabilities) of the pairs with at least ``least`` tokens, sorted."""
