@@ -3,20 +3,22 @@
 A page is cut into blocks of text, each known to stand in the article, in marked boilerplate (menus, footers, adverts,
 ...) or neither.  Within a host, pages are put in order of their URL path, and each is paired with the neighbour whose
 path shares the longest beginning.  The blocks of the two are aligned by longest common subsequence; shared blocks
-belong to the site, not the page, and are deleted, except inside an element that marks the article, where two pages may
-well carry the same story.
+belong to the site, not the page, and are deleted.  What an element marks as the article needs more evidence, as two pages
+may well carry one story: such a block goes only if both neighbours share it.  A neighbour that shares half of the
+article's blocks carries the same story and says nothing about the site; no block of the article goes then.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, table
 
@@ -35,9 +37,19 @@ _MARKS = frozenset(
 )
 #: these only outside the article
 _OUTER = frozenset("header footer masthead topbar copyright".split())
+#: words that say where or how something stands, not what it is
+_NEUTRAL = frozenset("area bar block bottom box button buttons container content inner item items left link links list main outer page panel right section site slot top unit wrap wrapper".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 
+def _marked(name: str, inside: bool) -> bool:
+    """Whether a class or id marks boilerplate.  In the article all of its words must, so that related-work is none."""
+    found = set(re.findall("[a-z]+", name))
+    if inside:
+        return bool(found & _MARKS) and found <= _MARKS | _NEUTRAL
+    return bool(found & (_MARKS | _OUTER))
+
+
 def _dropped(tag: str, attrs: str, inside: bool) -> bool:
     if tag in _DROP or (tag == "header" and not inside):
         return True
@@ -46,8 +58,7 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), next(filter(None, values), "").lower()
         if name in ("class", "id"):
-            found = set(re.findall("[a-z]+", value))
-            if found & _MARKS or (not inside and found & _OUTER):
+            if any(_marked(x, inside) for x in value.split()):
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
             return True
@@ -64,6 +75,7 @@ def blocks(html: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # (tag, dropped, in article)
+    open_ = Counter()
     dropped = inside = False
 
     def flush() -> None:
@@ -73,10 +85,14 @@ def blocks(html: str) -> list[tuple[str, int]]:
             if text:
                 out.append((text, BOILERPLATE if dropped else ARTICLE if inside else PLAIN))
 
+    def close(k: int) -> None:
+        open_.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+
     def pop(k: int) -> None:
         nonlocal dropped, inside
         flush()
-        del stack[k:]
+        close(k)
         dropped, inside = stack[-1][1:] if stack else (False, False)
 
     at = 0
@@ -91,13 +107,13 @@ def blocks(html: str) -> list[tuple[str, int]]:
                 parts.append(m[0][9:-3].replace("&", "&amp;"))
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_[tag] > 0 else ():
                 if stack[k][0] == tag:
                     # inline tags only matter to the stack
                     if tag in _BLOCK or any(x[1] != dropped or x[2] != inside for x in stack[: k or 1][-1:]) or not k:
                         pop(k)
                     else:
-                        del stack[k:]
+                        close(k)
                     break
             else:
                 if tag in _BLOCK:
@@ -127,6 +143,7 @@ def blocks(html: str) -> list[tuple[str, int]]:
             flush()
         dropped, inside = out_here, inside or tag in _ARTICLE
         stack.append((tag, dropped, inside))
+        open_[tag] += 1
     if at < len(html):
         cut_off = re.search(r"<[a-zA-Z/!?]", html[max(at, last + 1) :])  # a tag cut off at the end is not text
         parts.append(html[at : max(at, last + 1) + cut_off.start()] if cut_off else html[at:])
@@ -135,25 +152,47 @@ def blocks(html: str) -> list[tuple[str, int]]:
 
 
 def shared(a: list[int], b: list[int]) -> set[int]:
-    """Indexes of ``a`` on a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    where: dict[int, list[int]] = {}
+    """Indexes of ``a`` on a longest common subsequence with ``b``.
+
+    A row of the table of lengths is a bit vector, whose zeros are the places where the length grows, and follows from the
+    row before by an addition; so the time is len(a) * len(b) / 64, whatever repeats.  Every 256th row is kept, the others
+    are made again on the way back.
+    """
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    out = {*range(low), *range(len(a) - high, len(a))}
+    b = b[low : len(b) - high]
+    where: dict[int, int] = {}
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            elif j < tails[k]:
-                tails[k], nodes[k] = j, node
-    out, node = set(), nodes[-1] if nodes else None
-    while node:
-        out.add(node[0])
-        node = node[1]
+        where[x] = where.get(x, 0) | 1 << j
+    rows = [i for i in range(low, len(a) - high) if a[i] in where]
+    mask, step = (1 << len(b)) - 1, 256
+
+    def after(v: int, i: int) -> int:
+        u = v & where[a[i]]
+        return (v + u | v - u) & mask
+
+    kept = [mask]
+    v = mask
+    for k, i in enumerate(rows, 1):
+        v = after(v, i)
+        if k % step == 0:
+            kept.append(v)
+    left = mask  # the places of b that may still be met
+    for s in range(len(kept) - 1, -1, -1):
+        some = rows[s * step : (s + 1) * step]
+        table_ = [kept[s]]
+        for i in some:
+            table_.append(after(table_[-1], i))
+        for k in range(len(some), 0, -1):
+            zeros = ~table_[k] & left
+            if zeros.bit_count() > (~table_[k - 1] & left).bit_count():
+                out.add(some[k - 1])
+                left = (1 << zeros.bit_length() - 1) - 1
     return out
 
 
@@ -192,19 +231,25 @@ def _common(a: str, b: str | None) -> int:
     return n
 
 
+def lost(prints: list[int], kinds: list[int], nearest: list[int] | None, other: list[int] | None) -> list[int]:
+    """Places of the blocks that belong to the site, by the blocks of the nearest page and of the other neighbour."""
+    near, far = (shared(prints, x) if x else set() for x in (nearest, other))
+    gone = {i for i in near if kinds[i] == PLAIN}
+    article = {i for i, k in enumerate(kinds) if k == ARTICLE}
+    if all(2 * len(x & article) < len(article) for x in (near, far)):
+        gone |= near & far & article
+    return sorted(gone)
+
+
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks that a page shares with its partner and loses, for the pages that lose any."""
+    """Blocks that a page shares with its neighbours and loses, for the pages that lose any."""
     for batch in batches:
         keys, gone = [], []
         for r in batch.to_pylist():
-            if ARTICLE in r["kinds"]:
-                continue  # all that is kept of it stands in the article
             first = _common(r["path"], r["before_path"]) >= _common(r["path"], r["after_path"])
-            other = r["before"] if first else r["after"]
-            lost = [i for i in sorted(shared(r["prints"], other)) if r["kinds"][i] == PLAIN] if other else []
-            if lost:
+            if places := lost(r["prints"], r["kinds"], *((r["before"], r["after"]) if first else (r["after"], r["before"]))):
                 keys.append(r["_key"])
-                gone.append(lost)
+                gone.append(places)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["_key", "gone"])
 
 
@@ -215,8 +260,9 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = []
             for html, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist(), strict=True):
                 found = blocks(html or "")
-                marked, lost = any(k == ARTICLE for _, k in found), set(gone or ())
-                texts.append("\n".join(t for i, (t, k) in enumerate(found) if k == ARTICLE or (k == PLAIN and not marked and i not in lost)))
+                # in a page that marks its article, what stands outside is not part of it
+                kind, gone = ARTICLE if any(k == ARTICLE for _, k in found) else PLAIN, set(gone or ())
+                texts.append("\n".join(t for i, (t, k) in enumerate(found) if k == kind and i not in gone))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -239,9 +285,9 @@ def extract(pages: DataFrame, most: int = 500_000) -> DataFrame:
     ordered = parsed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     ordered = cut(ordered.withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    a, b = counts.alias("a"), counts.alias("b")  # a row for each range
-    starts = a.join(F.broadcast(b), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_start"))
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    so_far = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", F.coalesce(so_far, F.lit(0)).alias("_start"))
     ranked = ordered.withColumn("_part", part).join(F.broadcast(starts), "_part")
     ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     ranked = cut(ranked.select("_key", "host", "path", "kinds", "prints", "_rank"))

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -161,6 +162,32 @@ def test_shared_is_longest():
         assert all(any(x == y for y in it) for x in (a[i] for i in sorted(got)))
 
 
+def test_marks_in_the_article():
+    kept = '<article><div id="related-work">a</div><p class="share-prices">b</p><p class="alert-level">c</p><figure class="social-history">d</figure><div class="wide">e</div></article>'
+    assert [k for _, k in html_extract.blocks(kept)] == [html_extract.ARTICLE] * 5
+    dropped = '<article><div class="wide share-buttons">a</div><div id="cookie_notice">b</div><div class="comments">c</div><p>d</p></article><div class="main-menu">e</div>'
+    assert [k for _, k in html_extract.blocks(dropped)] == [html_extract.BOILERPLATE] * 3 + [html_extract.ARTICLE, html_extract.BOILERPLATE]
+
+
+def test_long_pages_end():
+    start = time.time()
+    assert len(html_extract.shared([1] * 8000, [1] * 7000 + [2] * 1000)) == 7000
+    assert len(html_extract.shared([1, 2] * 4000, [2, 1] * 4000)) == 7999
+    html_extract.blocks("<b>x" * 7000 + "</i>" * 14000)
+    assert time.time() - start < 4
+
+
+def test_lost_blocks():
+    a, p, x = html_extract.ARTICLE, html_extract.PLAIN, html_extract.BOILERPLATE
+    lost = html_extract.lost
+    kinds, prints = [x, a, a, a, a, p], [1, 2, 3, 4, 5, 6]
+    near, far = [1, 9, 3, 8, 6], [3, 7, 6]
+    assert lost(prints, kinds, near, far) == [2, 5]  # both neighbours have 3
+    assert lost(prints, kinds, near, [7]) == [5] and lost(prints, kinds, near, None) == [5] and lost(prints, kinds, None, None) == []
+    assert lost(prints, kinds, [2, 3, 4, 10], far) == []  # the same story
+    assert lost([1, 1], [p, p], [1], None) in ([0], [1])
+
+
 def test_differencing(spark):
     page = lambda n: f"<body><div>Site name</div><div>Home of {n}</div><p>story {n}</p><div>All rights</div></body>"
     rows = [(i, f"http://h.example/a/{i}", page(i)) for i in range(5)] + [(10, "http://solo.example/x?y#z", page(9)), (11, None, None), (12, "nonsense", ""), (3, "http://h.example/a/3", page(3))]
@@ -171,6 +198,11 @@ def test_differencing(spark):
     assert by[1] == "Home of 1\nstory 1" and by[10] == "Site name\nHome of 9\nstory 9\nAll rights" and by[11] == by[12] == "" and by[20] == "Site name\nown"
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    # a line that all articles of a host have is the site's, a story that two pages carry is not
+    story = lambda n: f"<article><h1>Title {n}</h1><p>one {n}</p><p>Read more every day</p><p>two {n}</p></article>"
+    rows = [(i, f"http://h.example/{i}", story(i)) for i in range(5)] + [(7, "http://h.example/22", story(2))]
+    by = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by[1] == "Title 1\none 1\ntwo 1" and "Read more" in by[0] and by[2] == by[7] == "Title 2\none 2\nRead more every day\ntwo 2"
 
 
 # ---------------------------------------------------------------- similarity join
