@@ -4,11 +4,13 @@ Each document is tokenised and cut into windows of 1024 ids and one rest.  The r
 combinations of at most three lengths that fill a window exactly (and the lengths that are a power of two, which need no
 padding by themselves) are enumerated; non-negative repeat counts that explain the histogram best are found by projected
 gradient descent, rounded down, and what is left is packed greedily, best fit first.  All that depends on the histogram
-of 1024 numbers alone; rows meet the resulting plan by a broadcast of at most one row for each combination and length.
+of 1024 numbers alone; rows meet the resulting plan by a broadcast of at most one row for each combination and length, and one for each slice
+of 262,144 rows.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -19,36 +21,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, table, text_slices
 
 END = 0
 
 
 def _encoder(folder: str | None):  # noqa: ANN202
-    """text -> ids as an array.  The file of ranks has the vocabulary of byte_bpe_50k.json and gives the same ids in a
-    quarter of the time; a text that its splitter gives up on goes through the other file."""
-    import base64
-
+    """texts -> ids of each as an array."""
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    def place(name: str) -> str:
-        return f"{folder}/{name}" if folder else str(public_tokenizers.path(name))
-
-    with open(place("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow: list = []
+    name = "byte_bpe_50k.json"
+    tokenizer = Tokenizer.from_file(f"{folder}/{name}" if folder else str(public_tokenizers.path(name)))
 
-    def encode(text: str) -> np.ndarray:
-        try:
-            return np.array(fast.encode_ordinary(text), "<u4")
-        except (ValueError, UnicodeError, RuntimeError):
-            if not slow:
-                slow.append(Tokenizer.from_file(place("byte_bpe_50k.json")))
-                slow[0].encode_special_tokens = True
-            return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     return encode
 
@@ -61,14 +48,14 @@ def pieces(docs: DataFrame, window: int = 1024, tokenizers: str | None = None, w
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         encode = _encoder(tokenizers)
         for batch in batches:
-            ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo in range(0, len(ids_of), 64):
-                some = [t or "" for t in texts[lo : lo + 64].to_pylist()]
+            docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for lo, hi, *_ in text_slices(texts, 1 << 18):
                 out: list[tuple] = []
-                for doc_id, text in zip(ids_of[lo : lo + 64], some, strict=True):
-                    ids = np.append(encode(text), np.array([END], "<u4"))
+                for doc_id, found in zip(docs_[lo:hi], encode([t or "" for t in texts[lo:hi].to_pylist()]), strict=True):
+                    ids = np.append(found, np.array([END], "<u4"))
                     for s in range(0, len(ids), window):
                         part = ids[s : s + window]
                         out.append((doc_id, s, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.astype(np.int32)] * with_ids)))
@@ -167,17 +154,21 @@ def make_plan(hist: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]
     return plan
 
 
-def pack(cuts: DataFrame, window: int = 1024, slices: int = 256) -> DataFrame:
+def pack(cuts: DataFrame, window: int = 1024, slice_rows: int = 1 << 18) -> DataFrame:
     """Deal ``cuts`` (doc_id, start, length and others, lengths from 1 to ``window``) into sequences: adds sequence_id and offset.
 
-    Sequences are numbered gapless from 0.  The pieces of a length are counted in ``slices`` parts, so that a length
-    which most pieces share is not in one task.  Repeated rows are pieces of their own.
+    Sequences are numbered gapless from 0.  The pieces of a length are counted in slices of about ``slice_rows``, so that a
+    length which most pieces share is not in one task; the number of slices grows with the pieces, one for so many.
+    Repeated rows are pieces of their own.
     """
-    cuts = cuts.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int"))
-    counts = cut(cuts.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n")))  # at most window * slices rows
+    spark = cuts.sparkSession
     hist = np.zeros(window + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect():
+    for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most window rows
         hist[r.length] = r.n
+    slices = spark.createDataFrame([(n, int(-(-hist[n] // slice_rows))) for n in map(int, np.flatnonzero(hist))], "length long, _slices long")
+    dealt = F.pmod(F.xxhash64("doc_id", "start"), F.col("_slices")).cast("int")
+    cuts = cuts.join(F.broadcast(slices), "length").select(*cuts.columns, dealt.alias("_slice"))
+    counts = cut(cuts.groupBy("length", "_slice").agg(F.count(F.lit(1)).alias("_n")))
     rows, seq, used = [], 0, np.zeros(window + 1, np.int64)
     for parts, times in make_plan(hist, window):
         at = 0
@@ -192,7 +183,7 @@ def pack(cuts: DataFrame, window: int = 1024, slices: int = 256) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("length", "_slice").orderBy("doc_id", "start"))
     ranked = cuts.withColumn("_place", place).join(F.broadcast(offsets), ["length", "_slice"]).withColumn("_rank", F.col("_before") + F.col("_place") - 1)
     table_ = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    shared = cuts.sparkSession.sparkContext.broadcast((table_[:, 0] << 48 | table_[:, 1], table_[:, 3], table_[:, 4]))
+    shared = spark.sparkContext.broadcast((table_[:, 0] << 48 | table_[:, 1], table_[:, 3], table_[:, 4]))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, shift, offset = shared.value
