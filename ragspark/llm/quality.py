@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, held: int = 2)
     """A model of ``labels`` (doc_id, quality) over ``docs`` (doc_id, text).
 
     Learns from at most ``sample`` labelled rows, those with the smallest hash of doc_id, none of them of fold ``held``
-    of 4.  Labels or ids that are null teach nothing; of several labels of an id the largest counts.  Without labels the
+    of 4; a text teaches by all its passages.  Labels or ids that are null teach nothing; of several labels of an id the
+    largest counts, of several texts the one with the smallest hash.  Without labels the
     model is untrained and scores are about a half.
     """
     known = labels.where("quality is not null and doc_id is not null").where(fold_of(F.col("doc_id"), 4) != held)
@@ -151,12 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, held: int = 2)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 x, per = passages(data, offsets)
-                # a very long text teaches by passages spread evenly over all of it
-                parts = [p if len(p) <= 256 else p[np.linspace(0, len(p) - 1, 256).astype(int)] for p in np.split(x, np.cumsum(per)[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], batch.column("label")[lo:hi], pa.array([p.astype(np.float16).tobytes() for p in parts], pa.binary())], ["doc_id", "label", "bag"])
+                bags = [p.astype(np.float16).tobytes() for p in np.split(x, np.cumsum(per)[:-1])]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[lo:hi] for c in ("doc_id", "label", "hash")], pa.array(bags, pa.binary())], ["doc_id", "label", "hash", "bag"])
 
-    got = rows.mapInArrow(describe, "doc_id long, label int, bag binary").collect()
-    got = sorted({r.doc_id: r for r in got}.values(), key=lambda r: r.doc_id)
+    # one row for each id, so at most ``sample``
+    every = rows.withColumn("hash", F.xxhash64("text")).mapInArrow(describe, "doc_id long, label int, hash long, bag binary")
+    got = sorted(every.groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("bag", "hash").alias("bag")).collect(), key=lambda r: r.doc_id)
     bags = [np.frombuffer(bytes(r.bag), np.float16).reshape(-1, N_FEATURES).astype(np.float32) for r in got]
     return Attention().fit(bags, np.array([r.label for r in got], np.float32))
 
