@@ -24,7 +24,7 @@ def _digests(docs: DataFrame, runs: int) -> DataFrame:
     return out.select(
         "doc_id", "_chars", "text_hash", F.unhex(F.sha2(F.col("_plain"), 256)).alias("_digest"),
         F.xxhash64("_plain").alias("_check"), F.octet_length("_plain").cast("long").alias("_bytes"),
-        F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(runs)).cast("int").alias("_run"),
+        F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(runs)).cast("int").alias("_run"), F.monotonically_increasing_id().alias("_row"),
     )
 
 
@@ -38,11 +38,11 @@ def mark_duplicates(docs: DataFrame, runs: int = 256, fan_in: int = 16) -> DataF
     Returns doc_id, keep_id, group_size, kept, text_sha256, text_hash (xxhash64 of the text as it is).  Of equal texts the one with the most code points before
     normalisation stays, then the smallest doc_id.  A null text is the empty text; all empty texts are equal.  A null
     doc_id comes after all others (keep_id is null only if the group has no other); rows that repeat both doc_id and
-    text count each and share the mark.  Other columns are ignored, whatever their names.  An empty table gives an empty
+    text count each, and one of them stays.  Other columns are ignored, whatever their names.  An empty table gives an empty
     result.  ``runs`` and ``fan_in`` are powers of two.
     """
     rows = cut(_digests(docs, runs))
-    best = F.struct((-F.col("_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+    best = F.struct((-F.col("_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     merged = rows.groupBy("_run", *_SAME).agg(F.min(best).alias("_best"), F.count(F.lit(1)).alias("_n"))
     first = merged.select("_run", *_SAME)
     bits, step, done = runs.bit_length() - 1, fan_in.bit_length() - 1, 0
@@ -56,7 +56,7 @@ def mark_duplicates(docs: DataFrame, runs: int = 256, fan_in: int = 16) -> DataF
     # back down the tree: a digest has at most one row a run here, so copies are spread over the runs
     told = first.join(merged, _SAME)
     out = rows.join(told, ["_run", *_SAME])
-    kept = (-F.col("_chars") == F.col("_best.less")) & F.col("doc_id").eqNullSafe(F.col("_best.id"))
+    kept = F.col("_row") == F.col("_best.row")
     return out.select("doc_id", F.col("_best.id").alias("keep_id"), F.col("_n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"), "text_hash")
 
 
@@ -68,7 +68,7 @@ SQL = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS p FROM documents),
      d AS (SELECT doc_id, length(t) AS chars, sha256(p) AS text_sha256 FROM n),
      g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-                  first_value(chars) OVER w AS best FROM d
+                  row_number() OVER w = 1 AS kept FROM d
            WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT doc_id, keep_id, group_size, chars = best AND doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """
