@@ -36,7 +36,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rnd = random.Random(3)
     rows = [(i, " ".join(word(rnd, 9) for _ in range(rnd.choice([3, 50, 400, 2500])))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "<|endoftext|> \n\n\t x" + " " * 3000), (5, "again"), (5, "again"), (None, "no id"), (103, "𝒳é" * 4000)]
