@@ -2,13 +2,13 @@
 
 A text's fingerprints are the hashes of its k-grams that are the smallest in some run of w consecutive k-grams.  Two
 texts that share k + w - 1 words share such a run, so they share a fingerprint: with k = 5 and w = 6 no shared passage of
-10 words is missed.  Documents' fingerprints are matched with those of the benchmark, and each hit is extended to the
-windows of 10 words around it.  An item of n < 10 words is a window of its own, found with k and w that add up to n + 1.
+10 words is missed.  Documents' fingerprints are joined with those of the benchmark; each hit is extended to the windows
+of 10 words around it, and these are joined with the benchmark's windows.  Windows are the same when 128 bits of hash are.
+An item of n < 10 words is a window of its own, found with k and w that add up to n + 1.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, grams, table, text_slices, words
-
-_NONE = hashlib.sha256(b"").hexdigest()
-
+from .common import ALNUM, cut, grams, mix, signed, table, text_slices, words
 
 def winnow(h: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the fingerprints among words ``h``; ``row`` tells texts apart.  Of equal hashes in a run the rightmost counts."""
@@ -43,44 +40,19 @@ def _rows_of(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-class Family:
-    """Windows of ``length`` words of the benchmark, with their fingerprints and the items that have them."""
-
-    def __init__(self, length: int, h: np.ndarray, row: np.ndarray):
-        self.length, self.k = length, (length + 1) // 2
-        self.w = length - self.k + 1
-        self.prints = np.unique(winnow(h, row, self.k, self.w)[1])
-        g = grams(h, length)
-        own = row[: len(g)]
-        whole = own == row[length - 1 : length - 1 + len(g)]
-        both = np.unique(np.stack([g[whole], own[whole].astype(np.uint64)], 1), axis=0)
-        self.windows, self.first = np.unique(both[:, 0], return_index=True)
-        self.first = np.append(self.first, len(both))
-        self.items = both[:, 1].astype(np.int64)
-
-    def found(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first words, windows) of all occurrences: hits of fingerprints, extended to the windows that hold them."""
-        none = np.zeros(0, np.int64)
-        at, g = winnow(h, row, self.k, self.w)
-        hits = at[_in(self.prints, g)]
-        if not len(hits):
-            return none, none
-        starts = np.unique(hits[:, None] - np.arange(self.w)[None, :])
-        starts = starts[(starts >= 0) & (starts + self.length <= len(h))]
-        starts = starts[row[starts] == row[starts + self.length - 1]]
-        v = np.full(len(starts), self.length, np.uint64)
-        g = grams_at(h, starts, self.length, v)
-        hit = _in(self.windows, g)
-        return starts[hit], np.searchsorted(self.windows, g[hit])
-
-
-def grams_at(h: np.ndarray, starts: np.ndarray, k: int, g: np.ndarray) -> np.ndarray:
-    """``grams`` at some places only."""
-    from .common import mix
+def parameters(length: int) -> tuple[int, int]:
+    """k and w for windows of ``length`` words."""
+    k = (length + 1) // 2
+    return k, length - k + 1
+
 
+def grams_at(h: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``k`` words from each of some places on."""
+    a, b = np.full(len(starts), k, np.uint64), np.full(len(starts), k + 1, np.uint64)
     for j in range(k):
-        g = g * np.uint64(0x5851F42D4C957F2D) + h[starts + j]
-    return mix(g)
+        a = a * np.uint64(0x5851F42D4C957F2D) + h[starts + j]
+        b = (b ^ mix(h[starts + j] + np.uint64(j))) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(a), mix(b)
 
 
 def _in(table_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -91,104 +63,141 @@ def _in(table_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return table_[i] == x
 
 
-def families(texts: list[str | None], longest: int = 10) -> list[Family]:
-    out: dict[int, tuple[list, list]] = {}
-    for lo, hi, data, offsets in text_slices(pa.array(texts, pa.string())):
-        h, _, _, counts = words(data, offsets, ALNUM)
-        row = _rows_of(counts) + lo
-        for length in np.unique(np.minimum(counts, longest)):
-            if length:
-                mine = np.minimum(counts, longest)[row - lo] == length
-                out.setdefault(int(length), ([], []))
-                out[int(length)][0].append(h[mine])
-                out[int(length)][1].append(row[mine])
-    return [Family(n, np.concatenate(a), np.concatenate(b)) for n, (a, b) in sorted(out.items())]
+def _item_windows(longest: int):  # noqa: ANN202
+    """The windows of each item with the fingerprints of the whole: rows of a fingerprint (p) or of a window (a, b)."""
+    names = ["item", "length", "p", "a", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, offsets in text_slices(batch.column("text")):
+                h, _, _, counts = words(data, offsets, ALNUM)
+                row = _rows_of(counts)
+                size = np.minimum(counts, longest)
+                for n in map(int, np.unique(size[size > 0])):
+                    mine = size[row] == n
+                    x, own = h[mine], row[mine]
+                    _, g = winnow(x, own, *parameters(n))
+                    g = np.unique(g)
+                    none = lambda k: pa.nulls(k, pa.int64())
+                    yield pa.RecordBatch.from_arrays([none(len(g)), pa.array(np.full(len(g), n, np.int32)), signed(g), none(len(g)), none(len(g))], names)
+                    starts = np.arange(len(x) - n + 1)
+                    starts = starts[own[starts] == own[starts + n - 1]]
+                    a, b = grams_at(x, starts, n)
+                    ids = batch.column("item_id").take(pa.array(lo + own[starts]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(starts), n, np.int32)), none(len(starts)), signed(a), signed(b)], names)
+
+    return run
+
 
+_HITS = "_key long, doc_id long, _text long, n_words long, length int, p long, first array<int>, a array<long>, b array<long>"
 
-_OUT = "doc_id long, _text long, n_words long, hits array<struct<first:long,end:long>>, items array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("_text", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
 
+def _fingerprints(shared: object, lengths: list[int]):  # noqa: ANN202
+    """A row for each document, and one for each of its fingerprints with the windows around it: their first words and hashes.
 
-def _scan(docs: DataFrame, items: list[tuple[int | None, str | None]]) -> DataFrame:
-    """For each document the runs of hit words and the items that occur, for one block of the benchmark."""
-    # items of one id are one item
-    ids = sorted({i for i, _ in items if i is not None})
-    number = {i: n for n, i in enumerate(ids)}
-    items = [(number[i], t) for i, t in items if i is not None]
-    shared = docs.sparkSession.sparkContext.broadcast((families([t for _, t in items]), np.array([n for n, _ in items], np.int64), np.array(ids, np.int64)))
+    ``shared``: for each length the benchmark's fingerprints, sorted, if these are few enough to be told to all tasks; only
+    those go on then.
+    """
+    names = [x.split()[0] for x in _HITS.split(", ")]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fams, owner, names = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value if shared else None
         for batch in batches:
+            keys = batch.column("_key").to_numpy()
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 h, _, _, counts = words(data, offsets, ALNUM)
-                row, first = _rows_of(counts), np.append(0, np.cumsum(counts))
-                cover = np.zeros(len(h) + 1, np.int64)
-                got: list[set[int]] = [set() for _ in range(hi - lo)]
-                for f in fams:
-                    at, win = f.found(h, row)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + f.length, -1)
-                    for r, w in np.unique(np.stack([row[at], win], 1), axis=0) if len(at) else ():
-                        got[r].update(owner[f.items[f.first[w] : f.first[w + 1]]].tolist())
-                on = np.cumsum(cover[:-1]) > 0
-                hits = []
-                for r in range(hi - lo):
-                    if not got[r]:
-                        hits.append([])
-                        continue
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], on[first[r] : first[r + 1]], [False]]).astype(np.int8)))
-                    hits.append([{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
+                row = _rows_of(counts)
+                none = lambda kind, n=hi - lo: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id")[lo:hi], batch.column("_text")[lo:hi], pa.array(counts), pa.array(hits, _ARROW.field("hits").type),
-                        pa.array([names[sorted(x)].tolist() for x in got], _ARROW.field("items").type),
-                    ],
-                    schema=_ARROW,
+                    [batch.column("_key")[lo:hi], batch.column("doc_id")[lo:hi], batch.column("_text")[lo:hi], pa.array(counts), none(pa.int32()), none(pa.int64()), none(pa.list_(pa.int32())), none(pa.list_(pa.int64())), none(pa.list_(pa.int64()))], names
                 )
-
-    return docs.mapInArrow(scan, _OUT)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+                first = np.append(0, np.cumsum(counts))
+                for n in lengths:
+                    k, w = parameters(n)
+                    at, g = winnow(h, row, k, w)
+                    if known is not None:
+                        on = _in(known[n], g)
+                        at, g = at[on], g[on]
+                    for part in range(0, len(at), 1 << 15):
+                        x, p = at[part : part + (1 << 15)], g[part : part + (1 << 15)]
+                        starts = x[:, None] - np.arange(w)[None, :]
+                        good = (starts >= 0) & (starts + n <= len(h))
+                        good[good] = row[starts[good]] == row[starts[good] + n - 1]
+                        good &= row[np.maximum(starts, 0)] == row[x][:, None]
+                        a, b = grams_at(h, starts[good], n)
+                        ends = np.append(0, np.cumsum(good.sum(1))).astype(np.int32)
+                        place = (starts - first[row[x]][:, None])[good].astype(np.int32)
+                        m = len(x)
+                        nulls = pa.nulls(m, pa.int64())
+                        lists = [pa.ListArray.from_arrays(pa.array(ends), v) for v in (pa.array(place), signed(a), signed(b))]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row[x]]), nulls, nulls, nulls, pa.array(np.full(m, n, np.int32)), signed(p), *lists], names)
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of hit words out of sorted, distinct first words and lengths (``at``: first * 16 + length)."""
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        out = []
+        for at in batch.column("at"):
+            x = at.values.to_numpy()
+            first = x >> 4
+            end = np.maximum.accumulate(first + (x & 15))
+            new = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
+            out.append([{"first": a, "end": b} for a, b in zip(first[new].tolist(), end[np.append(new[1:], len(x)) - 1].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(out, kind), batch.column("items"), batch.column("n_items")], ["_key", "hits", "items", "n_items"])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most: int = 1_000_000, longest: int = 10) -> DataFrame:
     """What each document shares with the benchmark; one row for each input row.
 
     docs: doc_id, text; benchmark: item_id, text.  Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
     ``hits`` (runs of hit words, struct(first, end)), ``items`` (item ids) and text_hash (xxhash64 of the text).  Null and empty texts have no words.
-    Items without words or id match nothing; rows that repeat an item_id are one item.  Null and repeated doc_ids are
-    kept as they come.  Other columns are ignored.  An empty benchmark contaminates nothing.
+    Items without words match nothing; rows that repeat an item_id are one item, and so are those without one: they hit
+    words and count as an item, but have no place in ``items``.  Null and repeated doc_ids are kept as they come.  Other
+    columns are ignored.  An empty benchmark contaminates nothing.
 
-    The benchmark goes to the executors in blocks of at most ``block_bytes`` of text (or a single item); with more than
-    one block the documents are scanned once for each, and the hits are merged by document.
+    ``most``: fingerprints, windows or hits up to which they are broadcast; more of them are joined by shuffle, with
+    the same results.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"))
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_key"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    if blocks == 1:
-        out = _scan(docs, [tuple(r) for r in items.collect()])
-    else:
-        dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(2 * blocks)))
-        parts = None
-        for b in range(2 * blocks):
-            part = _scan(docs, [tuple(r) for r in dealt.where(F.col("_block") == b).drop("_block").collect()])
-            parts = part if parts is None else parts.unionByName(part)
-        # rows that agree in id and text have the same hits; each is counted as often as it comes
-        merged = parts.groupBy("doc_id", "_text").agg(
-            F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count(F.lit(1)) / (2 * blocks)).cast("int").alias("_times"),
-        )
-        start = F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)")
-
-        def join_(a, x):
-            last = F.element_at(a, -1)
-            return F.when((F.size(a) > 0) & (x["first"] <= last["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x)))
-
-        out = merged.withColumn("hits", F.when(F.size("all") == 0, start).otherwise(F.aggregate("all", start, join_))).withColumn("_each", F.explode(F.sequence(F.lit(1), "_times")))
+    told = cut(items.mapInArrow(_item_windows(longest), "item long, length int, p long, a long, b long"))
+    prints = told.where("p is not null").select("length", "p").distinct()
+    windows = told.where("p is null").groupBy("length", "a", "b").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed"))
+    lengths = sorted(r.length for r in told.select("length").distinct().collect())  # at most ``longest``
+    few = prints.count() <= most
+    shared = None
+    if few:
+        got = prints.toArrow()
+        of, p = got.column("length").to_numpy(), got.column("p").to_numpy().view(np.uint64)
+        shared = spark.sparkContext.broadcast({n: np.sort(p[of == n]) for n in lengths})
+    found = cut(docs.mapInArrow(_fingerprints(shared, lengths), _HITS))
+    near = found.where("n_words is null")
+    if not few:
+        near = near.join(prints, ["length", "p"], "left_semi")
+    near = near.select("_key", "length", F.explode(F.arrays_zip("first", "a", "b")).alias("x")).select("_key", "length", "x.first", "x.a", "x.b").distinct()
+    if told.count() <= most:
+        windows = F.broadcast(windows)
+    at = (F.col("first").cast("long") * 16 + F.col("length")).alias("at")
+    hits = cut(near.join(windows, ["length", "a", "b"]).select("_key", at, "items", "unnamed"))
+    of_doc = hits.groupBy("_key").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    named = hits.select("_key", F.explode("items").alias("item")).distinct().groupBy("_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    unnamed = hits.groupBy("_key").agg(F.max("unnamed").alias("unnamed"))
+    both = of_doc.join(unnamed, "_key").join(named, "_key", "left")
+    none = F.expr("cast(array() as array<bigint>)")
+    both = both.select("_key", "at", F.coalesce("items", none).alias("items"), (F.coalesce(F.size("items"), F.lit(0)) + F.col("unnamed")).cast("long").alias("n_items"))
+    both = cut(both.mapInArrow(_runs, "_key long, hits array<struct<first:long,end:long>>, items array<long>, n_items long"), [hits])
+    if both.count() <= most:
+        both = F.broadcast(both)
+    out = found.where("n_words is not null").select("_key", "doc_id", "_text", "n_words").join(both, "_key", "left")
+    out = out.withColumn("hits", F.coalesce("hits", F.expr("cast(array() as array<struct<first:bigint,end:bigint>>)"))).withColumn("items", F.coalesce("items", none))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"), "hits", "items", F.col("_text").alias("text_hash"),
     )
 

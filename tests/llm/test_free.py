@@ -88,12 +88,12 @@ def brute_hits(text, items):
     for i, t in items:
         v = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
         n = min(10, len(v))
-        wins = {tuple(v[s : s + n]) for s in range(len(v) - n + 1)} if n and i is not None else set()
+        wins = {tuple(v[s : s + n]) for s in range(len(v) - n + 1)} if n else set()
         for s in range(len(w) - n + 1):
             if n and tuple(w[s : s + n]) in wins:
                 hit.update(range(s, s + n))
                 names.add(i)
-    return len(w), len(hit), sorted(names)
+    return len(w), len(hit), sorted(names, key=str)
 
 
 def test_decontamination(spark):
@@ -103,11 +103,12 @@ def test_decontamination(spark):
     rows = [(i, w(rnd.choice([0, 3, 9, 40, 200]))) for i in range(40)] + [(50 + i, f"X. {w(3)} {t} {w(2)}!") for i, (_, t) in enumerate(items)]
     rows += [(90, None), (91, ""), (92, "ONE-two"), (93, "a " * 200), (94, "one two " + items[0][1][5:]), (7, "sólo"), (7, "sólo"), (None, "one two")]
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("hits", F.lit(1))
-    for block in (1 << 25, 100):
-        got = decontaminate.decontaminate(docs(spark, rows), b, block).collect()
+    for most in (1_000_000, 0):
+        got = decontaminate.decontaminate(docs(spark, rows), b, most).collect()
         assert len(got) == len(rows)
-        want = Counter((i, *brute_hits(t, items)[:2], tuple(brute_hits(t, items)[2])) for i, t in rows)
-        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(sorted(r["items"]))) for r in got) == want
+        want = Counter((i, *brute_hits(t, items)[:2], tuple(sorted({*brute_hits(t, items)[2]} - {None})), len(brute_hits(t, items)[2])) for i, t in rows)
+        assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.n_items) for r in got) == want
+        assert all(sum(x.end - x.first for x in r.hits) == r.n_hit for r in got)
     assert decontaminate.decontaminate(docs(spark, []), b).collect() == []
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs(spark, rows), b.limit(0)).collect())
 
