@@ -30,7 +30,27 @@ PATTERNS = {
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-_SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,kind:int,end:int,value:string,near:string>>"
+#: elements that a running total goes through one by one
+_STEP = 256
+
+
+def _bound(value: Column, use) -> Column:  # noqa: ANN001
+    """``use`` of ``value``, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, more) -> Column:  # noqa: ANN001
+    """For each of an array of whole numbers what ``more`` (sum or greatest) makes of 0 and all before it; by blocks, so that no array is copied for each element."""
+    fold = lambda x, start=F.lit(0): F.aggregate(x, start, more)
+
+    def with_blocks(v: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.size(v) - 1, F.lit(_STEP))
+        return _bound(F.transform(firsts, lambda b: fold(F.slice(v, b + 1, F.lit(_STEP)))), lambda sums: _bound(F.transform(sums, lambda _, j: fold(F.slice(sums, F.lit(1), j))), lambda starts: F.transform(
+            v, lambda _, i: fold(F.slice(v, i - i % _STEP + 1, i % _STEP), F.get(starts, F.floor(i / _STEP).cast("int")))
+        )))
+
+    return F.when(F.size(values) > 0, _bound(values, with_blocks)).otherwise(values)
 
 
 def _luhn(digits: Column) -> Column:
@@ -56,20 +76,24 @@ def _holds(kind: str, value: Column) -> Column:
     }[kind]
 
 
-def located(text: Column, pattern: Column, kind: int) -> Column:
-    """Every match with its place in code points: what stands between the matches, and the matches, add up to it."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    zipped = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"), gaps.alias("gap"))
+def located(text: Column, pattern: Column, kind: int, window: int = 0) -> Column:
+    """Every match with its place in code points, as what stands between the matches, and the matches, add up to it; ``near`` is what
+    stands on both sides up to the next match, at most ``window`` characters."""
+
+    def places(gaps: Column, values: Column) -> Column:
+        sizes = F.transform(gaps, lambda g, i: F.length(g) + F.coalesce(F.length(F.get(values, i)), F.lit(0)))
 
-    def place(x: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(zipped, 1, i), F.lit(0), lambda a, y: a + y["gap"] + F.length(y["value"]))
-        start = before + x["gap"]
-        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+        def place(value: Column, i: Column, starts: Column) -> Column:
+            start = F.get(starts, i) + F.length(F.get(gaps, i))
+            around = F.concat(F.right(F.get(gaps, i), F.lit(window)), F.lit(" "), F.left(F.get(gaps, i + 1), F.lit(window)))
+            return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), around.alias("near"))
 
-    return F.transform(F.filter(zipped, lambda x: x["value"].isNotNull()), place)
+        return _bound(before(sizes, lambda a, x: a + x), lambda starts: F.transform(values, lambda v, i: place(v, i, starts)))
 
+    return _bound(F.split(text, pattern, -1), lambda gaps: _bound(F.regexp_extract_all(text, pattern, F.lit(0)), lambda values: places(gaps, values)))
 
-def base_spans(text: Column) -> Column:
+
+def base_spans(text: Column, window: int = 0) -> Column:
     """All base spans by start, then kind; of each kind the leftmost non-overlapping matches that pass its test."""
 
     def passing(kind: str):  # noqa: ANN202
@@ -79,7 +103,7 @@ def base_spans(text: Column) -> Column:
     found = []
     for k, kind in enumerate(KINDS[:4]):
         hint = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(_HINT[kind])
-        found.append(F.when(hint, F.filter(located(text, F.lit(PATTERNS[kind]), k), passing(kind))).otherwise(none))
+        found.append(F.when(hint, F.filter(located(text, F.lit(PATTERNS[kind]), k, window), passing(kind))).otherwise(none))
     return F.array_sort(F.concat(*found))
 
 
@@ -166,21 +190,18 @@ def disclosing_terms(spans: DataFrame, docs: DataFrame, support: int, generalise
 def find_private(docs: DataFrame, support: int = 3, generalise: float = 0.75, remove: float = 0.9, window: int = 120, most: int = 200_000) -> DataFrame:
     """Personal data of ``docs`` (doc_id, text), one row for each input row.
 
-    Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, and ``found``: every span as
+    Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_generalised, n_removed, ``found``: every span as
     struct(start, kind, end, value), ``kind`` an index of KINDS, base spans and those of disclosing terms, by start; kind 4 is a term
-    to generalise, 5 one to remove.  ``rewritten`` makes the sanitised text of a text and its ``found``.
+    to generalise, 5 one to remove; and text_hash (xxhash64 of the text).  ``sanitised`` writes the texts that follow from it.
     Null text is empty and has no span.  Null or repeated ids and repeated rows are kept as they come.  Other columns
-    are ignored.  Empty table: empty result.  ``window``: characters on each side of an entity that are near it.
+    are ignored.  Empty table: empty result.  ``window``: characters on each side of an entity, up to the
+    next one of its kind, that are near it.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     key = [F.col("doc_id"), F.xxhash64("text").alias("_text")]
-    base = cut(
-        docs.select(*key, "text", base_spans(F.col("text")).alias("base")).select(
-            "doc_id", "_text", "base",
-            F.transform("base", lambda x: F.concat(F.substring(F.col("text"), F.greatest(x["start"] + 1 - window, F.lit(1)), F.least(x["start"], F.lit(window))), F.lit(" "), F.substring(F.col("text"), x["end"] + 1, F.lit(window)))).alias("near"),
-        )
-    )
-    spans = base.select("_text", F.explode(F.arrays_zip("base", "near")).alias("x")).select("x.base.kind", "x.base.value", "x.near", "_text")
+    base = cut(docs.select(*key, base_spans(F.col("text"), window).alias("base")))
+    spans = base.select("_text", F.explode("base").alias("x")).select("x.kind", "x.value", "x.near", "_text")
+    plain = F.transform("base", lambda x: x.dropFields("near"))
     terms = cut(disclosing_terms(spans, docs, support, generalise, remove, most))
     if terms.count() <= most:
         terms = F.broadcast(terms)
@@ -195,12 +216,12 @@ def find_private(docs: DataFrame, support: int = 3, generalise: float = 0.75, re
         return x.withField("kind", F.when(F.array_contains("removed", F.lower(x["value"])), 5).otherwise(4))
 
     same = F.col("h.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("h._text") == F.col("d._text"))
-    extra = docs.select(*key, "text").alias("d").join(hits.alias("h"), same).select("d.doc_id", "d._text", F.transform(located(F.col("text"), pattern, 4), decided).alias("extra")).dropDuplicates(["doc_id", "_text"])
+    extra = docs.select(*key, "text").alias("d").join(hits.alias("h"), same).select("d.doc_id", "d._text", F.transform(located(F.col("text"), pattern, 4), lambda x: decided(x).dropFields("near")).alias("extra")).dropDuplicates(["doc_id", "_text"])
     extra = cut(extra)
     if extra.count() <= most:
         extra = F.broadcast(extra)
     same = F.col("e.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("e._text") == F.col("b._text"))
-    both = base.alias("b").join(extra.alias("e"), same, "left").select("b.doc_id", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra"))).alias("found"))
+    both = base.alias("b").join(extra.alias("e"), same, "left").select("b.doc_id", "b._text", plain.alias("base"), F.when(F.col("extra").isNull(), plain).otherwise(F.array_sort(F.concat(plain, F.col("extra")))).alias("found"))
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def joined(spans: str) -> Column:
@@ -211,21 +232,46 @@ def find_private(docs: DataFrame, support: int = 3, generalise: float = 0.75, re
 
     return both.select(
         "doc_id", *[n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])], F.sha2(joined("base"), 256).alias("base_sha256"),
-        joined("found").alias("spans"), (n(4, "found") + n(5, "found")).alias("n_term"), "found",
+        joined("found").alias("spans"), n(4, "found").alias("n_generalised"), n(5, "found").alias("n_removed"), "found", F.col("_text").alias("text_hash"),
     )
 
 
 def rewritten(text: Column, found: Column) -> Column:
-    """The text with base spans replaced by their labels, terms to generalise by [TERM] and terms to remove by nothing.  Of overlapping spans the first counts."""
+    """The text with base spans replaced by their labels, terms to generalise by [TERM] and terms to remove by nothing.
+
+    Spans that overlap are one, up to the last one's end, with the first one's label, so nothing of them is left.
+    """
     labels = F.array(*[F.lit(LABELS[k]) for k in KINDS[:4]], F.lit("[TERM]"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # a part of the text is taken from a block, not counted from the start
+    size = 4096
+
+    def part(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / size).cast("int")
+        some = F.array_join(F.slice(blocks, first + 1, F.greatest(F.floor(end / size).cast("int") - first + 1, F.lit(0))), "")
+        return F.substring(some, start - first * size + 1, F.greatest(end - start, F.lit(0)))
+
+    def pieces(spans: Column, ends: Column, blocks: Column) -> Column:
+        heads = F.filter(F.zip_with(spans, ends, lambda x, e: F.when(x["start"] >= e, F.struct(e.alias("e"), x["start"].alias("start"), x["kind"].alias("kind")))), lambda x: x.isNotNull())
+        made = F.transform(heads, lambda x: F.concat(part(blocks, x["e"], x["start"]), F.get(labels, x["kind"])))
+        last = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+        return F.concat(F.array_join(made, ""), part(blocks, last, F.length(text)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.length(text), F.lit(size)), lambda i: F.substring(text, i + 1, F.lit(size)))
+    ends = before(F.transform(found, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+    whole = _bound(found, lambda spans: _bound(ends, lambda e: _bound(blocks, lambda b: pieces(spans, e, b))))
+    return F.when(F.size(found) > 0, whole).otherwise(text)
 
-    def step(a: Column, x: Column) -> Column:
-        more = F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.get(labels, x["kind"])).alias("out"))
-        return F.when(x["start"] >= a["at"], more).otherwise(a)
 
-    return F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+def sanitised(docs: DataFrame, found: DataFrame, most: int = 200_000) -> DataFrame:
+    """``docs`` (doc_id, text) with ``sanitised``, their text rewritten by ``find_private``'s ``found``."""
+    some = found.where(F.size("found") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "found").dropDuplicates(["_id", "_hash"])
+    some = cut(some)
+    if some.count() <= most:
+        some = F.broadcast(some)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.join(some, same, "left").select(*[docs[c] for c in docs.columns], F.coalesce(rewritten(text, F.col("found")), text).alias("sanitised"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_private(table(spark, sf_dir, "documents")).drop("found")
+    return find_private(table(spark, sf_dir, "documents")).drop("found", "text_hash")
