@@ -12,49 +12,73 @@ from ragspark.llm.common import cut, table
 MOST = 1_000_000
 
 
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before those that ``docs`` has."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in docs.columns):
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id and text (text_hash, its xxhash64) are in ``dropped``."""
-    dropped = cut(dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    """``docs`` without the rows whose doc_id and text (text_hash, its xxhash64) are in ``dropped``.  Null ids are equal; columns of any name are kept."""
+    id_, hash_ = spare(docs, "id", "hash")
+    dropped = cut(dropped.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct())
     if dropped.count() <= MOST:
         dropped = F.broadcast(dropped)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
     return docs.join(dropped, same, "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at least 0.7."""
+    """Documents that the classifier scores at least 0.7.
+
+    A null text is scored as an empty one; rows that repeat have one score and stay or go together; a null id learns
+    nothing.  An empty table stays empty.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, keep=docs.columns, names=("_score", "_good"))
-    return scored.where("_good = 1").select(*docs.columns)
+    score, good = spare(docs, "score", "good")
+    return quality.score(docs, model, keep=docs.columns, names=(score, good)).where(F.col(good) == 1).select(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = without(docs, exact_dedup.mark_duplicates(docs).where("not kept"))
+    """One document of each group of equal texts: the longest, then that with the smallest id, null after all others.
+
+    Null and empty texts are equal.  Of rows that repeat their id and text, one stays.  An empty table stays empty.
+    """
+    kept = without(docs, exact_dedup.mark_duplicates(docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept")).where("not kept"))
     # rows that repeat their id, or have none, are kept all: one of them stays
+    (key,) = spare(docs, "plain")
     plain = F.translate(F.coalesce(F.col("text"), F.lit("")), exact_dedup._BLANKS, "")
-    return kept.withColumn("_plain", F.sha2(plain, 256)).dropDuplicates(["_plain"]).select(*docs.columns)
+    return kept.withColumn(key, F.sha2(plain, 256)).dropDuplicates([key]).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies, null after all others; of equal ids, that with the smallest hash of the text."""
-    id_, hash_ = F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")
+    """The document with the smallest id of each component of near copies, null after all others; of equal ids, that with the smallest hash of the text.
+
+    Texts without words, null ones too, are alone.  Rows that repeat both id and text count as one and stay together.  An
+    empty table stays empty.
+    """
+    id_, hash_, row = spare(docs, "id", "hash", "key")
     # a key for each row, in this order
-    keys = cut(docs.select(id_, hash_).distinct().orderBy(F.col("_id").asc_nulls_last(), "_hash").withColumn("_key", F.monotonically_increasing_id()))
+    keys = docs.select(F.col("doc_id").cast("long").alias(id_), F.xxhash64("text").alias(hash_)).distinct().orderBy(F.col(id_).asc_nulls_last(), hash_)
+    keys = cut(keys.withColumn(row, F.monotonically_increasing_id()))
     told = F.broadcast(keys) if keys.count() <= MOST else keys
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    keyed = docs.join(told, same).select(F.col("_key").alias("doc_id"), "text")
-    dropped = jaccard_join.link(keyed).where("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
-    return without(docs, keys.join(dropped, "_key").select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    keyed = docs.join(told, same).select(F.col(row).alias("doc_id"), "text")
+    dropped = jaccard_join.link(keyed).where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return without(docs, keys.join(dropped, row).select(F.col(id_).alias("doc_id"), F.col(hash_).alias("text_hash")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
+    """Documents that share no window of words with the benchmark.  Null and empty texts share none; rows that repeat stay or go together; an empty table stays empty."""
     return without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of tokens."""
+    """What is left, in sequences of tokens.  A null text is the end token alone; rows that repeat are packed each; an empty table gives no piece."""
     return packing.pack_documents(docs)
 
 
