@@ -2,10 +2,16 @@
 
 import os
 import re
+import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_free import brute_hits, lower, shingles
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ragspark.llm import quality, registry
@@ -25,28 +31,16 @@ def test_same_rows(spark, name):
     assert sorted(map(str, ([r[names.index(x)] for x in df.columns] for r in got.fetchall()))) == sorted(str(list(r)) for r in df.collect())
 
 
-def test_stages(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
-    stages = dict(corpus_pipeline.STAGES)
-    assert list(stages) == ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"]
-    rows = {r.doc_id: r.text for r in docs.collect()}
-
-    def ids(df):
-        assert df.columns == docs.columns
-        got = [r.doc_id for r in df.collect()]
-        assert len(got) == len(set(got))
-        return set(got)
-
-    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
-    good = {r.doc_id for r in quality.score(docs, model).collect() if r.predicted}
-    assert ids(stages["quality"](spark, docs, DATA)) == good
+def exact(rows):
     best = {}
     for i, t in rows.items():
         k = re.sub(r"[\x20\x09-\x0D]", "", t or "")
         best[k] = min(best.get(k, (0, 1 << 60)), (-len(t or ""), i))
-    assert ids(stages["exact_dedup"](spark, docs, DATA)) == {i for _, i in best.values()}
-    sets = {i: shingles(t) for i, t in rows.items()}
-    root = {i: i for i in rows}
+    return {i for _, i in best.values()}
+
+
+def near(rows):
+    sets, root = {i: shingles(t) for i, t in rows.items()}, {i: i for i in rows}
 
     def find(i):
         while root[i] != i:
@@ -60,18 +54,60 @@ def test_stages(spark):
                 if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                     a, b = sorted((find(i), find(j)))
                     root[b] = a
-    assert ids(stages["near_dedup"](spark, docs, DATA)) == {i for i in rows if find(i) == i}
+    return {i for i in rows if find(i) == i}
+
+
+def test_stages(spark):
+    """Each stage on all documents, and all of them one after another, against brute force."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"]
+    rows = {r.doc_id: r.text for r in docs.collect()}
+
+    def ids(df):
+        assert df.columns == docs.columns
+        got = [r.doc_id for r in df.collect()]
+        assert len(got) == len(set(got))
+        return set(got)
+
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    good = {r.doc_id for r in quality.score(docs, model).collect() if r.predicted}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    left = stages["decontamination"](spark, docs, DATA)
-    assert ids(left) == {i for i, t in rows.items() if not brute_hits(t, items)[1]}
-    packed = stages["packing"](spark, left, DATA).collect()
-    assert {r.doc_id for r in packed} == ids(left)
+    clean = lambda some: {i for i, t in some.items() if not brute_hits(t, items)[1]}
+    assert ids(stages["quality"](spark, docs, DATA)) == good
+    assert ids(stages["exact_dedup"](spark, docs, DATA)) == exact(rows)
+    assert ids(stages["near_dedup"](spark, docs, DATA)) == near(rows)
+    assert ids(stages["decontamination"](spark, docs, DATA)) == clean(rows)
+    left = {i: rows[i] for i in good}
+    for rule in (exact, near, clean):
+        left = {i: left[i] for i in rule(left)}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for i, t in left.items():
+        k = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((i, s, len(k[s : s + 1024]), zlib.crc32(k[s : s + 1024].tobytes())) for s in range(0, len(k), 1024))
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert all(n <= 1024 for n in (sum(r.length for r in got if r.sequence_id == s) for s in {r.sequence_id for r in got}))
     assert lower("A") == "a"
 
 
-def test_run(spark):
-    got = corpus_pipeline.run(spark, DATA)
-    assert got.count() > 0 and "sequence_id" in got.columns
+def test_odd_tables(spark):
+    """Columns with the names that the stages use, null texts and ids, and empty tables."""
+    rows = [(1, None, 1, "a", 0.5), (2, "", 2, "b", None), (None, "some words are here", 3, None, 1.0), (3, "w " * 5000, None, "c", 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id long, hash string, score double")
+    docs = docs.withColumn("_id", F.lit(1)).withColumn("key", F.lit("k")).withColumn("plain", F.lit(0)).withColumn("good", F.lit(False)).withColumn("kept", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        n = out.count()
+        assert n <= len(rows) if name != "packing" else n >= len(rows)
+        if name != "packing":
+            assert out.columns == docs.columns
+        if name == "exact_dedup":
+            assert sorted(str(r.text)[:4] for r in out.collect()) == ["None", "some", "w w "] or n == 3
+        if name in ("near_dedup", "decontamination"):
+            assert n == len(rows)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
 
 
 def test_repeated_and_missing_ids(spark):
