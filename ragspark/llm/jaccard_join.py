@@ -11,10 +11,10 @@ combinations stay in proportion to the set; a set whose larger partners may be i
 
 Rows with equal sets are one class from the start.  The rest goes from signatures to verified links in rounds: in each
 group of a signature all sets are compared with its first one only; sets that are then known to be connected need no
-further comparison.  Of groups that still hold sets of different components, small ones (``SMALL``) are compared in pairs;
-the sets of larger ones go through the same steps again by themselves, where what they share is more frequent than in the
-whole corpus and stands last; should that no longer shrink them, they are compared with one more of their sets in each
-round.  No link between different components is missed, and no group is paired with itself as a whole.  Before texts are
+further comparison.  In groups that still hold sets of different components all are compared with a bounded number of
+them (``SMALL``).  What is left of larger groups goes through the same steps again by itself, where what its sets share is
+more frequent than in the whole corpus and stands last; should that no longer shrink them, they are compared with so many
+more of their sets in each round.  No link between different components is missed, and no group is paired with itself as a whole.  Before texts are
 compared, parity bitmaps of the sets rule out pairs: bits that differ are a lower bound of the shingles that differ.
 """
 
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import SPACED, cut, grams, mix, signed, table, text_slices, words
 
@@ -37,8 +38,8 @@ COMMON = 0.05
 #: most frequent shingles that are told apart from the rare ones (a broadcast of at most 16 MB); which ones are changes no result
 MOST_FREQUENT = 1_000_000
 _STRETCH = 1 << 22
-#: sets of different components in a signature's group up to which they are compared in pairs
-SMALL = 32
+#: sets of a signature's group that the others are compared with in a round
+SMALL = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,8 +177,9 @@ _MASK = (1 << _PLACE) - 1
 def signatures(own: np.ndarray, klass: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signatures, places, first places) of one set of sorted hashes.
 
-    Both places are that of a single token in the order; a combination has place 0 and its first token's.  Sets of up to
-    three shingles are linked with equal sets only and don't sign.
+    Both places are that of a single token in the order.  A combination has its first token's; its other place is how many
+    tokens are not in common if it is where two sets meet: the single ones (else they meet at one), and those before its
+    first token in its group.  Sets of up to three shingles are linked with equal sets only and don't sign.
     """
     n = len(own)
     if n < 4:
@@ -204,7 +206,7 @@ def signatures(own: np.ndarray, klass: np.ndarray, level: np.ndarray) -> tuple[n
                 for row in pick:
                     g = mix(g * np.uint64(0x5851F42D4C957F2D) + rest[mine[row]])
                 out.append(g)
-                places.append(np.zeros(len(g), np.int64))
+                places.append(single + inside[mine[pick[0]]])
                 first.append(mine[pick[0]] + single)
     return np.concatenate(out), np.concatenate(places), np.concatenate(first)
 
@@ -260,10 +262,10 @@ def _sign(shared: object):  # noqa: ANN202
 
 
 def _may_link(a: str, b: str):  # noqa: ANN202
-    """From sizes and places of a common token: whether enough tokens are left for a link.
+    """From sizes and places of a common signature: whether enough tokens are left for a link.
 
-    If the token is the first in common, no more than those from its place on are; if it is not, the pair is met at the
-    first one too.
+    If the signature is the first in common, no more tokens are than those beyond its place; if it is not, the pair is met
+    at the first one too.
     """
     na, nb = F.shiftright(a, _N), F.shiftright(b, _N)
     left = F.least(na - F.col(a).bitwiseAND(F.lit(_MASK)), nb - F.col(b).bitwiseAND(F.lit(_MASK)))
@@ -378,12 +380,14 @@ class _Links:
         self.test(near)
         return _mixed(_named(self.labels, told.select("sig", "sid", "np")))
 
-    def in_pairs(self, groups: DataFrame) -> None:
-        """Compare all pairs of different components in groups (sig, sid, np, label) of a bounded size."""
-        x, y = groups.alias("x"), groups.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.sid") < F.col("y.sid")))
+    def with_some(self, groups: DataFrame, n: int) -> DataFrame:
+        """Compare the sets of each group (sig, sid, np, label) with ``n`` of them, of other components.  Returns what is left of larger groups."""
+        ranked = cut(groups.select("sig", "sid", "np", "label").withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy("sid"))))
+        x, y = ranked.where(F.col("_r") <= n).alias("x"), ranked.alias("y")
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & (F.col("x._r") < F.col("y._r")))
         pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.np").alias("na"), F.col("y.np").alias("nb"))
-        self.test(pairs.where(_may_link("na", "nb")).select("a", "b").distinct())
+        self.test(pairs.where(_may_link("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return _mixed(_named(self.labels, ranked.where(F.col("_r") > n).select("sig", "sid", "np")))
 
 
 def _signed_groups(docs: DataFrame, shared: object) -> DataFrame:
@@ -402,17 +406,14 @@ def find_links(docs: DataFrame, described: DataFrame, members: DataFrame, rename
         counted = described.where("token is not null").select("token", "times")
         size = described.where("n is not null").count()
         groups = _signed_groups(texts, spark.sparkContext.broadcast((*_frequent(counted, size), renamed)))
-        left = found.with_first(groups)
-        found.in_pairs(left.where(F.col("size") <= small))
-        large = left.where(F.col("size") > small)
-        large = _mixed(_named(found.labels, large.select("sig", "sid", "np")))
-        ids = cut(large.select("sid").distinct())
+        left = found.with_some(found.with_first(groups), small)
+        ids = cut(left.select("sid").distinct())
         n = ids.count()
         if not n:
             return found
         if before is not None and 2 * n > before:
-            while not large.isEmpty():  # each round takes the first set out of each group
-                large = found.with_first(large.select("sig", "sid", "np"))
+            while not left.isEmpty():
+                left = found.with_some(left, small)
             return found
         before, texts = n, texts_of(docs, members, ids, most)
         described = cut(texts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), "text").mapInArrow(_describe, _SETS))
