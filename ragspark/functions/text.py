@@ -118,6 +118,7 @@ def nickname(email: Column, default: str = "user") -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", F.lit(default)).otherwise(name)
 
 
+#: labels of questions and answers; a fixed value
 _LABEL = r"(?iu)^\s*(?:问题|答案|回答|问|答|q|a|question|answer)\s*[:：\t ]+"
 
 

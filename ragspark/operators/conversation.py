@@ -16,21 +16,14 @@ CONTEXT_PROMPT = "Answer from the passages below. Mark each use with [n], its nu
 
 def chat_history(messages: DataFrame, n: int = HISTORY) -> DataFrame:
     """For every message the last ``n`` messages before it that are not blank, oldest first: session_id, id, history."""
-    said = messages.where(trimmed(F.coalesce("content", F.lit(""))) != "")
-    back = Window.partitionBy("session_id").orderBy("id").rowsBetween(-n, -1)
-    told = said.withColumn("history", F.collect_list(F.struct("role", "content")).over(back)).select("session_id", "id", "history")
-    # a blank message has the history of the last message before it, and that message
-    blank = messages.where(trimmed(F.coalesce("content", F.lit(""))) == "").select("session_id", "id")
-    if not blank.take(1):
-        return told
-    both = said.select("session_id", "id", "role", "content", F.lit(False).alias("_blank")).unionByName(blank.select("session_id", "id", F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("_blank")))
-    before = Window.partitionBy("session_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("_said", F.sum((~F.col("_blank")).cast("int")).over(before))
-    last = both.where("not _blank").withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy("id"))).select("session_id", F.col("_n").alias("_said"), "role", "content", "id")
-    whole = last.withColumn("_all", F.collect_list(F.struct("role", "content")).over(Window.partitionBy("session_id").orderBy("id").rowsBetween(-(n - 1), 0)))
-    placed = both.where("_blank").select("session_id", "id", "_said").join(whole.select("session_id", "_said", "_all"), ["session_id", "_said"], "left")
+    said = trimmed(F.coalesce("content", F.lit(""))) != ""
+    # a blank message takes no part in other histories: of the places before each one, those of the last n that are said
+    place = Window.partitionBy("session_id").orderBy("id")
+    rows = messages.select("session_id", "id", F.when(said, F.struct("role", "content")).alias("_m")).withColumn("_k", F.count("_m").over(place.rowsBetween(Window.unboundedPreceding, -1)))
+    near = Window.partitionBy("session_id").orderBy("_k").rangeBetween(-n, -1)
     none = F.expr("cast(array() as array<struct<role:string,content:string>>)")
-    return told.unionByName(placed.select("session_id", "id", F.coalesce("_all", none).alias("history")))
+    told = F.array_sort(F.collect_list(F.when(F.col("_m").isNotNull(), F.struct("id", "_m"))).over(near))
+    return rows.withColumn("_h", told).select("session_id", "id", F.coalesce(F.transform("_h", lambda x: x["_m"]), none).alias("history"))
 
 
 def session_titles(messages: DataFrame, n: int = 30) -> DataFrame:
@@ -71,7 +64,7 @@ def prompt_context(questions: DataFrame, hits: DataFrame) -> DataFrame:
 
     questions: question_id, query_type; hits: question_id, rank, document_name, content.
     """
-    passage = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "document_name", F.lit(":\n"), "content", F.lit("\n\n"))
+    passage = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] 文档《"), "document_name", F.lit("》：\n"), "content", F.lit("\n\n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", passage.alias("p")))), lambda x: x["p"]), "")
     known = hits.groupBy("question_id").agg(text.alias("passages"))
     prompt = F.when(F.col("query_type") == "none", NONE_PROMPT).when(F.col("passages").isNull(), EMPTY_PROMPT).otherwise(F.concat(F.lit(CONTEXT_PROMPT), "passages"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragspark.functions.text import search_tokens
 
@@ -14,17 +17,24 @@ from ragspark.functions.text import search_tokens
 def hashed_embedding(df: DataFrame, id_: str, text: Column, dim: int = 64) -> DataFrame:
     """``id_`` and embedding array<double> of each row: every term adds its sign in the place that its md5 gives.
 
-    Rows without terms get zeros.  ``id_`` must be unique.
+    Rows without terms get zeros.  Nothing is shuffled.
     """
-    digest = F.md5("term")
-    place = F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % dim
-    sign = F.when(F.conv(F.substring(digest, 7, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    terms = df.select(id_, F.explode(search_tokens(text)).alias("term"))
-    sums = terms.groupBy(id_, place.alias("place")).agg(F.sum(sign).alias("v"))
-    cells = sums.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))
-    at = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at)
-    return df.select(id_).join(cells, id_, "left").select(id_, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(dense).alias("embedding"))
+
+    def code(term: Column) -> Column:
+        digest = F.md5(term)
+        place = F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % dim
+        return 2 * place + F.conv(F.substring(digest, 7, 2), 16, 10).cast("int") % 2
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_codes")
+            codes, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            row = np.searchsorted(ends, np.arange(len(codes)), side="right")
+            cells = np.bincount(row * dim + codes // 2, np.where(codes % 2 == 0, 1.0, -1.0), len(batch) * dim).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(id_), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim), pa.array(cells))], [id_, "embedding"])
+
+    coded = df.select(id_, F.transform(search_tokens(text), code).alias("_codes"))
+    return coded.mapInArrow(add, coded.select(id_).schema.add("embedding", T.ArrayType(T.DoubleType())))
 
 
 def model_embedding(encode: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[..., Column]:

@@ -40,17 +40,24 @@ def normalize_queries(queries: DataFrame, case: str = "case_id") -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf.  Write it once, clustered by term; the join below then needs no shuffle of it."""
-    terms = chunks.select("chunk_id", F.explode(search_tokens(F.col("content"))).alias("term"))
-    return terms.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """chunk_id, term, tf.  Places of a term are counted within the chunk's row, so nothing is shuffled."""
+    tokens = chunks.select("chunk_id", F.array_sort(search_tokens(F.col("content"))).alias("_t"))
+    # of the sorted terms, those that a different one follows, with their places; tf is the distance from the one before
+    last = F.filter(F.transform("_t", lambda t, i: F.struct(t.alias("term"), (i + 1).alias("end"))), lambda x: ~F.get("_t", x["end"]).eqNullSafe(x["term"]))
+    ends = tokens.where(F.size("_t") > 0).select("chunk_id", last.alias("_l"))
+    counted = F.transform("_l", lambda x, i: F.struct(x["term"].alias("term"), (x["end"] - F.coalesce(F.get("_l", i - 1)["end"], F.lit(0))).cast("long").alias("tf")))
+    return ends.select("chunk_id", F.explode(counted).alias("x")).select("chunk_id", "x.term", "x.tf")
 
 
-def fulltext_topk(posted: DataFrame, queries: DataFrame, k: int = DEFAULT_K, key: str = "query_id") -> DataFrame:
+def fulltext_topk(posted: DataFrame, queries: DataFrame, k: int = DEFAULT_K, key: str = "query_id", most: int = 1_000_000) -> DataFrame:
     """The ``k`` chunks of the highest text rank for each query: key, rank, chunk_id, score.
 
-    Any term of the query matches; each matched place counts 0.1.  Ties go by chunk_id.
+    Any term of the query matches; each matched place counts 0.1.  Ties go by chunk_id.  Query terms up to ``most`` are
+    broadcast, so that only matches are shuffled; more are joined by shuffle.
     """
     terms = queries.select(key, F.explode(query_terms(F.col("query"))).alias("term"))
+    if terms.count() <= most:
+        terms = F.broadcast(terms)
     hits = posted.join(terms, "term").groupBy(key, "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
     return ranked(hits, key, k)
 
@@ -63,54 +70,62 @@ def ranked(hits: DataFrame, key: str, k: int) -> DataFrame:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_score: float | None = DEFAULT_SCORE, key: str = "query_id", block: int = 4096) -> DataFrame:
     """The ``k`` nearest vectors by cosine for each query: key, rank, chunk_id, score.
 
-    vectors: chunk_id, embedding; queries: ``key`` (long), embedding.  Exact.  Queries go to the executors in blocks of
-    ``block``, each one product with a batch of vectors, of which only the best ``k`` go on.  Vectors of another length
-    or of norm 0 are left out.  Similarities are compared to 9 digits, ties go by chunk_id; what is below ``min_score``
-    is dropped after the cut.
+    vectors: chunk_id, embedding; queries: ``key`` (long), embedding.  Exact.  Queries are gathered in rows of about
+    ``block`` of one length, vectors in rows of up to ``block``; each row of queries meets each row of vectors of its length
+    in one matrix product, of which only the best ``k`` go on.  Vectors of norm 0 are left out.  Similarities
+    are compared to 9 digits, ties go by chunk_id; what is below ``min_score`` is dropped after the cut.
     """
-    spark = vectors.sparkSession
-    vectors = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").where("embedding is not null and chunk_id is not null")
-    known = queries.where("embedding is not null").select(F.col(key).cast("long").alias(key), "embedding")
-    parts = max(1, -(-known.count() // block))
-    known = known.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts))) if parts > 1 else known.withColumn("_part", F.lit(0))
-    out: DataFrame | None = None
-    for p in range(parts):
-        rows = known.where(F.col("_part") == p).select(key, "embedding").collect()
-        groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for dim in {len(r.embedding) for r in rows}:
-            mine = [r for r in rows if len(r.embedding) == dim]
-            m = np.array([r.embedding for r in mine], np.float64).reshape(len(mine), dim)
-            norm = np.linalg.norm(m, axis=1)
-            groups[dim] = (np.array([r[0] for r in mine], np.int64)[norm > 0], m[norm > 0] / norm[norm > 0, None])
-        shared = spark.sparkContext.broadcast(groups)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
-                lists = batch.column("embedding")
-                size = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                start = np.append(0, np.cumsum(size))[:-1]
-                ids = batch.column("chunk_id").to_numpy()
-                for dim, (qid, q) in shared.value.items():
-                    at = np.flatnonzero(size == dim)
-                    for lo in range(0, len(at), 2048):
-                        some = at[lo : lo + 2048]
-                        v = flat[start[some][:, None] + np.arange(dim)]
-                        norm = np.linalg.norm(v, axis=1)
-                        some, v, norm = some[norm > 0], v[norm > 0], norm[norm > 0]
-                        if not len(some) or not len(q):
-                            continue
-                        s = np.round(q @ (v / norm[:, None]).T, 9)
-                        order = np.lexsort((np.broadcast_to(ids[some], s.shape), -s), axis=1)[:, :k]
-                        n = order.shape[1]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(ids[some][order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], [key, "chunk_id", "score"])
-
-        part = vectors.mapInArrow(search, f"{key} long, chunk_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    top = ranked(out, key, k)
+    of = lambda df, id_: df.select(F.col(id_).cast("long").alias("id"), "embedding").where("embedding is not null and id is not null")
+    v, q = of(vectors, "chunk_id"), of(queries, key)
+    # a stated set of queries against all vectors, by blocks: no pair of single rows is made
+    asked = _blocks(q, block)
+    rows = v.mapInArrow(_gathered(2048), "dim int, ids array<long>, flat array<double>")
+    a, b = rows.alias("a"), asked.alias("b")
+    pairs = a.join(b, F.col("a.dim") == F.col("b.dim")).select("a.dim", "a.ids", "a.flat", F.col("b.ids").alias("q_ids"), F.col("b.flat").alias("q_flat"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                dim = batch.column("dim")[i].as_py()
+                ids, flat, q_ids, q_flat = (batch.column(c)[i].values.to_numpy() for c in ("ids", "flat", "q_ids", "q_flat"))
+                s = np.round(q_flat.reshape(-1, dim) @ flat.reshape(-1, dim).T, 9)
+                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], [key, "chunk_id", "score"])
+
+    top = ranked(pairs.mapInArrow(search, f"{key} long, chunk_id long, score double"), key, k)
     return top.where(F.col("score") >= min_score) if min_score is not None else top
 
 
+def _gathered(most: int):  # noqa: ANN202
+    """Rows of up to ``most`` vectors of one length, each of norm 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("embedding")
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            start = np.append(0, np.cumsum(size))[:-1]
+            ids = batch.column("id").to_numpy()
+            for dim in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == dim)
+                for lo in range(0, len(at), most):
+                    some = at[lo : lo + most]
+                    v = flat[start[some][:, None] + np.arange(dim)]
+                    norm = np.linalg.norm(v, axis=1)
+                    v, some, norm = v[norm > 0], some[norm > 0], norm[norm > 0]
+                    if len(some):
+                        ends = lambda n: pa.array(np.array([0, n], np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.ListArray.from_arrays(ends(len(some)), pa.array(ids[some])), pa.ListArray.from_arrays(ends(v.size), pa.array((v / norm[:, None]).ravel()))], ["dim", "ids", "flat"])
+
+    return run
+
+
+def _blocks(queries: DataFrame, block: int) -> DataFrame:
+    """Queries in rows of about ``block``: dealt by hash, so that small partitions don't make small rows."""
+    parts = max(1, -(-queries.count() // block))
+    return queries.repartition(parts, F.xxhash64("id")).mapInArrow(_gathered(block), "dim int, ids array<long>, flat array<double>")
+
+
 def rrf_fusion(lists: DataFrame, k: int = DEFAULT_K, key: str = "query_id", list_no: str = "list_no") -> DataFrame:
     """Fuse ranked lists (key, list_no, rank, chunk_id, score, and image_key if there is one) into one for each key.
 

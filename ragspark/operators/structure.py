@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ragspark.functions.text import clean_qa, heading, trimmed
+from ragspark.functions.text import SPACE, clean_qa, heading, trimmed
 
 
 def lines_of(texts: DataFrame, text: str = "text", key: str = "document_id") -> DataFrame:
@@ -135,6 +135,7 @@ def pairs_of_rows(rows: DataFrame) -> DataFrame:
     return out.select("document_id", "pair_no", clean_qa(F.col("question")).alias("question"), clean_qa(F.col("answer")).alias("answer")).where("question <> '' AND answer <> ''")
 
 
+# fixed values: how questions, answers and list items begin
 _QUESTION = r"(?iu)^\s*(?:问题|问|q|question)\s*[:：]\s*(.+)$"
 _ANSWER = r"(?iu)^\s*(?:答案|回答|答|a|answer)\s*[:：]\s*(.*)$"
 _BULLET = r"^\s*(?:[0-9]{1,4}[.、）)]|[-*•])\s*(.+)$"
@@ -251,72 +252,90 @@ def inline_images(texts: DataFrame) -> DataFrame:
 
 
 def dehyphenate(lines: Column) -> Column:
-    """An array of lines with words joined that a hyphen splits at a line's end.
+    """An array of lines with words joined that a hyphen between two letters splits at a line's end.
 
-    Before a lower-case continuation the hyphen goes, unless the word has another one (a compound keeps it); a double
-    hyphen stays.  A merged line may be merged again.
+    The hyphen goes if both letters are lower-case and the next line's first word is lower-case letters throughout, else
+    it stays, as in a compound.  A double hyphen joins nothing.  A merged line may be merged again.
     """
 
     def step(done: Column, line: Column) -> Column:
         last = F.element_at(done, -1)
-        stem = F.regexp_replace(last, "-$", "")
-        splits = (F.size(done) > 0) & last.rlike(r"\p{L}-$") & ~last.endswith("--")
-        small = line.rlike(r"^\p{Ll}")
-        compound = F.regexp_extract(stem, r"(\S+)$", 1).contains("-") | line.rlike(r"^\p{Ll}+-")
-        merged = F.when(compound, F.concat(last, line)).otherwise(F.concat(stem, line))
-        return F.when(splits & small, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(line)))
+        splits = (F.size(done) > 0) & last.rlike(r"\p{L}-\z") & line.rlike(r"^\p{L}")
+        goes = last.rlike(r"\p{Ll}-\z") & line.rlike(rf"^\p{{Ll}}+(?:{SPACE}|\z)")
+        merged = F.concat(F.when(goes, F.substring(last, F.lit(1), F.length(last) - 1)).otherwise(last), line)
+        return F.when(splits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(line)))
 
     return F.aggregate(lines, F.expr("cast(array() as array<string>)"), step)
 
 
-#: heading of a resume -> section; fixed values
+# ---- fixed values of resumes: headings of sections, and patterns
+BASIC, EDUCATION, SKILLS, WORK, PROJECT, OTHER = "基本信息", "教育背景", "专业技能", "工作经历", "项目经历", "其他经历"
 SECTIONS = {
-    "basic": ["个人信息", "基本信息", "个人简介", "联系方式", "profile"], "summary": ["个人总结", "自我评价", "summary", "objective", "求职意向"],
-    "education": ["教育背景", "教育经历", "education"], "work": ["工作经历", "实习经历", "work experience", "employment", "experience"],
-    "project": ["项目经历", "projects", "project"], "skill": ["技能", "技能清单", "技能特长", "专业技能", "skills", "skill"], "award": ["证书", "获奖经历", "校园经历", "certificates", "awards"],
+    BASIC: ["个人信息", "基本信息", "个人简介", "联系方式", "profile", "personal information"],
+    EDUCATION: ["教育背景", "教育经历", "学历信息", "education"],
+    SKILLS: ["专业技能", "技能清单", "技能特长", "证书", "语言能力", "skills", "certificates"],
+    WORK: ["工作经历", "实习经历", "任职经历", "employment", "work experience", "experience"],
+    PROJECT: ["项目经历", "项目经验", "projects", "project experience"],
+    OTHER: ["获奖经历", "校园经历", "社会实践", "自我评价", "个人总结", "awards", "summary"],
 }
-_NUMBERED = r"^\s*(?:[0-9]{1,2}[.、)）]|[一二三四五六七八九十]+[、.])\s*\S"
-_DATES = r"(?:19|20)[0-9]{2}\s*(?:[./年-]\s*[0-9]{1,2}\s*月?)?\s*(?:-|–|—|~|至|to)\s*(?:(?:19|20)[0-9]{2}|至今|现在|present|now)"
+_NUMBERED = r"^\s*(?:\d{1,2}[.、）)]|[一二三四五六七八九十]{1,3}[、.）)])\s*\S+"
+_DATES = r"(?i)(?:19|20)\d{2}(?:[./年-]\d{1,2})?\s*(?:[-—–~至]|to)\s*(?:(?:19|20)\d{2}(?:[./年-]\d{1,2})?|至今|现在|present)"
+_PHONE = r"(?:\+?86[-\s]?)?1[3-9]\d{9}"
+_EMAIL = r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
+_INTENT = r"(?i)^(?:求职意向|应聘职位|目标职位|期望职位|objective)\s*[:：]?\s*(.+)$"
+_DECORATION = r"(?i)^\[(?:图片|图像|image)\]"
+
+
+def _in_sections(lines: DataFrame) -> DataFrame:
+    """Cleaned lines of resumes without the headings, with ``section``; what stands before the first heading is basic."""
+    clean = F.regexp_replace(trimmed(F.regexp_replace("line", "^\ufffd+|\ufffd+$", "")), r"^#{1,6}\s*", "")
+    t = lines.withColumn("line", trimmed(F.replace(clean, F.lit("\\- "), F.lit("- ")))).where((F.col("line") != "") & ~F.col("line").rlike(_DECORATION))
+    word = F.lower(trimmed(F.regexp_replace("line", "[ :：]+$", "")))
+    kinds = F.create_map(*[F.lit(x) for k, names in SECTIONS.items() for n in names for x in (n, k)])
+    t = t.withColumn("_kind", F.try_element_at(kinds, word)).withColumn("section", F.coalesce(F.last("_kind", ignorenulls=True).over(_so_far()), F.lit(BASIC)))
+    return t.where("_kind IS NULL").drop("_kind")
 
 
 def resume_sections(lines: DataFrame) -> DataFrame:
     """Entries of resumes: document_id, section, entry_no, text.
 
-    Lines before the first heading are basic.  A numbered line starts an entry; so does a line with a span of dates if the
-    first line of the current entry has one too.
+    Sections come in the order of their first line, and one that is taken up again goes on.  Work and projects are split
+    into entries: a numbered line starts one; so does a line with a span of dates if the first line of the current entry
+    has one too.  Of equal lines that follow on each other one is kept.
     """
-    t = compact_lines(lines)
-    word = F.lower(F.regexp_replace("line", r"[\s　:：]+$", ""))
-    kinds = F.create_map(*[F.lit(x) for k, names in SECTIONS.items() for n in names for x in (n, k)])
-    t = t.withColumn("_kind", F.try_element_at(kinds, word))
-    t = t.withColumn("_block", F.sum(F.col("_kind").isNotNull().cast("int")).over(_so_far())).withColumn("section", F.coalesce(F.last("_kind", ignorenulls=True).over(_so_far()), F.lit("basic")))
-    t = t.where("_kind IS NULL")
-    blocks = t.groupBy("document_id", "_block", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
+    t = _in_sections(lines)
+    before = F.lag("line").over(Window.partitionBy("document_id", "section").orderBy("line_no"))
+    t = t.withColumn("_before", before).where("_before IS NULL OR _before <> line")
+    blocks = t.groupBy("document_id", "section").agg(F.min("line_no").alias("_first"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
 
     def step(done: Column, line: Column) -> Column:
         entry = F.element_at(done, -1)
-        fresh = (F.size(done) == 0) | line.rlike(_NUMBERED) | (line.rlike("(?iu)" + _DATES) & F.element_at(entry, 1).rlike("(?iu)" + _DATES))
+        fresh = (F.size(done) == 0) | line.rlike(_NUMBERED) | (line.rlike(_DATES) & F.element_at(entry, 1).rlike(_DATES))
         return F.when(fresh, F.concat(done, F.array(F.array(line)))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(entry, F.array(line)))))
 
-    entries = F.aggregate("lines", F.expr("cast(array() as array<array<string>>)"), step)
-    out = blocks.select("document_id", "_block", "section", F.posexplode(F.transform(entries, lambda e: F.array_join(e, "\n"))).alias("_n", "text"))
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("_block", "_n")) - 1
+    split = F.aggregate("lines", F.expr("cast(array() as array<array<string>>)"), step)
+    entries = F.when(F.col("section").isin(WORK, PROJECT), split).otherwise(F.array("lines"))
+    # the basic section stands first, whatever it holds
+    first = F.when(F.col("section") == BASIC, -1).otherwise(F.col("_first"))
+    out = blocks.select("document_id", first.alias("_first"), "section", F.posexplode(F.transform(entries, lambda e: F.array_join(e, "\n"))).alias("_n", "text"))
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("_first", "_n")) - 1
     return out.select("document_id", "section", number.alias("entry_no"), "text")
 
 
-_PHONE = r"(?:\+?86[- ]?)?(1[3-9][0-9]{9})"
-_EMAIL = r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"
-
-
-def contact_entities(lines: DataFrame) -> DataFrame:
-    """document_id, name, phone, email, intent: of each the first line that has one.
+def contact_entities(lines: DataFrame, everywhere: bool = False) -> DataFrame:
+    """document_id, name, phone, email, intent of resumes: of each the first line that has one.
 
-    A name is a line of at most 16 letters; an intent stands after its label.
+    A name is a line of the basic section (``everywhere``: any line) of at most 16 letters, spaces and middle dots; an
+    intent stands after its label at the start of a line.
     """
-    x = trimmed(F.col("line"))
-    name = F.when(x.rlike(r"^[\p{L} ·.]{1,16}$"), x)
-    found = {"name": name, "phone": F.nullif(F.regexp_extract("line", _PHONE, 1), F.lit("")), "email": F.nullif(F.regexp_extract("line", _EMAIL, 1), F.lit("")), "intent": F.nullif(trimmed(F.regexp_extract("line", r"(?iu)(?:求职意向|应聘岗位|objective)\s*[:：]\s*(.+)$", 1)), F.lit(""))}
-    return lines.groupBy("document_id").agg(*[F.min_by(v, F.when(v.isNotNull(), F.col("line_no"))).alias(k) for k, v in found.items()])
+    t = _in_sections(lines)
+    here = F.lit(True) if everywhere else F.col("section") == BASIC
+    found = {
+        "name": F.when(here & F.col("line").rlike(r"^[\p{L} ·]{1,16}\z"), F.col("line")), "phone": F.nullif(F.regexp_extract("line", _PHONE, 0), F.lit("")),
+        "email": F.nullif(F.regexp_extract("line", _EMAIL, 0), F.lit("")), "intent": F.nullif(trimmed(F.regexp_extract("line", _INTENT, 1)), F.lit("")),
+    }
+    got = t.groupBy("document_id").agg(*[F.min_by(v, F.when(v.isNotNull(), F.col("line_no"))).alias(k) for k, v in found.items()])
+    return lines.select("document_id").distinct().join(got, "document_id", "left")
 
 
 def verify_entities(given: DataFrame, texts: DataFrame, ruled: DataFrame, fields: list[str]) -> DataFrame:

@@ -96,7 +96,7 @@ def purge_scope(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {READY}, {POSTINGS}, {TERMS}, {FULLTEXT}, h AS (SELECT query_id, rank, document_name, content FROM ft JOIN ready USING (chunk_id)),
- p AS (SELECT query_id, string_agg(concat('[', rank, '] ', document_name, ':', chr(10), content, chr(10), chr(10)), '' ORDER BY rank) AS passages FROM h GROUP BY 1)
+ p AS (SELECT query_id, string_agg(concat('[', rank, '] 文档《', document_name, '》：', chr(10), content, chr(10), chr(10)), '' ORDER BY rank) AS passages FROM h GROUP BY 1)
  SELECT item_id AS question_id, md5(CASE WHEN item_id % 5 = 0 THEN 'No documents were searched. Answer greetings, questions about this product, or from the conversation alone.' WHEN passages IS NULL THEN 'The documents hold nothing on this. Say so, and ask for more documents.'
   ELSE concat('Answer from the passages below. Mark each use with [n], its number. Say when they are not enough.', chr(10), chr(10), passages) END) AS digest FROM benchmark LEFT JOIN p ON query_id = item_id"""
 )
@@ -221,7 +221,15 @@ def parse_events(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(dead.select(F.col("_row").alias("event_id"), F.col("user_id").alias("document_id"), (F.col("_row") % 4).alias("attempt"), F.lit(False).alias("good")))
 
 
-@query(f"WITH {INGEST_SQL} SELECT document_id, max(parse_version) AS parse_version, arg_max(status, (parse_version, event_id)) AS status, arg_max(attempt, (parse_version, event_id)) AS attempt FROM ingest GROUP BY 1")
+@query(
+    f"""WITH RECURSIVE {INGEST_SQL}, top AS (SELECT document_id, max(parse_version) AS parse_version FROM ingest GROUP BY 1),
+ e AS (SELECT ingest.*, row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS n FROM ingest JOIN top USING (document_id, parse_version)),
+ st AS (SELECT document_id, parse_version, n, status, attempt FROM e WHERE n = 1 UNION ALL
+  SELECT e.document_id, e.parse_version, e.n, CASE WHEN st.status IN ('done', 'cancelled') OR (st.status = 'cancelling' AND e.status <> 'cancelled') THEN st.status ELSE e.status END,
+   CASE WHEN st.status IN ('done', 'cancelled') OR (st.status = 'cancelling' AND e.status <> 'cancelled') THEN st.attempt ELSE greatest(st.attempt, e.attempt) END
+  FROM st JOIN e ON e.document_id = st.document_id AND e.n = st.n + 1)
+ SELECT document_id, parse_version, arg_max(status, n) AS status, arg_max(attempt, n) AS attempt FROM st GROUP BY 1, 2"""
+)
 def fence_versions(spark: SparkSession, d: str) -> DataFrame:
     return ingest.fenced_batch(ingest_events(spark, d))
 

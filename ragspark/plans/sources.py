@@ -112,7 +112,7 @@ def claim_lines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def verify_entities(spark: SparkSession, d: str) -> DataFrame:
     """Contacts found by rule, with what a model might have made of them."""
-    ruled = structure.contact_entities(lines(spark, d))
+    ruled = structure.contact_entities(lines(spark, d), everywhere=True)
     given = ruled.select("document_id", F.when(F.col("document_id") % 2 == 0, F.col("name")).otherwise("Nobody").alias("name"), F.col("email"))
     return structure.verify_entities(given, table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"), ruled, ["name", "email"])
 

@@ -150,11 +150,16 @@ def heading_level(spark: SparkSession, d: str) -> DataFrame:
     return h.select("document_id", "line_no", F.col("h.level").alias("level"))
 
 
+_RESUME = f"""raw AS (SELECT doc_id, i, trim(regexp_replace(trim(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))[i]), '^#{{1,6}}\\s*', '')) AS line FROM documents, unnest(range(1, len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) + 1)) AS t(i)),
+ l AS (SELECT *, CASE {" ".join(f"WHEN lower(trim(regexp_replace(line, '[ :：]+$', ''))) IN ({', '.join(repr(n) for n in names)}) THEN '{k}'" for k, names in structure.SECTIONS.items())} END AS kind FROM raw WHERE line <> ''),
+ told AS (SELECT doc_id, i, line, kind, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), '{structure.BASIC}') AS section FROM l)"""
+
+
 @query(
-    r"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)),
- f AS (SELECT doc_id, arg_min(trim(line), i) FILTER (regexp_matches(trim(line), '^[\p{L} ·.]{1,16}$')) AS name, arg_min(regexp_extract(line, '(?:\+?86[- ]?)?(1[3-9][0-9]{9})', 1), i) FILTER (regexp_matches(line, '(?:\+?86[- ]?)?(1[3-9][0-9]{9})')) AS phone,
-  arg_min(regexp_extract(line, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), i) FILTER (regexp_matches(line, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})')) AS email FROM l GROUP BY 1)
- SELECT doc_id, name, phone, email FROM f"""
+    rf"""WITH {_RESUME}, t AS (SELECT * FROM told WHERE kind IS NULL),
+ f AS (SELECT doc_id, arg_min(line, i) FILTER (section = '{structure.BASIC}' AND regexp_matches(line, '^[\p{{L}} ·]{{1,16}}$')) AS name, arg_min(regexp_extract(line, '{structure._PHONE}'), i) FILTER (regexp_matches(line, '{structure._PHONE}')) AS phone,
+  arg_min(regexp_extract(line, '{structure._EMAIL}'), i) FILTER (regexp_matches(line, '{structure._EMAIL}')) AS email FROM t GROUP BY 1)
+ SELECT doc_id, name, phone, email FROM documents LEFT JOIN f USING (doc_id)"""
 )
 def contact_entities(spark: SparkSession, d: str) -> DataFrame:
     return structure.contact_entities(lines(spark, d)).select(F.col("document_id").alias("doc_id"), "name", "phone", "email")

@@ -24,22 +24,24 @@ def replace_document_chunks(spark: SparkSession, path: str, new: DataFrame, docu
     table can't be read and overwritten in one plan.
     """
     keys = documents.select("document_id").distinct()
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        new.write.partitionBy("dataset_id").mode("overwrite").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        new.write.partitionBy("dataset_id").parquet(path)
         return
+    old = spark.read.schema(new.schema).parquet(path)
     touched = new.select("dataset_id").union(old.join(keys, "document_id", "left_semi").select("dataset_id")).distinct()
     state = replaced(old.join(touched, "dataset_id", "left_semi"), new, keys)
     stage = f"{path.rstrip('/')}_stage_{uuid.uuid4().hex}"
     state.write.parquet(stage)
     staged = spark.read.schema(state.schema).parquet(stage)
-    # partitions that lost their last chunk keep a row for the overwrite to empty them; readers skip it by its null id
-    empty = touched.join(staged.select("dataset_id").distinct(), "dataset_id", "left_anti")
-    blanks = empty.select(*[F.col("dataset_id") if c == "dataset_id" else F.lit(None).cast(staged.schema[c].dataType).alias(c) for c in staged.columns])
-    staged.unionByName(blanks).write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    # partitions that lose their last chunk are named before the table changes, and their files go
+    empty = [r.dataset_id for r in touched.join(staged.select("dataset_id").distinct(), "dataset_id", "left_anti").collect()]
+    staged.write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    for dataset_id in empty:
+        name = "__HIVE_DEFAULT_PARTITION__" if dataset_id is None else dataset_id
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dataset_id={name}"), True)
+    files.delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
 
 
 def checked_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from ragspark.functions.text import backoff
 
@@ -72,10 +73,9 @@ class Fence(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = tuple(self.state.get()) if self.state.exists() else None
         out = []
-        for part in rows:
-            for e in part.sort_values("event_id").itertuples():
-                state, acted = _advance(state, e)
-                out.append((key[0], e.event_id, e.parse_version, acted, state[1], STAGES.get(state[1], 0)))
+        for e in pd.concat(list(rows)).sort_values("event_id").itertuples():  # a document's events may come in several parts
+            state, acted = _advance(state, e)
+            out.append((key[0], e.event_id, e.parse_version, acted, state[1], STAGES.get(state[1], 0)))
         if state:
             self.state.update(state)
         yield pd.DataFrame(out, columns=["document_id", "event_id", "parse_version", "acted", "status", "progress"])
@@ -95,10 +95,18 @@ def status_timeline(events: DataFrame) -> DataFrame:
 
 
 def fenced_batch(events: DataFrame) -> DataFrame:
-    """The batch's end state: document_id, parse_version, status and attempt of the highest version's last event."""
-    last = F.max_by(F.struct("status", "attempt"), F.struct("parse_version", "event_id"))
-    out = events.groupBy("document_id").agg(F.max("parse_version").alias("parse_version"), last.alias("x"))
-    return out.select("document_id", "parse_version", "x.status", "x.attempt")
+    """The batch's end state: document_id, parse_version, status and attempt of the highest version after its last event that acts.
+
+    Nothing acts after done or cancelled, and after a stop (cancelling) only cancelled does.
+    """
+    before = Window.partitionBy("document_id", "parse_version").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    status = F.col("status")
+    held = F.first(F.when(status.isin("done", "cancelling", "cancelled"), status), ignorenulls=True).over(before)
+    over = F.coalesce(F.max(status == "cancelled").over(before), F.lit(False))
+    acting = events.withColumn("_held", held).withColumn("_over", over).where((F.col("_held").isNull()) | ((F.col("_held") == "cancelling") & (status == "cancelled") & ~F.col("_over")))
+    each = acting.groupBy("document_id", "parse_version").agg(F.max_by("status", "event_id").alias("status"), F.max("attempt").alias("attempt"))
+    out = each.groupBy("document_id").agg(F.max_by(F.struct("parse_version", "status", "attempt"), "parse_version").alias("x"))
+    return out.select("document_id", "x.*")
 
 
 def route_outcomes(outcomes: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:

@@ -1,6 +1,9 @@
 """Literal cases of behaviour that the tables don't hold: CJK, Markdown, question-answer files, resumes, reports."""
 
 import json
+import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,18 +166,57 @@ def test_splitter():
         assert any(c in p for p in parts)
 
 
+def test_splitter_keeps_its_rule():
+    """Without overlap: nothing is lost, a chunk ends at the last cut that fits, finer cuts only where coarser ones don't fit."""
+    rnd = random.Random(1)
+    for _ in range(1500):
+        text = "".join(rnd.choice(["a", "bc", "\n", "\n", "\n\n", " ", "。", "，", "x" * 9]) for _ in range(rnd.randint(0, 60)))
+        for target in (5, 12, 30):
+            parts = chunking.split_text(text, target, 0)
+            assert re.sub(r"\s", "", "".join(parts)) == re.sub(r"\s", "", text) and all(0 < len(p) <= target for p in parts)
+            # the first cut: the longest beginning that ends with the coarsest separator and fits
+            whole = text.strip()
+            sep = next((x for x in chunking.SEPARATORS if not x or x in whole), "")
+            if len(whole) > target and sep:
+                ends = [sum(len(y) + len(sep) for y in whole.split(sep)[: k + 1]) for k in range(whole.count(sep))]
+                first = max([e for e in ends if e <= target], default=ends[0])
+                assert "".join(re.sub(r"\s", "", p) for p in parts).startswith(re.sub(r"\s", "", whole[:first]))
+                if first <= target and whole[:first].strip():
+                    assert parts[0] == whole[:first].strip()
+    # separators don't overlap: of three line ends the first two are one, the third begins the next piece
+    assert chunking.split_text("aaaa\n\n\nbbbb\n\n\ncc", 8, 0) == ["aaaa", "bbbb", "cc"]
+    assert chunking.split_text("aaa bbb ccc ddd", 8, 3) == ["aaa bbb", "bbbccc", "cccddd"]
+
+
+def test_tables_that_stay_whole():
+    rows = "".join(f"<tr><td>{i}</td></tr>" for i in range(20))
+    for whole in (f"<table>{rows}<table>{rows}</table></table>", f"<table>{rows}", "<table>" + rows.replace("td", "th") + "</table>"):
+        assert chunking.table_parts(whole, 40) == [whole]
+    lines = ["| a | b |", "|---|---|", *(f"| {'y' * (i % 7)} | {i} |" for i in range(50))]
+    parts = chunking.table_parts("\n".join(lines), 90)
+    assert [x for p in parts for x in p.split("\n")[2:]] == lines[2:] and all(len(p) <= 90 for p in parts)
+    for p, q in zip(parts, parts[1:], strict=False):
+        assert len(p) + 1 + len(q.split("\n")[2]) > 90
+
+
 def test_lines(spark):
     pages = spark.createDataFrame([(1, p, n, t) for p in (1, 2, 3) for n, t in enumerate(["Head", f"body {p}", "Foot"])], "document_id long, page int, line_no int, line string")
     assert sorted(r.line for r in structure.strip_running_lines(pages).collect()) == ["body 1", "body 2", "body 3"]
-    d = spark.createDataFrame([(["computa-", "tion a"],), (["English-to-", "german x"],), (["a --", "b"],), (["one-", "two-", "three"],), ([],)], "l array<string>")
+    d = spark.createDataFrame([(["computa-", "tion a"],), (["English-to-", "german x"],), (["a --", "b"],), (["one-", "two-", "three"],), ([],), (["Eng-", "German x"],), (["computa-", "tion, and"],), (["well-known-", "ness here"],), (["English-", "to-German"],), (["x-", "", "y"],)], "l array<string>")
     got = [r[0] for r in d.select(structure.dehyphenate(F.col("l"))).collect()]
-    assert got == [["computation a"], ["English-to-german x"], ["a --", "b"], ["one-two-three"], []]
+    assert got == [["computation a"], ["English-togerman x"], ["a --", "b"], ["one-twothree"], [], ["Eng-German x"], ["computa-tion, and"], ["well-knownness here"], ["English-to-German"], ["x-", "", "y"]]
 
 
 def test_resume(spark):
     text = "张三\n13800138000 a@b.com\n项目经历\n1. 项目甲\n细节\n2. 项目乙\n细节\n教育经历\n大学 2010-2014"
     got = structure.resume_sections(lines(spark, text)).orderBy("entry_no").collect()
-    assert [r.section for r in got] == ["basic", "project", "project", "education"] and got[1].text == "1. 项目甲\n细节"
+    assert [r.section for r in got] == ["基本信息", "项目经历", "项目经历", "教育背景"] and got[1].text == "1. 项目甲\n细节"
+    more = "Profile\nAnn Lee\nObjective chief\n+86 13912345678\nWORK EXPERIENCE :\n2010-2012 A\ndid\n2013/1 to present B\nskills\n1. one\n2. two\n工作经历\nlast\nlast"
+    got = structure.resume_sections(lines(spark, more)).orderBy("entry_no").collect()
+    assert [(r.section, r.text) for r in got] == [("基本信息", "Ann Lee\nObjective chief\n+86 13912345678"), ("工作经历", "2010-2012 A\ndid"), ("工作经历", "2013/1 to present B\nlast"), ("专业技能", "1. one\n2. two")]
+    c = structure.contact_entities(lines(spark, more)).first()
+    assert (c.name, c.phone, c.intent) == ("Ann Lee", "+86 13912345678", "chief")
+    assert structure.contact_entities(lines(spark, "a:1\nskills\nBob")).first().name is None and structure.contact_entities(lines(spark, "a:1\nskills\nBob"), everywhere=True).first().name == "Bob"
     c = structure.contact_entities(lines(spark, text)).first()
     assert (c.name, c.phone, c.email) == ("张三", "13800138000", "a@b.com")
     given = spark.createDataFrame([(1, "李四", "13800138000")], "document_id long, name string, phone string")
@@ -229,7 +271,10 @@ def test_sinks(spark, tmp_path):
     new = spark.createDataFrame([(4, 2, "bb", 1, 1)], schema)
     for _ in range(2):
         sinks.replace_document_chunks(spark, path, new, new)
-    assert sorted((r.chunk_id, r.content) for r in spark.read.parquet(path).where("chunk_id IS NOT NULL").collect()) == [(1, "a"), (3, "c"), (4, "bb")]
+    assert sorted((r.chunk_id, r.content) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "c"), (4, "bb")]
+    # a partition that loses its last chunk is gone, and nothing is left beside the table
+    sinks.replace_document_chunks(spark, path, new.limit(0), old)
+    assert [r.chunk_id for r in spark.read.schema(old.schema).parquet(path).collect() if r.document_id != 2] == [] and not [x for x in os.listdir(os.path.dirname(path)) if "_stage_" in x]
     v = spark.createDataFrame([(1, [1.0, 2.0]), (2, []), (3, None)], "chunk_id long, embedding array<float>")
     assert sinks.write_vectors(v, str(tmp_path / "v")).count() == 2 and spark.read.parquet(str(tmp_path / "v")).first().dim == 2
     edits = spark.createDataFrame([(1, " new text ", 1), (2, " ", 1)], "chunk_id long, content string, edit_no int")

@@ -47,6 +47,11 @@ def test_versions_and_status(spark, tmp_path):
     assert acted == [True, True, False, True, False, True] and state == (2, "cancelled", 1)
     batch = {r.document_id: r for r in ingest.fenced_batch(df).collect()}
     assert batch[1].parse_version == 2 and batch[1].status == "cancelled"
+    for d in (1, 2):  # the same rule, event by event
+        state = None
+        for r in df.where(F.col("document_id") == d).orderBy("event_id").collect():
+            state, _ = ingest._advance(state, r)
+        assert (batch[d].parse_version, batch[d].status, batch[d].attempt) == state
     df.coalesce(1).write.parquet(src)
     provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
