@@ -5,7 +5,7 @@ combinations of at most three lengths that fill a window exactly (and the length
 padding by themselves) are enumerated; non-negative repeat counts that explain the histogram best are found by projected
 gradient descent, rounded down, and what is left is packed greedily, best fit first.  All that depends on the histogram
 of 1024 numbers alone; rows meet the resulting plan by a broadcast of at most one row for each combination and length, and one for each slice
-of 262,144 rows.
+of a length (a million at most).
 """
 
 from __future__ import annotations
@@ -154,17 +154,18 @@ def make_plan(hist: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]
     return plan
 
 
-def pack(cuts: DataFrame, window: int = 1024, slice_rows: int = 1 << 18) -> DataFrame:
+def pack(cuts: DataFrame, window: int = 1024, slice_rows: int = 1 << 10, most: int = 1 << 20) -> DataFrame:
     """Deal ``cuts`` (doc_id, start, length and others, lengths from 1 to ``window``) into sequences: adds sequence_id and offset.
 
-    Sequences are numbered gapless from 0.  The pieces of a length are counted in slices of about ``slice_rows``, so that a
-    length which most pieces share is not in one task; the number of slices grows with the pieces, one for so many.
+    Sequences are numbered gapless from 0.  The pieces of a length are counted in slices of about ``slice_rows``, or larger
+    ones so that there are no more than ``most`` and one for each length: a length that most pieces share is not in one task.
     Repeated rows are pieces of their own.
     """
     spark = cuts.sparkSession
     hist = np.zeros(window + 1, np.int64)
     for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most window rows
         hist[r.length] = r.n
+    slice_rows = max(slice_rows, -(-int(hist.sum()) // most))
     slices = spark.createDataFrame([(n, int(-(-hist[n] // slice_rows))) for n in map(int, np.flatnonzero(hist))], "length long, _slices long")
     dealt = F.pmod(F.xxhash64("doc_id", "start"), F.col("_slices")).cast("int")
     cuts = cuts.join(F.broadcast(slices), "length").select(*cuts.columns, dealt.alias("_slice"))
