@@ -13,8 +13,8 @@ Rows with equal sets are one class from the start.  The rest goes from signature
 group of a signature all sets are compared with its first one only; sets that are then known to be connected need no
 further comparison.  In groups that still hold sets of different components all are compared with a bounded number of
 them (``SMALL``).  What is left of larger groups goes through the same steps again by itself, where what its sets share is
-more frequent than in the whole corpus and stands last; should that no longer shrink them, they are compared with so many
-more of their sets in each round.  No link between different components is missed, and no group is paired with itself as a whole.  Before texts are
+more frequent than in the whole corpus and stands last; should that no longer shrink them, or are they not much larger,
+they are compared with so many more of their sets in each round.  No link between different components is missed, and no group is paired with itself as a whole.  Before texts are
 compared, parity bitmaps of the sets rule out pairs: bits that differ are a lower bound of the shingles that differ.
 """
 
@@ -39,7 +39,7 @@ COMMON = 0.05
 MOST_FREQUENT = 1_000_000
 _STRETCH = 1 << 22
 #: sets of a signature's group that the others are compared with in a round
-SMALL = 256
+SMALL = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,7 +374,9 @@ class _Links:
         """Compare the sets of each group (sig, sid, np) with its first one, the one with the fewest rarer shingles, which of
         near copies is the one that the others were made of.  Returns what is left of groups with several components."""
         place = F.shiftright("np", _PLACE).bitwiseAND(F.lit(_MASK))
-        first = groups.groupBy("sig").agg(F.min_by("sid", place).alias("first"), F.min_by("np", place).alias("first_np"))
+        # of equal places the smallest name, so that groups of the same sets have the same first one
+        order = F.shiftleft(place, 44).bitwiseOR(F.shiftrightunsigned("sid", 20))
+        first = groups.groupBy("sig").agg(F.min_by("sid", order).alias("first"), F.min_by("np", order).alias("first_np"))
         told = groups.join(first, "sig").where("sid <> first")
         near = told.where(_may_link("np", "first_np")).select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
         self.test(near)
@@ -408,10 +410,8 @@ def find_links(docs: DataFrame, described: DataFrame, members: DataFrame, rename
         groups = _signed_groups(texts, spark.sparkContext.broadcast((*_frequent(counted, size), renamed)))
         left = found.with_some(found.with_first(groups), small)
         ids = cut(left.select("sid").distinct())
-        n = ids.count()
-        if not n:
-            return found
-        if before is not None and 2 * n > before:
+        n, largest = ids.count(), left.agg(F.max("size")).first()[0] or 0
+        if largest <= 4 * small or (before is not None and 2 * n > before):
             while not left.isEmpty():
                 left = found.with_some(left, small)
             return found
