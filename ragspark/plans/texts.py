@@ -251,7 +251,7 @@ def _builder(template: str):  # noqa: ANN202
     return run
 
 
-for _t in ("general", "paper", "resume", "qa"):
+for _t in ("general", "book", "paper", "resume", "qa"):
     query(name=f"build_chunks_{_t}")(_builder(_t))
 
 
