@@ -10,8 +10,11 @@ of a length (a million at most).
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +29,67 @@ from .common import cut, table, text_slices
 END = 0
 
 
-def _encoder(folder: str | None):  # noqa: ANN202
-    """texts -> ids of each as an array."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
+#: white space with the word after it
+_WORD = re.compile(r"\s*\S+|\s+")
+_WORD_END = re.compile(r"\S(?=\s)")
+#: words that the tokenizer takes whole, but for a mark at their end
+_PLAIN = re.compile(r" ([A-Za-z]+|[0-9]+)([.,]?)")
+#: characters of a text that are split into words at once, and of words that a worker remembers
+_RUN, _REMEMBERED = 1 << 18, 1 << 23
 
-    name = "byte_bpe_50k.json"
-    tokenizer = Tokenizer.from_file(f"{folder}/{name}" if folder else str(public_tokenizers.path(name)))
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+def _runs(text: str) -> Iterator[list[str]]:
+    """The words of runs of a text; a run ends with a word."""
+    at = 0
+    while at < len(text):
+        end = _WORD_END.search(text, at + _RUN)
+        to = end.end() if end else len(text)
+        yield _WORD.findall(text, at, to)
+        at = to
+
 
-    return encode
+class _Encoder:
+    """Text -> array of ids.
+
+    The tokenizer never joins a word with the white space after it, so that a text's ids are those of its words in a row.
+    A worker tokenises a word once and remembers it, up to a number of characters at which it forgets all.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode(self, text: str) -> np.ndarray:
+        out = []
+        for words in _runs(text):
+            if self.held > _REMEMBERED:
+                self.known, self.held = {}, 0
+            known = self.known
+            if new := {w for w in words if w not in known}:
+                self.held += sum(map(len, new))
+                other = []
+                for w in new:
+                    if m := _PLAIN.fullmatch(w):
+                        # "\u0120" is a space in the vocabulary
+                        known[w] = array("I", [t.id for part in ("\u0120" + m[1], m[2]) if part for t in self.model.tokenize(part)]).tobytes()
+                    else:
+                        other.append(w)
+                known.update(zip(other, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+            out.append(b"".join(map(known.__getitem__, words)))
+        return np.frombuffer(b"".join(out), "<u4")
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(folder: str | None) -> _Encoder:
+    """One for each worker and folder, which the worker's tasks share."""
+    import public_tokenizers
+
+    name = "byte_bpe_50k.json"
+    return _Encoder(f"{folder}/{name}" if folder else str(public_tokenizers.path(name)))
 
 
 def pieces(docs: DataFrame, window: int = 1024, tokenizers: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -49,13 +101,13 @@ def pieces(docs: DataFrame, window: int = 1024, tokenizers: str | None = None, w
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        encode = _encoder(tokenizers)
+        encode = _encoder(tokenizers).encode
         for batch in batches:
             docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for lo, hi, *_ in text_slices(texts, 1 << 18):
                 out: list[tuple] = []
-                for doc_id, found in zip(docs_[lo:hi], encode([t or "" for t in texts[lo:hi].to_pylist()]), strict=True):
-                    ids = np.append(found, np.array([END], "<u4"))
+                for doc_id, text in zip(docs_[lo:hi], texts[lo:hi].to_pylist(), strict=True):
+                    ids = np.append(encode(text or ""), np.array([END], "<u4"))
                     for s in range(0, len(ids), window):
                         part = ids[s : s + window]
                         out.append((doc_id, s, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.astype(np.int32)] * with_ids)))

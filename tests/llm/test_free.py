@@ -58,6 +58,17 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, [])).collect() == []
 
 
+def test_words_have_the_tokens_of_the_text(monkeypatch):
+    encoder = packing._encoder(None)
+    parts = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u180e", "\u2003", "\u200b", "\u3000", " zymurgy", " 1024", ",", "a", "the", "'s", "'ll", " don't", "23", ".", "!!", "é", "中", "<|endoftext|>", "<|end", "\ufeff", "\u0301", "😀", "\x00"]
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(packing, "_RUN", 5)
+    monkeypatch.setattr(packing, "_REMEMBERED", 300)
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, rng.integers(0, 20)))
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_holds_the_histogram():
     rng = np.random.default_rng(1)
     for hist in (np.zeros(65, int), rng.integers(0, 50, 65), np.bincount([3] * 1000, minlength=65), np.bincount(rng.integers(1, 65, 20000), minlength=65)):
