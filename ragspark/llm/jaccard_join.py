@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import SPACED, cut, grams, mix, signed, table, text_slices, words
 
@@ -38,7 +37,7 @@ COMMON = 0.05
 #: most frequent shingles that are told apart from the rare ones (a broadcast of at most 16 MB); which ones are changes no result
 MOST_FREQUENT = 1_000_000
 _STRETCH = 1 << 22
-#: sets of a signature's group that the others are compared with in a round
+#: sets of a signature's group, about, that the others are compared with in a round
 SMALL = 1024
 
 
@@ -90,8 +89,8 @@ _SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n"
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """Parity of the shingles in each of 64, 128, ... places, as many as shingles at least."""
-    m = 64
+    """Parity of the shingles in each of 256, 512, ... places, as many as shingles at least."""
+    m = 256
     while m < len(own):
         m *= 2
     return np.packbits(np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
@@ -295,6 +294,14 @@ def _set_of(text: str) -> np.ndarray:
     return shingle_sets(raw, np.array([0, len(raw)], np.int64))[0]
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of bitmaps: parity in 256 places."""
+    for batch in batches:
+        folded = [np.bitwise_xor.reduce(np.frombuffer(x, np.int64).reshape(-1, 4)) for x in batch.column("bits").to_pylist()]
+        four = np.array(folded, np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([batch.column("sid"), *[pa.array(four[:, i].copy()) for i in range(4)]], ["sid", "s0", "s1", "s2", "s3"])
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [9 * differing_bits(x, y) <= n + m for x, y, n, m in zip(*[batch.column(c).to_pylist() for c in ("ba", "bb", "na", "nb")], strict=True)]
@@ -360,6 +367,7 @@ class _Links:
         self.docs, self.members, self.most = docs, members, most
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
+        self.round = 0
 
     def test(self, pairs: DataFrame) -> None:
         """Add those of ``pairs`` (a, b) that are similar."""
@@ -383,13 +391,23 @@ class _Links:
         return _mixed(_named(self.labels, told.select("sig", "sid", "np")))
 
     def with_some(self, groups: DataFrame, n: int) -> DataFrame:
-        """Compare the sets of each group (sig, sid, np, label) with ``n`` of them, of other components.  Returns what is left of larger groups."""
-        ranked = cut(groups.select("sig", "sid", "np", "label").withColumn("_r", F.row_number().over(Window.partitionBy("sig").orderBy("sid"))))
-        x, y = ranked.where(F.col("_r") <= n).alias("x"), ranked.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & (F.col("x._r") < F.col("y._r")))
-        pairs = pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.np").alias("na"), F.col("y.np").alias("nb"))
-        self.test(pairs.where(_may_link("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        return _mixed(_named(self.labels, ranked.where(F.col("_r") > n).select("sig", "sid", "np")))
+        """Compare the sets of each group (sig, sid, np, label, size) with about ``n`` of them, in groups of up to ``n`` with all, of other components.
+
+        Which sets are compared with goes by a hash that each round draws anew, so that no group is ordered or counted in
+        one task.  Sketches rule out pairs within the join.  Returns what is left of larger groups.
+        """
+        self.round += 1
+        turn = F.shiftrightunsigned(F.xxhash64("sid", F.lit(self.round)), 1)
+        chosen = (F.col("size") <= n) | (turn < (F.lit(2.0**63 * n) / F.col("size")).cast("long"))
+        sketches = self.members.join(groups.select("sid").distinct(), "sid").select("sid", "bits").mapInArrow(_folded, "sid long, s0 long, s1 long, s2 long, s3 long")
+        told = cut(groups.select("sig", "sid", "np", "label", chosen.alias("chosen")).join(sketches, "sid"))
+        x, y = told.where("chosen").alias("x"), told.alias("y")
+        differ = sum(F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4))
+        once = ~F.col("y.chosen") | (F.col("x.sid") < F.col("y.sid"))
+        close = _may_link("x.np", "y.np") & (9 * differ <= F.shiftright("x.np", _N) + F.shiftright("y.np", _N))
+        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label")) & once & close)
+        self.test(pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct())
+        return _mixed(_named(self.labels, told.where("not chosen").select("sig", "sid", "np")))
 
 
 def _signed_groups(docs: DataFrame, shared: object) -> DataFrame:
