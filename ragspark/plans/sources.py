@@ -9,6 +9,7 @@ from ragspark.operators import chunking, structure
 from ragspark.sources import files, goldset, qa, sinks
 
 from .tables import DOCS, LINES, chunks, lines, query, table
+from .texts import _RESUME, _STRIP
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
@@ -76,7 +77,14 @@ def write_vectors(spark: SparkSession, d: str) -> DataFrame:
     return good.select("chunk_id", "dim", F.lit(True).alias("kept")).unionByName(bad.select("chunk_id", "dim", F.lit(False).alias("kept")))
 
 
-@query()
+@query(
+    rf"""WITH x AS (SELECT p_size AS document_id, p_partkey, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ',' ELSE chr(9) END, p_type) AS line FROM part),
+ d AS (SELECT document_id, CASE WHEN count(*) FILTER (len(string_split(line, chr(9))) = 2) >= count(*) FILTER (len(string_split(line, ',')) = 2) THEN chr(9) ELSE ',' END AS d FROM x GROUP BY 1),
+ r AS (SELECT *, string_split(line, d) AS f FROM x JOIN d USING (document_id)), n AS (SELECT *, sum((len(f) = 2)::INTEGER) OVER (PARTITION BY document_id ORDER BY p_partkey) AS pair_no FROM r),
+ a AS (SELECT document_id, pair_no, arg_min(f[1], p_partkey) AS q, string_agg(CASE WHEN len(f) = 2 THEN f[2] ELSE trim(line) END, chr(10) ORDER BY p_partkey) AS a FROM n WHERE pair_no > 0 GROUP BY 1, 2),
+ c AS (SELECT document_id, pair_no, {_STRIP.replace("line", "q")} AS question, {_STRIP.replace("line", "a")} AS answer FROM a)
+ SELECT document_id::BIGINT AS document_id, pair_no::BIGINT AS pair_no, question, answer FROM c WHERE question <> '' AND answer <> ''"""
+)
 def qa_delimited(spark: SparkSession, d: str) -> DataFrame:
     """Names and types of parts as two columns, a document for each size, some lines with a comma for the tab."""
     p = table(spark, d, "part").withColumn("line", F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, ",").otherwise("\t"), "p_type"))
@@ -101,7 +109,11 @@ def resume_sections(spark: SparkSession, d: str) -> DataFrame:
     return structure.resume_sections(lines(spark, d).withColumn("line", marked))
 
 
-@query()
+@query(
+    f"""WITH {LINES}, c AS (SELECT document_id, line_no, line, CASE WHEN line_no < 2 THEN 'basic' WHEN line_no = 2 THEN 'project' ELSE 'other' END AS type FROM lines WHERE line_no <= 2 OR trim(line, ' ' || chr(9) || chr(13)) <> ''),
+ g AS (SELECT document_id, type, CASE WHEN type = 'project' THEN 'P' ELSE coalesce(arg_min(line, line_no) FILTER (length(line) <= 36), '') END AS title, string_agg(line, chr(10) ORDER BY line_no) AS text, min(line_no) AS lo FROM c GROUP BY 1, 2)
+ SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY lo) - 1)::INTEGER AS group_no, type, title, text FROM g"""
+)
 def claim_lines(spark: SparkSession, d: str) -> DataFrame:
     """Two groups claim the first lines of every document, both the second."""
     answer = '[{"type":"basic","title":"","lines":[0,1,1000000]},{"type":"project","title":"P","lines":[1,2]}]'
@@ -109,7 +121,10 @@ def claim_lines(spark: SparkSession, d: str) -> DataFrame:
     return structure.claim_lines(lines(spark, d), picked)
 
 
-@query()
+@query(
+    rf"""WITH {_RESUME}, f AS (SELECT doc_id, arg_min(line, i) FILTER (regexp_matches(line, '^[\p{{L}} ·]{{1,16}}$')) AS name, arg_min(regexp_extract(line, '{structure._EMAIL}'), i) FILTER (regexp_matches(line, '{structure._EMAIL}')) AS email FROM told WHERE kind IS NULL GROUP BY 1)
+ SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 1 AND contains(text, 'Nobody') THEN 'Nobody' ELSE name END AS name, email FROM documents LEFT JOIN f USING (doc_id)"""
+)
 def verify_entities(spark: SparkSession, d: str) -> DataFrame:
     """Contacts found by rule, with what a model might have made of them."""
     ruled = structure.contact_entities(lines(spark, d), everywhere=True)
@@ -117,13 +132,17 @@ def verify_entities(spark: SparkSession, d: str) -> DataFrame:
     return structure.verify_entities(given, table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"), ruled, ["name", "email"])
 
 
-@query()
+@query(
+    f"""WITH {LINES} SELECT document_id, (line_no // 8 + 1)::BIGINT AS table_no, (2 * line_no + k)::BIGINT AS line_no, concat(line_no, '|', trim(replace(line, '|', '/'), ' ' || chr(9) || chr(13))) AS cells, k = 0 AND line_no % 8 = 0 AS is_header
+ FROM lines, (VALUES (0), (1)) AS v(k) WHERE k = 0 OR line_no % 8 <> 0"""
+)
 def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
     """Lines with pipes, a separator after every eighth."""
     n = F.col("line_no")
     row = F.concat(F.lit("| "), F.col("line_no").cast("string"), F.lit(" | "), F.replace("line", F.lit("|"), F.lit("/")), F.lit(" |"))
     two = lines(spark, d).select("document_id", F.explode(F.array(F.struct((n * 2).alias("line_no"), row.alias("line")), F.struct((n * 2 + 1).alias("line_no"), F.when(n % 8 == 0, "|---|:-:|").otherwise(row).alias("line")))).alias("x"))
-    return structure.pipe_tables(two.select("document_id", "x.line_no", "x.line"))
+    t = structure.pipe_tables(two.select("document_id", "x.line_no", "x.line"))
+    return t.select("document_id", "table_no", F.col("line_no").cast("long").alias("line_no"), F.array_join("cells", "|").alias("cells"), "is_header")
 
 
 @query()
@@ -133,7 +152,11 @@ def split_tables(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_tables(blocks.select(F.col("block_no").alias("document_id"), text.alias("text")))
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT page_id, replace(html, '</h1>', '</h1>![p](data:image/png;base64,AA)') AS s FROM pages), x AS (SELECT page_id, regexp_split_to_array(s, '{structure._IMAGE}') AS g, regexp_extract_all(s, '{structure._IMAGE}') AS m FROM t),
+ u AS (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM x), v AS (SELECT page_id, 2 * i AS k, 'text' AS element_type, trim(g[i], ' ' || chr(9) || chr(10) || chr(13)) AS text FROM u UNION ALL SELECT page_id, 2 * i + 1, 'image', m[i] FROM u)
+ SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k) - 1)::INTEGER AS part_no, element_type, text, element_type = 'image' AND contains(lower(text), 'data:image') AS is_data FROM v WHERE text <> ''"""
+)
 def inline_images(spark: SparkSession, d: str) -> DataFrame:
     """Pages' sources with a picture put after each heading."""
     p = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("</h1>"), F.lit("</h1>![p](data:image/png;base64,AA)")).alias("text"))

@@ -269,7 +269,10 @@ def markdown_atoms(spark: SparkSession, d: str) -> DataFrame:
     return chunking.markdown_atoms(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
-@query()
+@query(
+    r"""WITH s AS (SELECT doc_id, regexp_replace(text, '(\p{L}{6})(\p{Ll}{6,})', '\1-' || chr(10) || '\2', 'g') AS t FROM documents), gone AS (SELECT doc_id, regexp_replace(t, '(\p{Ll})-\n(\p{Ll}+(?:\s|$))', '\1\2', 'g') AS t FROM s)
+ SELECT doc_id, regexp_replace(t, '(\p{L})-\n(\p{L})', '\1-\2', 'g') AS text FROM gone"""
+)
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
     """Texts whose words over 12 letters are split by a hyphen at a line's end, joined again."""
     t = table(spark, d, "documents").select("doc_id", F.split(F.regexp_replace("text", r"(\p{L}{6})(\p{Ll}{6,})", "$1-\n$2"), "\n").alias("lines"))
