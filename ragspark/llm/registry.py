@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, packing, pii, pitman_yor, quality, sharding
+from . import best_fit, chat_format, decontaminate, exact_dedup, fill_in_middle, html_extract, jaccard_join, packing, pii, pitman_yor, prefix_trie, quality, sharding
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_html_extract": html_extract.op8_html_extract,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_language_model": pitman_yor.op10_language_model,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_best_fit": best_fit.op12_best_fit,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
 }
