@@ -1,7 +1,7 @@
 """Structure of lines and atoms: sections, question-answer pairs, resumes, repeated lines, hyphens, pages.
 
 Lines are rows (document_id, line_no, line and others); what depends on earlier lines is a window over a document's
-lines.  Only folds whose state is not a running count or a last value go over a line array with ``aggregate``.
+lines.
 """
 
 from __future__ import annotations
@@ -145,7 +145,8 @@ def qa_question_lines(lines: DataFrame) -> DataFrame:
     """Pairs in plain lines: document_id, pair_no, question, answer.
 
     A labelled, numbered or bulleted line, or one that ends in a question mark, is a question; the lines after it, without
-    their answer labels, are its answer.  Pairs without an answer are left out.
+    their answer labels, are its answer.  Pairs without an answer are left out.  Lines with a ``page`` give each pair the
+    page and the line_no of its question.
     """
     t = lines.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
     x = F.col("line")
@@ -153,7 +154,8 @@ def qa_question_lines(lines: DataFrame) -> DataFrame:
     t = t.withColumn("_q", question).withColumn("pair_no", F.sum(F.col("_q").isNotNull().cast("int")).over(_so_far())).where("pair_no > 0")
     answer = F.when(F.col("_q").isNull(), F.when(x.rlike(_ANSWER), F.regexp_extract(x, _ANSWER, 1)).otherwise(x))
     t = t.withColumn("_a", F.when(answer != "", answer))
-    out = t.groupBy("document_id", "pair_no").agg(F.max("_q").alias("question"), trimmed(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_a").isNotNull(), F.struct("line_no", "_a")))), lambda v: v["_a"]), "\n")).alias("answer"))
+    place = [F.min_by(c, "line_no").alias(c) for c in ("line_no", "page") if "page" in lines.columns]  # of the question
+    out = t.groupBy("document_id", "pair_no").agg(*place, F.max("_q").alias("question"), trimmed(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_a").isNotNull(), F.struct("line_no", "_a")))), lambda v: v["_a"]), "\n")).alias("answer"))
     return out.where((trimmed(F.col("question")) != "") & (F.col("answer") != ""))
 
 
@@ -190,22 +192,6 @@ def qa_table_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_two", first_cells(F.col("cells"))).where("_two IS NOT NULL").select(*[c for c in rows.columns if c != "cells"], F.col("_two")[0].alias("question"), F.col("_two")[1].alias("answer"))
 
 
-def qa_chunks(pairs: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs that become a document's chunks: document_id, pair_no, question, answer, producer.
-
-    pairs: those of delimited files; lines: document_id, line_no, line; names: document_id, name.  Markdown also gives
-    pairs of headings, PDF of question lines, and other files of question lines if they have no other pair.
-    """
-    ext = F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1))
-    kinds = names.select("document_id", F.when(ext.isin("md", "markdown", "docx"), "heading").when(ext == "pdf", "line").otherwise("rest").alias("_kind"))
-    columns = ["document_id", "pair_no", "question", "answer", "producer"]
-    given = pairs.withColumn("producer", F.lit("delimited")).select(*columns)
-    heads = qa_headings(lines.join(kinds.where("_kind = 'heading'"), "document_id", "left_semi")).withColumn("producer", F.lit("heading")).select(*columns)
-    plain = kinds.where("_kind = 'line'").select("document_id").unionByName(kinds.where("_kind = 'rest'").select("document_id").join(pairs, "document_id", "left_anti"))
-    asked = qa_question_lines(lines.join(plain, "document_id", "left_semi")).withColumn("producer", F.lit("line")).select(*columns)
-    return given.unionByName(heads).unionByName(asked)
-
-
 # ---------------------------------------------------------------- tables and images in Markdown
 
 
@@ -217,24 +203,28 @@ def table_cells(line: Column) -> Column:
 
 
 def is_separator(line: Column) -> Column:
+    """A row of which all cells are dashes, spaces aside, with a colon at either end or none."""
     cells = table_cells(line)
-    return F.coalesce(F.forall(cells, lambda c: c.rlike("^:?-+:?$")), F.lit(False))
+    return F.coalesce(F.forall(cells, lambda c: F.replace(c, F.lit(" "), F.lit("")).rlike("^:?-+:?$")), F.lit(False))
 
 
 def pipe_tables(lines: DataFrame) -> DataFrame:
     """Pipe tables: document_id, table_no, line_no, cells, is_header.
 
-    A row that a separator follows starts a table, which goes on until a line that is no row; separators are left out.
+    A row that a separator follows starts a table, which goes on until a line that is no row, whatever its rows are.
+    Separators are left out, but for one that is the header itself.
     """
     w = Window.partitionBy("document_id").orderBy("line_no")
     t = lines.withColumn("cells", table_cells(F.col("line"))).withColumn("_sep", is_separator(F.col("line")))
-    t = t.withColumn("is_header", F.col("cells").isNotNull() & ~F.col("_sep") & F.coalesce(F.lead("_sep").over(w), F.lit(False)))
-    stop = F.col("cells").isNull()
-    t = t.withColumn("table_no", F.sum(F.col("is_header").cast("int")).over(_so_far())).withColumn("_stops", F.sum(stop.cast("int")).over(_so_far()))
-    t = t.withColumn("_at", F.last(F.when(F.col("is_header"), F.col("_stops")), ignorenulls=True).over(_so_far()))
-    return t.where("table_no > 0 AND cells IS NOT NULL AND NOT _sep AND _stops = _at").select("document_id", "table_no", "line_no", "cells", "is_header")
+    starts = F.col("cells").isNotNull() & F.coalesce(F.lead("_sep").over(w), F.lit(False))
+    t = t.withColumn("_starts", starts).withColumn("_run", F.sum(F.col("cells").isNull().cast("int")).over(_so_far())).where("cells IS NOT NULL")
+    run = Window.partitionBy("document_id", "_run")
+    t = t.withColumn("_head", F.min(F.when(F.col("_starts"), F.col("line_no"))).over(run)).where("line_no >= _head")
+    t = t.withColumn("is_header", F.col("line_no") == F.col("_head")).withColumn("table_no", F.sum(F.col("is_header").cast("int")).over(_so_far()))
+    return t.where("is_header OR NOT _sep").select("document_id", "table_no", "line_no", "cells", "is_header")
 
 
+#: how images are written in Markdown and HTML; a fixed value
 _IMAGE = r"(?is)!\[[^\]\n]*\]\([^)\n]*\)|<img\b[^>]*>"
 
 
@@ -252,20 +242,21 @@ def inline_images(texts: DataFrame) -> DataFrame:
 
 
 def dehyphenate(lines: Column) -> Column:
-    """An array of lines with words joined that a hyphen between two letters splits at a line's end.
+    """An array of lines (none with a line end inside) with words joined that a hyphen between two letters splits at a line's end.
 
     The hyphen goes if both letters are lower-case and the next line's first word is lower-case letters throughout, else
     it stays, as in a compound.  A double hyphen joins nothing.  A merged line may be merged again.
     """
+    # whether two neighbouring lines merge depends on them alone, so each line end becomes what it is, and all are joined once
+    after = lambda i: F.get(lines, i + 1)
 
-    def step(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        splits = (F.size(done) > 0) & last.rlike(r"\p{L}-\z") & line.rlike(r"^\p{L}")
-        goes = last.rlike(r"\p{Ll}-\z") & line.rlike(rf"^\p{{Ll}}+(?:{SPACE}|\z)")
-        merged = F.concat(F.when(goes, F.substring(last, F.lit(1), F.length(last) - 1)).otherwise(last), line)
-        return F.when(splits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(line)))
+    def with_end(line: Column, i: Column) -> Column:
+        splits = line.rlike(r"\p{L}-\z") & after(i).rlike(r"^\p{L}")
+        goes = line.rlike(r"\p{Ll}-\z") & after(i).rlike(rf"^\p{{Ll}}+(?:{SPACE}|\z)")
+        text = F.when(F.coalesce(splits & goes, F.lit(False)), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+        return F.concat(text, F.when(F.coalesce(splits, F.lit(False)) | after(i).isNull(), "").otherwise("\n"))
 
-    return F.aggregate(lines, F.expr("cast(array() as array<string>)"), step)
+    return F.when(F.size(lines) == 0, lines).otherwise(F.split(F.array_join(F.transform(lines, with_end), ""), "\n", -1))
 
 
 # ---- fixed values of resumes: headings of sections, and patterns
@@ -286,55 +277,64 @@ _INTENT = r"(?i)^(?:求职意向|应聘职位|目标职位|期望职位|objectiv
 _DECORATION = r"(?i)^\[(?:图片|图像|image)\]"
 
 
-def _in_sections(lines: DataFrame) -> DataFrame:
-    """Cleaned lines of resumes without the headings, with ``section``; what stands before the first heading is basic."""
+def told_sections(lines: DataFrame) -> DataFrame:
+    """Cleaned lines of resumes with ``section``, headings among them (_kind is their section, null for other lines).  What stands before the first heading is basic."""
     clean = F.regexp_replace(trimmed(F.regexp_replace("line", "^\ufffd+|\ufffd+$", "")), r"^#{1,6}\s*", "")
     t = lines.withColumn("line", trimmed(F.replace(clean, F.lit("\\- "), F.lit("- ")))).where((F.col("line") != "") & ~F.col("line").rlike(_DECORATION))
     word = F.lower(trimmed(F.regexp_replace("line", "[ :：]+$", "")))
     kinds = F.create_map(*[F.lit(x) for k, names in SECTIONS.items() for n in names for x in (n, k)])
-    t = t.withColumn("_kind", F.try_element_at(kinds, word)).withColumn("section", F.coalesce(F.last("_kind", ignorenulls=True).over(_so_far()), F.lit(BASIC)))
-    return t.where("_kind IS NULL").drop("_kind")
+    return t.withColumn("_kind", F.try_element_at(kinds, word)).withColumn("section", F.coalesce(F.last("_kind", ignorenulls=True).over(_so_far()), F.lit(BASIC)))
+
+
+def resume_entries(told: DataFrame) -> DataFrame:
+    """Entries of :func:`told_sections`: document_id, section, entry (from 1 in its section), first_line, text.
+
+    Of equal lines that follow on each other in a section one is kept.  Work and projects are split into entries: a
+    numbered line starts one; so does a line with a span of dates if the first line of the current entry has one too.
+    """
+    by = Window.partitionBy("document_id", "section").orderBy("line_no")
+    t = told.where("_kind IS NULL").withColumn("_before", F.lag("line").over(by)).where("_before IS NULL OR _before <> line")
+    # Of an entry's first line only whether it has dates counts.  An entry that dates start has them, so it is as the last
+    # numbered line, or the first of all, was: that is a last value, and the entries are islands.
+    marks = F.col("line").rlike(_NUMBERED) | (F.row_number().over(by) == 1)
+    t = t.withColumn("_mark", marks).withColumn("_dates", F.col("line").rlike(_DATES))
+    dated = F.last(F.when(F.col("_mark"), F.col("_dates")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.col("_mark") | (F.col("_dates") & F.coalesce(F.col("_dated"), F.lit(False)))
+    fresh = F.when(F.col("section").isin(WORK, PROJECT), fresh).otherwise(F.row_number().over(by) == 1)
+    t = t.withColumn("_dated", dated).withColumn("_fresh", fresh)
+    t = t.withColumn("entry", F.sum(F.col("_fresh").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return t.groupBy("document_id", "section", "entry").agg(F.min_by("line", "line_no").alias("first_line"), joined("line", "line_no").alias("text"))
 
 
 def resume_sections(lines: DataFrame) -> DataFrame:
     """Entries of resumes: document_id, section, entry_no, text.
 
-    Sections come in the order of their first line, and one that is taken up again goes on.  Work and projects are split
-    into entries: a numbered line starts one; so does a line with a span of dates if the first line of the current entry
-    has one too.  Of equal lines that follow on each other one is kept.
+    Sections come in the order in which they begin, basic first, and one that is taken up again goes on.
     """
-    t = _in_sections(lines)
-    before = F.lag("line").over(Window.partitionBy("document_id", "section").orderBy("line_no"))
-    t = t.withColumn("_before", before).where("_before IS NULL OR _before <> line")
-    blocks = t.groupBy("document_id", "section").agg(F.min("line_no").alias("_first"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines"))
-
-    def step(done: Column, line: Column) -> Column:
-        entry = F.element_at(done, -1)
-        fresh = (F.size(done) == 0) | line.rlike(_NUMBERED) | (line.rlike(_DATES) & F.element_at(entry, 1).rlike(_DATES))
-        return F.when(fresh, F.concat(done, F.array(F.array(line)))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(entry, F.array(line)))))
-
-    split = F.aggregate("lines", F.expr("cast(array() as array<array<string>>)"), step)
-    entries = F.when(F.col("section").isin(WORK, PROJECT), split).otherwise(F.array("lines"))
-    # the basic section stands first, whatever it holds
-    first = F.when(F.col("section") == BASIC, -1).otherwise(F.col("_first"))
-    out = blocks.select("document_id", first.alias("_first"), "section", F.posexplode(F.transform(entries, lambda e: F.array_join(e, "\n"))).alias("_n", "text"))
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("_first", "_n")) - 1
+    told = told_sections(lines)
+    first = told.groupBy("document_id", "section").agg(F.min("line_no").alias("_lo")).withColumn("_first", F.when(F.col("section") == BASIC, -1).otherwise(F.col("_lo")))
+    out = resume_entries(told).join(first.select("document_id", "section", "_first"), ["document_id", "section"])
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("_first", "entry")) - 1
     return out.select("document_id", "section", number.alias("entry_no"), "text")
 
 
+def contacts(told: DataFrame, order: Column, everywhere: bool = False) -> DataFrame:
+    """document_id, name, phone, email, intent of lines with a section: of each the first by ``order`` that has one."""
+    here = F.lit(True) if everywhere else F.col("section") == BASIC
+    found = {
+        "name": F.when(here & F.col("line").rlike(r"^[\p{L} ·]{1,16}\z"), F.col("line")), "phone": F.nullif(F.regexp_extract("line", _PHONE, 0), F.lit("")),
+        "email": F.nullif(F.regexp_extract("line", _EMAIL, 0), F.lit("")), "intent": F.nullif(trimmed(F.regexp_extract("line", _INTENT, 1)), F.lit("")),
+    }
+    return told.groupBy("document_id").agg(*[F.min_by(v, F.when(v.isNotNull(), order)).alias(k) for k, v in found.items()])
+
+
 def contact_entities(lines: DataFrame, everywhere: bool = False) -> DataFrame:
     """document_id, name, phone, email, intent of resumes: of each the first line that has one.
 
     A name is a line of the basic section (``everywhere``: any line) of at most 16 letters, spaces and middle dots; an
     intent stands after its label at the start of a line.
     """
-    t = _in_sections(lines)
-    here = F.lit(True) if everywhere else F.col("section") == BASIC
-    found = {
-        "name": F.when(here & F.col("line").rlike(r"^[\p{L} ·]{1,16}\z"), F.col("line")), "phone": F.nullif(F.regexp_extract("line", _PHONE, 0), F.lit("")),
-        "email": F.nullif(F.regexp_extract("line", _EMAIL, 0), F.lit("")), "intent": F.nullif(trimmed(F.regexp_extract("line", _INTENT, 1)), F.lit("")),
-    }
-    got = t.groupBy("document_id").agg(*[F.min_by(v, F.when(v.isNotNull(), F.col("line_no"))).alias(k) for k, v in found.items()])
+    got = contacts(told_sections(lines).where("_kind IS NULL"), F.col("line_no"), everywhere)
     return lines.select("document_id").distinct().join(got, "document_id", "left")
 
 
