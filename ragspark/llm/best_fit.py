@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,16 @@ END = 0
 _SLICE, _REMEMBERED = 1 << 22, 1 << 19
 
 
+#: words that the tokenizer splits in letters and what follows them
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?&*$%-]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself if it prints, else one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*prints}))}
+
+
 class _Encoder:
     """Texts -> ids.  White space of ASCII always ends a token and is no part of one, so a text's ids are those of its words."""
 
@@ -38,12 +50,37 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
         self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
+    def part(self, text: str) -> list[int]:
+        """Ids of letters of Latin-1, or of marks: no rule but that of case stands between them and the model."""
+        found = self.parts.get(text)
+        if found is None:
+            spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[text] = [t.id for t in self.model.tokenize(spelt)]
+        return found
+
+    def words(self, new: list[str]) -> list[list[int]]:
+        """Ids of words."""
+        out, rest = [], []
+        for w in new:
+            if m := _PLAIN.fullmatch(w):
+                out.append(self.part(m[1].lower()) + self.part(m[2]))
+            else:
+                rest.append(len(out))
+                out.append(w)
+        if rest:
+            for k, x in zip(rest, self.tokenizer.encode_batch_fast([out[k] for k in rest], add_special_tokens=False), strict=True):
+                out[k] = x.ids
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; number of ids by text).  There are no nulls."""
         words = pc.ascii_split_whitespace(texts)
@@ -53,9 +90,9 @@ class _Encoder:
             self.forget()
         new = [w for w in unique if w not in self.known]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
+        found = self.words(new)
         self.lengths = np.append(self.lengths, np.fromiter(map(len, found), np.int64, len(found)))
-        self.ids = np.append(self.ids, np.fromiter((i for x in found for i in x), "<u4"))
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), "<u4"))
         # the end is one more word
         first = np.append(np.cumsum(self.lengths) - self.lengths, len(self.ids))
         lengths, ids = np.append(self.lengths, 1), np.append(self.ids, np.uint32(END))

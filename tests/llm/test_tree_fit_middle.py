@@ -96,12 +96,12 @@ def test_contraction(spark):
 
 def test_words_have_the_tokens_of_the_text(monkeypatch):
     encoder = best_fit._encoder(None)
-    parts = [" ", " ", "\n", "\t", "\r", "\v", "\f", "\x1c", "\x85", "\xa0", " ", "​", "　", " zymurgy", "1024", ",", "a", "The", "'s", "'ll", "don't", ".", "!!", "é", "é", "İ", "Σ", "中", "<|endoftext|>", "<|end", "﻿", "́", "😀", "\x00"]
+    parts = [" ", " ", "\n", "\t", "\r", "\v", "\f", "\x1c", "\x85", "\xa0", " ", "​", "　", " zymurgy", "1024", ",", "a", "The", "'s", "'ll", "don't", ".", "!!", "é", "é", "İ", "Σ", "中", "<|endoftext|>", "<|end", "﻿", "́", "😀", "\x00", "Ünïcödé", "straße", "ÿ", "ÀÖ", "...", "-", "$$$", "&*", "A", "·", "ª"]
     rng = np.random.default_rng(4)
     monkeypatch.setattr(best_fit, "_REMEMBERED", 300)
     import pyarrow as pa
 
-    for _ in range(300):
+    for _ in range(1000):
         texts = ["".join(rng.choice(parts, rng.integers(0, 20))) for _ in range(rng.integers(1, 9))]
         ids, counts = encoder.encode(pa.array(["skipped", *texts])[1:])
         want = [[*x.ids, 0] for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
