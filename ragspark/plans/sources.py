@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.operators import chunking, structure
+from ragspark.operators import structure
 from ragspark.sources import files, goldset, qa, sinks
 
 from .tables import DOCS, LINES, chunks, lines, query, table
@@ -91,24 +91,6 @@ def qa_delimited(spark: SparkSession, d: str) -> DataFrame:
     return qa.qa_delimited(p.groupBy(F.col("p_size").cast("long").alias("document_id")).agg(structure.joined("line", "p_partkey").alias("text")))
 
 
-def _headed(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("line_no")
-    return lines(spark, d).withColumn("line", F.when(n % 10 == 0, F.concat(F.repeat(F.lit("#"), n % 3 + 1), F.lit(" "), "line")).otherwise(F.col("line")))
-
-
-@query()
-def qa_headings(spark: SparkSession, d: str) -> DataFrame:
-    return structure.qa_headings(_headed(spark, d))
-
-
-@query()
-def resume_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents under headings of a resume, every seventh line numbered."""
-    n = F.col("line_no")
-    marked = F.when(n % 12 == 3, F.lit("Education")).when(n % 12 == 7, F.lit("Projects")).when(n % 7 == 0, F.concat(F.lit("1. "), "line")).otherwise(F.col("line"))
-    return structure.resume_sections(lines(spark, d).withColumn("line", marked))
-
-
 @query(
     f"""WITH {LINES}, c AS (SELECT document_id, line_no, line, CASE WHEN line_no < 2 THEN 'basic' WHEN line_no = 2 THEN 'project' ELSE 'other' END AS type FROM lines WHERE line_no <= 2 OR trim(line, ' ' || chr(9) || chr(13)) <> ''),
  g AS (SELECT document_id, type, CASE WHEN type = 'project' THEN 'P' ELSE coalesce(arg_min(line, line_no) FILTER (length(line) <= 36), '') END AS title, string_agg(line, chr(10) ORDER BY line_no) AS text, min(line_no) AS lo FROM c GROUP BY 1, 2)
@@ -133,25 +115,20 @@ def verify_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {LINES} SELECT document_id, (line_no // 8 + 1)::BIGINT AS table_no, (2 * line_no + k)::BIGINT AS line_no, concat(line_no, '|', trim(replace(line, '|', '/'), ' ' || chr(9) || chr(13))) AS cells, k = 0 AND line_no % 8 = 0 AS is_header
- FROM lines, (VALUES (0), (1)) AS v(k) WHERE k = 0 OR line_no % 8 <> 0"""
+    f"""WITH {LINES} SELECT document_id, (line_no // 24 + 1)::BIGINT AS table_no, (2 * line_no + k)::BIGINT AS line_no, CASE WHEN line_no % 48 = 24 THEN '-|-' ELSE concat(line_no, '|', trim(replace(line, '|', '/'), ' ' || chr(9) || chr(13))) END AS cells, line_no % 24 = 0 AS is_header
+ FROM lines, (VALUES (0), (1)) AS v(k) WHERE line_no % 24 <> 23 AND (k = 0 OR line_no % 8 <> 0)"""
 )
 def pipe_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with pipes, a separator after every eighth."""
+    """Lines with pipes, a separator after every eighth, spaced or not; every 24th line ends a table, and every other header is a separator itself."""
     n = F.col("line_no")
     row = F.concat(F.lit("| "), F.col("line_no").cast("string"), F.lit(" | "), F.replace("line", F.lit("|"), F.lit("/")), F.lit(" |"))
-    two = lines(spark, d).select("document_id", F.explode(F.array(F.struct((n * 2).alias("line_no"), row.alias("line")), F.struct((n * 2 + 1).alias("line_no"), F.when(n % 8 == 0, "|---|:-:|").otherwise(row).alias("line")))).alias("x"))
+    row = F.when(n % 24 == 23, F.lit("no row")).when(n % 48 == 24, F.lit("-|-")).otherwise(row)
+    below = F.when(n % 16 == 0, "|- - -|: - :|").when(n % 8 == 0, "---|:-:").when(n % 24 == 23, "").when(n % 48 == 24, F.lit("|x|y|")).otherwise(row)
+    two = lines(spark, d).select("document_id", F.explode(F.array(F.struct((n * 2).alias("line_no"), row.alias("line")), F.struct((n * 2 + 1).alias("line_no"), below.alias("line")))).alias("x"))
     t = structure.pipe_tables(two.select("document_id", "x.line_no", "x.line"))
     return t.select("document_id", "table_no", F.col("line_no").cast("long").alias("line_no"), F.array_join("cells", "|").alias("cells"), "is_header")
 
 
-@query()
-def split_tables(spark: SparkSession, d: str) -> DataFrame:
-    blocks = files.rows_to_markdown(table(spark, d, "part"), "part", "p_partkey", ["p_partkey", "p_name", "p_type"])
-    text = F.regexp_replace("content", r"^##[^\n]*\n\n", "")
-    return chunking.split_tables(blocks.select(F.col("block_no").alias("document_id"), text.alias("text")))
-
-
 @query(
     rf"""WITH t AS (SELECT page_id, replace(html, '</h1>', '</h1>![p](data:image/png;base64,AA)') AS s FROM pages), x AS (SELECT page_id, regexp_split_to_array(s, '{structure._IMAGE}') AS g, regexp_extract_all(s, '{structure._IMAGE}') AS m FROM t),
  u AS (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM x), v AS (SELECT page_id, 2 * i AS k, 'text' AS element_type, trim(g[i], ' ' || chr(9) || chr(10) || chr(13)) AS text FROM u UNION ALL SELECT page_id, 2 * i + 1, 'image', m[i] FROM u)

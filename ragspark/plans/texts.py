@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
-from ragspark.operators import chunking, planning, structure
+from ragspark.operators import planning, structure
 from ragspark.sources.files import rows_to_markdown as to_markdown
 
-from .tables import LINES, documents, lines, messages, query, table
+from .tables import LINES, lines, messages, query, table
 
 _RESPONSE = """concat(CASE WHEN item_id % 2 = 0 THEN concat('```json', chr(10)) ELSE '' END, '{"queryType":"',
  CASE item_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'direct' WHEN 2 THEN 'contextual_rewrite' WHEN 3 THEN 'decomposition' ELSE 'hyde' END, '","queries":["', replace(substr(text, 1, 60), chr(10), ' '), '"',
@@ -237,38 +237,6 @@ def rows_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return to_markdown(table(spark, d, "part"), "part", "p_partkey", ["p_partkey", "p_name", "p_brand"]).select("block_no", F.md5("content").alias("digest"))
 
 
-@query()
-def chunk_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The recursive splitter over all texts."""
-    return chunking.split_recursive(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
-
-
-def _builder(template: str):  # noqa: ANN202
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = documents(spark, d).withColumnRenamed("content", "text")
-        return chunking.build_chunks(docs, template)
-
-    return run
-
-
-for _t in ("general", "book", "paper", "resume", "qa"):
-    query(name=f"build_chunks_{_t}")(_builder(_t))
-
-
-@query()
-def section_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Sections under headings that are put before every tenth line."""
-    n = F.col("line_no")
-    marked = F.when(n % 10 == 0, F.concat(F.repeat(F.lit("#"), n % 3 + 1), F.lit(" "), F.substring("line", 1, 60), F.lit("\n"), "line")).otherwise(F.col("line"))
-    texts = lines(spark, d).select("document_id", "line_no", marked.alias("line")).groupBy("document_id").agg(structure.joined("line", "line_no").alias("text"))
-    return structure.section_paths(structure.lines_of(texts), "book")
-
-
-@query()
-def markdown_atoms(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.markdown_atoms(table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
-
-
 @query(
     r"""WITH s AS (SELECT doc_id, regexp_replace(text, '(\p{L}{6})(\p{Ll}{6,})', '\1-' || chr(10) || '\2', 'g') AS t FROM documents), gone AS (SELECT doc_id, regexp_replace(t, '(\p{Ll})-\n(\p{Ll}+(?:\s|$))', '\1\2', 'g') AS t FROM s)
  SELECT doc_id, regexp_replace(t, '(\p{L})-\n(\p{L})', '\1-\2', 'g') AS text FROM gone"""
