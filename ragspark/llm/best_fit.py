@@ -15,8 +15,8 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from .common import cut, table, text_slices
 
 END = 0
 #: bytes of text looked at together, and words that a worker remembers before it forgets all
-_SLICE, _REMEMBERED = 1 << 22, 1 << 19
+_SLICE, _REMEMBERED = 1 << 23, 1 << 19
 
 
 #: words that the tokenizer splits in letters and what follows them
@@ -56,20 +56,21 @@ class _Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
+        self.parts: dict[str, bytes] = {"": b""}
         self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def part(self, text: str) -> list[int]:
+    def part(self, text: str) -> bytes:
         """Ids of letters of Latin-1, or of marks: no rule but that of case stands between them and the model."""
         found = self.parts.get(text)
         if found is None:
             spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[text] = [t.id for t in self.model.tokenize(spelt)]
+            found = self.parts[text] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
-    def words(self, new: list[str]) -> list[list[int]]:
-        """Ids of words."""
-        out, rest = [], []
+    def words(self, new: list[str]) -> list[bytes]:
+        """Ids of words, four bytes each."""
+        out: list = []
+        rest = []
         for w in new:
             if m := _PLAIN.fullmatch(w):
                 out.append(self.part(m[1].lower()) + self.part(m[2]))
@@ -78,7 +79,7 @@ class _Encoder:
                 out.append(w)
         if rest:
             for k, x in zip(rest, self.tokenizer.encode_batch_fast([out[k] for k in rest], add_special_tokens=False), strict=True):
-                out[k] = x.ids
+                out[k] = array("I", x.ids).tobytes()
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,20 +89,23 @@ class _Encoder:
         unique = coded.dictionary.to_pylist()
         if len(self.known) > _REMEMBERED:
             self.forget()
-        new = [w for w in unique if w not in self.known]
+        place = list(map(self.known.get, unique))
+        new = [w for w, k in zip(unique, place, strict=True) if k is None]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        fresh = iter(range(len(self.known) - len(new), len(self.known)))
+        place = np.fromiter((next(fresh) if k is None else k for k in place), np.int32, len(place))
         found = self.words(new)
-        self.lengths = np.append(self.lengths, np.fromiter(map(len, found), np.int64, len(found)))
-        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(found), "<u4"))
+        self.lengths = np.append(self.lengths, np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(found), "<u4"))
         # the end is one more word
         first = np.append(np.cumsum(self.lengths) - self.lengths, len(self.ids))
         lengths, ids = np.append(self.lengths, 1), np.append(self.ids, np.uint32(END))
         offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[coded.indices.to_numpy()]
-        place = np.insert(place, offsets[1:], len(lengths) - 1)
+        place = np.insert(place[coded.indices.to_numpy()], offsets[1:], len(lengths) - 1)
         size = lengths[place]
         ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(first[place] - (ends - size), size)
+        at = np.repeat((first[place] - (ends - size)).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
         return ids[at], np.diff(ends[offsets[1:] + np.arange(len(texts))], prepend=0)
 
 
