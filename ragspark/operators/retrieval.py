@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,14 +40,36 @@ def normalize_queries(queries: DataFrame, case: str = "case_id") -> DataFrame:
     return q.withColumn("query_no", F.row_number().over(Window.partitionBy(case).orderBy("pos")))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, term, tf.  Places of a term are counted within the chunk's row, so nothing is shuffled."""
-    tokens = chunks.select("chunk_id", F.array_sort(search_tokens(F.col("content"))).alias("_t"))
-    # of the sorted terms, those that a different one follows, with their places; tf is the distance from the one before
-    last = F.filter(F.transform("_t", lambda t, i: F.struct(t.alias("term"), (i + 1).alias("end"))), lambda x: ~F.get("_t", x["end"]).eqNullSafe(x["term"]))
-    ends = tokens.where(F.size("_t") > 0).select("chunk_id", last.alias("_l"))
-    counted = F.transform("_l", lambda x, i: F.struct(x["term"].alias("term"), (x["end"] - F.coalesce(F.get("_l", i - 1)["end"], F.lit(0))).cast("long").alias("tf")))
-    return ends.select("chunk_id", F.explode(counted).alias("x")).select("chunk_id", "x.term", "x.tf")
+def postings(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """chunk_id, term, tf; of the terms ``only``, if given.
+
+    Places of a term are counted where the chunk is, a batch of chunks at a time, so nothing is shuffled.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if only is None else pa.array(only, pa.string())
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                some = batch.slice(lo, 1024)
+                lists = some.column("_t")
+                terms, row = lists.flatten(), np.repeat(np.arange(len(some)), lists.value_lengths().fill_null(0).to_numpy())
+                if wanted is not None:
+                    kept = pc.is_in(terms, wanted)
+                    terms, row = terms.filter(kept), row[kept.to_numpy(zero_copy_only=False)]
+                coded = terms.dictionary_encode()
+                pair, tf = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+                row, code = np.divmod(pair, max(1, len(coded.dictionary)))
+                yield pa.RecordBatch.from_arrays([some.column("chunk_id").take(pa.array(row)), coded.dictionary.take(pa.array(code)), pa.array(tf)], ["chunk_id", "term", "tf"])
+
+    tokens = chunks.select("chunk_id", search_tokens(F.col("content")).alias("_t"))
+    return tokens.mapInArrow(count, tokens.select("chunk_id").schema.add("term", "string").add("tf", "long"))
+
+
+def search_chunks(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, key: str = "query_id", most: int = 1_000_000) -> DataFrame:
+    """:func:`fulltext_topk` over chunks without stored postings.  Up to ``most`` terms of the queries go to the tasks, which count only these."""
+    terms = queries.select(F.explode(query_terms(F.col("query"))).alias("term")).distinct()
+    only = [r.term for r in terms.collect()] if terms.count() <= most else None
+    return fulltext_topk(postings(chunks, only), queries, k, key, most)
 
 
 def fulltext_topk(posted: DataFrame, queries: DataFrame, k: int = DEFAULT_K, key: str = "query_id", most: int = 1_000_000) -> DataFrame:

@@ -57,8 +57,9 @@ def register_documents(documents: DataFrame) -> DataFrame:
 
     Adds registered_id and is_new.
     """
-    same = Window.partitionBy("dataset_id", "file_hash")
-    first = F.when(F.coalesce("file_hash", F.lit("")) == "", F.col("document_id")).otherwise(F.min("document_id").over(same))
+    empty = F.coalesce("file_hash", F.lit("")) == ""
+    same = Window.partitionBy("dataset_id", "file_hash", F.when(empty, F.col("document_id")))  # those without a hash are no group
+    first = F.when(empty, F.col("document_id")).otherwise(F.min("document_id").over(same))
     return documents.withColumn("registered_id", first).withColumn("is_new", F.col("registered_id") == F.col("document_id"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import books, chunks, evaluation, retrieval, sources, texts  # noqa: F401  each registers its queries
+from . import books, chunks, evaluation, retrieval, sources, stored, texts  # noqa: F401  each registers its queries
 from .tables import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "hybrid_search"

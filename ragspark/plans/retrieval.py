@@ -43,7 +43,7 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fulltext(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.fulltext_topk(retrieval.postings(ready(spark, d)), questions(spark, d))
+    return retrieval.search_chunks(ready(spark, d), questions(spark, d))
 
 
 @query(f"WITH {READY}, {POSTINGS}, {TERMS}, {FULLTEXT} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ft")
@@ -131,7 +131,7 @@ def hybrid_hits(spark: SparkSession, d: str) -> DataFrame:
     qs = one.unionByName(two).withColumn("query_id", F.col("case_id") * 10 + F.col("query_no"))
     docs = ready(spark, d)
     name = qs.select("query_id", "case_id", "query_no")
-    ft = retrieval.fulltext_topk(retrieval.postings(docs), qs).join(name, "query_id")
+    ft = retrieval.search_chunks(docs, qs).join(name, "query_id")
     v = embedding.hashed_embedding(docs, "chunk_id", F.col("content"))
     qe = embedding.hashed_embedding(qs, "query_id", F.col("query"))
     vt = retrieval.vector_topk(v, qe).join(name, "query_id")

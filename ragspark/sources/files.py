@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-
+import atexit
+import shutil
+import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +117,17 @@ def rows_to_markdown(df: DataFrame, title: str, order: str, columns: list[str] |
     return out.select(*keys, "block_no", F.concat(name, F.lit(head), "_t").alias("content"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``, which all executors see; where that is unset a local session gets a folder of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="ragspark-core-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return f"{where.rstrip('/')}/ragspark-core/{uuid.uuid4().hex}"
+
+
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """Lines of JSON files as they arrive, in the column ``value``."""
     return spark.readStream.format("text").load(path)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import token_estimate, trimmed
 
+from .snapshots import Snapshots
+
 MOST_DIMENSIONS = 4096
 
 
@@ -18,30 +18,12 @@ def replaced(old: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def replace_document_chunks(spark: SparkSession, path: str, new: DataFrame, documents: DataFrame) -> None:
-    """Rebuild the chunks of ``documents`` in a table at ``path`` that is partitioned by dataset_id.
+    """Rebuild the chunks of ``documents`` in the table at ``path``, in one step: a failure leaves the table as it was."""
+    Snapshots(spark, path).replace({"chunks": new}, documents, {"chunks": ["dataset_id"]})
 
-    Only partitions that hold a rebuilt document are written again.  The new state is staged beside the table first, as a
-    table can't be read and overwritten in one plan.
-    """
-    keys = documents.select("document_id").distinct()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(where):
-        new.write.partitionBy("dataset_id").parquet(path)
-        return
-    old = spark.read.schema(new.schema).parquet(path)
-    touched = new.select("dataset_id").union(old.join(keys, "document_id", "left_semi").select("dataset_id")).distinct()
-    state = replaced(old.join(touched, "dataset_id", "left_semi"), new, keys)
-    stage = f"{path.rstrip('/')}_stage_{uuid.uuid4().hex}"
-    state.write.parquet(stage)
-    staged = spark.read.schema(state.schema).parquet(stage)
-    # partitions that lose their last chunk are named before the table changes, and their files go
-    empty = [r.dataset_id for r in touched.join(staged.select("dataset_id").distinct(), "dataset_id", "left_anti").collect()]
-    staged.write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    for dataset_id in empty:
-        name = "__HIVE_DEFAULT_PARTITION__" if dataset_id is None else dataset_id
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dataset_id={name}"), True)
-    files.delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return Snapshots(spark, path).read("chunks")
 
 
 def checked_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,13 +33,20 @@ def checked_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sized.where(fine), sized.where(~fine)
 
 
-def write_vectors(vectors: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Write vectors partitioned by dimension; returns the rejects."""
+def write_vectors(vectors: DataFrame, path: str, documents: DataFrame | None = None) -> DataFrame:
+    """Add vectors (document_id, chunk_id, embedding) to the table at ``path``, by dimension, in one step; returns the rejects.
+
+    Vectors that ``documents`` had before are replaced.
+    """
     good, bad = checked_vectors(vectors)
-    good.write.partitionBy("dim").mode(mode).parquet(path)
+    Snapshots(vectors.sparkSession, path).replace({"vectors": good}, documents, {"vectors": ["dim"]})
     return bad
 
 
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return Snapshots(spark, path).read("vectors")
+
+
 def apply_chunk_edits(chunks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunks with edited contents and token counts, the changed ones): only the latter need new vectors.
 

@@ -15,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ragspark.functions.text import backoff
+from ragspark.operators.stats import register_documents
+from ragspark.sources.index import Index
+from ragspark.sources.snapshots import Snapshots
 
 EVENT = "eventId long, documentId long, parseVersion long, attempt int"
 MOST_ATTEMPTS = 5
@@ -34,9 +37,9 @@ def parse_events(raw: DataFrame, value: str = "value") -> tuple[DataFrame, DataF
 def dedupe_stream(uploads: DataFrame, ts: str = "ts", within: str = "1 hour") -> DataFrame:
     """Uploads of a stream without repeats of (dataset_id, file_hash) within the watermark.  An empty hash never repeats.
 
-    State ends with the watermark; what must hold for ever is ``register_documents`` against the stored table.
+    State ends with the watermark; what must hold for ever is :func:`register_stream`.
     """
-    key = F.when(F.coalesce("file_hash", F.lit("")) == "", F.concat(F.lit("#"), F.col("document_id").cast("string"))).otherwise(F.col("file_hash"))
+    key = F.when(F.coalesce("file_hash", F.lit("")) == "", F.concat(F.lit("#"), F.coalesce(F.col("document_id").cast("string"), F.uuid()))).otherwise(F.col("file_hash"))
     return uploads.withColumn("_key", key).withWatermark(ts, within).dropDuplicatesWithinWatermark(["dataset_id", "_key"]).drop("_key")
 
 
@@ -122,15 +125,42 @@ def route_outcomes(outcomes: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
     return rows.withColumn("next_attempt", again.cast("int")).withColumn("wait_s", F.when(F.col("action") == "retry", backoff(attempt)))
 
 
-def ingest_stream(documents: DataFrame, build: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame, DataFrame], None], checkpoint: str):  # noqa: ANN201
-    """Keep chunks current: each micro-batch of ``documents`` is chunked by ``build`` and put in by ``store``(chunks, documents).
+def ingest_stream(documents: DataFrame, build: Callable[[DataFrame], DataFrame], index: Index, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None):  # noqa: ANN201
+    """Keep an index current: each micro-batch of ``documents`` (document_id, parse_version and others) is one commit.
 
-    Of a document that comes twice in a batch the highest parse_version counts.  Ids are stable and ``store`` replaces
-    whole documents, so that a batch that is replayed changes nothing.
+    Chunks, vectors and postings of a batch appear together.  A version below the stored one changes nothing, whenever it
+    comes.  The commit notes the batch, so one that is replayed after it was stored is passed over; under another
+    checkpoint it leaves the same state.
     """
+    name = f"batch of {checkpoint}"
 
-    def one(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("document_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "document_id"]), "parse_version").alias("x")).select("document_id", "x.*")
-        store(build(latest), latest)
+    def one(batch: DataFrame, batch_id: int) -> None:
+        if index.manifest()["notes"].get(name, -1) < batch_id:
+            index.put(batch, build, embed, {name: batch_id})
 
     return documents.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def register_stream(uploads: DataFrame, store: Snapshots, checkpoint: str):  # noqa: ANN201
+    """Register uploads (document_id, dataset_id, file_hash) for ever: of equal files of a data set the first stays.
+
+    Each micro-batch is held against the table ``uploads`` of all that came before (no state grows in the stream), and
+    those with a file that is there point to its document.  An empty hash never repeats.  Rows stored: document_id,
+    dataset_id, file_hash, registered_id, is_new.
+    """
+    name = f"batch of {checkpoint}"
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        m = store.manifest()
+        if m["notes"].get(name, -1) >= batch_id:
+            return
+        rows = register_documents(batch.dropDuplicates(["document_id"]).withColumn("file_hash", F.coalesce("file_hash", F.lit("")))).select("document_id", "dataset_id", "file_hash", "registered_id")
+        if "uploads" in m["tables"]:
+            before = store.read("uploads")
+            rows = rows.join(before.select("document_id"), "document_id", "left_anti")  # the same upload again
+            known = before.where("is_new AND file_hash <> ''").select("dataset_id", "file_hash", F.col("document_id").alias("_known"))
+            rows = rows.join(known, ["dataset_id", "file_hash"], "left").withColumn("registered_id", F.coalesce("_known", "registered_id"))
+        rows = rows.withColumn("is_new", F.col("registered_id") == F.col("document_id"))
+        store.replace({"uploads": rows.select("document_id", "dataset_id", "file_hash", "registered_id", "is_new")}, None, None, {name: batch_id})
+
+    return uploads.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from ragspark.operators import chunking
-from ragspark.sources import sinks
+from ragspark.operators import chunking, retrieval
+from ragspark.operators.embedding import hashed_embedding
+from ragspark.sources.index import Index
+from ragspark.sources.snapshots import Snapshots
 from ragspark.streaming import ingest
 
 
@@ -35,8 +38,6 @@ def test_dedupe(spark, tmp_path):
 
 
 def test_versions_and_status(spark, tmp_path):
-    import pytest
-
     src = str(tmp_path / "f")
     rows = [(1, 1, 1, 1, "parsing"), (1, 2, 2, 1, "parsing"), (1, 3, 1, 2, "done"), (1, 4, 2, 1, "cancelling"), (1, 5, 2, 1, "embedding"), (1, 6, 2, 1, "cancelled"), (2, 7, 1, 1, "done"), (2, 8, 1, 2, "parsing")]
     df = spark.createDataFrame(rows, "document_id long, event_id long, parse_version long, attempt int, status string")
@@ -72,15 +73,114 @@ def test_outcomes(spark):
     assert got == {1: ("retry", 2, 1), 2: ("retry", 2, 2), 3: ("dead", None, None), 4: ("dead", None, None), 5: ("success", None, None)}
 
 
-def test_ingest_is_replay_safe(spark, tmp_path):
-    src, out = str(tmp_path / "d"), str(tmp_path / "chunks")
-    schema = "document_id long, dataset_id int, name string, text string, parse_version long"
-    df = spark.createDataFrame([(1, 1, "a.txt", "old", 1), (1, 1, "a.txt", "new text", 2), (2, 1, "b.txt", "two", 1)], schema)
-    df.write.parquet(src)
+DOCUMENTS = "document_id long, dataset_id int, name string, text string, parse_version long"
+
+
+def _state(index):
+    return sorted((r.document_id, r.content) for r in index.read("chunks").collect())
+
 
-    def store(chunks, documents):
-        sinks.replace_document_chunks(spark, out, chunks.select("chunk_id", "document_id", "chunk_index", "content", "token_num", "dataset_id"), documents)
+def _embed(chunks):
+    return hashed_embedding(chunks, "chunk_id", F.col("content"), 8)
 
+
+def _stream(spark, src, index, checkpoint):
+    ingest.ingest_stream(spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", 1).parquet(src), chunking.build_chunks, index, checkpoint, _embed).start().awaitTermination()
+
+
+def test_ingest_is_replay_safe(spark, tmp_path):
+    src = str(tmp_path / "d")
+    spark.createDataFrame([(1, 1, "a.txt", "old", 1), (1, 1, "a.txt", "new text", 2), (2, 1, "b.txt", "two", 1)], DOCUMENTS).write.parquet(src)
+    index = Index(spark, str(tmp_path / "index"), 4)
     for n in range(2):  # the second run replays all
-        ingest.ingest_stream(spark.readStream.schema(df.schema).parquet(src), chunking.build_chunks, store, str(tmp_path / f"ck{n}")).start().awaitTermination()
-    assert sorted((r.document_id, r.content) for r in spark.read.parquet(out).collect()) == [(1, "new text"), (2, "two")]
+        _stream(spark, src, index, str(tmp_path / f"ck{n}"))
+        assert _state(index) == [(1, "new text"), (2, "two")]
+
+
+def test_a_late_version_changes_nothing(spark, tmp_path):
+    src, index = str(tmp_path / "d"), Index(spark, str(tmp_path / "index"), 4)
+    batches = [
+        ([(1, 1, "a.txt", "one of two", 2), (2, 1, "b.txt", "two of one", 1)], [(1, "one of two"), (2, "two of one")]),
+        ([(1, 1, "a.txt", "late", 1)], [(1, "one of two"), (2, "two of one")]),
+        ([(2, 1, "b.txt", "two of three", 3), (3, 1, "c.txt", "three", 1)], [(1, "one of two"), (2, "two of three"), (3, "three")]),
+        ([(2, 1, "b.txt", "late too", 2), (3, 1, "c.txt", "three again", 1)], [(1, "one of two"), (2, "two of three"), (3, "three again")]),
+    ]
+    for rows, want in batches:
+        spark.createDataFrame(rows, DOCUMENTS).coalesce(1).write.mode("append").parquet(src)
+        _stream(spark, src, index, str(tmp_path / "ck"))
+        assert _state(index) == want
+        # all tables are of one state
+        ids = {r.chunk_id for r in index.read("chunks").collect()}
+        assert ids == {r.chunk_id for r in index.read("vectors").collect()} == {r.chunk_id for r in index.read("postings").collect()}
+    assert {r.document_id: r.parse_version for r in index.read("versions").collect()} == {1: 2, 2: 3, 3: 1}
+    before = index.manifest()
+    batch = spark.createDataFrame(batches[0][0], DOCUMENTS)
+    # a batch that was stored before its stream heard of it is passed over
+    name = f"batch of {tmp_path / 'ck'}"
+    assert before["notes"][name] == 3
+    # any older batch put again, in any order
+    for rows, _ in [*batches, *batches[::-1]]:
+        index.put(spark.createDataFrame(rows, DOCUMENTS), chunking.build_chunks, _embed)
+    assert [t for _, t in _state(index)][:2] == ["one of two", "two of three"] and batch.count() == 2
+
+
+def test_failed_commit_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    index = Index(spark, str(tmp_path / "index"), 4)
+    first = spark.createDataFrame([(1, 1, "a.txt", "first", 1)], DOCUMENTS)
+    second = spark.createDataFrame([(1, 1, "a.txt", "second", 2), (2, 1, "b.txt", "more", 1)], DOCUMENTS)
+    index.put(first, chunking.build_chunks, _embed)
+
+    def broken(chunks):
+        raise OSError("no model")
+
+    with pytest.raises(OSError, match="no model"):
+        index.put(second, chunking.build_chunks, broken)
+    assert _state(index) == [(1, "first")]
+    put, calls = Snapshots._put, []
+    monkeypatch.setattr(Snapshots, "_put", lambda self, m: calls.append(m) or (_ for _ in ()).throw(OSError("disk")))
+    with pytest.raises(OSError, match="disk"):
+        index.put(second, chunking.build_chunks, _embed)
+    assert _state(index) == [(1, "first")] and len(calls) == 1
+    monkeypatch.setattr(Snapshots, "_put", put)
+    assert index.expire() > 0 and _state(index) == [(1, "first")]  # what the failed one wrote goes
+    index.put(second, chunking.build_chunks, _embed)
+    assert _state(index) == [(1, "second"), (2, "more")]
+    old = index.versions()[0]
+    assert sorted(r.content for r in index.read("chunks", old).collect()) == ["first"]  # a reader of before
+    index.compact()
+    assert _state(index) == [(1, "second"), (2, "more")] and index.manifest()["deleted"]["rows"] == 0
+    index.expire()
+    assert len(index.versions()) == 1 and _state(index) == [(1, "second"), (2, "more")]
+    with pytest.raises(RuntimeError, match="there already"):
+        index._put(index.manifest())
+
+
+def test_stored_postings(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "index"), 8)
+    words = ["alpha", "beta", "gamma", "中文", "delta"]
+    rows = [(i, 1, "a.txt", " ".join(words[(i * k) % 5] for k in range(1, 9)), 1) for i in range(40)]
+    index.put(spark.createDataFrame(rows[:30], DOCUMENTS), chunking.build_chunks)
+    index.put(spark.createDataFrame(rows[20:], DOCUMENTS), chunking.build_chunks)
+    queries = spark.createDataFrame([(1, "beta 中文"), (2, "none at all"), (3, "Alpha")], "query_id long, query string")
+    found = index.fulltext_topk(queries)
+    got = sorted(map(tuple, found.collect()))
+    assert got and got == sorted(map(tuple, retrieval.search_chunks(index.read("chunks"), queries).collect()))
+    assert got == sorted(map(tuple, retrieval.fulltext_topk(retrieval.postings(index.read("chunks")), queries).collect()))
+    assert got == sorted(map(tuple, retrieval.search_chunks(index.read("chunks"), queries, most=0).collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "MapInArrow" not in plan and "PartitionFilters" in plan and "bucket" in plan
+    # only matches are shuffled: the one exchange below the rank is that of partial sums
+    assert plan.count("Exchange hashpartitioning(query_id") <= 2 and "Exchange hashpartitioning(term" not in plan
+
+
+def test_registered_for_ever(spark, tmp_path):
+    src, store = str(tmp_path / "u"), Snapshots(spark, str(tmp_path / "store"))
+    schema = "document_id long, dataset_id int, file_hash string"
+    batches = [[(1, 1, "h"), (2, 1, "h"), (3, 2, "h"), (4, 1, ""), (5, 1, None)], [(6, 1, "h"), (7, 1, ""), (8, 1, "g"), (1, 1, "h")], [(9, 1, "g"), (10, 2, "h")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        ingest.register_stream(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "ck")).start().awaitTermination()
+    got = {r.document_id: r.registered_id for r in store.read("uploads").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1, 7: 7, 8: 8, 9: 8, 10: 3}
+    ingest.register_stream(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "again")).start().awaitTermination()
+    assert store.read("uploads").count() == 10
