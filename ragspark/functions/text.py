@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 #: what counts as white space at the ends of a text: Unicode's spaces, not U+0020 alone
 SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(x: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(_SPACES))
 
 
 def null_if_blank(x: Column) -> Column:

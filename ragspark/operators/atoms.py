@@ -73,13 +73,13 @@ def open_headings(rows: DataFrame, sep: str, levels: int = 6) -> DataFrame:
 
     A heading closes all of its level and below.
     """
-    w, parts = _so_far(), []
+    # all in one pass of one window: the last heading of each level, and where the last one above it was
+    w, found = _so_far(), {}
     for k in range(1, levels + 1):
-        mine = F.last(F.when(F.col("_level") == k, F.struct("pos", F.nullif(F.col("_title"), F.lit("")).alias("title"))), ignorenulls=True).over(w)
-        above = F.last(F.when(F.col("_level") < k, F.col("pos")), ignorenulls=True).over(w) if k > 1 else F.lit(None).cast("long")
-        rows = rows.withColumn(f"_h{k}", F.struct(mine.alias("it"), above.alias("above")))
-        parts.append(F.when(F.coalesce(F.col(f"_h{k}.above"), F.lit(-1)) < F.col(f"_h{k}.it.pos"), F.col(f"_h{k}.it.title")))
-    return rows.withColumn("path", F.array_join(F.array_compact(F.array(*parts)), sep)).drop(*[f"_h{k}" for k in range(1, levels + 1)])
+        found[f"_h{k}"] = F.last(F.when(F.col("_level") == k, F.struct("pos", F.nullif(F.col("_title"), F.lit("")).alias("title"))), ignorenulls=True).over(w)
+        found[f"_a{k}"] = F.max(F.when(F.col("_level") < k, F.col("pos"))).over(w)
+    open_ = [F.when(F.coalesce(F.col(f"_a{k}"), F.lit(-1)) < F.col(f"_h{k}.pos"), F.col(f"_h{k}.title")) for k in range(1, levels + 1)]
+    return rows.withColumns(found).withColumn("path", F.array_join(F.array_compact(F.array(*open_)), sep)).drop(*found)
 
 
 def section_atoms(atoms: DataFrame, template: str) -> DataFrame:
@@ -97,8 +97,8 @@ def section_atoms(atoms: DataFrame, template: str) -> DataFrame:
     clean = trimmed(F.regexp_replace(trimmed(F.col("line")), "^�+|�+$", ""))
     h = F.when(F.col("_structured") & (trimmed(F.col("line")) != ""), heading(clean, template, F.col("element_type")))
     rows = rows.withColumn("_h", h).withColumn("_level", F.col("_h.level")).withColumn("_title", F.col("_h.title"))
-    rows = open_headings(rows, " / ")
-    ends = F.col("_level").isNotNull() | ~F.col("_structured") | ((F.col("_n") == 0) & (F.coalesce(F.lag("parser_name").over(before), F.lit("")) != ""))
+    rows = open_headings(rows.withColumn("_prior", F.lag("parser_name").over(before)), " / ")
+    ends = F.col("_level").isNotNull() | ~F.col("_structured") | ((F.col("_n") == 0) & (F.coalesce("_prior", F.lit("")) != ""))
     rows = rows.withColumn("_group", F.sum(ends.cast("int")).over(w))
     others = rows.where(~F.col("_structured")).withColumn("text", F.col("line"))
     body = rows.where(F.col("_structured") & F.col("_level").isNull()).withColumn("line", trimmed(F.col("line")))

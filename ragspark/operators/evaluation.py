@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ragspark.functions.text import trimmed
 from ragspark.operators.planning import ROUTES
@@ -90,6 +91,45 @@ def retrieval_metrics(results: DataFrame, by: list[str] | None = None) -> DataFr
     return ok.groupBy(*(by or [])).agg(F.count_if("has_evidence").alias("evaluated_evidence"), *means, F.count_if("expect_no_evidence").alias("negative_evaluated"), negative.alias("negative_no_hit_rate"))
 
 
+#: groups and percentiles up to which their ranges are held by the driver
+MOST_TARGETS = 100_000
+
+
+def nearest_ranks(values: DataFrame, by: list[str], value: str, ps: list[float], bins: int = 1024, most: int = 4096) -> DataFrame:
+    """The columns ``by``, p, and the value of nearest rank (the ceil(p n)-th of n), exact, without a group in one task.
+
+    Ranges are refined by counts: a pass counts the values of each range by ``bins`` parts of equal width, and goes on with
+    the part that holds the rank, from its least to its greatest value, until that is one value or it has at most ``most``
+    values, which are then sorted.  Two or three passes will do, as each divides a range by ``bins``.  Nulls and NaN don't
+    count; groups without values are left out.  The ranges of all groups must be few (``MOST_TARGETS``): they are broadcast.
+    """
+    spark = values.sparkSession
+    rows = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
+    found = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    found = found.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
+    found = found.withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * F.col("_n"), 6))).cast("long")).select(*by, "p", "_lo", "_hi", "_n", "_rank")
+    schema, done = found.schema, []
+    while True:
+        told = found.limit(MOST_TARGETS + 1).collect()
+        if len(told) > MOST_TARGETS:
+            raise ValueError(f"more than {MOST_TARGETS} groups")
+        wide = [r for r in told if r["_lo"] < r["_hi"] and r["_n"] > most]
+        done += [r for r in told if not (r["_lo"] < r["_hi"] and r["_n"] > most)]
+        if not wide:
+            break
+        part = rows.join(F.broadcast(spark.createDataFrame(wide, schema).drop("_n")), by).where("_v BETWEEN _lo AND _hi")
+        half = lambda c: F.col(c) / 2  # noqa: E731  the width of a range may be no double
+        share = F.floor((half("_v") - half("_lo")) / (half("_hi") - half("_lo")) * bins)
+        counts = part.groupBy(*by, "p", "_rank", F.least(share, F.lit(bins - 1)).alias("_bin")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(*by, "p").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most ``bins`` rows
+        counts = counts.withColumn("_upto", upto).where("_upto >= _rank AND _upto - _n < _rank")
+        found = counts.withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_n"))).select(*by, "p", "_lo", "_hi", "_n", "_rank")
+    targets = spark.createDataFrame(done, schema)
+    few = rows.join(F.broadcast(targets.where("_lo < _hi").drop("_n")), by).where("_v BETWEEN _lo AND _hi").groupBy(*by, "p", "_rank").agg(F.sort_array(F.collect_list("_v")).alias("_few"))
+    few = few.select(*by, "p", F.get("_few", F.col("_rank").cast("int") - 1).alias(value))
+    return targets.where("_lo = _hi").select(*by, "p", F.col("_lo").alias(value)).unionByName(few)
+
+
 def latency_stats(results: DataFrame) -> DataFrame:
     """stage, mean, p50, p95 (nearest rank, exact) of route, retrieval and total times; retrieval only where it was done."""
     times = F.explode(
@@ -99,8 +139,9 @@ def latency_stats(results: DataFrame) -> DataFrame:
         )
     )
     long_ = results.select(times.alias("x")).select("x.stage", "x.ms")
-    nearest = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ms)"), F.lit(0.0))
-    return long_.groupBy("stage").agg(F.coalesce(F.avg("ms"), F.lit(0.0)).alias("mean_ms"), nearest(0.5).alias("p50_ms"), nearest(0.95).alias("p95_ms"))
+    ranks = nearest_ranks(long_, ["stage"], "ms", [0.5, 0.95]).groupBy("stage").agg(*[F.max(F.when(F.col("p") == p, F.col("ms"))).alias(n) for p, n in ((0.5, "p50_ms"), (0.95, "p95_ms"))])
+    means = long_.groupBy("stage").agg(F.coalesce(F.avg("ms"), F.lit(0.0)).alias("mean_ms"))
+    return means.join(F.broadcast(ranks), "stage", "left").select("stage", "mean_ms", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50_ms", "p95_ms")])
 
 
 def route_stability(results: DataFrame) -> DataFrame:

@@ -125,6 +125,88 @@ def route_outcomes(outcomes: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
     return rows.withColumn("next_attempt", again.cast("int")).withColumn("wait_s", F.when(F.col("action") == "retry", backoff(attempt)))
 
 
+_RETRIED = "event_id long, action string, attempt int, at_ms long"
+_WAITS = "phase string, attempt int, due_ms long"
+
+
+def next_step(outcome: str, attempt: int, most: int = MOST_ATTEMPTS) -> tuple[str, int, int]:
+    """(action, next attempt, seconds to wait) of one outcome, by the rule of :func:`route_outcomes`."""
+    if outcome == "ok":
+        return "success", attempt, 0
+    if outcome in ("permanent", "malformed") or (outcome != "no_penalty" and attempt >= most):
+        return "dead", attempt, 0
+    return "retry", attempt if outcome == "no_penalty" else attempt + 1, min(60, 2 ** (max(1, attempt) - 1))
+
+
+class Retries(StatefulProcessor):
+    """Keyed state of each event: it waits for its time, or is being worked on under a lease.
+
+    An outcome ends the work, or puts the event off by its backoff; a timer publishes it again when that has passed, or
+    when the lease ends without an outcome, then at the same attempt.
+    """
+
+    def __init__(self, lease_s: int, most: int, by_events: bool = False):
+        self.lease, self.most, self.by_events = 1000 * lease_s, most, by_events
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", _WAITS)
+
+    def _set(self, phase: str, attempt: int, due: int) -> None:
+        if self.state.exists():
+            self.handle.deleteTimer(int(self.state.get()[2]))
+        self.state.update((phase, attempt, due))
+        self.handle.registerTimer(due)
+
+    def _now(self, timers: Any) -> int:
+        return max(0, timers.getCurrentWatermarkInMs()) if self.by_events else timers.getCurrentProcessingTimeInMs()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out, now = [], self._now(timerValues)
+        for e in pd.concat(list(rows)).sort_values(["attempt", "outcome"]).itertuples():
+            held = self.state.get() if self.state.exists() else None
+            if held is not None and held[0] == "over":
+                continue
+            attempt = int(e.attempt)
+            if held is not None and attempt < int(held[1]):
+                continue  # of an attempt that was given up
+            if e.outcome == "started":
+                self._set("working", attempt, now + self.lease)
+                continue
+            action, after, wait = next_step(e.outcome, attempt, self.most)
+            if action == "retry":
+                self._set("waiting", after, now + 1000 * wait)
+                continue
+            if held is not None:
+                self.handle.deleteTimer(int(held[2]))
+            self.state.update(("over", attempt, 0))
+            out.append((key[0], action, attempt, now))
+        yield pd.DataFrame(out, columns=["event_id", "action", "attempt", "at_ms"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), self._now(timerValues)
+        phase, attempt, due = self.state.get() if self.state.exists() else ("over", 0, 0)
+        out = []
+        if phase != "over" and int(due) == at:
+            # published: it is being worked on from now
+            self.state.update(("working", int(attempt), now + self.lease))
+            self.handle.registerTimer(now + self.lease)
+            out.append((key[0], "publish", int(attempt), at))
+        yield pd.DataFrame(out, columns=["event_id", "action", "attempt", "at_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def delayed_retries(outcomes: DataFrame, lease_s: int = 300, most: int = MOST_ATTEMPTS, time_mode: str = "ProcessingTime") -> DataFrame:
+    """A stream of outcomes (event_id, attempt, outcome: started or one of :func:`route_outcomes`) with what follows: event_id, action, attempt, at_ms.
+
+    ``publish``: the event is due again, after its backoff or as its lease has ended; ``success``, ``dead``: it is over.
+    With the time mode ``EventTime`` the stream's watermark is the clock.
+    """
+    return outcomes.groupBy("event_id").transformWithStateInPandas(statefulProcessor=Retries(lease_s, most, time_mode == "EventTime"), outputStructType=_RETRIED, outputMode="append", timeMode=time_mode)
+
+
 def ingest_stream(documents: DataFrame, build: Callable[[DataFrame], DataFrame], index: Index, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None):  # noqa: ANN201
     """Keep an index current: each micro-batch of ``documents`` (document_id, parse_version and others) is one commit.
 

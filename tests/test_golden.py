@@ -1,6 +1,7 @@
 """Literal cases of behaviour that the tables don't hold: CJK, Markdown, question-answer files, resumes, reports."""
 
 import json
+import math
 import random
 import re
 
@@ -102,6 +103,18 @@ def test_latency(spark):
     assert (got["route"].mean_ms, got["route"].p50_ms, got["route"].p95_ms) == (27.5, 20, 50) and got["retrieval"].mean_ms == 0
 
 
+def test_nearest_ranks(spark):
+    rnd = random.Random(8)
+    groups = {"same": [3.0] * 50, "one": [7.5], "two": [1.0, 2.0], "wide": [rnd.choice([-1, 1]) * 10.0 ** rnd.randint(-300, 300) for _ in range(400)], "many": [rnd.gauss(0, 1) for _ in range(900)], "ties": [float(rnd.randint(0, 5)) for _ in range(700)], "ends": [-1.7e308, 1.7e308] * 40}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("one", None), ("two", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    ps = [0.0, 0.01, 0.5, 0.95, 1.0]
+    for bins, most in ((2, 1), (16, 20), (1024, 4096)):
+        got = {(r.g, r.p): r.v for r in evaluation.nearest_ranks(df.where("g <> 'wide'") if bins == 2 else df, ["g"], "v", ps, bins, most).collect()}
+        want = {(g, p): sorted(vs)[max(1, math.ceil(round(p * len(vs), 6))) - 1] for g, vs in groups.items() for p in ps if bins > 2 or g != "wide"}
+        assert got == want
+
+
 def test_sections(spark):
     book = structure.section_paths(lines(spark, "第一章 起点\n开篇正文\n第一节 背景\n背景正文"), "book").orderBy("section_no").collect()
     assert [(r.section_path, r.text) for r in book] == [("第一章 起点", "开篇正文"), ("第一章 起点 / 第一节 背景", "背景正文")]

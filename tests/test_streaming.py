@@ -73,6 +73,42 @@ def test_outcomes(spark):
     assert got == {1: ("retry", 2, 1), 2: ("retry", 2, 2), 3: ("dead", None, None), 4: ("dead", None, None), 5: ("success", None, None)}
 
 
+def test_next_step_is_that_of_the_table(spark):
+    rows = [(i, a, o) for i, (a, o) in enumerate((a, o) for a in range(0, 9) for o in ("ok", "retryable", "permanent", "no_penalty", "malformed"))]
+    for r in ingest.route_outcomes(spark.createDataFrame(rows, "event_id long, attempt int, outcome string")).collect():
+        action, after, wait = ingest.next_step(r.outcome, r.attempt)
+        assert r.action == action and (r.next_attempt, r.wait_s) == ((after, wait) if action == "retry" else (None, None))
+
+
+def test_delayed_retries(spark, tmp_path):
+    """The watermark is the clock: each file moves it to its time."""
+    src = str(tmp_path / "o")
+    schema = "event_id long, attempt int, outcome string, ts timestamp"
+    batches = [
+        (5, [(1, 1, "started"), (2, 1, "started"), (3, 5, "retryable"), (4, 1, "permanent"), (5, 2, "no_penalty")]),
+        (10, [(1, 1, "retryable")]),  # again after 1 s
+        (20, [(0, 1, "ok")]),
+        (40, [(1, 2, "started"), (2, 1, "ok")]),
+        (50, [(1, 1, "retryable"), (1, 2, "retryable")]),  # the first is late: its attempt is over; again after 2 s
+        (60, [(0, 1, "ok")]),
+        (300, [(0, 1, "ok")]),  # the lease of 1's third attempt ends, and 5's
+        (305, [(0, 1, "ok")]),
+        (310, [(1, 3, "ok"), (5, 2, "ok")]),
+        (900, [(0, 1, "ok")]),
+        (901, [(0, 1, "ok")]),
+    ]
+    for t, rows in batches:
+        spark.createDataFrame([(*r, t) for r in rows], "event_id long, attempt int, outcome string, t long").selectExpr("event_id", "attempt", "outcome", "timestamp_seconds(t) AS ts").coalesce(1).write.mode("append").parquet(src)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withWatermark("ts", "0 seconds")
+        got = _run(ingest.delayed_retries(s, lease_s=100, time_mode="EventTime"), "retries", tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    told = sorted((r.event_id, r.action, r.attempt) for r in got)
+    assert told == [(0, "success", 1), (1, "publish", 2), (1, "publish", 3), (1, "publish", 3), (1, "success", 3), (2, "success", 1), (3, "dead", 5), (4, "dead", 1), (5, "publish", 2), (5, "publish", 2), (5, "success", 2)]
+
+
 DOCUMENTS = "document_id long, dataset_id int, name string, text string, parse_version long"
 
 
