@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,16 +96,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_
 
     vectors: chunk_id, embedding; queries: ``key`` (long), embedding.  Exact.  Queries are gathered in rows of about
     ``block`` of one length, vectors in rows of up to ``block``; each row of queries meets each row of vectors of its length
-    in one matrix product, of which only the best ``k`` go on.  Vectors of norm 0 are left out.  Similarities
+    in one matrix product, of which only the best ``k`` go on.  Queries are broadcast, in as many turns as keep each under
+    ``SENT`` bytes, so vectors are never shuffled.  Vectors of norm 0 are left out.  Similarities
     are compared to 9 digits, ties go by chunk_id; what is below ``min_score`` is dropped after the cut.
     """
     of = lambda df, id_: df.select(F.col(id_).cast("long").alias("id"), "embedding").where("embedding is not null and id is not null")
     v, q = of(vectors, "chunk_id"), of(queries, key)
-    # a stated set of queries against all vectors, by blocks: no pair of single rows is made
-    asked = _blocks(q, block)
     rows = v.mapInArrow(_gathered(2048), "dim int, ids array<long>, flat array<double>")
-    a, b = rows.alias("a"), asked.alias("b")
-    pairs = a.join(b, F.col("a.dim") == F.col("b.dim")).select("a.dim", "a.ids", "a.flat", F.col("b.ids").alias("q_ids"), F.col("b.flat").alias("q_flat"))
+    # a stated set of queries against all vectors, by blocks: no pair of single rows is made
+    turns = _turns(q, block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +115,10 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, min_
                 order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], [key, "chunk_id", "score"])
 
-    top = ranked(pairs.mapInArrow(search, f"{key} long, chunk_id long, score double"), key, k)
+    a = rows.alias("a")
+    pairs = [a.join(F.broadcast(t.alias("b")), F.col("a.dim") == F.col("b.dim")).select("a.dim", "a.ids", "a.flat", F.col("b.ids").alias("q_ids"), F.col("b.flat").alias("q_flat")) for t in turns]
+    found = reduce(DataFrame.unionByName, [p.mapInArrow(search, f"{key} long, chunk_id long, score double") for p in pairs])
+    top = ranked(found, key, k)
     return top.where(F.col("score") >= min_score) if min_score is not None else top
 
 
@@ -143,10 +146,17 @@ def _gathered(most: int):  # noqa: ANN202
     return run
 
 
-def _blocks(queries: DataFrame, block: int) -> DataFrame:
-    """Queries in rows of about ``block``: dealt by hash, so that small partitions don't make small rows."""
-    parts = max(1, -(-queries.count() // block))
-    return queries.repartition(parts, F.xxhash64("id")).mapInArrow(_gathered(block), "dim int, ids array<long>, flat array<double>")
+#: bytes of queries that are broadcast at once
+SENT = 256 << 20
+
+
+def _turns(queries: DataFrame, block: int) -> list[DataFrame]:
+    """Queries in rows of about ``block``, dealt by hash so that small partitions don't make small rows; a frame for each turn."""
+    n, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()
+    turns = max(1, -(-size // SENT))
+    parts = max(1, -(-n // (block * turns)))
+    mine = lambda t: queries.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(turns)) == t) if turns > 1 else queries
+    return [mine(t).repartition(parts, F.xxhash64("id")).mapInArrow(_gathered(block), "dim int, ids array<long>, flat array<double>") for t in range(turns)]
 
 
 def rrf_fusion(lists: DataFrame, k: int = DEFAULT_K, key: str = "query_id", list_no: str = "list_no") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
-from ragspark.operators import embedding, evaluation, retrieval
+from ragspark.operators import cells, embedding, evaluation, retrieval
+from ragspark.sources.files import scratch
 
 from .tables import DOCS, TOKENS, chunks, documents, query, questions, table
 
@@ -64,6 +65,17 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(v, q).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {VECTORS} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM vt")
+def vector_topk_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """The same from cells around pivots, which are written by cell and of which only those that may matter are searched."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    made = cells.vector_cells(v, 16)
+    at = scratch(spark)
+    made.blocks.write.partitionBy("cell").parquet(at)
+    stored = cells.Cells(spark.read.schema(made.blocks.schema).parquet(at), made.pivots)
+    return cells.pruned_topk(stored, v.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_similarity(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "embeddings")

@@ -309,3 +309,33 @@ def test_vectors(spark):
     for block in (1, 4096):
         got = sorted((r.query_id, r.rank, r.chunk_id) for r in retrieval.vector_topk(v, q, block=block).collect())
         assert got == [(7, 1, 1), (7, 2, 3), (9, 1, 4)]
+
+
+def test_pruned_vectors(spark):
+    import numpy as np
+
+    from ragspark.operators import cells
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 6))
+    rows = [(i, (centres[i % 12] + rng.normal(size=6) * 0.1).tolist()) for i in range(3000)]
+    rows += [(5000 + i, [1.0, 0.5, 0.0, 0.0, 0.0, 0.0]) for i in range(900)] + [(9000, [0.0] * 6), (9001, None), (9002, []), (9003, [1.0, 2.0]), (9004, [-1.0, 2.0])]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(6)
+    q = v.where("chunk_id % 97 = 0 OR chunk_id > 8999").select(F.col("chunk_id").alias("query_id"), "embedding")
+    q = q.unionByName(spark.createDataFrame([(99999, [1.0, 2.0, 3.0])], "query_id long, embedding array<double>"))
+    made = cells.vector_cells(v, 8, block=64)
+    for k, least in ((10, 0.2), (3, None), (1, 0.99)):
+        want = sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in retrieval.vector_topk(v, q, k, least).collect())
+        got = sorted((r.query_id, r.rank, r.chunk_id, r.score) for r in cells.pruned_topk(made, q, k, least, block=16).collect())
+        assert got == want
+    met = cells.pruning(made, q).first()
+    assert 0 < met.met < 0.5 * met.pairs
+
+
+def test_queries_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SENT", 100)
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "chunk_id long, embedding array<double>")
+    q = v.where("chunk_id < 30").withColumnRenamed("chunk_id", "query_id")
+    got = sorted(map(tuple, retrieval.vector_topk(v, q, block=4).collect()))
+    monkeypatch.undo()
+    assert len(got) == 300 and got == sorted(map(tuple, retrieval.vector_topk(v, q).collect()))
