@@ -41,16 +41,20 @@ def strip_running_lines(pages: DataFrame, short: int = 40) -> DataFrame:
     A first or last line of under ``short`` characters that is one on at least half of a document's pages that have text,
     and on at least two of them, goes from all pages it starts or ends.
     """
-    text = pages.where(trimmed(F.col("line")) != "").withColumn("_line", trimmed(F.col("line")))
-    edge = text.groupBy("document_id", "page").agg(F.min_by("_line", "line_no").alias("first"), F.max_by("_line", "line_no").alias("last"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
-    n = edge.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"))
-    ends = edge.select("document_id", F.explode(F.array(F.struct(F.lit("first").alias("end"), F.col("first").alias("_line")), F.struct(F.lit("last").alias("end"), F.col("last").alias("_line")))).alias("x")).select("document_id", "x.end", "x._line")
+    of_page = Window.partitionBy("document_id", "page")
+    with_text = F.when(F.col("_line") != "", F.col("line_no"))
+    # lines are shuffled once, by page; all else is at most two rows a page
+    t = pages.withColumn("_line", trimmed(F.col("line")))
+    t = t.withColumn("_lo", F.min(with_text).over(of_page)).withColumn("_hi", F.max(with_text).over(of_page))
+    place = F.explode(F.array_compact(F.array(F.when(F.col("line_no") == F.col("_lo"), "first"), F.when(F.col("line_no") == F.col("_hi"), "last"))))
+    ends = t.select("document_id", "page", "_line", place.alias("end"))
+    n = ends.where("end = 'first'").groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"))
     often = ends.where(F.length("_line") < short).groupBy("document_id", "end", "_line").agg(F.count(F.lit(1)).alias("n")).join(n, "document_id")
     often = often.where((F.col("pages") >= 2) & (F.col("n") >= 2) & (2 * F.col("n") >= F.col("pages"))).select("document_id", "end", "_line")
-    place = text.join(edge.select("document_id", "page", "lo", "hi"), ["document_id", "page"])
-    place = place.withColumn("end", F.explode(F.array_compact(F.array(F.when(F.col("line_no") == F.col("lo"), "first"), F.when(F.col("line_no") == F.col("hi"), "last")))))
-    gone = place.join(often, ["document_id", "end", "_line"], "left_semi").select("document_id", "page", "line_no").distinct()
-    return pages.join(gone, ["document_id", "page", "line_no"], "left_anti")
+    gone = ends.join(often, ["document_id", "end", "_line"], "left_semi").groupBy("document_id", "page").agg(F.max(F.col("end") == "first").alias("_head"), F.max(F.col("end") == "last").alias("_foot"))
+    out = t.join(gone, ["document_id", "page"], "left")
+    dropped = ((F.col("line_no") == F.col("_lo")) & F.col("_head")) | ((F.col("line_no") == F.col("_hi")) & F.col("_foot"))
+    return out.where(~F.coalesce(dropped, F.lit(False))).select(*pages.columns)
 
 
 def poor_text_docs(atoms: DataFrame, invalid: Column, total: Column) -> DataFrame:
