@@ -15,10 +15,12 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +34,13 @@ END = 0
 #: white space with the word after it
 _WORD = re.compile(r"\s*\S+|\s+")
 _WORD_END = re.compile(r"\S(?=\s)")
-#: words that the tokenizer takes whole, but for a mark at their end
-_PLAIN = re.compile(r" ([A-Za-z]+|[0-9]+)([.,]?)")
+#: words that the tokenizer splits in letters or digits, with the space before them, and the marks at their end
+_PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+)([.,;:!?&*$%-]*)")
+#: white space at an end, or two beside each other
+_SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_ODD = rf"\A{_SPACE}|{_SPACE}\z|{_SPACE}{_SPACE}|\A\z"
 #: characters of a text that are split into words at once, and of words that a worker remembers
-_RUN, _REMEMBERED = 1 << 18, 1 << 23
+_RUN, _REMEMBERED = 1 << 18, 1 << 24
 
 
 def _runs(text: str) -> Iterator[list[str]]:
@@ -60,28 +65,76 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # the letter that stands for each byte in the vocabulary: itself if it prints, else one from U+0100 on
+        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*prints}))}
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         self.held = 0
 
+    def part(self, text: str) -> bytes:
+        """Ids of letters of Latin-1, digits or marks, with a space before them or none: no rule stands between them and the model."""
+        found = self.parts.get(text)
+        if found is None:
+            spelt = text.encode().decode("latin-1").translate(self.letters)
+            found = self.parts[text] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            self.held += len(text)
+        return found
+
+    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of words, four bytes each, by word; those not seen before are tokenised."""
+        if self.held > _REMEMBERED:
+            self.forget()
+        known = self.known
+        if new := {w for w in words if w not in known}:
+            self.held += sum(map(len, new))
+            other, part = [], self.part
+            for w in new:
+                if m := _PLAIN.fullmatch(w):
+                    start = part("\n") + part(m[2]) if m[1] == "\n" else part(m[1] + m[2])
+                    known[w] = start + part(m[3])
+                else:
+                    other.append(w)
+            known.update(zip(other, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
+        return known
+
     def encode(self, text: str) -> np.ndarray:
         out = []
         for words in _runs(text):
-            if self.held > _REMEMBERED:
-                self.known, self.held = {}, 0
-            known = self.known
-            if new := {w for w in words if w not in known}:
-                self.held += sum(map(len, new))
-                other = []
-                for w in new:
-                    if m := _PLAIN.fullmatch(w):
-                        # "\u0120" is a space in the vocabulary
-                        known[w] = array("I", [t.id for part in ("\u0120" + m[1], m[2]) if part for t in self.model.tokenize(part)]).tobytes()
-                    else:
-                        other.append(w)
-                known.update(zip(other, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-            out.append(b"".join(map(known.__getitem__, words)))
+            out.append(b"".join(map(self._learn(words).__getitem__, words)))
         return np.frombuffer(b"".join(out), "<u4")
 
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text.  Texts in which no white space stands beside another, or at an end, are split together."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.encode(texts[i].as_py())
+        plain = np.flatnonzero(~odd)
+        # a line end begins a word as a space does
+        split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        spaced = [w if w[:1] == "\n" else f" {w}" for w in coded.dictionary.to_pylist()]
+        offsets = split.offsets.to_numpy()
+        first = words.take(pa.array(offsets[:-1])).to_pylist()
+        known = self._learn(chain(spaced, first))
+        parts = list(map(known.__getitem__, spaced)) + list(map(known.__getitem__, first))
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        place = coded.indices.to_numpy().copy()
+        place[offsets[:-1]] = len(spaced) + np.arange(len(first))  # no space before the first word
+        size = lengths[place]
+        ends = np.cumsum(size)
+        at = np.repeat(((np.cumsum(lengths) - lengths)[place] - (ends - size)).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        for i, x in zip(plain.tolist(), np.split(ids[at], ends[offsets[1:-1] - 1]) if len(plain) else [], strict=True):
+            out[i] = x
+        return out
+
 
 @functools.lru_cache(maxsize=1)
 def _encoder(folder: str | None) -> _Encoder:
@@ -101,13 +154,13 @@ def pieces(docs: DataFrame, window: int = 1024, tokenizers: str | None = None, w
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        encode = _encoder(tokenizers).encode
+        encode = _encoder(tokenizers).encode_all
         for batch in batches:
-            docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo, hi, *_ in text_slices(texts, 1 << 18):
+            docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+            for lo, hi, *_ in text_slices(texts, 1 << 23):
                 out: list[tuple] = []
-                for doc_id, text in zip(docs_[lo:hi], texts[lo:hi].to_pylist(), strict=True):
-                    ids = np.append(encode(text or ""), np.array([END], "<u4"))
+                for doc_id, found in zip(docs_[lo:hi], encode(texts[lo:hi]), strict=True):
+                    ids = np.append(found, np.array([END], "<u4"))
                     for s in range(0, len(ids), window):
                         part = ids[s : s + window]
                         out.append((doc_id, s, len(part), zlib.crc32(part.tobytes()), len(ids), *([part.astype(np.int32)] * with_ids)))

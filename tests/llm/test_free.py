@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ragspark.llm import decontaminate, html_extract, jaccard_join, packing, pitman_yor, quality
@@ -60,13 +61,15 @@ def test_packing(spark):
 
 def test_words_have_the_tokens_of_the_text(monkeypatch):
     encoder = packing._encoder(None)
-    parts = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u180e", "\u2003", "\u200b", "\u3000", " zymurgy", " 1024", ",", "a", "the", "'s", "'ll", " don't", "23", ".", "!!", "é", "中", "<|endoftext|>", "<|end", "\ufeff", "\u0301", "😀", "\x00"]
+    parts = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u180e", "\u2003", "\u200b", "\u3000", " zymurgy", " 1024", ",", "a", "the", "'s", "'ll", " don't", "23", ".", "!!", "é", "中", "<|endoftext|>", "<|end", "\ufeff", "\u0301", "😀", "\x00", " Ünïcödé", "\nstraße", " ÿ", "\nÀÖ", "...", "-", "$$$", "&*", " ª", "·", "\n7"]
     rng = np.random.default_rng(4)
     monkeypatch.setattr(packing, "_RUN", 5)
     monkeypatch.setattr(packing, "_REMEMBERED", 300)
     for _ in range(3000):
-        text = "".join(rng.choice(parts, rng.integers(0, 20)))
-        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        texts = ["".join(rng.choice(parts, rng.integers(0, 20))) for _ in range(2)] + [" ".join(rng.choice(parts[12:], rng.integers(0, 9))).strip()]
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoder.encode(texts[0]).tolist() == want[0]
+        assert [x.tolist() for x in encoder.encode_all(pa.array(["skipped", *texts])[1:])] == want
 
 
 def test_plan_holds_the_histogram():
