@@ -111,27 +111,35 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^\p{L}{3,}$"))
 
 
-#: A text's sketch: for each mask, the hash of its word pairs that is least under it.  Three equal ones of a band make two
-#: texts candidates, ``_EQUAL`` equal ones of all make them near copies (a Jaccard index of about a half).
-_MASKS = [((i * 0x9E3779B97F4A7C15 ^ i * i * 0x5851F42D4C957F2D) & ((1 << 64) - 1)) - (1 << 63) for i in range(1, 33)]
+#: A text's sketch: the least hash of its word pairs in each of 32 ranges of hashes; an empty range takes that of the next
+#: one that isn't.  Three equal ones of a band make two texts candidates, ``_EQUAL`` equal ones of all make them near copies
+#: (a Jaccard index of about a half).
+_RANGES = 32
 _BANDS = [(i % 32, (i * 3 + 7) % 32, (i * 5 + 18) % 32) for i in range(20)]
 _EQUAL = 16
 
 
-def near_copies(docs: DataFrame, most: int) -> DataFrame:
-    """(_text, _group) for the hashes of texts of ``docs`` that are near copies of one with a smaller hash, which is their group's.
+def sketched(docs: DataFrame) -> DataFrame:
+    """_text (hash of the text) and its sketch ``s`` of the distinct texts of ``docs`` with two words at least.
 
-    Texts of a bucket are compared with its smallest only, not with each other; groups that a text joins become one.
+    Hashes are sorted once, so that a range's least one is the first of it: one look at each word pair.
     """
     w = F.split(F.lower("text"), r"\s+")
     two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i)))
-    pairs = docs.select(F.xxhash64("text").alias("_text"), w.alias("w")).where(F.size("w") > 1).select("_text", two.alias("h"))
+    pairs = docs.select(F.xxhash64("text").alias("_text"), w.alias("w")).where(F.size("w") > 1).select("_text", F.array_sort(two).alias("h"))
+    of = lambda x: F.shiftright(x, 59)  # noqa: E731  -16 to 15, in the order of the hashes
+    least = F.filter("h", lambda x, i: (i == 0) | (of(x) != of(F.get("h", i - 1))))
+    # for each range the first least hash of it or of a later range, else the first of all
+    filled = F.transform(F.sequence(F.lit(-_RANGES // 2), F.lit(_RANGES // 2 - 1)), lambda k: F.coalesce(F.get(F.filter("m", lambda x: of(x) >= k), F.lit(0)), F.get("m", F.lit(0))))
+    return pairs.select("_text", least.alias("m")).select("_text", filled.alias("s")).dropDuplicates(["_text"])
+
 
-    def least(mask: int) -> Column:
-        return F.array_min(F.transform("h", lambda x: x.bitwiseXOR(F.lit(mask))))
+def near_copies(docs: DataFrame, most: int) -> DataFrame:
+    """(_text, _group) for the hashes of texts of ``docs`` that are near copies of one with a smaller hash, which is their group's.
 
-    sketch = F.array(*[least(m) for m in _MASKS])
-    sketches = cut(pairs.select("_text", sketch.alias("s")).dropDuplicates(["_text"]))
+    Texts of a bucket are compared with its smallest only, not with each other; groups that a text joins become one.
+    """
+    sketches = cut(sketched(docs))
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("s", F.lit(i)) for i in x]) for b, x in enumerate(_BANDS)])
     bands = cut(sketches.select("_text", F.explode(bands).alias("band")))
     first = bands.groupBy("band").agg(F.min("_text").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

@@ -147,6 +147,33 @@ def test_fixed_phrases_disclose_and_near_copies_do_not(spark):
     assert sum(n_terms(found[i]) for i in found if i >= 2000 or i < 400) == 0
 
 
+def test_near_copies_are_found(spark):
+    """Against all pairs: of those that share four fifths of their word pairs nine in ten are in one group, of unlike texts none."""
+    rnd = random.Random(11)
+    texts = []
+    for k in range(120):
+        whole = prose(rnd, rnd.choice([12, 40, 150, 400])).split()
+        for _ in range(rnd.choice([1, 3, 6])):
+            w = list(whole)
+            for _ in range(rnd.randint(0, max(1, len(w) // 12))):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(9999)}"
+            texts.append((k, " ".join(w)))
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    group = {r._text: r._group for r in pii.near_copies(df, 1000).collect()}
+    name = [group.get(hashes[i], hashes[i]) for i in range(len(texts))]
+    sets = [set(zip(w, w[1:], strict=False)) for w in (t.lower().split() for _, t in texts)]
+    near, found = 0, 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                near += 1
+                found += name[i] == name[j]
+            assert texts[i][0] == texts[j][0] or name[i] != name[j]
+    assert near > 200 and found >= 0.9 * near, (found, near)
+
+
 def test_terms_are_generalised_or_removed(spark):
     rnd = random.Random(4)
     rows = [(i, prose(rnd, 60)) for i in range(200)]
