@@ -243,8 +243,8 @@ def _restaurants(shared: object):  # noqa: ANN202
         count = lambda m: np.bincount(at[m], minlength=len(of)).astype(np.int32)
         customers = np.bincount(at, c, len(of)).astype(np.int64)
         h, c = h[party], c[party]
-        columns = [t.column("bucket")[0].as_py(), of.view(np.int64), customers, count(~party), count(party), h.view(np.int64), c, np.ones(len(c), np.int32), np.zeros(len(c), np.int64), []]
-        return pa.Table.from_pylist([dict(zip([*_REST, "kept"], columns, strict=True))], schema=_REST_ARROW)
+        lists = [of.view(np.int64), customers, count(~party), count(party), h.view(np.int64), c, np.ones(len(c), np.int32), np.zeros(len(c), np.int64)]
+        return pa.Table.from_batches([_bucket_row(t.column("bucket")[0].as_py(), lists, np.zeros((0, len(of)), np.int64))])
 
     return run
 
@@ -253,6 +253,18 @@ _long, _int = pa.list_(pa.int64()), pa.list_(pa.int32())
 _REST_ARROW = pa.schema(list(zip([*_REST, "kept"], [pa.int32(), _long, _long, _int, _int, _long, _long, _int, _long, pa.list_(_long)], strict=True)))
 
 
+def _bucket_row(bucket: int, lists: list[np.ndarray], kept: np.ndarray) -> pa.RecordBatch:
+    """The row of a bucket; ``kept``: tables by kept pass and part."""
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    passes = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * kept.shape[1]), pa.array(kept.ravel().astype(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[one(pa.array(x)) for x in lists], one(passes)], schema=_REST_ARROW)
+
+
+def _kept(x: pa.ListScalar, parts: int) -> np.ndarray:
+    """Tables by kept pass and part."""
+    return x.values.flatten().to_numpy().reshape(-1, parts) if len(x.values) else np.zeros((0, parts), np.int64)
+
+
 # ---------------------------------------------------------------- the sampler
 
 
@@ -327,12 +339,11 @@ def _seat(shared: object):  # noqa: ANN202
                 word = _place(deal.words, h)
                 base = np.where(word >= 0, z["p0"][word] if len(deal.words) else 0, z["rare"])
                 t = seat(part, outside, single, n, h, c, t, base, z, z["turn"])
-                kept = batch.column("kept")[i].as_py()
+                kept = _kept(batch.column("kept")[i], len(part))
                 if z["keep"]:
                     total = total + t
-                    kept = [*kept, single + np.bincount(np.repeat(np.arange(len(n)), n), t, len(n)).astype(np.int64)]
-                columns = [batch.column("bucket")[i].as_py(), part.view(np.int64), customers, single, n, h.view(np.int64), c, t.astype(np.int32), total, kept]
-                yield pa.RecordBatch.from_pylist([dict(zip([*_REST, "kept"], columns, strict=True))], schema=_REST_ARROW)
+                    kept = np.vstack([kept, single + np.bincount(np.repeat(np.arange(len(n)), n), t, len(n)).astype(np.int64)])
+                yield _bucket_row(batch.column("bucket")[i].as_py(), [part.view(np.int64), customers, single, n, h.view(np.int64), c, t.astype(np.int32), total], kept)
 
     return run
 
@@ -357,8 +368,7 @@ def _split_tables(shared: object):  # noqa: ANN202
                 hot = _place(deal.hot, part.view(np.uint64))
                 on = np.flatnonzero(hot >= 0)
                 now = single + np.bincount(np.repeat(np.arange(len(n)), n), t, len(n)).astype(np.int64)
-                kept = [np.array(k, np.int64)[on] for k in batch.column("kept")[i].as_py()]
-                lists = pa.array(np.stack(kept, 1).tolist() if kept else [[]] * len(on), _long)
+                lists = pa.array(_kept(batch.column("kept")[i], len(part))[:, on].T.tolist(), _long)
                 yield pa.RecordBatch.from_arrays([pa.array(deal.owner[hot[on]]), pa.array(customers[on]), pa.array(now[on]), lists], ["owner", "c", "t", "kept"])
 
     return run
@@ -545,7 +555,7 @@ class Known:
             return {"part": none.view(np.uint64), "customers": none, "rest": np.zeros((0, self.kept)), "owner": none, "h": none.view(np.uint64), "c": none, "own": none.astype(float)}
         part, customers, _, n, h, c, _, total = (_list(t.column(x)[0]) for x in _REST[1:])
         part = part.view(np.uint64)
-        tables = np.array(t.column("kept")[0].as_py(), np.int64).reshape(self.kept, len(part)).T
+        tables = _kept(t.column("kept")[0], len(part)).T
         hot = _place(self.deal.hot, part)
         on = np.flatnonzero(hot >= 0)
         if len(on):
