@@ -14,7 +14,7 @@ from ragspark.streaming import ingest
 
 from .chunks import _NAMED, _chunks, _split, _told
 from .retrieval import FULLTEXT, POSTINGS, READY, TERMS, questions, ready
-from .tables import DOCS, RESULTS_SQL, documents, query, results, table
+from .tables import DOCS, INGEST_SQL, RESULTS_SQL, documents, ingest_events, query, results, table
 
 
 @query(f"WITH {READY}, {POSTINGS}, {TERMS}, {FULLTEXT} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ft")
@@ -60,6 +60,46 @@ def register_uploads(spark: SparkSession, d: str) -> DataFrame:
     return store.read("uploads").select("document_id", "registered_id")
 
 
+def _streamed(stream: DataFrame, at: str) -> DataFrame:
+    """What a stream of files gives, run to its end."""
+    spark = stream.sparkSession
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)  # what keyed state needs; a stream takes it over when it starts
+    try:
+        run = stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query(
+    f"""WITH RECURSIVE {INGEST_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS n FROM ingest),
+ st AS (SELECT document_id, n, event_id, parse_version AS version, status, attempt, TRUE AS acted FROM e WHERE n = 1 UNION ALL
+  SELECT document_id, n, event_id, CASE WHEN acts THEN v ELSE version END, CASE WHEN acts THEN s ELSE status END, CASE WHEN NOT acts THEN attempt WHEN v > version THEN a ELSE greatest(attempt, a) END, acts FROM
+   (SELECT st.document_id, e.n, e.event_id, st.version, st.status, st.attempt, e.parse_version AS v, e.status AS s, e.attempt AS a, e.parse_version > st.version OR (e.parse_version = st.version AND st.status NOT IN ('done', 'cancelled') AND NOT (st.status = 'cancelling' AND e.status <> 'cancelled')) AS acts
+    FROM st JOIN e ON e.document_id = st.document_id AND e.n = st.n + 1))
+ SELECT document_id, event_id, status, CASE status WHEN 'parsing' THEN 10 WHEN 'chunking' THEN 40 WHEN 'embedding' THEN 60 WHEN 'done' THEN 100 ELSE 0 END::INTEGER AS progress FROM st WHERE acted"""
+)
+def status_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream: keyed state tells which act on their document."""
+    at = files.scratch(spark)
+    ingest_events(spark, d).select("document_id", "event_id", "parse_version", "attempt", "status").write.parquet(f"{at}/in")
+    events = spark.readStream.schema("document_id long, event_id long, parse_version long, attempt int, status string").parquet(f"{at}/in")
+    return _streamed(ingest.status_timeline(events), at)
+
+
+@query(f"WITH {DOCS} SELECT DISTINCT dataset_id, CASE WHEN document_id % 9 = 0 THEN '' ELSE file_hash END AS file_hash, CASE WHEN document_id % 9 = 0 THEN document_id END AS alone FROM docs")
+def dedupe_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Uploads as a stream within one watermark; those without a hash are told apart by their id."""
+    at = files.scratch(spark)
+    rows = documents(spark, d).select("document_id", "dataset_id", F.when(F.col("document_id") % 9 == 0, "").otherwise(F.col("file_hash")).alias("file_hash"), F.timestamp_seconds(F.col("document_id") + 1).alias("ts"))
+    rows.write.parquet(f"{at}/in")
+    kept = _streamed(ingest.dedupe_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), within="365 days"), at)
+    return kept.select("dataset_id", "file_hash", F.when(F.col("file_hash") == "", F.col("document_id")).alias("alone"))
+
+
 _FILE = "string_agg(replace(replace(text, chr(13), ' '), chr(10), ' '), chr(10) ORDER BY doc_id) || chr(10)"
 
 
