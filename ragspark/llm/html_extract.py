@@ -3,9 +3,9 @@
 A page is cut into blocks of text, each known to stand in the article, in marked boilerplate (menus, footers, adverts,
 ...) or neither.  Within a host, pages are put in order of their URL path, and each is paired with the neighbour whose
 path shares the longest beginning.  The blocks of the two are aligned by longest common subsequence; shared blocks
-belong to the site, not the page, and are deleted.  What an element marks as the article needs more evidence, as two pages
-may well carry one story: such a block goes only if both neighbours share it.  A neighbour that shares half of the
-article's blocks carries the same story and says nothing about the site; no block of the article goes then.
+belong to the site, not the page, and are deleted.  What an element marks as the article needs more evidence, as pages may
+well carry one story or quote one passage: such a block goes only if both neighbours share it and it stands in the articles
+of at least half of the host's pages.  A neighbour that shares half of the article's blocks carries the same story and says nothing about the site; no block of the article goes then.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ _DROP = frozenset("head script style noscript template iframe object svg math ca
 _ARTICLE = frozenset(["article", "main"])
 #: words of class and id that mark what is not the article
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus related recommended share sharing social newsletter subscribe signup login widget toolbar pagination pager skip".split()
+    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments replies responses disqus related recommended share sharing social newsletter subscribe signup login widget toolbar pagination pager skip".split()
 )
 #: these only outside the article
 _OUTER = frozenset("header footer masthead topbar copyright".split())
 #: words that say where or how something stands, not what it is
-_NEUTRAL = frozenset("area bar block bottom box button buttons container content inner item items left link links list main outer page panel right section site slot top unit wrap wrapper".split())
+_NEUTRAL = frozenset("area articles author bar block bottom box button buttons container content inner item items left link links list main outer page panel posts reader readers right section site slot stories top unit wrap wrapper".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 
@@ -231,13 +231,13 @@ def _common(a: str, b: str | None) -> int:
     return n
 
 
-def lost(prints: list[int], kinds: list[int], nearest: list[int] | None, other: list[int] | None) -> list[int]:
-    """Places of the blocks that belong to the site, by the blocks of the nearest page and of the other neighbour."""
+def lost(prints: list[int], kinds: list[int], nearest: list[int] | None, other: list[int] | None, common: set[int] | None = None) -> list[int]:
+    """Places of the blocks that belong to the site, by the blocks of the nearest page and of the other neighbour; of the article's blocks those that both share and that are in ``common``, if it is given."""
     near, far = (shared(prints, x) if x else set() for x in (nearest, other))
     gone = {i for i in near if kinds[i] == PLAIN}
     article = {i for i, k in enumerate(kinds) if k == ARTICLE}
     if all(2 * len(x & article) < len(article) for x in (near, far)):
-        gone |= near & far & article
+        gone |= {i for i in near & far & article if common is None or prints[i] in common}
     return sorted(gone)
 
 
@@ -247,7 +247,7 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, gone = [], []
         for r in batch.to_pylist():
             first = _common(r["path"], r["before_path"]) >= _common(r["path"], r["after_path"])
-            if places := lost(r["prints"], r["kinds"], *((r["before"], r["after"]) if first else (r["after"], r["before"]))):
+            if places := lost(r["prints"], r["kinds"], *((r["before"], r["after"]) if first else (r["after"], r["before"])), set(r["common"] or ())):
                 keys.append(r["_key"])
                 gone.append(places)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["_key", "gone"])
@@ -266,6 +266,14 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
+def _common_blocks(parsed: DataFrame) -> DataFrame:
+    """host, common: the blocks in the articles of at least half of a host's pages, and of three; at most twice as many as a page has."""
+    pages = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
+    own = F.array_distinct(F.filter(F.transform("prints", lambda x, i: F.when(F.get("kinds", i) == ARTICLE, x)), lambda x: x.isNotNull()))
+    often = parsed.select("host", F.explode(own).alias("_print")).groupBy("host", "_print").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 3").join(pages, "host")
+    return cut(often.where("2 * _n >= _pages").groupBy("host").agg(F.collect_list("_print").alias("common")))
+
+
 def extract(pages: DataFrame, most: int = 500_000) -> DataFrame:
     """page_id, url, text, n_chars: main text of each of ``pages`` (page_id, url, html), empty if there is none.
 
@@ -294,7 +302,11 @@ def extract(pages: DataFrame, most: int = 500_000) -> DataFrame:
     other = ranked.select("_rank", "host", "path", "prints")
     me, left, right = ranked.alias("m"), other.alias("l"), other.alias("r")
     near = me.join(left, (F.col("l._rank") == F.col("m._rank") - 1) & (F.col("l.host") == F.col("m.host")), "left").join(right, (F.col("r._rank") == F.col("m._rank") + 1) & (F.col("r.host") == F.col("m.host")), "left")
-    near = near.select("m._key", "m.path", "m.kinds", "m.prints", F.col("l.path").alias("before_path"), F.col("l.prints").alias("before"), F.col("r.path").alias("after_path"), F.col("r.prints").alias("after"))
+    near = near.select("m._key", "m.host", "m.path", "m.kinds", "m.prints", F.col("l.path").alias("before_path"), F.col("l.prints").alias("before"), F.col("r.path").alias("after_path"), F.col("r.prints").alias("after"))
+    common = _common_blocks(parsed)
+    if common.count() <= most:
+        common = F.broadcast(common)
+    near = near.join(common, "host", "left").drop("host")
     gone = cut(near.mapInArrow(_differenced, "_key long, gone array<int>"))
     if gone.count() <= most:
         gone = F.broadcast(gone)

@@ -202,6 +202,17 @@ def test_lost_blocks():
     assert lost([1, 1], [p, p], [1], None) in ([0], [1])
 
 
+def test_passages_that_few_pages_quote_stay(spark):
+    quote, site = "<p>a passage that a few pages quote</p>", "<p>Sign up for our letter</p>"
+    page = lambda n: f"<main><p>story {n}</p><p>more of {n}</p>{quote if n in (3, 4, 5) else ''}<p>end of {n}</p>{site}</main>"
+    rows = [(i, f"http://h.example/a/{i:02}", page(i)) for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(("a passage" in got[i]) == (i in (3, 4, 5)) for i in range(20))
+    assert not any("Sign up" in got[i] for i in range(1, 19))  # the first and the last page have one neighbour
+    more = '<main><div class="related-posts">a</div><p class="author-social">b</p><p class="posts">c</p></main><div class="reader-responses">d</div>'
+    assert [k for _, k in html_extract.blocks(more)] == [html_extract.BOILERPLATE] * 2 + [html_extract.ARTICLE, html_extract.BOILERPLATE]
+
+
 def test_differencing(spark):
     page = lambda n: f"<body><div>Site name</div><div>Home of {n}</div><p>story {n}</p><div>All rights</div></body>"
     rows = [(i, f"http://h.example/a/{i}", page(i)) for i in range(5)] + [(10, "http://solo.example/x?y#z", page(9)), (11, None, None), (12, "nonsense", ""), (3, "http://h.example/a/3", page(3))]
