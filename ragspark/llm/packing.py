@@ -40,7 +40,7 @@ _PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+)([.,;:!?&*$%-]*)")
 _SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _ODD = rf"\A{_SPACE}|{_SPACE}\z|{_SPACE}{_SPACE}|\A\z"
 #: characters of a text that are split into words at once, and of words that a worker remembers
-_RUN, _REMEMBERED = 1 << 18, 1 << 24
+_RUN, _REMEMBERED = 1 << 18, 1 << 23
 
 
 def _runs(text: str) -> Iterator[list[str]]:
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, window: int = 1024, tokenizers: str | None = None, w
         encode = _encoder(tokenizers).encode_all
         for batch in batches:
             docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
-            for lo, hi, *_ in text_slices(texts, 1 << 23):
+            for lo, hi, *_ in text_slices(texts, 1 << 22):
                 out: list[tuple] = []
                 for doc_id, found in zip(docs_[lo:hi], encode(texts[lo:hi]), strict=True):
                     ids = np.append(found, np.array([END], "<u4"))
