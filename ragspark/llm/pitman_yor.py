@@ -40,7 +40,7 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: words and pairs with this share of all training tokens, a million at most, are known to every task
 FREQUENT = 1e-6
 #: training tokens of a bucket, about
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 #: tokens, and texts, that a task deals to buckets at a time
 _HELD, _TEXTS = 3 << 18, 1 << 14
 _EXACT, _ROUNDS = 64, 8
