@@ -39,7 +39,7 @@ _PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+)([.,;:!?&*$%-]*)")
 #: white space at an end, or two beside each other
 _SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _ODD = rf"\A{_SPACE}|{_SPACE}\z|{_SPACE}{_SPACE}|\A\z"
-#: characters of a text that are split into words at once, and of words that a worker remembers
+#: characters of a text that are split into words at once, and of words that a worker remembers if not told otherwise
 _RUN, _REMEMBERED = 1 << 18, 1 << 23
 
 
@@ -68,6 +68,7 @@ class _Encoder:
         # the letter that stands for each byte in the vocabulary: itself if it prints, else one from U+0100 on
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*prints}))}
+        self.most = _REMEMBERED
         self.forget()
 
     def forget(self) -> None:
@@ -86,7 +87,7 @@ class _Encoder:
 
     def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of words, four bytes each, by word; those not seen before are tokenised."""
-        if self.held > _REMEMBERED:
+        if self.held > self.most:
             self.forget()
         known = self.known
         if new := {w for w in words if w not in known}:
@@ -145,19 +146,21 @@ def _encoder(folder: str | None) -> _Encoder:
     return _Encoder(f"{folder}/{name}" if folder else str(public_tokenizers.path(name)))
 
 
-def pieces(docs: DataFrame, window: int = 1024, tokenizers: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, window: int = 1024, tokenizers: str | None = None, with_ids: bool = False, remember: int = _REMEMBERED) -> DataFrame:
     """The pieces of each document: doc_id, start, length, ids_crc32, doc_tokens, and the ids themselves if asked for.
 
-    ``tokenizers``: folder of the tokenizer files, at the same path on all executors.
+    ``tokenizers``: folder of the tokenizer files, at the same path on all executors.  ``remember``: characters of words
+    whose ids a worker keeps; about twenty bytes of memory each, which stay with the worker, against tokenising them again.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        encode = _encoder(tokenizers).encode_all
+        encoder = _encoder(tokenizers)
+        encoder.most, encode = remember, encoder.encode_all
         for batch in batches:
             docs_, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
-            for lo, hi, *_ in text_slices(texts, 1 << 22):
+            for lo, hi, *_ in text_slices(texts, min(1 << 22, max(1 << 20, remember))):
                 out: list[tuple] = []
                 for doc_id, found in zip(docs_[lo:hi], encode(texts[lo:hi]), strict=True):
                     ids = np.append(found, np.array([END], "<u4"))
@@ -304,14 +307,14 @@ def pack(cuts: DataFrame, window: int = 1024, slice_rows: int = 1 << 10, most: i
     return ranked.mapInArrow(assign, T.StructType(fields).add("sequence_id", "long").add("offset", "long"))
 
 
-def pack_documents(docs: DataFrame, window: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, window: int = 1024, remember: int = _REMEMBERED) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) in sequences of at most ``window`` ids.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  Null and empty texts are the end id
     alone.  Null and repeated ids and repeated rows are documents like others.  Other columns are ignored; an empty table
-    gives an empty result.
+    gives an empty result.  ``remember``: see :func:`pieces`.
     """
-    out = pack(cut(pieces(docs, window)), window)
+    out = pack(cut(pieces(docs, window, remember=remember)), window)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -64,7 +64,7 @@ def test_words_have_the_tokens_of_the_text(monkeypatch):
     parts = [" ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u180e", "\u2003", "\u200b", "\u3000", " zymurgy", " 1024", ",", "a", "the", "'s", "'ll", " don't", "23", ".", "!!", "é", "中", "<|endoftext|>", "<|end", "\ufeff", "\u0301", "😀", "\x00", " Ünïcödé", "\nstraße", " ÿ", "\nÀÖ", "...", "-", "$$$", "&*", " ª", "·", "\n7"]
     rng = np.random.default_rng(4)
     monkeypatch.setattr(packing, "_RUN", 5)
-    monkeypatch.setattr(packing, "_REMEMBERED", 300)
+    monkeypatch.setattr(encoder, "most", 300)
     for _ in range(3000):
         texts = ["".join(rng.choice(parts, rng.integers(0, 20))) for _ in range(2)] + [" ".join(rng.choice(parts[12:], rng.integers(0, 9))).strip()]
         want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
