@@ -79,7 +79,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, in sequences of tokens.  A null text is the end token alone; rows that repeat are packed each; an empty table gives no piece."""
-    return packing.pack_documents(docs)
+    # words that a worker remembers stay in its memory, which the other stages need
+    return packing.pack_documents(docs, remember=1 << 20)
 
 
 STAGES = [
