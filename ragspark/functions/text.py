@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,17 @@ def search_tokens(text: Column) -> Column:
     return F.when(text.rlike("[㐀-鿿]"), F.flatten(F.transform(runs, expand))).otherwise(runs)
 
 
+_RUN, _CJK = re.compile("[0-9a-z_]+|[㐀-鿿]+"), re.compile("[㐀-鿿]")
+
+
+def terms_of(text: str | None) -> list[str]:
+    """:func:`search_tokens` of one text, for tasks that count terms in Python anyway: far faster than the column."""
+    runs = _RUN.findall((text or "").lower())
+    if not text or text.isascii() or not _CJK.search(text):
+        return runs
+    return [t for r in runs for t in ([r] if r.isascii() else [r[0], *(x for i in range(1, len(r)) for x in (r[i], r[i - 1 : i + 1]))])]
+
+
 def query_terms(text: Column) -> Column:
     """Distinct terms of a question; null when it has none."""
     terms = F.array_distinct(search_tokens(text))

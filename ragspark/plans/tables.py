@@ -42,7 +42,10 @@ DOCS = """docs AS (SELECT d.doc_id AS document_id, CAST(substr(source, 4) AS INT
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """One chunk a document."""
-    return documents(spark, d).select(F.col("document_id").alias("chunk_id"), "document_id", "dataset_id", F.lit(0).alias("chunk_index"), "content", F.lit(True).alias("enabled"))
+    # without what only labels tell, so that texts needn't meet them
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.substring("source", 4, 9).cast("int").alias("dataset_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.lit(True).alias("enabled"),
+    )
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
