@@ -9,7 +9,7 @@ from ragspark.functions import text as T
 from ragspark.operators import conversation, stats
 from ragspark.streaming import ingest
 
-from .retrieval import FULLTEXT, POSTINGS, READY, TERMS, _fulltext, ready
+from .retrieval import FULLTEXT, POSTINGS, READY, TERMS, found_texts
 from .tables import DOCS, INGEST_SQL, MESSAGES, chunks, documents, ingest_events, messages, query, table
 
 # ---------------------------------------------------------------- conversations
@@ -101,7 +101,7 @@ def purge_scope(spark: SparkSession, d: str) -> DataFrame:
   ELSE concat('Answer from the passages below. Mark each use with [n], its number. Say when they are not enough.', chr(10), chr(10), passages) END) AS digest FROM benchmark LEFT JOIN p ON query_id = item_id"""
 )
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
-    hits = _fulltext(spark, d).join(ready(spark, d).select("chunk_id", "document_name", "content"), "chunk_id").withColumnRenamed("query_id", "question_id")
+    hits = found_texts(spark, d).withColumnRenamed("query_id", "question_id")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 5 == 0, "none").otherwise("direct").alias("query_type"))
     return conversation.prompt_context(q, hits).select("question_id", F.md5("prompt").alias("digest"))
 

@@ -163,9 +163,20 @@ _MATCH = """matches AS (SELECT e.case_id, e.evidence_no, h.rank, h.chunk_id FROM
 _EVAL = f"WITH {READY}, {POSTINGS}, {TERMS}, {FULLTEXT}, {_HITS}, {_EVIDENCE}, {_MATCH}"
 
 
+def found_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the full-text search with names and texts, written once for all that reads them: ten rows a question at most."""
+    hits, asked = _fulltext(spark, d), questions(spark, d).count()
+    if asked * retrieval.DEFAULT_K <= 1_000_000:  # else texts and hits meet by shuffle
+        hits = F.broadcast(hits)
+    rows = ready(spark, d).select("chunk_id", "document_name", "content").join(hits, "chunk_id")
+    at = scratch(spark)
+    rows.write.parquet(at)
+    return spark.read.schema(rows.schema).parquet(at)
+
+
 def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Hits of the full-text search; and evidence made of them: two hits an evidence, some with a marker that no text has."""
-    hits = _fulltext(spark, d).join(ready(spark, d).select("chunk_id", "document_name", "content"), "chunk_id").withColumnRenamed("query_id", "case_id")
+    hits = found_texts(spark, d).withColumnRenamed("query_id", "case_id")
     second = F.when((F.col("rank") + F.col("case_id")) % 4 == 0, F.lit("zz none zz")).otherwise(F.substring("content", 3, 9))
     evidence = hits.select("case_id", F.floor((F.col("rank") - 1) / 2).cast("int").alias("evidence_no"), F.concat(F.lit(" "), F.upper("document_name"), F.lit(" ")).alias("document_name"), F.array(F.lower(F.substring("content", 1, 20)), second).alias("contains"))
     return evidence, hits
