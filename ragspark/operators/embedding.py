@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -11,30 +12,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragspark.functions.text import search_tokens
+from ragspark.functions.text import terms_of
 
 
 def hashed_embedding(df: DataFrame, id_: str, text: Column, dim: int = 64) -> DataFrame:
     """``id_`` and embedding array<double> of each row: every term adds its sign in the place that its md5 gives.
 
-    Rows without terms get zeros.  Nothing is shuffled.
+    Rows without terms get zeros.  Nothing is shuffled.  A task works on 512 texts at a time and remembers the codes of
+    terms up to a number at which it forgets all, so its memory doesn't grow with its rows.
     """
 
-    def code(term: Column) -> Column:
-        digest = F.md5(term)
-        place = F.conv(F.substring(digest, 1, 6), 16, 10).cast("int") % dim
-        return 2 * place + F.conv(F.substring(digest, 7, 2), 16, 10).cast("int") % 2
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Codes(dim)
         for batch in batches:
-            lists = batch.column("_codes")
-            codes, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
-            row = np.searchsorted(ends, np.arange(len(codes)), side="right")
-            cells = np.bincount(row * dim + codes // 2, np.where(codes % 2 == 0, 1.0, -1.0), len(batch) * dim).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(id_), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dim), pa.array(cells))], [id_, "embedding"])
-
-    coded = df.select(id_, F.transform(search_tokens(text), code).alias("_codes"))
-    return coded.mapInArrow(add, coded.select(id_).schema.add("embedding", T.ArrayType(T.DoubleType())))
+            for lo in range(0, len(batch), 512):
+                some = batch.slice(lo, 512)
+                if len(known) > 200_000:
+                    known.clear()
+                cells = np.zeros(len(some) * dim)
+                for i, text in enumerate(some.column("_text").to_pylist()):
+                    codes = np.fromiter(map(known.__getitem__, terms_of(text)), np.int64)
+                    both = np.bincount(codes, minlength=2 * dim)
+                    cells[i * dim : (i + 1) * dim] = both[::2] - both[1::2]
+                yield pa.RecordBatch.from_arrays([some.column(id_), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * dim), pa.array(cells))], [id_, "embedding"])
+
+    rows = df.select(id_, text.alias("_text"))
+    return rows.mapInArrow(add, rows.select(id_).schema.add("embedding", T.ArrayType(T.DoubleType())))
+
+
+class _Codes(dict):
+    """term -> twice its place, plus 1 where its sign is negative."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, term: str) -> int:
+        digest = md5(term.encode(), usedforsecurity=False).digest()
+        self[term] = code = 2 * (int.from_bytes(digest[:3], "big") % self.dim) + digest[3] % 2
+        return code
 
 
 def model_embedding(encode: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[..., Column]:
