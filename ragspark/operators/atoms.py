@@ -37,6 +37,11 @@ def complete(atoms: DataFrame) -> DataFrame:
     return atoms.selectExpr("document_id", "cast(atom_index as long) AS atom_index", "coalesce(text, '') AS text", *[value(c, kind, default) for c, (kind, default) in COLUMNS.items()])
 
 
+def is_marked(name: Column) -> Column:
+    """Whether a file of that name is Markdown."""
+    return extension(name).isin("md", "markdown")
+
+
 def document_atoms(documents: DataFrame) -> DataFrame:
     """Atoms of text files (document_id, name, text): Markdown by its elements, other texts whole.
 
@@ -44,7 +49,7 @@ def document_atoms(documents: DataFrame) -> DataFrame:
     """
     from ragspark.operators.chunking import markdown_atoms
 
-    marked = extension(F.col("name")).isin("md", "markdown")
+    marked = is_marked(F.col("name"))
     plain = documents.where(~marked & (F.col("text") != "")).select("document_id", F.lit(0).alias("atom_index"), F.lit("text").alias("element_type"), "text")
     found = plain.unionByName(markdown_atoms(documents.where(marked)))
     image = r"(?is)^!\[([^\]\n]*)\]\(\s*<?(data:image/([a-z0-9.+-]+)[^,\s)>]*;base64),([^\s)>]+)>?"
@@ -99,17 +104,22 @@ def section_atoms(atoms: DataFrame, template: str) -> DataFrame:
     rows = rows.withColumn("_h", h).withColumn("_level", F.col("_h.level")).withColumn("_title", F.col("_h.title"))
     rows = open_headings(rows.withColumn("_prior", F.lag("parser_name").over(before)), " / ")
     ends = F.col("_level").isNotNull() | ~F.col("_structured") | ((F.col("_n") == 0) & (F.coalesce("_prior", F.lit("")) != ""))
-    rows = rows.withColumn("_group", F.sum(ends.cast("int")).over(w))
-    others = rows.where(~F.col("_structured")).withColumn("text", F.col("line"))
-    body = rows.where(F.col("_structured") & F.col("_level").isNull()).withColumn("line", trimmed(F.col("line")))
-    last = F.lag("line").over(Window.partitionBy("document_id", "_group").orderBy("pos"))
-    body = body.withColumn("_last", last).where("line <> '' OR _last <> ''")
-    base = F.min_by(F.struct("pos", "page", "bbox", "parser_name"), F.when(F.col("line") != "", F.col("pos")))
-    text = body.groupBy("document_id", "_group", "path").agg(trimmed(joined("line", "pos")).alias("text"), base.alias("_b")).where("text <> ''")
+    rows = rows.withColumn("_group", F.sum(ends.cast("int")).over(w)).where(F.col("_level").isNull() | ~F.col("_structured"))
+    # other kinds begin a group, so they are told from the lines after them by _structured; both in one pass, as rows cost much
+    rows = rows.withColumn("line", F.when(F.col("_structured"), trimmed(F.col("line"))).otherwise(F.col("line")))
+    last = F.lag("line").over(Window.partitionBy("document_id", "_group", "_structured").orderBy("pos"))
+    rows = rows.withColumn("_last", last).where("NOT _structured OR line <> '' OR _last <> ''")
+    kept = [c for c in COLUMNS if c not in ("section_path", "boundary", "no_split")]
+    base = F.min_by(F.struct("pos", *kept), F.when(~F.col("_structured") | (F.col("line") != ""), F.col("pos")))
+    text = rows.groupBy("document_id", "_group", "path", "_structured").agg(joined("line", "pos").alias("text"), base.alias("_b"))
+    text = text.withColumn("text", F.when(F.col("_structured"), trimmed(F.col("text"))).otherwise(F.col("text"))).where("NOT _structured OR text <> ''")
     name = F.lower(trimmed(F.regexp_replace(F.substring_index("path", " / ", -1), "[ :：]+$", "")))
-    sections = text.select("document_id", F.col("_b.pos").alias("atom_index"), "text", F.lit("text").alias("element_type"), "_b.page", "_b.bbox", "_b.parser_name", F.col("path").alias("section_path"), (F.lit(template == "paper") & name.isin("abstract", "摘要")).alias("no_split"))
-    kept = others.select("document_id", F.col("pos").alias("atom_index"), "text", *[c for c in COLUMNS if c not in ("section_path", "boundary", "no_split")], F.col("path").alias("section_path"))
-    return complete(sections.unionByName(kept, allowMissingColumns=True)).withColumn("boundary", F.lit(True))
+    # a section has its first line's place, but not its kind
+    own = {"element_type": F.lit("text"), "is_table": F.lit(False), "heading_level": F.lit(0), "image_key": F.lit(None), "need_vision": F.lit(False), "description": F.lit(None)}
+    value = lambda c: F.when(F.col("_structured"), own[c]).otherwise(F.col(f"_b.{c}")).alias(c) if c in own else F.col(f"_b.{c}")
+    no_split = F.col("_structured") & F.lit(template == "paper") & name.isin("abstract", "摘要")
+    out = text.select("document_id", F.col("_b.pos").alias("atom_index"), "text", *[value(c) for c in kept], F.col("path").alias("section_path"), no_split.alias("no_split"))
+    return complete(out).withColumn("boundary", F.lit(True))
 
 
 def failed_documents(atoms: DataFrame) -> DataFrame:
@@ -120,21 +130,25 @@ def failed_documents(atoms: DataFrame) -> DataFrame:
     return by.where("_scan OR (_n = 1 AND _image)").select("document_id", F.when(F.col("_scan"), "a scan needs a vision model").otherwise("an image needs a vision model").alias("reason"))
 
 
-def units(atoms: DataFrame) -> DataFrame:
+def readable(atoms: DataFrame) -> DataFrame:
+    """Complete atoms without those of :func:`failed_documents`, told in the pass that deals atoms out by document."""
+    w = Window.partitionBy("document_id").orderBy("atom_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    unseen = F.col("image_key").isNotNull() & F.col("description").isNull()
+    failed = F.max(unseen & F.col("need_vision")).over(w) | ((F.count(F.lit(1)).over(w) == 1) & unseen & (F.col("parser_name") == ""))
+    return complete(atoms).withColumn("_failed", failed).where("NOT _failed").drop("_failed")
+
+
+def units(atoms: DataFrame, sections: bool = False) -> DataFrame:
     """What is split by itself: document_id, atom_index, mode (split, table, whole), head, text, element_type and SOURCE.
 
     Plain atoms that follow on each other are one text, with an empty line between; any other atom ends such a run.
     Sections, text that a parser placed, tables and images stand alone and keep their place.  An image is its label and
-    its description; one without either that no parser placed is left out, but ends a run as well.
+    its description; one without either that no parser placed is left out, but ends a run as well.  ``sections``: all
+    atoms are of :func:`section_atoms`, so none is plain.
     """
     a = complete(atoms)
     kind = F.when(F.col("image_key").isNotNull(), "image").when(F.col("is_table"), "table").when(F.col("element_type") == "image", "figure")
     kind = kind.when(F.col("boundary"), "section").when(F.col("parser_name") != "", "placed").otherwise("plain")
-    run = F.sum((F.col("_kind") != "plain").cast("int")).over(Window.partitionBy("document_id").orderBy("atom_index").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    a = a.withColumn("_kind", kind).withColumn("_run", run)
-    names = ["document_id", "atom_index", "mode", "head", "text", "element_type", *SOURCE]
-    plain = a.where("_kind = 'plain'").groupBy("document_id", "_run").agg(F.min("atom_index").alias("atom_index"), joined("text", "atom_index", "\n\n").alias("text"))
-    plain = complete(plain.withColumn("element_type", F.lit("text"))).select(*[F.lit("split").alias(n) if n == "mode" else F.lit("").alias(n) if n == "head" else F.col(n) for n in names])
     label = trimmed(F.col("text"))
     told = F.when(F.col("element_type") != "formula", F.nullif(trimmed(F.col("description")), F.lit("")))
     caption = F.nullif(label, F.lit(""))
@@ -143,8 +157,18 @@ def units(atoms: DataFrame) -> DataFrame:
     text = F.when(F.col("_kind") == "image", seen).when(F.col("_kind") == "figure", label).otherwise(F.col("text"))
     mode = F.when(F.col("_kind") == "table", "table").when(F.col("_kind").isin("image", "figure") | F.col("no_split"), "whole").otherwise("split")
     hidden = (F.col("_kind") == "image") & F.col("description").isNull() & (F.col("parser_name") == "") & (label == "")
-    rest = a.where((F.col("_kind") != "plain") & ~hidden).select("document_id", "atom_index", mode.alias("mode"), F.when(F.col("_kind") == "placed", "").otherwise(trimmed(F.col("section_path"))).alias("head"), text.alias("text"), F.coalesce(F.nullif(trimmed(F.col("element_type")), F.lit("")), F.lit("text")).alias("element_type"), *SOURCE)
-    return plain.unionByName(rest.select(*names))
+    head = F.when(F.col("_kind") == "placed", "").otherwise(trimmed(F.col("section_path")))
+    alone = {"mode": mode, "head": head, "element_type": F.coalesce(F.nullif(trimmed(F.col("element_type")), F.lit("")), F.lit("text"))} | {c: F.col(c) for c in SOURCE}
+    if sections:
+        return a.withColumn("_kind", kind).where(~hidden).select("document_id", "atom_index", alone["mode"].alias("mode"), head.alias("head"), text.alias("text"), alone["element_type"].alias("element_type"), *SOURCE)
+    run = F.sum((F.col("_kind") != "plain").cast("int")).over(Window.partitionBy("document_id").orderBy("atom_index").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    a = a.withColumn("_kind", kind).withColumn("_run", run).where(~hidden)
+    # an atom that is not plain begins a run, so it is told from the plain ones after it: one pass for both
+    plain = F.col("_kind") == "plain"
+    none = {"mode": F.lit("split"), "head": F.lit(""), "element_type": F.lit("text")} | {c: F.expr(f"cast({COLUMNS[c][1]} as {COLUMNS[c][0]})") for c in SOURCE}
+    rows = a.select("document_id", "atom_index", "_run", plain.alias("_plain"), text.alias("text"), F.struct(*[F.when(plain, none[c]).otherwise(v).alias(c) for c, v in alone.items()]).alias("_u"))
+    out = rows.groupBy("document_id", "_run", "_plain").agg(F.min("atom_index").alias("atom_index"), joined("text", "atom_index", "\n\n").alias("text"), F.first("_u").alias("_u"))
+    return out.select("document_id", "atom_index", "_u.mode", "_u.head", "text", "_u.element_type", *[f"_u.{c}" for c in SOURCE])
 
 
 # ---------------------------------------------------------------- resumes
@@ -162,22 +186,21 @@ def resume_units(atoms: DataFrame) -> DataFrame:
     An entry's title is its section, followed by its first line (or its number, if that has over 36 characters) where a
     section of work or projects has several.
     """
-    lines = resume_lines(atoms)
-    told = structure.told_sections(lines)
-    sections = told.groupBy("document_id", "section").agg(F.min("line_no").alias("_lo"), F.min_by("parser_name", F.when(F.col("parser_name") != "", F.col("line_no"))).alias("parser_name"))
-    sections = sections.withColumn("_first", F.when(F.col("section") == BASIC, F.lit(-1).cast("long")).otherwise(F.col("_lo"))).drop("_lo")
-    entries = structure.resume_entries(told)
+    told = structure.placed_sections(resume_lines(atoms))
+    # the first phone, e-mail and intent in the order of sections
+    whole = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    plain = F.col("_kind").isNull()
+    who = {k: F.min_by(v, F.when(plain & v.isNotNull(), F.struct("_first", "line_no"))).over(whole) for k, v in structure.contact_fields(F.col("section") == BASIC).items()}
+    labels = {"name": "姓名", "phone": "电话", "email": "邮箱", "intent": "求职意向"}
+    summary = F.concat_ws(" | ", *[F.concat(F.lit(f"{v}:"), who[k]) for k, v in labels.items()])
+    parser = F.min_by("parser_name", F.when(F.col("parser_name") != "", F.col("line_no"))).over(Window.partitionBy("document_id", "section").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    told = told.withColumn("tail", summary).withColumn("parser_name", parser)
+    entries = structure.resume_entries(told, ["_first", "tail", "parser_name"])
     several = F.max("entry").over(Window.partitionBy("document_id", "section")) > 1
     short = F.when(F.length(trimmed(F.col("first_line"))) <= 36, trimmed(F.col("first_line"))).otherwise(F.col("entry").cast("string"))
     title = F.when(F.col("section").isin(WORK, PROJECT) & several, F.concat("section", F.lit(" "), short)).otherwise(F.col("section"))
-    entries = entries.withColumn("head", title).join(sections, ["document_id", "section"])
-    # the first phone, e-mail and intent in the order of sections
-    known = told.where("_kind IS NULL").join(sections.select("document_id", "section", "_first"), ["document_id", "section"])
-    who = structure.contacts(known, F.struct("_first", "line_no"))
-    labels = {"name": "姓名", "phone": "电话", "email": "邮箱", "intent": "求职意向"}
-    summary = F.concat_ws(" | ", *[F.concat(F.lit(f"{v}:"), F.col(k)) for k, v in labels.items()])
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("_first", "entry")) - 1
-    rows = entries.withColumn("atom_index", number.cast("long")).join(who.select("document_id", summary.alias("tail")), "document_id", "left")
+    rows = entries.withColumn("head", title).withColumn("atom_index", number.cast("long"))
     return rows.select(
         "document_id", "atom_index", F.lit("split").alias("mode"), "head", "text", F.coalesce("tail", F.lit("")).alias("tail"), F.lit("text").alias("element_type"), F.lit(1).alias("page"),
         F.expr("cast(array() as array<double>)").alias("bbox"), F.concat_ws("/", F.lit("resume-structured"), "parser_name").alias("parser_name"), F.lit(None).cast("string").alias("image_key"),

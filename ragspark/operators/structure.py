@@ -290,8 +290,14 @@ def told_sections(lines: DataFrame) -> DataFrame:
     return t.withColumn("_kind", F.try_element_at(kinds, word)).withColumn("section", F.coalesce(F.last("_kind", ignorenulls=True).over(_so_far()), F.lit(BASIC)))
 
 
-def resume_entries(told: DataFrame) -> DataFrame:
-    """Entries of :func:`told_sections`: document_id, section, entry (from 1 in its section), first_line, text.
+def placed_sections(lines: DataFrame) -> DataFrame:
+    """:func:`told_sections` with ``_first``, where each one's section begins; the basic section is before all others."""
+    w = Window.partitionBy("document_id", "section").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return told_sections(lines).withColumn("_first", F.when(F.col("section") == BASIC, F.lit(-1).cast("long")).otherwise(F.min("line_no").over(w).cast("long")))
+
+
+def resume_entries(told: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Entries of :func:`told_sections`: document_id, section, entry (from 1 in its section), first_line, text, and the columns ``keep``, which hold one value in a section.
 
     Of equal lines that follow on each other in a section one is kept.  Work and projects are split into entries: a
     numbered line starts one; so does a line with a span of dates if the first line of the current entry has one too.
@@ -307,7 +313,7 @@ def resume_entries(told: DataFrame) -> DataFrame:
     fresh = F.when(F.col("section").isin(WORK, PROJECT), fresh).otherwise(F.row_number().over(by) == 1)
     t = t.withColumn("_dated", dated).withColumn("_fresh", fresh)
     t = t.withColumn("entry", F.sum(F.col("_fresh").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return t.groupBy("document_id", "section", "entry").agg(F.min_by("line", "line_no").alias("first_line"), joined("line", "line_no").alias("text"))
+    return t.groupBy("document_id", "section", "entry").agg(F.min_by("line", "line_no").alias("first_line"), joined("line", "line_no").alias("text"), *[F.first(c).alias(c) for c in keep or []])
 
 
 def resume_sections(lines: DataFrame) -> DataFrame:
@@ -315,20 +321,22 @@ def resume_sections(lines: DataFrame) -> DataFrame:
 
     Sections come in the order in which they begin, basic first, and one that is taken up again goes on.
     """
-    told = told_sections(lines)
-    first = told.groupBy("document_id", "section").agg(F.min("line_no").alias("_lo")).withColumn("_first", F.when(F.col("section") == BASIC, -1).otherwise(F.col("_lo")))
-    out = resume_entries(told).join(first.select("document_id", "section", "_first"), ["document_id", "section"])
+    out = resume_entries(placed_sections(lines), ["_first"])
     number = F.row_number().over(Window.partitionBy("document_id").orderBy("_first", "entry")) - 1
     return out.select("document_id", "section", number.alias("entry_no"), "text")
 
 
-def contacts(told: DataFrame, order: Column, everywhere: bool = False) -> DataFrame:
-    """document_id, name, phone, email, intent of lines with a section: of each the first by ``order`` that has one."""
-    here = F.lit(True) if everywhere else F.col("section") == BASIC
-    found = {
+def contact_fields(here: Column) -> dict[str, Column]:
+    """name (``here`` only), phone, email and intent of a line, null where it has none."""
+    return {
         "name": F.when(here & F.col("line").rlike(r"^[\p{L} ·]{1,16}\z"), F.col("line")), "phone": F.nullif(F.regexp_extract("line", _PHONE, 0), F.lit("")),
         "email": F.nullif(F.regexp_extract("line", _EMAIL, 0), F.lit("")), "intent": F.nullif(trimmed(F.regexp_extract("line", _INTENT, 1)), F.lit("")),
     }
+
+
+def contacts(told: DataFrame, order: Column, everywhere: bool = False) -> DataFrame:
+    """document_id, name, phone, email, intent of lines with a section: of each the first by ``order`` that has one."""
+    found = contact_fields(F.lit(True) if everywhere else F.col("section") == BASIC)
     return told.groupBy("document_id").agg(*[F.min_by(v, F.when(v.isNotNull(), order)).alias(k) for k, v in found.items()])
 
 

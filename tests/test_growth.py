@@ -30,3 +30,43 @@ def test_embedding_in_small_batches(spark):
     got = embedding.hashed_embedding(rows, "id", F.col("text"), 8)
     assert got.where(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)) > 0).count() == 3000
     assert "flatten" not in got._jdf.queryExecution().optimizedPlan().toString()  # texts, not all their codes, go to Python
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_texts_are_split_where_they_are(spark):
+    from ragspark.operators import chunking
+
+    rows = [(1, 1, "a.txt", "x " * 700), (2, 1, "b.md", "# t\n\ny"), (3, 1, "c", " "), (4, 1, None, "z"), (5, 1, "e.txt", None)]
+    docs = spark.createDataFrame(rows, "document_id long, dataset_id int, name string, text string")
+    got = chunking.build_chunks(docs)
+    assert sorted((r.document_id, r.chunk_index) for r in got.collect()) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    plain, marked = _plan(got).split("MapInArrow")[1], _plan(got)
+    assert "Window" not in plain and "Join" not in plain and "Join" in marked
+
+
+def test_lines_are_read_once(spark):
+    from ragspark.operators import atoms as A
+    from ragspark.operators import structure
+
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(["# a", "b", "Projects", "1. c", "2. d"])], "document_id long, line_no int, line string")
+    made = lines.withColumnsRenamed({"line_no": "atom_index", "line": "text"})
+    for df in (A.units(A.section_atoms(A.readable(made), "paper"), sections=True), A.resume_units(made), structure.resume_sections(lines)):
+        assert _plan(df).count("Relation") + _plan(df).count("LogicalRDD") == 1
+
+
+def test_postings_are_not_dealt_out(spark, tmp_path):
+    from ragspark.sources.index import Index
+
+    index = Index(spark, str(tmp_path), 4)
+    docs = spark.createDataFrame([(i, 1, f"b a{i} b") for i in range(50)], "document_id long, parse_version long, content string")
+    index.put(docs, lambda batch: batch.selectExpr("document_id + 100 AS chunk_id", "document_id", "content"))
+    files = list(tmp_path.rglob("bucket=*/*.parquet"))
+    assert index.read("postings").where("tf = 2 AND term = 'b'").count() == 50
+    import pyarrow.parquet as pq
+
+    for f in files:
+        terms = pq.ParquetFile(f).read(["term"]).column("term").to_pylist()
+        assert terms == sorted(terms)
