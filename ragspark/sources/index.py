@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ragspark.functions.text import query_terms
 from ragspark.operators import retrieval
@@ -29,8 +30,9 @@ class Index(Snapshots):
 
     def acting(self, batch: DataFrame) -> DataFrame:
         """Of a batch of documents (document_id, parse_version and others) the highest version of each, unless a higher one is stored."""
-        others = [c for c in batch.columns if c != "document_id"]
-        latest = batch.groupBy("document_id").agg(F.max_by(F.struct(*others), "parse_version").alias("x")).select("document_id", "x.*")
+        # texts are dealt out by document at most once, and not where they are so already
+        order = Window.partitionBy("document_id").orderBy(F.col("parse_version").desc())
+        latest = batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
         if "versions" not in self.manifest()["tables"]:
             return latest
         stored = self.read("versions").select("document_id", F.col("parse_version").alias("_stored"))
@@ -46,13 +48,15 @@ class Index(Snapshots):
         try:
             chunks = build(acting).persist()
             try:
-                of = chunks.select("chunk_id", "document_id")
                 tables = {"versions": acting.select("document_id", F.col("parse_version").cast("long").alias("parse_version")), "chunks": chunks}
-                posted = retrieval.postings(chunks).join(of, "chunk_id").withColumn("bucket", self._bucket())
-                tables["postings"] = posted.select("document_id", "chunk_id", "term", "tf", "bucket").repartition("bucket").sortWithinPartitions("bucket", "term")
+                # Postings are sorted where their chunks are and not dealt out by bucket: a bucket has a file from each task, of which
+                # there are few for few chunks, and no task grows with the table
+                tasks = max(self.spark.sparkContext.defaultParallelism, -(-chunks.count() // 20_000))
+                posted = retrieval.postings(chunks.coalesce(tasks), ["document_id", "chunk_id"]).withColumn("bucket", self._bucket())
+                tables["postings"] = posted.select("document_id", "chunk_id", "term", "tf", "bucket").sortWithinPartitions("bucket", "term")
                 if embed:
                     good, _ = checked_vectors(embed(chunks))
-                    tables["vectors"] = good.join(of, "chunk_id").select("document_id", "chunk_id", "embedding", "dim")
+                    tables["vectors"] = good.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("document_id", "chunk_id", "embedding", "dim")
                 return self.replace(tables, acting.select("document_id"), {"postings": ["bucket"], "vectors": ["dim"]}, (notes or {}) | {"buckets": self.buckets})
             finally:
                 chunks.unpersist()

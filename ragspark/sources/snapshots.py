@@ -103,7 +103,7 @@ class Snapshots:
             t = m["tables"].setdefault(name, {"folders": [], "by": (by or {}).get(name, []), "schema": rows.schema.jsonValue()})
             names = StructType.fromJson(t["schema"]).names
             folder = self._folder(name, seq)
-            writer = rows.select(*names).write
+            writer = rows.select(*names).write.option("compression", "zstd")
             (writer.partitionBy(*t["by"]) if t["by"] else writer).parquet(f"{self.path}/{folder}")
             t["folders"].append(folder)
         if documents is not None and seq > 1:
@@ -123,7 +123,7 @@ class Snapshots:
             folder = self._folder(name, seq)
             rows = self.read(name)
             # rows of a partition are gathered, else each task writes a file of each
-            (rows.repartition(*t["by"]).write.partitionBy(*t["by"]) if t["by"] else rows.write).parquet(f"{self.path}/{folder}")
+            (rows.repartition(*t["by"]).write.partitionBy(*t["by"]) if t["by"] else rows.write).option("compression", "zstd").parquet(f"{self.path}/{folder}")
             t["folders"] = [folder]
         m["deleted"] = {"folders": [], "rows": 0}
         self._put(m | {"seq": seq})
