@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,21 +19,23 @@ TEXT = ("txt", "md", "markdown")
 BINARY = ("pdf", "docx", "xlsx")
 
 
-@F.pandas_udf(StringType())
-def _decoded(parts: pd.Series) -> pd.Series:
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        raw = bytes(raw)
-        for mark, name in ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
-            if raw.startswith(mark):
-                return raw[2:].decode(name, "replace")
-        try:
-            return raw.decode("gb18030")
-        except UnicodeDecodeError:
-            return raw.decode("utf-8", "replace")
-
-    return parts.map(one)
+def _text_of(raw: bytes | None) -> str | None:
+    if raw is None:
+        return None
+    for mark, name in ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if raw.startswith(mark):
+            return raw[2:].decode(name, "replace")
+    try:
+        return raw.decode("gb18030")
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace")
+
+
+@F.arrow_udf(StringType())
+def _decoded(raw: pa.Array) -> pa.Array:
+    # 256 files at a time: a batch of Spark's has up to 10,000, of which only these are Python objects at once
+    parts = [pa.array([_text_of(x) for x in raw.slice(lo, 256).to_pylist()], pa.string()) for lo in range(0, len(raw), 256)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def decode_text(df: DataFrame, content: str = "content", out: str = "text") -> DataFrame:

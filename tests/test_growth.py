@@ -70,3 +70,13 @@ def test_postings_are_not_dealt_out(spark, tmp_path):
     for f in files:
         terms = pq.ParquetFile(f).read(["term"]).column("term").to_pylist()
         assert terms == sorted(terms)
+
+
+def test_decoding_holds_few_texts_at_once(spark):
+    from ragspark.sources import files
+
+    rows = [(i, "中é".encode(("utf-16-le", "gb18030")[i % 2])) for i in range(1500)] + [(1500, None), (1501, b"\xff\xfea")]
+    docs = spark.createDataFrame([(i, raw if raw is None or i % 2 or i > 1499 else b"\xff\xfe" + raw) for i, raw in rows], "id long, content binary").coalesce(1)
+    got = {r.id: r.text for r in files.decode_text(docs).collect()}
+    assert got == {i: "中é" for i in range(1500)} | {1500: None, 1501: "�"}
+    assert files._decoded.evalType != F.pandas_udf(lambda x: x, "string").evalType
