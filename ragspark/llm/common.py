@@ -87,6 +87,7 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_BYTE = _BYTE[_LOWER]
 
 #: Bytes of words that end at white space ([\x20\x09-\x0D]); in UTF-8 every byte of a longer character is over 127.
 SPACED = np.ones(256, dtype=bool)
@@ -122,35 +123,112 @@ def text_slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iter
         lo = hi
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE to the powers 1 to n at least, and its inverse to the powers 0 to n; those for slices of texts are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n, 1 << 20)
+    up = np.cumprod(np.full(size, _BASE, np.uint64))
+    down = np.cumprod(np.append(np.uint64(1), np.full(size, pow(int(_BASE), -1, 1 << 64), np.uint64)))
+    if size == 1 << 20:
+        _POWERS[:] = [up, down]
+    return up, down
+
+
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte, number of words by row) of all words, lower-cased in A-Z, in text order.  Words never span two rows."""
+    """(hash, first byte, end byte, number of words by row) of all words, lower-cased in A-Z, in text order.  Words never span two rows.
+
+    A word's hash is the difference of a running sum over bytes times powers of their places, shifted back to the word's start.
+    """
     counts = np.zeros(len(offsets) - 1, np.int64)
     none = np.zeros(0, np.int64)
     if not len(data):
         return none.astype(np.uint64), none, none, counts
-    data = _LOWER[data]
-    inside = kind[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = inside[:-1]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = False
-    starts = np.flatnonzero(inside & ~before)
+    inside = kind[_LOWER][data]
+    edge = np.zeros(len(data), bool)
+    edge[1:] = inside[:-1]
+    edge[offsets[:-1][offsets[:-1] < len(data)]] = False
+    starts = np.flatnonzero(inside & ~edge)
     if not len(starts):
         return none.astype(np.uint64), none, none, counts
-    after = np.zeros(len(data), bool)
-    after[:-1] = inside[1:]
-    after[offsets[1:][offsets[1:] > 0] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    lens = ends - starts
-    cum = np.cumsum(lens)
-    first = cum - lens
-    pos = np.arange(cum[-1]) - np.repeat(first, lens)
-    powers = np.cumprod(np.full(int(lens.max()), _BASE, np.uint64))
-    h = np.add.reduceat(_BYTE[data[inside]] * powers[pos], first)
-    h = mix(h + lens.astype(np.uint64))
+    edge[-1] = False
+    edge[:-1] = inside[1:]
+    edge[offsets[1:][offsets[1:] > 0] - 1] = False
+    ends = np.flatnonzero(inside & ~edge) + 1
+    up, down = _powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(_LOWER_BYTE[data], up[: len(data)], out=total[1:])
+    np.cumsum(total, out=total)
+    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     at = np.searchsorted(starts, offsets)
     return h, starts, ends, np.diff(at)
 
 
+def argsort(x: np.ndarray) -> np.ndarray:
+    """A stable order of numbers that are not negative.  Numbers and places are packed into 64 bits, as plain sorting is many times faster."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    x = x.view(np.uint64) if x.dtype.itemsize == 8 else x.astype(np.uint64)
+    bits = len(x).bit_length()
+    mask, least = np.uint64((1 << bits) - 1), x.min()
+    whole = int(x.max() - least).bit_length() + bits <= 64
+    order = (x - least) << np.uint64(bits) if whole else x & ~mask
+    order |= np.arange(len(x), dtype=np.uint64)
+    order.sort()
+    order &= mask
+    order = order.view(np.int64)
+    if whole:
+        return order
+    y = x[order]
+    # two hashes that differ in their last bits only
+    return np.argsort(x, kind="stable") if (y[1:] < y[:-1]).any() else order
+
+
+def unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct numbers, an order by number, the first place of each in that order)."""
+    order = argsort(x)
+    y = x[order]
+    new = np.ones(len(y), bool)
+    new[1:] = y[1:] != y[:-1]
+    first = np.flatnonzero(new)
+    return y[first], order, first
+
+
+class Places:
+    """Places in a sorted table of hashes, looked up by their first bits."""
+
+    def __init__(self, table_: np.ndarray):
+        self.table = table_
+        self.first: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {"table": self.table, "first": None}
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each of ``x``, -1 where it isn't there."""
+        n = len(self.table)
+        if not n or not len(x):
+            return np.full(len(x), -1, np.int64)
+        if self.first is None:
+            bits = n.bit_length() + 1
+            self.shift = np.uint64(64 - bits)
+            self.first = np.zeros((1 << bits) + 1, np.int64)
+            np.cumsum(np.bincount((self.table >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+            self.ended = np.append(self.table, np.uint64(2**64 - 1))
+        i = self.first[(x >> self.shift).astype(np.int64)]
+        got = self.ended[i]
+        left = np.flatnonzero(got < x)
+        while len(left):
+            i[left] += 1
+            got[left] = self.ended[i[left]]
+            left = left[got[left] < x[left]]
+        i[(got != x) | (i == n)] = -1
+        return i
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` words; the caller drops runs that span rows."""
     n = len(h) - k + 1

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, cut, fold_of, mix, signed, table, text_slices, words
+from .common import SPACED, Places, argsort, cut, fold_of, mix, signed, table, text_slices, unique, words
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: words and pairs with this share of all training tokens, a million at most, are known to every task
@@ -57,15 +57,6 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, before, row
 
 
-def _place(table_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index in the sorted ``table_``, -1 where it isn't there."""
-    if not len(table_):
-        return np.full(len(x), -1, np.int64)
-    i = np.searchsorted(table_, x)
-    i[i == len(table_)] = 0
-    return np.where(table_[i] == x, i, -1)
-
-
 class _Counts:
     """Counts by key, merged whenever they reach ``most`` entries, so a task holds no more than that."""
 
@@ -83,8 +74,8 @@ class _Counts:
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.keys:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        k, where = np.unique(np.concatenate(self.keys), return_inverse=True)
-        n = np.bincount(where, np.concatenate(self.n), len(k)).astype(np.int64)
+        k, order, first = unique(np.concatenate(self.keys))
+        n = np.add.reduceat(np.concatenate(self.n)[order], first) if len(k) else np.zeros(0, np.int64)
         self.keys, self.n, self.size = [k], [n], len(k)
         return k, n
 
@@ -132,6 +123,7 @@ class Deal:
 
     def __init__(self, words_: np.ndarray, counts: np.ndarray, total: int, buckets: int):
         self.words, self.counts, self.buckets = words_, counts, buckets
+        self.places = Places(words_)
         # a part has about a quarter of a bucket's tokens
         self.parts = np.maximum(1, -(-4 * buckets * counts // max(1, total)))
         hot = np.flatnonzero(self.parts > 1)
@@ -140,48 +132,51 @@ class Deal:
         order = np.argsort(part)
         #: parts of split restaurants, sorted, and the restaurant of each
         self.hot, self.owner = part[order], owner[order]
+        self.hot_places = Places(self.hot)
 
     @staticmethod
     def _named(g: np.ndarray, salt: np.ndarray) -> np.ndarray:
         return mix(g + salt * np.uint64(0xD6E8FEB86659FD93))
 
-    def part_of(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        i = _place(self.words, g)
-        parts = np.where(i >= 0, self.parts[i] if len(self.parts) else 1, 1).astype(np.uint64)
-        return self._named(g, mix(h) % parts)
+    def part_of(self, g: np.ndarray, h: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+        """``place``: of each of ``g`` in ``words``, if that is known."""
+        i = self.places.find(g) if place is None else place
+        salt = np.zeros(len(g), np.uint64)
+        if len(self.hot):
+            on = np.flatnonzero((i >= 0) & (self.parts[i] > 1))
+            salt[on] = mix(h[on]) % self.parts[i[on]].astype(np.uint64)
+        return self._named(g, salt)
 
     def bucket_of(self, part: np.ndarray) -> np.ndarray:
         """By the part's order, so that what is sorted by part is sorted by bucket."""
         return ((part >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
 
-    def rows(self, part: np.ndarray, h: np.ndarray, other: np.ndarray, key: int = 0) -> pa.RecordBatch:
+    def rows(self, part: np.ndarray, h: np.ndarray, place: np.ndarray, other: np.ndarray, key: int = 0) -> pa.RecordBatch:
         """A row for each bucket of tokens that are sorted by part: parts, the numbers of frequent and of rare words in each, these words (as
         places in ``words``, or hashes), and ``other`` of each word."""
-        code = _place(self.words, h)
         new = np.ones(len(part), bool)
         new[1:] = part[1:] != part[:-1]
         first = np.flatnonzero(new)
-        at = np.cumsum(new) - 1
-        often = code >= 0
-        numbers = [np.bincount(at[m], minlength=len(first)).astype(np.int32) for m in (often, ~often)]
-        bucket = self.bucket_of(part[first])
-        ids, starts = np.unique(bucket, return_index=True)
-        lists = [(part[first].view(np.int64), starts), *[(n, starts) for n in numbers]]
-        for m, x in ((often, code.astype(np.int32)), (~often, h.view(np.int64)), (often, other), (~often, other)):
-            inside = np.bincount(np.searchsorted(ids, bucket[at[m]]), minlength=len(ids))
-            lists.append((x[m], np.cumsum(inside) - inside))
+        often = np.flatnonzero(place >= 0)
+        rare = np.flatnonzero(place < 0)
+        # how many frequent and rare words there are before each part
+        before = [np.searchsorted(x, np.append(first, len(part))) for x in (often, rare)]
+        ids, starts = np.unique(self.bucket_of(part[first]), return_index=True)
+        lists = [(part[first].view(np.int64), starts), *[(np.diff(n).astype(np.int32), starts) for n in before]]
+        for x, m, n in ((place.astype(np.int32), often, before[0]), (h.view(np.int64), rare, before[1]), (other, often, before[0]), (other, rare, before[1])):
+            lists.append((x[m], n[starts]))
         arrays = [pa.ListArray.from_arrays(pa.array(np.append(s, len(x)).astype(np.int32)), pa.array(x)) for x, s in lists]
         return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(np.full(len(ids), key, np.int64)), *arrays], _DEALT)
 
-    def read(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(part, word, other, number of row) of all tokens of ``rows``."""
+    def read(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(part, word, its place in ``words`` or -1, other, number of row) of all tokens of ``rows``."""
         out = []
         for i in range(len(t)):
             part, often, rare, f, r, of, or_ = (_list(t.column(c)[i]) for c in _DEALT[2:])
-            for n, w, o in ((often, self.words[f] if len(f) else np.zeros(0, np.uint64), of), (rare, r.view(np.uint64), or_)):
-                out.append((np.repeat(part.view(np.uint64), n), w, o.astype(np.int64), np.full(len(w), i)))
+            for n, w, place, o in ((often, self.words[f] if len(f) else np.zeros(0, np.uint64), f, of), (rare, r.view(np.uint64), np.full(len(r), -1, np.int32), or_)):
+                out.append((np.repeat(part.view(np.uint64), n), w, place, o.astype(np.int64), np.full(len(w), i)))
         none = np.zeros(0, np.uint64)
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none.astype(np.int64), none.astype(np.int64))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, *[none.astype(np.int64)] * 3)
 
 
 def _list(x: pa.ListScalar) -> np.ndarray:
@@ -200,20 +195,26 @@ def _deal_pairs(shared: object):  # noqa: ANN202
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            h, g = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = deal.part_of(g, h)
-            order = np.lexsort((h, part))
+            h, place, part = (np.concatenate(x) for x in zip(*held, strict=True))
+            # runs of equal pairs; one that comes in two of them, as its hash is another's too, is summed later
+            order = argsort(_pair(h, part))
             h, part = h[order], part[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
             first = np.flatnonzero(new)
-            return deal.rows(part[first], h[first], np.diff(np.append(first, len(h))).astype(np.int32))
+            count = np.diff(np.append(first, len(h))).astype(np.int32)
+            by = argsort(part[first])
+            at = first[by]
+            return deal.rows(part[at], h[at], place[order[at]], count[by])
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
                 h, before, _ = tokens(data, offsets)
-                held.append((h[before != 0], before[before != 0]))
-                size += len(held[-1][0])
+                place = deal.places.find(h)
+                on = np.flatnonzero(before != 0)
+                if len(on):
+                    held.append((h[on], place[on].astype(np.int32), deal.part_of(before[on], h[on], place[on - 1])))
+                size += len(on)
                 if size > _HELD:
                     yield out()
                     held, size = [], 0
@@ -231,14 +232,17 @@ _REST_SQL = "bucket int, part array<long>, customers array<long>, single array<i
 
 def _restaurants(shared: object):  # noqa: ANN202
     def run(t: pa.Table) -> pa.Table:
-        part, h, c, _ = shared.value.read(t)
-        order = np.lexsort((h, part))
+        part, h, _, c, _ = shared.value.read(t)
+        order = argsort(h)
+        order = order[argsort(part[order])]
         part, h, c = part[order], h[order], c[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
         c = np.add.reduceat(c, np.flatnonzero(new))
         part, h = part[new], h[new]
-        of, at = np.unique(part, return_inverse=True)
+        new = np.ones(len(part), bool)
+        new[1:] = part[1:] != part[:-1]
+        of, at = part[new], np.cumsum(new) - 1
         party = c > 1
         count = lambda m: np.bincount(at[m], minlength=len(of)).astype(np.int32)
         customers = np.bincount(at, c, len(of)).astype(np.int64)
@@ -278,29 +282,76 @@ def _log_stirling(d: float, n: int = _EXACT) -> np.ndarray:
     return s
 
 
+def _over_one(s: np.ndarray) -> np.ndarray:
+    """Stirling numbers over that of one table, by tables (from one) and customers; 0 for more tables than customers."""
+    with np.errstate(invalid="ignore"):
+        return np.exp(s[:, 1:] - s[:, 1:2]).T
+
+
+def _draw_few(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, s: np.ndarray, over: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Numbers of tables of dishes with ``_EXACT`` customers at most; ``c`` is sorted."""
+    most = int(c[-1])
+    share = np.ones((most, len(c)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        # weights over that of one table
+        np.multiply(d * base, np.arange(1, most)[:, None], out=share[1:])
+        share[1:] += (theta + d * others) * base
+        np.cumprod(share, axis=0, out=share)
+        share *= over[:most, most, None] if c[0] == most else over[:most][:, c]
+        np.cumsum(share, axis=0, out=share)
+        t = 1 + np.count_nonzero(share < u * share[-1], axis=0)
+    large = np.flatnonzero(~np.isfinite(share[-1]))
+    if len(large):
+        weight = s[c[large], 1 : most + 1].T + np.cumsum(np.log(theta + d * (others[large] + np.arange(most)[:, None])) + np.log(base[large]), axis=0)
+        share = np.cumsum(np.exp(weight - weight.max(axis=0)), axis=0)
+        t[large] = 1 + np.count_nonzero(share < u[large] * share[-1], axis=0)
+    return t
+
+
+def _draw_many(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, u: np.ndarray) -> np.ndarray:
+    """Numbers of tables of dishes with more customers; ``c`` is sorted."""
+    goal, turn = c[::-1], u[::-1].copy()
+    slope = d * base[::-1]
+    first, tables, seated = (theta + d * others[::-1]) * base[::-1], np.ones(len(c)), [1]
+    while seated[-1] < goal[0]:
+        seated.append(seated[-1] + max(1, seated[-1] // 16))
+    # those not yet seated wholly come first
+    live = np.searchsorted(-goal, -np.array(seated)).tolist()
+    for now, then, n in zip(seated[:-1], seated[1:], live[:-1], strict=True):
+        t, x = tables[:n], turn[:n]
+        new = slope[:n] * t
+        new += first[:n]
+        p = new / (new + (now - d * t))
+        x += 0.6180339887498949
+        x -= x >= 1
+        t += np.floor((np.minimum(then, goal[:n]) - now) * p + x)  # the expected number, rounded at random
+    return np.minimum(tables.astype(np.int64), goal)[::-1]
+
+
+#: numbers of customers up to which dishes are drawn together
+_RUNS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 13, 16, 20, 25, 32, 40, 50, _EXACT])
+
+
+def _runs(c: np.ndarray) -> list[tuple[int, slice]]:
+    """Runs of the sorted ``c`` that are drawn together, each with the most customers there are in it."""
+    ends = [*np.searchsorted(c, _RUNS, side="right").tolist(), len(c)]
+    return [(int(c[hi - 1]), slice(lo, hi)) for lo, hi in zip([0, *ends], ends) if hi > lo]  # noqa: B905
+
+
+def _draw_run(most: int, c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, s: np.ndarray, over: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Numbers of tables of one of ``_runs``."""
+    if most < 2:
+        return np.minimum(c, 1)
+    return _draw_many(c, base, others, d, theta, u) if most > _EXACT else _draw_few(c, base, others, d, theta, s, over, u)
+
+
 def draw_tables(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, s: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Numbers of tables of dishes with ``c`` customers, whose base probabilities are ``base``, beside ``others`` other tables; ``u``: a random number for each."""
-    t = np.minimum(c, 1)
-    small = np.flatnonzero((c > 1) & (c <= _EXACT))
-    order = small[np.argsort(c[small], kind="stable")]
-    sizes, first = np.unique(c[order], return_index=True)
-    for n, lo in zip(sizes, first, strict=True):
-        i = order[lo : np.searchsorted(c[order], n, side="right")]
-        k = np.arange(n)
-        weight = s[n, 1 : n + 1] + np.cumsum(np.log(theta + d * (others[i][:, None] + k)) + np.log(base[i])[:, None], axis=1)
-        share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
-        t[i] = 1 + (share < u[i][:, None] * share[:, -1:]).sum(axis=1)
-    i = np.flatnonzero(c > _EXACT)
-    if len(i):
-        seated, tables, goal, turn = np.ones(len(i), np.int64), np.ones(len(i), np.int64), c[i], u[i]
-        while (live := seated < goal).any():
-            step = np.where(live, np.minimum(np.maximum(1, seated // 16), goal - seated), 0)
-            new = (theta + d * (others[i] + tables)) * base[i]
-            p = new / (new + np.maximum(seated - d * tables, 1e-9))
-            turn = (turn + 0.6180339887498949) % 1
-            tables += np.floor(step * p + turn).astype(np.int64)  # the expected number, rounded at random
-            seated += step
-        t[i] = np.minimum(tables, goal)
+    t, over = np.empty(len(c), np.int64), _over_one(s)
+    order = argsort(c)
+    for most, run in _runs(c[order]):
+        i = order[run]
+        t[i] = _draw_run(most, c[i], base[i], others[i], d, theta, s, over, u[i])
     return t
 
 
@@ -313,15 +364,24 @@ def seat(part: np.ndarray, outside: np.ndarray, single: np.ndarray, n: np.ndarra
     owner, place = np.repeat(np.arange(len(n)), n), _ranges(n) % _ROUNDS
     tables = outside + single + np.bincount(owner, t, len(n))
     key, s = _pair(h, part[owner]), _log_stirling(z["d1"])
-    rounds = [i for r in range(_ROUNDS) if len(i := np.flatnonzero(place == r))]
-    t = t.astype(np.int64)
+    over = _over_one(s)
+    # by round and customers
+    order = argsort(c)
+    order = order[argsort(place[order])]
+    ends = np.searchsorted(place[order], np.arange(_ROUNDS + 1))
+    owner, c, base, key, t = owner[order], c[order], base[order], key[order], t[order].astype(np.int64)
+    rounds = [(lo, hi, _runs(c[lo:hi])) for lo, hi in zip(ends[:-1], ends[1:], strict=True) if hi > lo]
     for sweep in range(z["sweeps"]):
         u = _random(key, turn * z["sweeps"] + sweep)
-        for i in rounds:
-            new = draw_tables(c[i], base[i], tables[owner[i]] - t[i], z["d1"], z["theta"], s, u[i])
-            tables += np.bincount(owner[i], new - t[i], len(n))
-            t[i] = new
-    return t
+        for lo, hi, runs in rounds:
+            mine, old = owner[lo:hi], t[lo:hi]
+            others = tables[mine] - old
+            new = np.concatenate([_draw_run(most, c[lo:hi][i], base[lo:hi][i], others[i], z["d1"], z["theta"], s, over, u[lo:hi][i]) for most, i in runs])
+            tables += np.bincount(mine, new - old, len(n))
+            t[lo:hi] = new
+    out = np.empty(len(t), np.int64)
+    out[order] = t
+    return out
 
 
 def _seat(shared: object):  # noqa: ANN202
@@ -334,9 +394,9 @@ def _seat(shared: object):  # noqa: ANN202
                 part, customers, single, n, h, c, t, total = (_list(batch.column(x)[i]) for x in _REST[1:])
                 part, h = part.view(np.uint64), h.view(np.uint64)
                 own = single + np.bincount(np.repeat(np.arange(len(n)), n), t, len(n))
-                hot = _place(deal.hot, part)
+                hot = deal.hot_places.find(part)
                 outside = np.where(hot >= 0, z["tables"][deal.owner[hot]] - own if len(deal.hot) else 0, 0)
-                word = _place(deal.words, h)
+                word = deal.places.find(h)
                 base = np.where(word >= 0, z["p0"][word] if len(deal.words) else 0, z["rare"])
                 t = seat(part, outside, single, n, h, c, t, base, z, z["turn"])
                 kept = _kept(batch.column("kept")[i], len(part))
@@ -349,12 +409,24 @@ def _seat(shared: object):  # noqa: ANN202
 
 
 def _sent_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Customers and tables of each word in the parties of a bucket."""
+    """Customers and tables of each word in the parties of a task's buckets, about half a million at a time."""
+    held, size = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        h, c, t = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, order, first = unique(h.view(np.uint64))
+        if len(h):
+            yield from _rows([h, *(np.add.reduceat(x[order].astype(float), first) for x in (c, t))], ["h", "pc", "t"])
+
     for batch in batches:
         for i in range(len(batch)):
-            h, at = np.unique(_list(batch.column("h")[i]), return_inverse=True)
-            c, t = (np.bincount(at, _list(batch.column(x)[i]), len(h)).astype(float) for x in ("c", "t"))
-            yield from _rows([h, c, t], ["h", "pc", "t"])
+            held.append(tuple(_list(batch.column(x)[i]) for x in ("h", "c", "t")))
+            size += len(held[-1][0])
+            if size > 1 << 19:
+                yield from out()
+                held, size = [], 0
+    if size:
+        yield from out()
 
 
 def _split_tables(shared: object):  # noqa: ANN202
@@ -365,7 +437,7 @@ def _split_tables(shared: object):  # noqa: ANN202
         for batch in batches:
             for i in range(len(batch)):
                 part, customers, single, n, t = (_list(batch.column(x)[i]) for x in ("part", "customers", "single", "n", "t"))
-                hot = _place(deal.hot, part.view(np.uint64))
+                hot = deal.hot_places.find(part.view(np.uint64))
                 on = np.flatnonzero(hot >= 0)
                 now = single + np.bincount(np.repeat(np.arange(len(n)), n), t, len(n)).astype(np.int64)
                 lists = pa.array(_kept(batch.column("kept")[i], len(part))[:, on].T.tolist(), _long)
@@ -442,7 +514,7 @@ class Model:
         n, k = len(self.deal.words), self.passes - self.burn
         customers, tables, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, k), np.int64)
         if len(self.deal.hot):
-            rows = rest.mapInArrow(_split_tables(rest.sparkSession.sparkContext.broadcast(self.deal)), "owner long, c long, t long, kept array<long>")
+            rows = rest.select("part", "customers", "single", "n", "t", "kept").mapInArrow(_split_tables(rest.sparkSession.sparkContext.broadcast(self.deal)), "owner long, c long, t long, kept array<long>")
             sums = [F.sum(F.get("kept", F.lit(j))).alias(f"k{j}") for j in range(k)]
             for r in rows.groupBy("owner").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), *sums).collect():  # at most 4 for each bucket
                 customers[r.owner], tables[r.owner] = r.c, r.t
@@ -453,7 +525,7 @@ class Model:
         """Seat the parent, given the tables of all restaurants."""
         z, spark = self.z, rest.sparkSession
         z["turn"] = turn
-        up = rest.mapInArrow(_sent_up, "h long, pc double, t double").groupBy("h").agg(F.sum("pc").alias("pc"), F.sum("t").alias("t"))
+        up = rest.select("h", "c", "t").mapInArrow(_sent_up, "h long, pc double, t double").groupBy("h").agg(F.sum("pc").alias("pc"), F.sum("t").alias("t"))
         # pairs of one customer have one table: the word's tokens less the first ones' and the parties'; with the first tokens themselves
         here = (F.col("c") - F.coalesce("pc", F.lit(0.0)) + F.coalesce("t", F.lit(0.0))).cast("long")
         old = self.words
@@ -480,7 +552,7 @@ class Model:
     def _of_frequent(self, h: pa.ChunkedArray, p: np.ndarray, once: float) -> np.ndarray:
         """``p`` by frequent word; ``once`` for those of one token, which are frequent in a small corpus only."""
         out = np.full(len(self.deal.words), once)
-        out[_place(self.deal.words, h.to_numpy().view(np.uint64))] = p
+        out[self.deal.places.find(h.to_numpy().view(np.uint64))] = p
         return out
 
     def _frequent_pairs(self) -> tuple[np.ndarray, np.ndarray]:
@@ -494,7 +566,7 @@ class Model:
                 for i in range(len(batch)):
                     x = known.bucket(batch.slice(i, 1))
                     on = np.flatnonzero(x["c"] >= least)
-                    p = x["own"][on] + (x["rest"][x["owner"][on]] * known.p0[_place(known.deal.words, x["h"][on])]).mean(axis=1)
+                    p = x["own"][on] + (x["rest"][x["owner"][on]] * known.p0[known.deal.places.find(x["h"][on])]).mean(axis=1)
                     yield from _rows([_pair(x["h"][on], x["part"][x["owner"][on]]), p], ["k", "p"])
 
         got = self.rest.mapInArrow(run, "k long, p double").toArrow()  # at most 1 / FREQUENT rows
@@ -556,7 +628,7 @@ class Known:
         part, customers, _, n, h, c, _, total = (_list(t.column(x)[0]) for x in _REST[1:])
         part = part.view(np.uint64)
         tables = _kept(t.column("kept")[0], len(part)).T
-        hot = _place(self.deal.hot, part)
+        hot = self.deal.hot_places.find(part)
         on = np.flatnonzero(hot >= 0)
         if len(on):
             customers, tables = customers.copy(), tables.copy()
@@ -583,17 +655,17 @@ def _read_texts(shared: object, names: list[str], kept: list[str]):  # noqa: ANN
     """A row for each text with what frequent words and pairs tell; all other tokens dealt to buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, (pair, pair_p), whole = shared.value
-        deal, p0 = known.deal, known.p0.mean(axis=1)
+        known, counts, pairs, whole = shared.value
+        deal, pair_p = known.deal, np.log10(pairs[1])
+        pairs, p0, base_p = Places(pairs[0]), np.log10(known.p0.mean(axis=1)), np.log10((counts + 0.5) / whole)
         held, size, texts = [], 0, 0
         schema = None
 
         def out() -> pa.RecordBatch:
-            h, g, key, train = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = deal.part_of(g, h)
-            order = np.argsort(part, kind="stable")
+            h, place, part, key, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = argsort(part)
             low = int(key.min())
-            rows = deal.rows(part[order], h[order], ((key[order] - low) * 2 + train[order]).astype(np.int16), low)
+            rows = deal.rows(part[order], h[order], place[order], ((key - low) * 2 + train).astype(np.int16)[order], low)
             return _table(names, schema, **{c: rows.column(c) for c in _DEALT})
 
         for batch in batches:
@@ -603,15 +675,21 @@ def _read_texts(shared: object, names: list[str], kept: list[str]):  # noqa: ANN
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 h, before, row = tokens(data, offsets)
                 n, alone, mine = hi - lo, before == 0, scored[lo:hi]
-                word = _place(deal.words, h)
+                word = deal.places.find(h)
+                last = np.append(-1, word[:-1])
+                last[alone] = -1
+                own = deal.part_of(before, h, last)
                 on = np.flatnonzero(word >= 0)
                 n_known = np.bincount(row[on], minlength=n)
-                base = np.bincount(row[on], np.log10((counts[word[on]] + 0.5) / whole), n).astype(float)
-                at = np.where(alone, -1, _place(pair, _pair(h, deal.part_of(before, h))))
-                on = np.flatnonzero(at >= 0)
-                score = np.bincount(row[on], np.log10(pair_p[at[on]]), n).astype(float)
+                base = np.bincount(row[on], base_p[word[on]], n).astype(float)
+                # both words of a frequent pair are frequent
+                on = on[last[on] >= 0]
+                at = np.full(len(h), -1, np.int64)
+                at[on] = pairs.find(_pair(h[on], own[on]))
+                on = on[at[on] >= 0]
+                score = np.bincount(row[on], pair_p[at[on]], n).astype(float)
                 on = np.flatnonzero(alone & (word >= 0))
-                score += np.bincount(row[on], np.log10(p0[word[on]]), n)
+                score += np.bincount(row[on], p0[word[on]], n)
                 yield _table(
                     names, schema, bucket=(keys[lo:hi] % deal.buckets).astype(np.int32), key=keys[lo:hi], n=np.bincount(row, minlength=n), known=n_known, base=base, score=score,
                     **{c: batch.column(c).slice(lo, n) for c in kept},
@@ -622,13 +700,13 @@ def _read_texts(shared: object, names: list[str], kept: list[str]):  # noqa: ANN
                     yield _table(names, schema, bucket=(keys[lo + row[first]] % deal.buckets).astype(np.int32), key=keys[lo + row[first]], h=h[first], own=np.zeros(len(first)), **one)
                 left = np.flatnonzero(~alone & (at < 0))
                 # keys follow on one another within a task but for where rows come from another table
-                if texts and (size + len(left) > 2 * _HELD or keys[hi - 1] - held[0][2].min() >= _TEXTS):
+                if texts and (size + len(left) > 2 * _HELD or keys[hi - 1] - held[0][3].min() >= _TEXTS):
                     yield out()
                     held, size, texts = [], 0, 0
                 for a in range(lo, hi, _TEXTS):
                     part = left[(row[left] >= a - lo) & (row[left] < a - lo + _TEXTS)]
                     if len(part):
-                        held.append((h[part], before[part], keys[lo + row[part]], trains[lo + row[part]]))
+                        held.append((h[part], word[part].astype(np.int32), own[part], keys[lo + row[part]], trains[lo + row[part]]))
                         size, texts = size + len(part), texts + 1
                     if hi - lo > _TEXTS and texts:
                         yield out()
@@ -651,29 +729,32 @@ def _score_bucket(shared: object, names: list[str]):  # noqa: ANN202
         told = dealt.filter(pc.is_null(dealt.column("part")))
         out = [told.select([c for c in names])]
         dealt = dealt.filter(pc.is_valid(dealt.column("part")))
-        part, h, code, row = deal.read(dealt)
+        part, h, word, code, row = deal.read(dealt)
         if len(h):
             key, train = dealt.column("key").to_numpy()[row] + (code >> 1), code & 1
             x = known.bucket(rest)
-            at = _place(x["part"], part)
+            at = Places(x["part"]).find(part)
             found = at >= 0
             customers = np.where(found, x["customers"][at] if len(x["part"]) else 0, 0)
             share = np.where(found[:, None], x["rest"][at] if len(x["part"]) else 1.0, 1.0)
             pair, party = _pair(h, part), _pair(x["h"], x["part"][x["owner"]])
-            order = np.argsort(party)
-            i = _place(party[order], pair)
+            order = argsort(party)
+            i = Places(party[order]).find(pair)
             own = np.where(i >= 0, x["own"][order][i] if len(party) else 0.0, 0.0)
             # pairs that are no party: those that the corpus has once have one table
             no = np.flatnonzero(i < 0)
-            _, which = np.unique(pair[no], return_inverse=True)
-            once = np.bincount(which, train[no])[which] == 1 if len(no) else no.astype(bool)
-            own[no[once]] = (1 - known.d) / (known.theta + customers[no[once]])
-            word = _place(deal.words, h)
+            _, order, first = unique(pair[no])
+            if len(no):
+                no = no[order]
+                once = np.repeat(np.add.reduceat(train[no], first) == 1, np.diff(np.append(first, len(no))))
+                own[no[once]] = (1 - known.d) / (known.theta + customers[no[once]])
             on = np.flatnonzero(word >= 0)
             p = own[on] + (share[on] * known.p0[word[on]]).mean(axis=1)
-            keys, which = np.unique(key[on], return_inverse=True)
-            zero = np.zeros(len(keys))
-            out.append(pa.Table.from_batches([_table(names, schema, key=keys, known=zero.astype(np.int64), base=zero, score=np.bincount(which, np.log10(p), len(keys)).astype(float))]))
+            # a row has texts of its own
+            texts, order, first = unique((row[on] << 15) + (code[on] >> 1))
+            if len(texts):
+                zero, keys = np.zeros(len(texts)), key[on[order[first]]]
+                out.append(pa.Table.from_batches([_table(names, schema, key=keys, known=zero.astype(np.int64), base=zero, score=np.add.reduceat(np.log10(p)[order], first))]))
             on = np.flatnonzero(word < 0)
             out.append(pa.Table.from_batches([_table(names, schema, key=key[on], h=h[on], own=own[on], **{f"r{j}": share[on, j] for j in range(known.kept)})]))
         return pa.concat_tables([t.cast(schema) for t in out])

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ragspark.llm import decontaminate, html_extract, jaccard_join, packing, pitman_yor, quality
+from ragspark.llm import common, decontaminate, html_extract, jaccard_join, packing, pitman_yor, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -510,3 +510,46 @@ def test_tables():
     assert abs(math.exp(s[3, 2]) - 1.5) < 1e-9
     # leaps go on from the exact draws
     assert 0.8 < t[:, 4].mean() / t[:, 3].mean() < 1.25
+
+
+def test_work_of_the_language_model():
+    """Tokens are sorted as packed numbers and looked up by their first bits, with the results of plain sorting and searching."""
+    rng = np.random.default_rng(5)
+    for x in (rng.integers(0, 2**64, 3000, dtype=np.uint64), rng.integers(0, 40, 3000), np.array([5, 2**64 - 1, 4, 0, 5, 2**64 - 1], np.uint64), np.zeros(0, np.int64)):
+        assert (common.argsort(x) == np.argsort(x, kind="stable")).all()
+        found, order, first = common.unique(x)
+        assert found.tolist() == sorted(set(x.tolist())) and (x[order][first] == found).all()
+    most = np.append(np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64)), np.uint64(2**64 - 1))
+    for t in (most, most[:-1], most[:1], most[:0]):
+        asked = np.concatenate([t, rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        where = {w: i for i, w in enumerate(t.tolist())}
+        assert common.Places(t).find(asked).tolist() == [where.get(w, -1) for w in asked.tolist()]
+
+
+def test_hashes_of_words():
+    """A running sum over the slice gives what each word alone would, also beyond the powers that are kept."""
+    base, full = int(common._BASE), 1 << 64
+    for text in (b"Ab \xc3\xa9b ab\x0bb", b" x" * 9 + b"y", b"w" * 70 + b" " + b"v" * ((1 << 20) + 3) + b" Ab"):
+        h, starts, ends, _ = common.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), common.SPACED)
+        for i in {0, len(h) // 2, len(h) - 1}:
+            word = text[starts[i] : ends[i]].lower()
+            if len(word) < 99:
+                sum_ = sum(int(common._BYTE[b]) * pow(base, k + 1, full) for k, b in enumerate(word)) + len(word)
+                assert h[i] == common.mix(np.array([sum_ % full], np.uint64))[0]
+
+
+def test_tables_by_weights():
+    """Dishes drawn together get what their own weights say, in logarithms, also where these are too large for plain numbers."""
+    rng, d, theta = np.random.default_rng(8), 0.7, 1.0
+    s = pitman_yor._log_stirling(d)
+    c = rng.integers(0, 65, 4000)
+    base, others, u = 10.0 ** rng.uniform(-9, 0, 4000), rng.integers(0, 10**9, 4000) * rng.integers(0, 2, 4000), rng.random(4000)
+    got = pitman_yor.draw_tables(c, base, others, d, theta, s, u)
+    for n, b, o, x, t in zip(c.tolist(), base, others, u, got.tolist(), strict=True):
+        if n < 2:
+            assert t == n
+            continue
+        weight = s[n, 1 : n + 1] + np.cumsum(np.log(theta + d * (o + np.arange(n))) + np.log(b))
+        share = np.cumsum(np.exp(weight - weight.max()))
+        near = np.abs(share / share[-1] - x).min() < 1e-9
+        assert near or t == 1 + (share < x * share[-1]).sum()
