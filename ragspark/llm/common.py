@@ -174,13 +174,15 @@ def argsort(x: np.ndarray) -> np.ndarray:
     x = x.view(np.uint64) if x.dtype.itemsize == 8 else x.astype(np.uint64)
     bits = len(x).bit_length()
     mask, least = np.uint64((1 << bits) - 1), x.min()
-    whole = int(x.max() - least).bit_length() + bits <= 64
-    order = (x - least) << np.uint64(bits) if whole else x & ~mask
+    spare = 64 - int(x.max() - least).bit_length()
+    whole = spare >= bits
+    order = (x - least) << np.uint64(min(spare, 63))
+    order &= ~mask
     order |= np.arange(len(x), dtype=np.uint64)
     order.sort()
     order &= mask
     order = order.view(np.int64)
-    if whole:
+    if spare > 63 or whole:
         return order
     y = x[order]
     # two hashes that differ in their last bits only
@@ -198,7 +200,7 @@ def unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Places:
-    """Places in a sorted table of hashes, looked up by their first bits."""
+    """Places in a sorted table of hashes, which may be all from one range, looked up by their first bits over the least of them."""
 
     def __init__(self, table_: np.ndarray):
         self.table = table_
@@ -214,13 +216,16 @@ class Places:
             return np.full(len(x), -1, np.int64)
         if self.first is None:
             bits = n.bit_length() + 1
-            self.shift = np.uint64(64 - bits)
-            self.first = np.zeros((1 << bits) + 1, np.int64)
-            np.cumsum(np.bincount((self.table >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
+            self.least, most = self.table[0], self.table[-1]
+            self.shift = np.uint64(max(0, int(most - self.least).bit_length() - bits))
+            self.slots = (most - self.least) >> self.shift
+            slot = ((self.table - self.least) >> self.shift).astype(np.int64)
+            self.first = np.append(0, np.cumsum(np.bincount(slot)))
             self.ended = np.append(self.table, np.uint64(2**64 - 1))
-        i = self.first[(x >> self.shift).astype(np.int64)]
+        slot = (np.maximum(x, self.least) - self.least) >> self.shift
+        i = self.first[np.minimum(slot, self.slots).astype(np.int64)]
         got = self.ended[i]
-        left = np.flatnonzero(got < x)
+        left = np.flatnonzero((got < x) & (x <= self.table[-1]))
         while len(left):
             i[left] += 1
             got[left] = self.ended[i[left]]

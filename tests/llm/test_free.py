@@ -520,7 +520,7 @@ def test_work_of_the_language_model():
         found, order, first = common.unique(x)
         assert found.tolist() == sorted(set(x.tolist())) and (x[order][first] == found).all()
     most = np.append(np.sort(rng.integers(0, 2**64, 500, dtype=np.uint64)), np.uint64(2**64 - 1))
-    for t in (most, most[:-1], most[:1], most[:0]):
+    for t in (most, most[:-1], most[:1], most[:0], most[:-1] >> np.uint64(14), np.arange(7, 90, dtype=np.uint64)):
         asked = np.concatenate([t, rng.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
         where = {w: i for i, w in enumerate(t.tolist())}
         assert common.Places(t).find(asked).tolist() == [where.get(w, -1) for w in asked.tolist()]
@@ -553,3 +553,14 @@ def test_tables_by_weights():
         share = np.cumsum(np.exp(weight - weight.max()))
         near = np.abs(share / share[-1] - x).min() < 1e-9
         assert near or t == 1 + (share < x * share[-1]).sum()
+
+
+def test_look_up_in_a_range():
+    """Parts of a bucket share their first bits; each is found in a few steps all the same."""
+    rng = np.random.default_rng(6)
+    t = np.unique(np.uint64(5 << 60) + rng.integers(0, 1 << 48, 20000, dtype=np.uint64))
+    p = common.Places(t)
+    assert (p.find(t) == np.arange(len(t))).all()
+    assert np.diff(p.first).max() < 20
+    x = np.repeat(t, 3)
+    assert (common.argsort(x) == np.argsort(x, kind="stable")).all()
